@@ -458,7 +458,7 @@ def date_consistency(df: DataFrame, n_samples: int = 5) -> DataFrame:
         (quoted(c), F.array(*[layout.parse(quoted(c)).isNotNull() for layout in LAYOUTS]))
         for c in texts
     ]
-    cells = melt(df, parses, ["v", "ok"], keep_nulls=False).withColumn(
+    cells = melt(df, parses, ["v", "ok"], keep_nulls=True).withColumn(
         "i", F.col("i").cast("int")
     )
     failing = (

@@ -70,6 +70,13 @@ def load(
     return capped(df, SAMPLE_ROWS, order_by) if sample else df
 
 
+# Cell texts that stand for a missing value in delimited files (fixed values).
+MISSING_MARKS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+    "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -85,24 +92,29 @@ def read_csv(
     sets of files: probing more than 1000 files is refused.
     """
     if sep is not None and encoding is not None:
-        return tidy(_csv(spark, [path], sep, encoding, schema, multiline))
+        dialects = {(sep, encoding): [path]}
+    else:
+        dialects = _probed_dialects(spark, path, sep, encoding)
+    frames = [
+        clean_headers(_csv(spark, paths, s, e, schema, multiline))
+        for (s, e), paths in sorted(dialects.items())
+    ]
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return promote_dates(df) if schema is not None else with_inferred_types(df)
+
+
+def _probed_dialects(spark, path, sep, encoding) -> dict[tuple[str, str], list[str]]:
     files = file_manifest(spark, path)
     found = files.select("path", "encoding", "delimiter").limit(MAX_PROBED_FILES + 1).collect()
     if len(found) > MAX_PROBED_FILES:
         raise ValueError(f"over {MAX_PROBED_FILES} files: pass sep and encoding explicitly")
+    if not found:
+        raise FileNotFoundError(f"no files at {path}")
     dialects: dict[tuple[str, str], list[str]] = {}
     for r in found:
         key = (sep or r["delimiter"], encoding or r["encoding"])
         dialects.setdefault(key, []).append(r["path"])
-    if not dialects:
-        raise FileNotFoundError(f"no files at {path}")
-    frames = [
-        clean_headers(_csv(spark, paths, s, e, schema, multiline))
-        for (s, e), paths in sorted(dialects.items())
-    ]
-    return promote_dates(
-        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    )
+    return dialects
 
 
 def _csv(spark, paths, sep, encoding, schema, multiline) -> DataFrame:
@@ -116,11 +128,54 @@ def _csv(spark, paths, sep, encoding, schema, multiline) -> DataFrame:
     )
     if schema is not None:
         reader = reader.schema(schema)
-    else:
-        reader = reader.option("inferSchema", True).option("preferDate", False)
     return reader.csv(paths)
 
 
+def with_inferred_types(df: DataFrame) -> DataFrame:
+    """Type text columns by all their values: bigint, double, boolean, ISO timestamp.
+
+    Missing-value marks become null first.  One aggregate over the table decides for
+    all columns; a column that fits no type in full stays text.
+    """
+    df = replace_columns(
+        df,
+        {c: F.when(~quoted(c).isin(*MISSING_MARKS), quoted(c)) for c in text_columns(df)},
+    )
+    readings = {
+        "bigint": lambda c: F.when(
+            c.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(c).try_cast("bigint")
+        ),
+        "double": lambda c: F.when(
+            c.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"),
+            F.trim(c).try_cast("double"),
+        ),
+        "boolean": lambda c: F.when(
+            c.isin("True", "TRUE", "true", "False", "FALSE", "false"),
+            F.lower(c).try_cast("boolean"),
+        ),
+        "timestamp": parse_iso,
+    }
+    texts = text_columns(df)
+    if not texts:
+        return df
+    row = df.agg(
+        *[
+            F.struct(
+                F.count(quoted(c)).alias("n"),
+                *[F.count(read(quoted(c))).alias(t) for t, read in readings.items()],
+            ).alias(f"c{i}")
+            for i, c in enumerate(texts)
+        ]
+    ).first()
+    exprs = {}
+    for i, c in enumerate(texts):
+        seen = row[f"c{i}"]
+        fit = next((t for t in readings if seen["n"] and seen[t] == seen["n"]), None)
+        if fit:
+            exprs[c] = readings[fit](quoted(c))
+    return replace_columns(df, exprs)
+
+
 def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
     """Tab-separated files; otherwise as :func:`read_csv`."""
     return read_csv(spark, path, **{**options, "sep": "\t"})

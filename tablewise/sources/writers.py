@@ -26,9 +26,12 @@ def _as_text(df: DataFrame, name: str) -> Column:
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Comma-separated UTF-8 with a header per part; an empty table keeps its header.
 
-    Nested cells become JSON text, binary cells base64.
+    Nested cells become JSON text, binary cells base64; timestamps keep their
+    microseconds and are written without a fraction where it is zero.
     """
-    odd = (*NESTED, *_NO_COLUMN_FORMAT, T.BinaryType)
+    odd = (
+        *NESTED, *_NO_COLUMN_FORMAT, T.BinaryType, T.TimestampType, T.TimestampNTZType,
+    )
     exprs = {c: _as_text(df, c) for c in df.columns if isinstance(dtype_of(df, c), odd)}
     (
         replace_columns(df, exprs)
