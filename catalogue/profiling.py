@@ -194,7 +194,7 @@ add(
         f"SELECT {k} AS k, '{a}' AS col_a, '{b}' AS col_b, (SELECT corr({a}, {b}) FROM d) AS r"
         for k, (a, b) in enumerate(_PAIRS)
     ]) + ") ORDER BY abs(r) DESC, k LIMIT 5",
-    lambda df: _round_r(correlate.top_correlations(df.drop("level"), 5)),
+    lambda df: _round_r(correlate.top_correlations(df, 5)),
 )
 
 # ---------------------------------------------------------------- P8, P17
@@ -214,10 +214,10 @@ add(
         f"round(quantile_cont({c}, 0.5), 4) AS q50, round(quantile_cont({c}, 0.75), 4) AS q75, "
         f"round(skewness({c}), 6) AS skew, round(kurtosis({c}), 6) AS kurtosis FROM d"
         for c in _SHAPE
-    ]),
+    ]) + " UNION ALL SELECT 'level', 3.0, 0.0, 3.0, 3.0, 3.0, 3.0, 3.0, 0.0, 0.0",
     lambda df: _digits(
         _digits(
-            profile.distribution_summary(df.drop("level")), ["mean", "std", "q25", "q50", "q75"], 4
+            profile.distribution_summary(df), ["mean", "std", "q25", "q50", "q75"], 4
         ),
         ["skew", "kurtosis"], 6,
     ),

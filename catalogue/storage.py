@@ -1,2 +1,314 @@
-from catalogue.base import Entry
+"""Source, sink, SQL and issue-planting queries (S1-S13, Q1-Q3, G1)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalogue.base import Entry, columns_of, over, table, view
+from catalogue.profiling import ORDER_TEXTS, _BYTES, flat_health, union
+from tablewise.operators import compare, profile
+from tablewise.operators.dirty import inject_issues
+from tablewise.plans.sql import QueryLog, query, register
+from tablewise.sources import readers, writers
+from tablewise.sources.manifest import file_manifest
+from tablewise.sources.scratch import scratch_path
+
 ENTRIES: dict[str, Entry] = {}
+ORDERS, PEOPLE = "dirty_orders", "personal_customers"
+
+
+def add(name: str, source: str, body: str | None, run) -> None:
+    ENTRIES[name] = Entry(
+        lambda spark, sf: run(view(spark, sf, source)), over(source, body) if body else None
+    )
+
+
+def _path(df, name: str) -> str:
+    return scratch_path(df.sparkSession, name)
+
+
+# What a text round trip keeps: blanks at the ends, gaps, dates as timestamps.
+_ROUND = (
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, "
+    "CAST(CAST(date_text AS DATE) AS TIMESTAMP) AS date_text, constant_col, mixed_col, rare_class "
+    "FROM d WHERE o_orderkey % 5 <> 0"
+)
+
+
+def _iso_orders(df):
+    return df.where("o_orderkey % 5 <> 0")
+
+
+def _csv_trip(df):
+    path = _path(df, "orders.csv")
+    writers.write_csv(_iso_orders(df), path)
+    return readers.load(df.sparkSession, path)
+
+
+def _tsv_trip(df):
+    path = _path(df, "orders.tsv")
+    _iso_orders(df).write.option("header", True).option("sep", "\t").csv(path)
+    return readers.read_tsv(df.sparkSession, path, encoding="utf-8")
+
+
+def _parquet_trip(df):
+    path = _path(df, "orders.parquet")
+    writers.write_parquet(df, path)
+    return readers.load(df.sparkSession, path)
+
+
+def _json_trip(df):
+    path = _path(df, "orders.jsonl")
+    _iso_orders(df).write.json(path)
+    return readers.read_json(df.sparkSession, path).select(*df.columns)
+
+
+add("s01_load_json_lines", ORDERS, _ROUND, _json_trip)
+add("s02_csv_round_trip", ORDERS, _ROUND, _csv_trip)
+add("s03_tsv_round_trip", ORDERS, _ROUND, _tsv_trip)
+# One day/month date among the ISO ones keeps the column text: all or nothing.
+add("s04_parquet_round_trip", ORDERS, "SELECT * FROM d", _parquet_trip)
+
+
+def _mixed_dialects(df):
+    """Half of the rows comma- and UTF-8-, half semicolon- and Latin-1-coded."""
+    path = _path(df, "mixed.csv")
+    rows = df.select("c_custkey", F.concat(F.lit("Café "), F.col("note")).alias("note"),
+                     F.col("pan_no"))
+    rows.where("c_custkey % 2 = 0").coalesce(2).write.mode("append").option("header", True).csv(path)
+    (
+        rows.where("c_custkey % 2 = 1").coalesce(2).write.mode("append").option("header", True)
+        .option("sep", ";").option("encoding", "ISO-8859-1").csv(path)
+    )
+    return path
+
+
+add(
+    "s02_csv_mixed_dialects", PEOPLE,
+    "SELECT c_custkey, concat('Café ', note) AS note, pan_no FROM d",
+    lambda df: readers.load(df.sparkSession, _mixed_dialects(df)),
+)
+add(
+    "s11_manifest", PEOPLE,
+    "SELECT 'utf-8' AS encoding, ',' AS delimiter, TRUE AS filled "
+    "UNION ALL SELECT 'latin-1', ';', TRUE",
+    lambda df: file_manifest(df.sparkSession, _mixed_dialects(df))
+    .groupBy("encoding", "delimiter")
+    .agg(F.bool_and(F.col("bytes") > 0).alias("filled")),
+)
+
+
+def _messy_headers(df):
+    messy = df.select(
+        F.col("c_custkey").alias("﻿ key "), F.col("pincode").alias("\tpin code  ")
+    )
+    return readers.clean_headers(messy)
+
+
+add("s06_headers", PEOPLE, "SELECT c_custkey AS key, pincode AS \"pin code\" FROM d", _messy_headers)
+add(
+    "s07_promote_dates", ORDERS, _ROUND,
+    lambda df: readers.promote_dates(_iso_orders(df)),
+)
+add("s07_promote_dates_mixed", ORDERS, "SELECT * FROM d", readers.promote_dates)
+
+
+def _expectations(df):
+    verdicts = []
+    for label, frame, args in (
+        ("as it is", df, {}),
+        ("two rows, three columns", df, {"min_rows": 2, "min_cols": 3}),
+        ("no rows", df.where("o_orderkey < 0"), {}),
+        ("too many columns", df, {"min_cols": 100}),
+    ):
+        try:
+            compare.validate(frame, **args)
+            verdicts.append((label, "passed"))
+        except ValueError as exc:
+            verdicts.append((label, type(exc).__name__))
+    return df.sparkSession.createDataFrame(verdicts, "expectation string, verdict string")
+
+
+add(
+    "s08_validate", ORDERS,
+    "SELECT 'as it is' AS expectation, CASE WHEN count(*) >= 1 THEN 'passed' END AS verdict FROM d "
+    "UNION ALL SELECT 'two rows, three columns', CASE WHEN count(*) >= 2 THEN 'passed' END FROM d "
+    "UNION ALL SELECT 'no rows', CASE WHEN count(*) = 0 THEN 'EmptyTableError' END FROM d "
+    "WHERE o_orderkey < 0 UNION ALL SELECT 'too many columns', 'TableShapeError'",
+    _expectations,
+)
+
+
+def _preview_sql() -> str:
+    rows = []
+    for c in columns_of(ORDERS):
+        dtype = "string" if c in ORDER_TEXTS else "double" if c == "o_totalprice" else "bigint"
+        rows.append(
+            f"SELECT '{c}' AS \"column\", '{dtype}' AS dtype, count({c}) AS non_null, "
+            f"round({_BYTES[c]} / 1024.0, 2) AS kb, (SELECT string_agg(v, ', ' ORDER BY v) FROM "
+            f"(SELECT DISTINCT CAST({c} AS STRING) AS v FROM d WHERE {c} IS NOT NULL ORDER BY v "
+            "LIMIT 4)) AS sample_values FROM d"
+        )
+    return union(rows)
+
+
+add("s09_preview_schema", ORDERS, _preview_sql(), lambda df: profile.preview_schema(df, 4))
+add(
+    "s10_capped_read", ORDERS,
+    "SELECT DISTINCT o_orderkey, constant_col FROM d ORDER BY o_orderkey LIMIT 500",
+    lambda df: readers.capped(
+        df.select("o_orderkey", "constant_col").distinct(), 500, ["o_orderkey"]
+    ),
+)
+
+
+def _csv_header(df):
+    """An empty table still writes its header; the full one keeps every row."""
+    spark, empty, full = df.sparkSession, _path(df, "empty.csv"), _path(df, "full.csv")
+    writers.write_csv(df.where("o_orderkey < 0").coalesce(1), empty)
+    writers.write_csv(df, full)
+    head = spark.read.text(empty).select(F.col("value").alias("header"))
+    rows = readers.load(spark, full).agg(F.count(F.lit(1))).scalar()
+    return head.withColumn("rows", rows)
+
+
+add(
+    "s12_write_csv", ORDERS,
+    f"SELECT '{','.join(columns_of(ORDERS))}' AS header, count(*) AS rows FROM d", _csv_header,
+)
+
+
+def _odd_types(df):
+    """Void and interval columns are written as text."""
+    path = _path(df, "odd.parquet")
+    odd = df.select(
+        "o_orderkey", F.lit(None).alias("nothing"),
+        F.expr("make_dt_interval(0, 0, 0, o_orderkey % 60)").alias("span"),
+    )
+    writers.write_parquet(odd, path)
+    back = df.sparkSession.read.parquet(path)
+    return back.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("nothing").alias("something"),
+        F.count_if(F.col("span").startswith("INTERVAL")).alias("spans"),
+    )
+
+
+add(
+    "s13_write_parquet", ORDERS,
+    "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS something, count(*) AS spans FROM d", _odd_types,
+)
+
+# ------------------------------------------------------------------------ SQL
+
+_SQL = (
+    "SELECT o_orderpriority, count(*) AS n, CAST(sum(CASE WHEN o_totalprice IS NULL THEN 1 ELSE 0 END) "
+    "AS BIGINT) AS gaps FROM {t} GROUP BY o_orderpriority"
+)
+
+
+def _registered(df):
+    register("orders_again", df.limit(0))
+    register("orders_again", df)
+    return df.sparkSession.sql(_SQL.format(t="orders_again"))
+
+
+add("q01_register", ORDERS, _SQL.format(t="d"), _registered)
+add(
+    "q02_query", ORDERS, _SQL.format(t="d"),
+    lambda df: query(df.sparkSession, _SQL.format(t="df") + ";", df).df,
+)
+
+
+def _truncated(df):
+    few = query(df.sparkSession, "SELECT * FROM df", df, max_rows=10)
+    all_rows = query(df.sparkSession, "SELECT o_orderkey FROM df", df)
+    return few.df.agg(
+        F.count(F.lit(1)).alias("shown"),
+        F.lit(few.truncated()).alias("few_cut"),
+        F.lit(all_rows.truncated()).alias("all_cut"),
+    )
+
+
+add(
+    "q02_query_truncated", ORDERS,
+    "SELECT least(10, count(*)) AS shown, count(*) > 10 AS few_cut, count(*) > 100000 AS all_cut FROM d",
+    _truncated,
+)
+ENTRIES["q02_query_join"] = Entry(
+    lambda spark, sf: query(
+        spark, _JOIN, {n: table(spark, sf, n) for n in ("customer", "nation", "orders")}
+    ).df,
+    None,
+)
+_JOIN = (
+    "SELECT n_name, count(*) AS orders, count(DISTINCT c_custkey) AS customers, "
+    "round(sum(o_totalprice), 2) AS spent FROM orders JOIN customer ON o_custkey = c_custkey "
+    "JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
+)
+ENTRIES["q02_query_join"] = Entry(ENTRIES["q02_query_join"].run, _JOIN)
+
+
+def _logged(df):
+    log = QueryLog(df.sparkSession, _path(df, "query_log"))
+    log.run("SELECT count(*) AS n FROM df", df)
+    log.run("SELECT DISTINCT o_orderpriority FROM df", df)
+    try:
+        log.run("SELECT no_such_column FROM df", df)
+    except Exception:  # the failure itself is what gets logged
+        pass
+    return log.entries().select(
+        "sql", "row_count", F.col("error").isNotNull().alias("failed")
+    )
+
+
+add(
+    "q03_query_log", ORDERS,
+    "SELECT 'SELECT count(*) AS n FROM df' AS sql, CAST(1 AS BIGINT) AS row_count, FALSE AS failed "
+    "UNION ALL SELECT 'SELECT DISTINCT o_orderpriority FROM df', count(DISTINCT o_orderpriority), "
+    "FALSE FROM d UNION ALL SELECT 'SELECT no_such_column FROM df', CAST(0 AS BIGINT), TRUE",
+    _logged,
+)
+
+# -------------------------------------------------------------- planted issues
+
+_SPEC = [
+    {"issue": "nulls", "column": "o_totalprice", "share": 0.25},
+    {"issue": "outliers", "column": "o_totalprice", "share": 0.01, "factor": 1000},
+    {"issue": "variants", "column": "o_orderstatus", "share": 0.1, "variants": ["f", "Fin."],
+     "only": "F"},
+    {"issue": "unit", "column": "o_custkey", "share": 0.08, "unit": " cm"},
+    {"issue": "mixed_dates", "column": "o_orderdate"},
+    {"issue": "constant", "column": "version", "value": "v1.0"},
+    {"issue": "personal", "column": "phone", "category": "mobile"},
+    {"issue": "duplicates", "share": 0.02},
+]
+
+
+def _dirty(spark, sf):
+    return inject_issues(table(spark, sf, "orders"), ["o_orderkey"], _SPEC)
+
+
+ENTRIES["g01_inject"] = Entry(_dirty)
+# The planted shares come out about as ordered, and equally on any partitioning.
+
+
+def _planted(spark, sf):
+    one = _dirty(spark, sf)
+    two = inject_issues(
+        table(spark, sf, "orders").repartition(11), ["o_orderkey"], _SPEC
+    )
+    near = lambda c, share: F.abs(F.avg(c.cast("double")) - share) < 0.03
+    return one.agg(
+        near(F.col("o_totalprice").isNull(), 0.25).alias("nulls"),
+        near(F.col("o_custkey").endswith(" cm"), 0.08).alias("units"),
+        (F.countDistinct("version") == 1).alias("constant"),
+        (F.count(F.lit(1)) > F.countDistinct("o_orderkey")).alias("copies"),
+        F.lit(one.exceptAll(two).agg(F.count(F.lit(1))).scalar() == 0).alias("same"),
+    )
+
+
+ENTRIES["g01_inject_checks"] = Entry(
+    _planted, "SELECT TRUE AS nulls, TRUE AS units, TRUE AS constant, TRUE AS copies, TRUE AS same"
+)
+ENTRIES["g01_inject_health"] = Entry(lambda spark, sf: flat_health(_dirty(spark, sf)))

@@ -165,8 +165,10 @@ def melt(
 ) -> DataFrame:
     """Turn per-column cells into rows (i, *names), ``i`` the ordinal of the column.
 
-    SQL's multi-value UNPIVOT plans as an Expand inside whole-stage codegen; rows
-    whose cells are all null are left out unless ``keep_nulls``.
+    SQL's multi-value UNPIVOT plans as an Expand inside whole-stage codegen.  Rows
+    whose cells are all null are left out unless ``keep_nulls``, which is needed where
+    the cells differ in type.  Aggregating the long form by ``i`` compiles to one small
+    loop, where an aggregate per column would outgrow what the JIT compiles.
     """
     wide = df.select(
         *[c.alias(f"c{i}_{j}") for i, row in enumerate(cells) for j, c in enumerate(row)]

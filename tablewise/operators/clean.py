@@ -38,7 +38,7 @@ from tablewise.functions.text import change_case, strip_edges
 from tablewise.operators import stats
 from tablewise.operators.footprint import narrowing_plan
 from tablewise.operators.ordered import add_row_number, carry
-from tablewise.operators.profile import IQR_MULTIPLIER, best_layout, layout_hits
+from tablewise.operators.profile import IQR_MULTIPLIER, best_layout
 
 
 class CleaningError(ValueError):

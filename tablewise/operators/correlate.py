@@ -7,8 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewise.functions.columns import as_double, missing, numeric_columns, wide_to_long
-from tablewise.operators.ordered import SLICE, with_slices
+from tablewise.functions.columns import (
+    as_double,
+    melt,
+    missing,
+    numeric_columns,
+    wide_to_long,
+)
+from tablewise.operators.ordered import (
+    SAMPLE_PER_SLICE,
+    SLICE,
+    order_key,
+    slice_count,
+    slice_number,
+)
 from tablewise.operators.profile import empty_frame
 
 PAIRS = "col_a string, col_b string, r double"
@@ -21,81 +33,114 @@ def _pairs(names: list[str]) -> list[tuple[int, int]]:
     return [(a, b) for a in range(len(names)) for b in range(a + 1, len(names))]
 
 
-def _clean(r: Column) -> Column:
-    return F.when(~F.isnan(r) & (F.abs(r) < 2), r)
+def _correlation(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson's r, null where a side does not vary."""
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    # greatest and least skip nulls, which must stay null here.
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
-def _long(row: DataFrame, names: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
-    cells = [
-        (F.lit(names[a]), F.lit(names[b]), F.lit(a), F.lit(b), _clean(F.col(f"r{k}")))
-        for k, (a, b) in enumerate(pairs)
-    ]
-    return row.select(wide_to_long(cells, ["col_a", "col_b", "ia", "ib", "r"])).drop("i")
+def _pair_rows(
+    cells: DataFrame, names: list[str], pairs: list[tuple[int, int]]
+) -> DataFrame:
+    """Correlate the (i, x, y) rows per pair ordinal ``i``."""
+    both = cells.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    found = both.groupBy("i").agg(_correlation(F.col("x"), F.col("y")).alias("r"))
+    order = F.array(
+        *[
+            F.struct(
+                F.lit(names[a]).alias("col_a"), F.lit(names[b]).alias("col_b"),
+                F.lit(a).alias("ia"), F.lit(b).alias("ib"), F.lit(k).alias("k"),
+            )
+            for k, (a, b) in enumerate(pairs)
+        ]
+    )
+    # Pairs without a complete row still appear, with r null.
+    listed = cells.sparkSession.range(1).select(F.inline(order))
+    return (
+        listed.join(found, listed["k"] == found["i"].cast("int"), "left")
+        .select("col_a", "col_b", "ia", "ib", "r")
+    )
 
 
 def pearson_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     """(col_a, col_b, ia, ib, r) over the rows where both cells are present."""
     pairs = _pairs(names)
-    row = df.agg(
-        *[
-            F.corr(as_double(df, names[a]), as_double(df, names[b])).alias(f"r{k}")
-            for k, (a, b) in enumerate(pairs)
-        ]
+    cells = melt(
+        df,
+        [(as_double(df, names[a]), as_double(df, names[b])) for a, b in pairs],
+        ["x", "y"],
+        keep_nulls=False,
     )
-    return _long(row, names, pairs)
+    return _pair_rows(cells, names, pairs)
 
 
 # ----------------------------------------------------------------- spearman
 
-def average_ranks(values: DataFrame) -> DataFrame:
-    """(v, n, rank) of a one-column frame ``v``: average rank of every distinct value.
+def average_ranks(cells: DataFrame) -> DataFrame:
+    """(g, v, n, total, rank) of (g, v) rows: average rank of every distinct v within g.
 
-    Works on distinct values only: counted in one shuffle, ordered in slices, with
-    the counts of earlier slices broadcast as one row per slice.
+    Works on distinct values: counted in one shuffle with map-side combining and
+    ordered in slices.  The counts of earlier slices and groups are added from tables
+    of one row per slice and group.
     """
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    sliced = with_slices(counts, ["v"])
-    below = (
-        sliced.groupBy(SLICE)
-        .agg(F.sum("n").alias("s"))
-        .select(
-            SLICE,
-            (
-                F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy(SLICE)) - F.col("s")
-            ).alias("below"),
-        )
+    key = F.struct("g", "v")
+    distinct = cells.agg(F.approx_count_distinct(key, 0.05)).first()[0]
+    slices = slice_count(cells.sparkSession, distinct)
+    # Sampling by hash of the value gives a sample of distinct values.
+    one_in = max(1, distinct // (slices * SAMPLE_PER_SLICE))
+    sample = (
+        cells.where(F.pmod(F.xxhash64("g", "v"), F.lit(one_in)) == 0)
+        .select(order_key(["g", "v"]).alias("k"))
+        .distinct()
+    )
+    at = slice_number(order_key(["g", "v"]), sample, slices)
+
+    counts = cells.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    sliced = counts.withColumn(SLICE, at)
+    small = Window.partitionBy(F.lit(0))
+    slice_sums = sliced.groupBy(SLICE).agg(F.sum("n").alias("s")).select(
+        SLICE, (F.sum("s").over(small.orderBy(SLICE)) - F.col("s")).alias("below")
+    )
+    group_sums = cells.groupBy("g").agg(F.count(F.lit(1)).alias("total")).select(
+        "g", "total", (F.sum("total").over(small.orderBy("g")) - F.col("total")).alias("before")
     )
     upto = F.sum("n").over(
-        Window.partitionBy(SLICE).orderBy("v").rowsBetween(
+        Window.partitionBy(SLICE).orderBy("g", "v").rowsBetween(
             Window.unboundedPreceding, Window.currentRow
         )
     )
-    rank = F.col("below") + F.col("upto") - F.col("n") + (F.col("n") + 1) / 2
+    place = F.col("below") + F.col("upto") - F.col("n") - F.col("before")
     return (
         sliced.withColumn("upto", upto)
-        .join(F.broadcast(below), SLICE)
-        .select("v", "n", rank.alias("rank"))
+        .join(F.broadcast(slice_sums), SLICE)
+        .join(F.broadcast(group_sums), "g")
+        .select("g", "v", "n", "total", (place + (F.col("n") + 1) / 2).alias("rank"))
     )
 
 
-def _attach_rank(rows: DataFrame, name: str, ranks: DataFrame, total: int) -> DataFrame:
-    """Replace column ``name`` by its rank.
+def _attach_rank(rows: DataFrame, name: str, ranks: DataFrame, group: Column) -> DataFrame:
+    """Replace column ``name`` by its rank within ``group``.
 
-    Frequent values come from a broadcast table (bounded by HOT_SHARE); their rows
-    get a spread-out null-match key, so the shuffle join only gathers rare values.
+    Values held by over 1/HOT_SHARE of a group come from a broadcast table (at most
+    HOT_SHARE entries per group); their rows get a spread-out key that matches nothing,
+    so the shuffle join gathers rare values only.
     """
-    limit = max(1, total // HOT_SHARE)
-    hot = ranks.where(F.col("n") > limit).select(
-        F.col("v").alias(name), F.col("rank").alias("__hot")
+    frequent = F.col("n") * HOT_SHARE > F.col("total")
+    hot = ranks.where(frequent).select(
+        F.col("g").alias("__g"), F.col("v").alias(name), F.col("rank").alias("__hot")
     )
-    cold = ranks.where(F.col("n") <= limit).select(
-        F.col("v").alias(name), F.lit(0).alias("__salt"), F.col("rank").alias("__cold")
+    cold = ranks.where(~frequent).select(
+        F.col("g").alias("__g"), F.col("v").alias(name), F.lit(0).alias("__salt"),
+        F.col("rank").alias("__cold"),
     )
     spread = F.pmod(F.xxhash64(*rows.columns), F.lit(HOT_SHARE)).cast("int") + 1
-    marked = rows.join(F.broadcast(hot), name, "left").withColumn(
-        "__salt", F.when(F.col("__hot").isNotNull(), spread).otherwise(0)
+    marked = (
+        rows.withColumn("__g", group)
+        .join(F.broadcast(hot), ["__g", name], "left")
+        .withColumn("__salt", F.when(F.col("__hot").isNotNull(), spread).otherwise(0))
     )
-    return marked.join(cold, [name, "__salt"], "left").select(
+    return marked.join(cold, ["__g", name, "__salt"], "left").select(
         *[c for c in rows.columns if c != name],
         F.coalesce("__hot", "__cold").alias(name),
     )
@@ -104,35 +149,42 @@ def _attach_rank(rows: DataFrame, name: str, ranks: DataFrame, total: int) -> Da
 def spearman_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     """As :func:`pearson_pairs`, on average ranks of the pairwise complete rows.
 
-    Columns without missing values share one rank table each; a pair that touches a
-    column with gaps is ranked on its own complete rows.
+    Columns without missing values are ranked once each; pairs that touch a column
+    with gaps are ranked on their own complete rows, all such pairs in one pass.
     """
     pairs = _pairs(names)
     holes = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(missing(df, c)).alias(f"m{i}") for i, c in enumerate(names)],
+        *[F.count_if(missing(df, c)).alias(f"m{i}") for i, c in enumerate(names)]
     ).first()
-    whole = [i for i in range(len(names)) if holes[f"m{i}"] == 0]
-    data = df.select(*[as_double(df, c).alias(f"x{i}") for i, c in enumerate(names)])
+    whole = {i for i in range(len(names)) if holes[f"m{i}"] == 0}
+    shared = [(a, b) for a, b in pairs if a in whole and b in whole]
+    apart = [p for p in pairs if p not in shared]
     results = []
 
-    def ranked_corr(rows: DataFrame, members: list[int], todo: list[tuple[int, int]], n: int):
-        ranked = rows
-        for i in members:
-            ranks = average_ranks(rows.select(F.col(f"x{i}").alias("v")))
-            ranked = _attach_rank(ranked, f"x{i}", ranks, n)
-        row = ranked.agg(
-            *[F.corr(f"x{a}", f"x{b}").alias(f"r{k}") for k, (a, b) in enumerate(todo)]
-        )
-        results.append(_long(row, names, todo))
-
-    shared = [(a, b) for a, b in pairs if a in whole and b in whole]
     if shared:
         members = sorted({i for pair in shared for i in pair})
-        ranked_corr(data.select(*[f"x{i}" for i in members]), members, shared, holes["n"])
-    for a, b in [p for p in pairs if p not in shared]:
-        rows = data.select(f"x{a}", f"x{b}").dropna()
-        ranked_corr(rows, [a, b], [(a, b)], holes["n"])
+        rows = df.select(*[as_double(df, names[i]).alias(f"x{i}") for i in members])
+        cells = melt(rows, [(F.col(f"x{i}"),) for i in members], ["v"], keep_nulls=False)
+        ranks = average_ranks(cells.withColumnRenamed("i", "g"))
+        for at, i in enumerate(members):
+            mine = ranks.where(F.col("g") == str(at))
+            rows = _attach_rank(rows, f"x{i}", mine, F.lit(str(at)))
+        ranked = melt(
+            rows, [(F.col(f"x{a}"), F.col(f"x{b}")) for a, b in shared], ["x", "y"], False
+        )
+        results.append(_pair_rows(ranked, names, shared))
+    if apart:
+        rows = melt(
+            df,
+            [(as_double(df, names[a]), as_double(df, names[b])) for a, b in apart],
+            ["x", "y"],
+            keep_nulls=False,
+        ).dropna()
+        values = rows
+        for side in ("x", "y"):
+            ranks = average_ranks(values.select(F.col("i").alias("g"), F.col(side).alias("v")))
+            rows = _attach_rank(rows, side, ranks, F.col("i"))
+        results.append(_pair_rows(rows, names, apart))
     return reduce(DataFrame.unionByName, results)
 
 

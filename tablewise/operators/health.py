@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.functions.columns import categorical_columns, missing, numeric_columns, text_columns
+from tablewise.functions.columns import categorical_columns, numeric_columns, text_columns
 from tablewise.operators import profile, stats
-from tablewise.functions.text import LEXICAL_CLASSES
 
 # --- fixed values: the most each category may take off ------------------------
 CAPS = {
@@ -54,100 +53,91 @@ def _line(category: str, n_rows: Column, value: Column, reason: Column, affected
     )
 
 
-def _named(flags: list[tuple[str, Column]]) -> Column:
-    """Names whose flag holds, in column order."""
-    if not flags:
-        return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in flags]))
-
-
-def _scan_lines(df: DataFrame) -> DataFrame:
-    """Missing, constant, mixed and date categories out of a single scan."""
-    names, texts = df.columns, text_columns(df)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(names):
-        aggs += [
-            F.count_if(missing(df, c)).alias(f"m{i}"),
-            profile.constant_flag(df, c).alias(f"c{i}"),
-        ]
-    for i, c in enumerate(texts):
-        aggs += [a.alias(f"{k}{i}") for k, a in profile.class_counts(df, c).items()]
-        aggs.append(F.array(*profile.layout_hits(df, c)).alias(f"h{i}"))
-    row = df.agg(*aggs)
-
-    n = F.col("n")
-    holes = reduce(lambda a, b: a + b, [F.col(f"m{i}") for i in range(len(names))])
-    share = holes / (n * len(names))
-    holed = _named([(c, F.col(f"m{i}") > 0) for i, c in enumerate(names)])
-    lines = [
-        _line(
-            "missing",
-            n,
-            60.0 * share,
-            F.when(
-                holes > 0,
-                F.format_string(
-                    "%d of all cells are missing (%.2f%%), in %d column(s)",
-                    holes, share * 100, F.size(holed),
+def _listed(rule: Column) -> Column:
+    """Aggregate over per-column rows: names for which the rule holds, in column order."""
+    kept = F.array_sort(F.collect_list(F.when(rule, F.struct("i", "column"))))
+    return F.transform(kept, lambda s: s["column"])
+
+
+def _cell_lines(df: DataFrame) -> DataFrame:
+    """Missing cells and constant columns, out of one scan."""
+    k = len(df.columns)
+    folded = stats.column_facts(df).agg(
+        F.max("n_rows").alias("n"),
+        F.sum("missing").alias("holes"),
+        _listed(F.col("missing") > 0).alias("holed"),
+        _listed(F.col("constant")).alias("fixed"),
+    )
+    share = F.col("holes") / (F.col("n") * k)
+    return folded.select(
+        F.inline(
+            F.array(
+                _line(
+                    "missing",
+                    F.coalesce("n", F.lit(0)),
+                    60.0 * share,
+                    F.when(
+                        F.col("holes") > 0,
+                        F.format_string(
+                            "%d of all cells are missing (%.2f%%), in %d column(s)",
+                            F.col("holes"), share * 100, F.size("holed"),
+                        ),
+                    ),
+                    F.col("holed"),
                 ),
-            ),
-            holed,
-        )
-    ]
-    fixed = _named([(c, F.col(f"c{i}")) for i, c in enumerate(names)])
-    lines.append(
-        _line(
-            "constant",
-            n,
-            50.0 * F.size(fixed) / len(names),
-            F.when(F.size(fixed) > 0, F.format_string("%d constant column(s)", F.size(fixed))),
-            fixed,
+                _line(
+                    "constant",
+                    F.coalesce("n", F.lit(0)),
+                    50.0 * F.size("fixed") / k,
+                    F.when(
+                        F.size("fixed") > 0,
+                        F.format_string("%d constant column(s)", F.size("fixed")),
+                    ),
+                    F.col("fixed"),
+                ),
+            )
         )
     )
 
-    def kinds(i: int) -> Column:
-        return sum(
-            (F.when(F.col(f"{k}{i}") > 0, 1).otherwise(0) for k in LEXICAL_CLASSES), F.lit(0)
-        )
 
-    mixed = _named([(c, kinds(i) >= 2) for i, c in enumerate(texts)])
-    lines.append(
-        _line(
-            "mixed_dtype",
-            n,
-            50.0 * F.size(mixed) / len(names),
-            F.when(
-                F.size(mixed) > 0,
-                F.format_string("%d column(s) mix value types", F.size(mixed)),
-            ),
-            mixed,
-        )
+def _text_lines(df: DataFrame) -> DataFrame:
+    """Mixed values and inconsistent dates, out of one scan of the text columns."""
+    n, best = F.col("n"), F.array_max("hits")
+    folded = profile.text_facts(df).agg(
+        _listed(profile.classes_used() >= 2).alias("mixed"),
+        F.count_if(profile.suspected_date(n, best)).alias("suspected"),
+        _listed(profile.inconsistent_date(n, best)).alias("bad"),
     )
-
-    def dated(rule) -> Column:
-        flags = []
-        for i, c in enumerate(texts):
-            held = n - F.col(f"m{names.index(c)}")
-            flags.append((c, rule(held, F.array_max(F.col(f"h{i}")))))
-        return _named(flags)
-
-    suspected, bad = dated(profile.suspected_date), dated(profile.inconsistent_date)
-    lines.append(
-        _line(
-            "date_inconsistency",
-            n,
-            10.0 * F.size(bad) / F.greatest(F.lit(1), F.size(suspected)),
-            F.when(
-                F.size(bad) > 0,
-                F.format_string(
-                    "%d of %d date column(s) have over 10%% of values in another layout",
-                    F.size(bad), F.size(suspected),
+    return folded.select(
+        F.inline(
+            F.array(
+                _line(
+                    "mixed_dtype",
+                    F.lit(0),
+                    50.0 * F.size("mixed") / len(df.columns),
+                    F.when(
+                        F.size("mixed") > 0,
+                        F.format_string("%d column(s) mix value types", F.size("mixed")),
+                    ),
+                    F.col("mixed"),
+                ),
+                _line(
+                    "date_inconsistency",
+                    F.lit(0),
+                    10.0 * F.size("bad") / F.greatest(F.lit(1), F.col("suspected")),
+                    F.when(
+                        F.size("bad") > 0,
+                        F.format_string(
+                            "%d of %d date column(s) have over 10%% of values in another "
+                            "layout",
+                            F.size("bad"), F.col("suspected"),
+                        ),
+                    ),
+                    F.col("bad"),
                 ),
-            ),
-            bad,
+            )
         )
     )
-    return row.select(F.inline(F.array(*lines)))
 
 
 def _duplicate_line(df: DataFrame) -> DataFrame:
@@ -175,13 +165,10 @@ def _duplicate_line(df: DataFrame) -> DataFrame:
 
 def _outlier_line(df: DataFrame) -> DataFrame:
     ratio = F.col("iqr_outliers") / F.col("n")
-    hit = F.array_sort(
-        F.collect_list(F.when(F.col("iqr_outliers") > 0, F.struct("i", "column")))
-    )
     folded = profile.outlier_counts(df).agg(
         F.avg(ratio).alias("mean_ratio"),
         F.count(F.lit(1)).alias("columns"),
-        F.transform(hit, lambda s: s["column"]).alias("affected"),
+        _listed(F.col("iqr_outliers") > 0).alias("affected"),
     )
     return folded.select(
         F.inline(
@@ -213,15 +200,11 @@ def _class_lines(df: DataFrame) -> DataFrame:
     )
     skewed = (F.col("classes") >= 2) & (F.col("gini") > profile.GINI_LIMIT)
 
-    def listed(rule: Column) -> Column:
-        kept = F.array_sort(F.collect_list(F.when(rule, F.struct("i", "column"))))
-        return F.transform(kept, lambda s: s["column"])
-
     folded = stats.value_profile(df, names).agg(
         F.max("n_rows").alias("n"),
         F.max(F.when(F.col("classes") >= 2, F.col("gini"))).alias("worst"),
-        listed(skewed).alias("skewed"),
-        listed(high).alias("high"),
+        _listed(skewed).alias("skewed"),
+        _listed(high).alias("high"),
     )
     worst = F.when((F.col("n") >= 2) & (F.col("worst") > profile.GINI_LIMIT), F.col("worst"))
     limit = profile.GINI_LIMIT
@@ -255,41 +238,41 @@ def _class_lines(df: DataFrame) -> DataFrame:
     )
 
 
+# Which column kinds a category needs.
+_NEEDS = {
+    "outliers": numeric_columns,
+    "imbalance": categorical_columns,
+    "cardinality": categorical_columns,
+    "mixed_dtype": text_columns,
+    "date_inconsistency": text_columns,
+}
+LINE_SCHEMA = (
+    "category string, n_rows bigint, amount double, reason string, "
+    "affected_columns array<string>"
+)
+
+
 def health_lines(df: DataFrame) -> DataFrame:
     """(category, n_rows, amount, reason, affected_columns), unrounded amounts."""
-    parts = [_scan_lines(df), _duplicate_line(df)]
+    parts = [_cell_lines(df), _duplicate_line(df)]
+    if text_columns(df):
+        parts.append(_text_lines(df))
     if numeric_columns(df):
         parts.append(_outlier_line(df))
     if categorical_columns(df):
         parts.append(_class_lines(df))
+    void = [c for c, needed in _NEEDS.items() if not needed(df)]
+    if void:
+        rows = [(c, 0, 0.0, None, []) for c in void]
+        parts.append(df.sparkSession.createDataFrame(rows, LINE_SCHEMA))
     return reduce(DataFrame.unionByName, parts)
 
 
 def health_deductions(df: DataFrame) -> DataFrame:
     """(category, deduction, reason, affected_columns): one row per category."""
-    lines = health_lines(df) if df.columns else None
-    if lines is None:
-        return profile.empty_frame(
-            df,
-            "category string, deduction double, reason string, "
-            "affected_columns array<string>",
-        )
-    found = {c for c in CAPS}
-    skipped = []
-    if not numeric_columns(df):
-        skipped.append("outliers")
-    if not categorical_columns(df):
-        skipped += ["imbalance", "cardinality"]
-    out = lines.select(
+    return health_lines(df).select(
         "category", F.round("amount", 2).alias("deduction"), "reason", "affected_columns"
     )
-    if skipped:
-        zero = df.sparkSession.createDataFrame(
-            [(c, 0.0, None, []) for c in skipped if c in found],
-            "category string, deduction double, reason string, affected_columns array<string>",
-        )
-        out = out.unionByName(zero)
-    return out
 
 
 def health_score(df: DataFrame) -> DataFrame:
@@ -303,10 +286,7 @@ def health_score(df: DataFrame) -> DataFrame:
             "score int, zone string, deductions map<string,double>, "
             "reasons map<string,string>, affected_columns map<string,array<string>>",
         )
-    lines = health_lines(df)
-    zero = F.map_from_entries(
-        F.array(*[F.struct(F.lit(c), F.lit(0.0)) for c in CAPS])
-    )
+    lines = health_lines(df).withColumn("rounded", F.round("amount", 2))
 
     def entries(value: str, keep: Column) -> Column:
         kept = F.collect_list(F.when(keep, F.struct("category", value)))
@@ -315,30 +295,26 @@ def health_score(df: DataFrame) -> DataFrame:
     folded = lines.agg(
         F.max("n_rows").alias("n"),
         F.sum("amount").alias("total"),
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct("category", F.round("amount", 2))))
-        ).alias("found"),
+        entries("rounded", F.lit(True)).alias("deductions"),
         entries("reason", F.col("reason").isNotNull()).alias("reasons"),
         entries("affected_columns", F.size("affected_columns") > 0).alias("affected"),
     )
-    filled = F.map_zip_with(zero, F.col("found"), lambda k, a, b: F.coalesce(b, a))
     empty = F.col("n") == 0
-    score = F.greatest(
-        F.lit(0), F.least(F.lit(100), F.floor(100.0 - F.col("total")).cast("int"))
+    score = F.when(empty, 0).otherwise(
+        F.greatest(F.lit(0), F.least(F.lit(100), F.floor(100.0 - F.col("total"))))
     )
+
+    def unless_empty(name: str) -> Column:
+        return F.when(empty, F.map_filter(name, lambda k, v: F.lit(False))).otherwise(
+            F.col(name)
+        )
+
     return folded.select(
-        F.when(empty, 0).otherwise(score).alias("score"),
-        F.when(empty, 0).otherwise(score).alias("__s"),
-        F.when(empty, F.map_filter(zero, lambda k, v: F.lit(False)))
-        .otherwise(filled)
-        .alias("deductions"),
+        score.cast("int").alias("score"),
+        zone_of(score).alias("zone"),
+        unless_empty("deductions").alias("deductions"),
         F.when(empty, F.create_map(F.lit("empty"), F.lit("No data")))
         .otherwise(F.col("reasons"))
         .alias("reasons"),
-        F.when(empty, F.map_filter("affected", lambda k, v: F.lit(False)))
-        .otherwise(F.col("affected"))
-        .alias("affected_columns"),
-    ).select(
-        "score", zone_of(F.col("__s")).alias("zone"), "deductions", "reasons",
-        "affected_columns",
+        unless_empty("affected").alias("affected_columns"),
     )

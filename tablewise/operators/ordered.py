@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.columns import present, quoted, require_columns
@@ -27,45 +27,54 @@ _JSON = {
 SLICE = "__slice"
 
 
-def _key(names: Sequence[str]) -> Column:
+def order_key(names: Sequence[str]) -> Column:
     return F.struct(*[quoted(n).alias(f"k{i}") for i, n in enumerate(names)])
 
 
-def with_slices(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Add ``__slice``: 0-based number of the row's order slice (ascending)."""
-    if df.isStreaming:
-        raise ValueError("order-dependent operators need a bounded table")
-    require_columns(df, order_by)
-    spark = df.sparkSession
-    rows = df.count()
+def slice_count(spark: SparkSession, rows: int) -> int:
+    """Several slices per shuffle task, so that their hash placement evens out."""
     wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(1, min(MAX_SLICES, wanted, rows // ROWS_PER_SLICE))
-    if slices == 1:
-        return df.withColumn(SLICE, F.lit(0))
+    return max(1, min(MAX_SLICES, wanted, rows // ROWS_PER_SLICE))
+
 
-    keys = df.select(_key(order_by).alias("k"))
-    share = min(1.0, 1.25 * slices * SAMPLE_PER_SLICE / rows)
-    sample = keys.sample(share, seed=17).agg(F.array_sort(F.collect_list("k")).alias("a"))
+def slice_number(key: Column, sample: DataFrame, slices: int) -> Column:
+    """Slice 0..slices-1 of a key, between cut points of a sample of keys (column k).
+
+    At most MAX_SLICES keys travel through the driver and come back as a literal.
+    """
+    if slices == 1:
+        return F.lit(0)
     cuts = F.transform(
         F.sequence(F.lit(1), F.lit(slices - 1)),
         lambda j: F.get("a", F.floor(j * F.size("a") / slices).cast("int")),
     )
-    # At most MAX_SLICES keys travel through the driver.
-    text = sample.select(F.to_json(cuts, _JSON)).first()[0]
-    dtype = keys.select(F.array("k").alias("a")).schema["a"].dataType
+    ordered = sample.agg(F.array_sort(F.collect_list("k")).alias("a"))
+    text = ordered.select(F.to_json(cuts, _JSON)).first()[0]
+    dtype = sample.select(F.array("k").alias("a")).schema["a"].dataType
     bounds = F.from_json(F.lit(text), dtype, _JSON)
 
     # Binary search: add the largest steps whose cut point is not above the key.
     n = slices - 1
     steps = [1 << b for b in range(n.bit_length() - 1, -1, -1)]
-    place = F.aggregate(
+    return F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
         lambda at, step: F.when(
-            (at + step <= n) & (F.get(bounds, at + step - 1) <= _key(order_by)), at + step
+            (at + step <= n) & (F.get(bounds, at + step - 1) <= key), at + step
         ).otherwise(at),
     )
-    return df.withColumn(SLICE, place)
+
+
+def with_slices(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """Add ``__slice``, the number of the row's order slice (ascending)."""
+    if df.isStreaming:
+        raise ValueError("order-dependent operators need a bounded table")
+    require_columns(df, order_by)
+    rows = df.count()
+    slices = slice_count(df.sparkSession, rows)
+    share = min(1.0, 1.25 * slices * SAMPLE_PER_SLICE / max(1, rows))
+    sample = df.select(order_key(order_by).alias("k")).sample(share, seed=17)
+    return df.withColumn(SLICE, slice_number(order_key(order_by), sample, slices))
 
 
 def _by_slice(order: str) -> Window:
@@ -110,7 +119,7 @@ def carry(
     key = F.struct(*[quoted(k).alias(f"g{i}") for i, k in enumerate(keys)]) if keys else (
         F.struct(F.lit(0).alias("g0"))
     )
-    rank = _key(order)
+    rank = order_key(order)
 
     # The present cell that each slice passes on, with the key it belongs to.
     edge = F.max_by if forward else F.min_by

@@ -42,23 +42,39 @@ def empty_frame(df: DataFrame, schema: str) -> DataFrame:
 
 # ------------------------------------------------------------------ missing
 
-def missing_summary(df: DataFrame, ordered: bool = True) -> DataFrame:
+def missing_counts(df: DataFrame) -> DataFrame:
+    """(i, column, n_rows, missing): one scan, one row per column."""
+    names = df.columns
+    wide = df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        *[F.count_if(missing(df, c)).alias(f"m{i}") for i, c in enumerate(names)],
+    )
+    return wide.where("n_rows > 0").select(
+        "n_rows",
+        wide_to_long(
+            [(F.lit(c), F.col(f"m{i}")) for i, c in enumerate(names)], ["column", "missing"]
+        ),
+    )
+
+
+def missing_summary(df: DataFrame) -> DataFrame:
     """(column, missing_count, missing_pct), worst column first."""
-    counts = stats.missing_counts(df).where("n_rows > 0")
-    out = counts.select(
-        "i",
-        "column",
-        F.col("missing").alias("missing_count"),
-        F.round(F.col("missing") / F.col("n_rows") * 100, 4).alias("missing_pct"),
+    return (
+        missing_counts(df)
+        .select(
+            "i",
+            "column",
+            F.col("missing").alias("missing_count"),
+            F.round(F.col("missing") / F.col("n_rows") * 100, 4).alias("missing_pct"),
+        )
+        .orderBy(F.col("missing_pct").desc(), "i")
+        .drop("i")
     )
-    if ordered:
-        out = out.orderBy(F.col("missing_pct").desc(), "i")
-    return out.drop("i")
 
 
 def rank_columns_by_missing(df: DataFrame, keep: int | None = None) -> DataFrame:
     """(place, column, missing_share): columns by missing share, at most ``keep``."""
-    counts = stats.missing_counts(df).where("n_rows > 0")
+    counts = missing_counts(df)
     share = F.col("missing") / F.col("n_rows")
     # One row per column of the table: the window is as small as the schema.
     place = F.row_number().over(
@@ -299,37 +315,49 @@ def _high_cardinality(classes: Column, ratio: Column) -> Column:
     return (classes >= HIGH_CARDINALITY_MIN) & (ratio >= HIGH_CARDINALITY_RATIO)
 
 
-def constant_flag(df: DataFrame, name: str) -> Column:
-    """Aggregate: does the column hold exactly one distinct present value?"""
-    dtype = dtype_of(df, name)
-    c = present(df, name)
-    if not _orderable(dtype):
-        c = F.to_json(quoted(name))
-    return F.coalesce((F.count(c) > 0) & F.min(c).eqNullSafe(F.max(c)), F.lit(False))
+def constant_columns(df: DataFrame) -> DataFrame:
+    """(column): columns with exactly one distinct present value."""
+    return stats.column_facts(df).where("constant").select("column")
 
 
-def _orderable(dtype: T.DataType) -> bool:
-    return isinstance(dtype, T.AtomicType) and not isinstance(dtype, T.VariantType)
+# -------------------------------------------------------------- mixed values
 
+LONGEST_DATE = 40  # characters; longer texts are no dates
 
-def constant_columns(df: DataFrame) -> DataFrame:
-    """(column): columns with one distinct present value.  Min equals max, no shuffle."""
-    names = df.columns
-    wide = df.agg(*[constant_flag(df, c).alias(f"f{i}") for i, c in enumerate(names)])
-    return (
-        wide.select(wide_to_long([(F.col(f"f{i}"),) for i in range(len(names))], ["hit"]))
-        .where("hit")
-        .select(name_of(names, F.col("i")).alias("column"))
-    )
 
+def text_facts(df: DataFrame, classes: bool = True, dates: bool = True) -> DataFrame:
+    """Per text column: present values, values per lexical class, hits per date layout.
+
+    One scan; the cells are melted so that each test is compiled once.
+    """
+    names = text_columns(df)
+    cells = melt(df, [(quoted(c),) for c in names], ["v"], keep_nulls=False)
+    aggs = [F.count("v").alias("n")]
+    if classes:
+        cells = cells.withColumn("kind", lexical_class(F.col("v")))
+        aggs += [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in LEXICAL_CLASSES]
+    if dates:
+        short = F.when(F.length("v") <= LONGEST_DATE, F.trim("v"))
+        cells = cells.withColumn("short", short)
+        aggs += [
+            F.count(layout.parse(F.col("short"))).alias(f"hit{j}")
+            for j, layout in enumerate(LAYOUTS)
+        ]
+    grouped = cells.groupBy("i").agg(*aggs)
+    if dates:
+        hits = [F.col(f"hit{j}") for j in range(len(LAYOUTS))]
+        grouped = grouped.withColumn("hits", F.array(*hits)).drop(
+            *[f"hit{j}" for j in range(len(LAYOUTS))]
+        )
+    ordinal = F.col("i").cast("int")
+    return grouped.withColumns({"i": ordinal, "column": name_of(names, ordinal)})
 
-# -------------------------------------------------------------- mixed values
 
-def class_counts(df: DataFrame, name: str) -> dict[str, Column]:
-    """Aggregates: present values of a text column per lexical class."""
-    kind = lexical_class(quoted(name))
-    held = quoted(name).isNotNull()
-    return {k: F.count_if(held & (kind == k)) for k in LEXICAL_CLASSES}
+def classes_used() -> Column:
+    """Number of lexical classes that occur, over the columns of :func:`text_facts`."""
+    return sum(
+        (F.when(F.col(f"n_{k}") > 0, 1).otherwise(0) for k in LEXICAL_CLASSES), F.lit(0)
+    )
 
 
 def mixed_type_columns(df: DataFrame) -> DataFrame:
@@ -340,19 +368,14 @@ def mixed_type_columns(df: DataFrame) -> DataFrame:
     parts = []
     texts = text_columns(df)
     schema = "column string, n_integer bigint, n_decimal bigint, n_boolean bigint, n_text bigint"
+    counts = ["column", *[f"n_{k}" for k in LEXICAL_CLASSES]]
     if texts:
-        counts = _class_frame(df, texts)
-        used = sum(
-            (F.when(F.col(f"n_{k}") > 0, 1).otherwise(0) for k in LEXICAL_CLASSES), F.lit(0)
-        )
         parts.append(
-            counts.where(used >= 2).select(
-                "column", *[f"n_{k}" for k in LEXICAL_CLASSES]
-            )
+            text_facts(df, dates=False).where(classes_used() >= 2).select(*counts)
         )
     variants = [f.name for f in df.schema if isinstance(f.dataType, T.VariantType)]
     if variants:
-        parts.append(_variant_classes(df, variants))
+        parts.append(_variant_classes(df, variants).where(classes_used() >= 2).select(*counts))
     if not parts:
         return empty_frame(df, schema)
     out = parts[0]
@@ -361,20 +384,6 @@ def mixed_type_columns(df: DataFrame) -> DataFrame:
     return out
 
 
-def _class_frame(df: DataFrame, texts: list[str]) -> DataFrame:
-    wide = df.agg(
-        *[
-            agg.alias(f"{k}{i}")
-            for i, c in enumerate(texts)
-            for k, agg in class_counts(df, c).items()
-        ]
-    )
-    cells = [tuple(F.col(f"{k}{i}") for k in LEXICAL_CLASSES) for i in range(len(texts))]
-    return wide.select(
-        wide_to_long(cells, [f"n_{k}" for k in LEXICAL_CLASSES])
-    ).withColumn("column", name_of(texts, F.col("i")))
-
-
 def _variant_classes(df: DataFrame, names: list[str]) -> DataFrame:
     def kind(name: str) -> Column:
         s = F.schema_of_variant(quoted(name))
@@ -393,25 +402,13 @@ def _variant_classes(df: DataFrame, names: list[str]) -> DataFrame:
         ]
     )
     cells = [tuple(F.col(f"{k}{i}") for k in LEXICAL_CLASSES) for i in range(len(names))]
-    used = sum(
-        (F.when(F.col(f"n_{k}") > 0, 1).otherwise(0) for k in LEXICAL_CLASSES), F.lit(0)
-    )
-    return (
-        wide.select(wide_to_long(cells, [f"n_{k}" for k in LEXICAL_CLASSES]))
-        .where(used >= 2)
-        .select(
-            name_of(names, F.col("i")).alias("column"), *[f"n_{k}" for k in LEXICAL_CLASSES]
-        )
+    return wide.select(wide_to_long(cells, [f"n_{k}" for k in LEXICAL_CLASSES])).withColumn(
+        "column", name_of(names, F.col("i"))
     )
 
 
 # --------------------------------------------------------------------- dates
 
-def layout_hits(df: DataFrame, name: str) -> list[Column]:
-    """Aggregates: values parsed by each known layout, in layout order."""
-    return [F.count(layout.parse(quoted(name))) for layout in LAYOUTS]
-
-
 def best_layout(hits: Column) -> Column:
     """Index of the layout with most hits, the first one on ties (array input)."""
     return F.array_position(hits, F.array_max(hits)).cast("int") - 1
@@ -419,15 +416,9 @@ def best_layout(hits: Column) -> Column:
 
 def date_columns(df: DataFrame) -> DataFrame:
     """Per text column: values, values parsed by its dominant layout, that layout."""
-    texts = text_columns(df)
-    wide = df.agg(
-        *[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(texts)],
-        *[F.array(*layout_hits(df, c)).alias(f"h{i}") for i, c in enumerate(texts)],
-    )
-    cells = [(F.col(f"n{i}"), F.col(f"h{i}")) for i in range(len(texts))]
-    return wide.select(wide_to_long(cells, ["n", "hits"])).select(
+    return text_facts(df, classes=False).select(
         "i",
-        name_of(texts, F.col("i")).alias("column"),
+        "column",
         "n",
         F.array_max("hits").alias("parsed"),
         best_layout(F.col("hits")).alias("layout"),
@@ -453,17 +444,16 @@ def date_consistency(df: DataFrame, n_samples: int = 5) -> DataFrame:
         return empty_frame(df, "column string, samples array<string>")
     judged = date_columns(df)
     flagged = judged.where(inconsistent_date(F.col("n"), F.col("parsed")))
-    # Parsed by layout j is asked once per cell, through the column's own layout.
-    parses = [
-        (quoted(c), F.array(*[layout.parse(quoted(c)).isNotNull() for layout in LAYOUTS]))
-        for c in texts
-    ]
-    cells = melt(df, parses, ["v", "ok"], keep_nulls=True).withColumn(
+    cells = melt(df, [(quoted(c),) for c in texts], ["v"], keep_nulls=False).withColumn(
         "i", F.col("i").cast("int")
     )
+    # Each cell is tried with the layout of its own column only.
+    parsed = F.lit(None).cast("timestamp_ntz")
+    for j, layout in enumerate(LAYOUTS):
+        parsed = F.when(F.col("layout") == j, layout.parse(F.col("v"))).otherwise(parsed)
     failing = (
         cells.join(F.broadcast(flagged.select("i", "column", "layout")), "i")
-        .where(F.col("v").isNotNull() & ~F.get("ok", F.col("layout")))
+        .where(parsed.isNull())
         .select("i", "column", "v")
     )
     return _smallest_per_column(failing, n_samples).select(

@@ -16,11 +16,9 @@ from tablewise.functions.columns import (
     as_double,
     digest_pair,
     melt,
-    missing,
     name_of,
     present,
     value_digest,
-    wide_to_long,
 )
 
 # Linear bins per histogram refinement, and logarithmic bins per unit of ln(1+|x|).
@@ -284,14 +282,25 @@ def one_row(long: DataFrame, columns: Sequence[str], fields: Sequence[str]) -> D
     )
 
 
-def missing_counts(df: DataFrame) -> DataFrame:
-    """(i, column, n_rows, missing): one scan, one row per column."""
+def column_facts(df: DataFrame) -> DataFrame:
+    """(i, column, n_rows, missing, constant): one scan, one row per column.
+
+    A column is constant when the least and the greatest digest of its present values
+    agree; no values are shuffled.
+    """
     names = df.columns
-    wide = df.agg(
+    cells = melt(df, [value_digest(df, c) for c in names], ["h1", "h2"], keep_nulls=True)
+    grouped = cells.groupBy("i").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        *[F.count_if(missing(df, c)).alias(f"m{i}") for i, c in enumerate(names)],
+        F.count("h1").alias("n"),
+        *[f(h).alias(f"{f.__name__}_{h}") for h in ("h1", "h2") for f in (F.min, F.max)],
     )
-    return wide.select(
+    one = (F.col("min_h1") == F.col("max_h1")) & (F.col("min_h2") == F.col("max_h2"))
+    ordinal = F.col("i").cast("int")
+    return grouped.select(
+        ordinal.alias("i"),
+        name_of(names, ordinal).alias("column"),
         "n_rows",
-        wide_to_long([(F.col(f"m{i}"),) for i in range(len(names))], ["missing"]),
-    ).select("i", name_of(names, F.col("i")).alias("column"), "n_rows", "missing")
+        (F.col("n_rows") - F.col("n")).alias("missing"),
+        F.coalesce((F.col("n") > 0) & one, F.lit(False)).alias("constant"),
+    )

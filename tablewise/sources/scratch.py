@@ -20,4 +20,4 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="tablewise-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tablewise/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tablewise/{uuid.uuid4().hex}/{name}"

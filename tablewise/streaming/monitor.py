@@ -12,10 +12,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewise.functions.columns import (
     as_double,
     as_text,
+    dtype_of,
     missing,
     quoted,
     replace_columns,
@@ -48,16 +50,24 @@ def outlier_rates(
     return _windowed(stream, ts, width, lateness, aggs)
 
 
+def with_event_time(stream: DataFrame, ts: str) -> DataFrame:
+    """Event time must carry a zone: zone-free times are read in the session zone."""
+    if isinstance(dtype_of(stream, ts), T.TimestampNTZType):
+        return replace_columns(stream, {ts: quoted(ts).cast("timestamp")})
+    return stream
+
+
 def _windowed(
     stream: DataFrame, ts: str, width: str, lateness: str, aggs: dict[str, Column]
 ) -> DataFrame:
     return (
-        stream.withWatermark(ts, lateness)
+        with_event_time(stream, ts)
+        .withWatermark(ts, lateness)
         .groupBy(F.window(ts, width).alias("w"))
         .agg(F.count(F.lit(1)).alias("n_rows"), *[a.alias(c) for c, a in aggs.items()])
         .select(
-            F.col("w.start").alias("window_start"),
-            F.col("w.end").alias("window_end"),
+            F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+            F.col("w.end").cast("timestamp_ntz").alias("window_end"),
             "n_rows",
             *[quoted(c) for c in aggs],
         )
@@ -69,7 +79,8 @@ def dedupe_within(
 ) -> DataFrame:
     """Drop repeats of a key that arrive within the watermark of the first one."""
     require_columns(stream, [ts, *subset])
-    return stream.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(list(subset))
+    timed = with_event_time(stream, ts).withWatermark(ts, lateness)
+    return timed.dropDuplicatesWithinWatermark(list(subset))
 
 
 def scrub_stream(stream: DataFrame, columns: Sequence[str]) -> DataFrame:
