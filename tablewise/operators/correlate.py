@@ -22,6 +22,7 @@ from tablewise.operators.ordered import (
     slice_number,
 )
 from tablewise.operators.profile import empty_frame
+from tablewise.sources.scratch import scratch_path
 
 PAIRS = "col_a string, col_b string, r double"
 # A value held by over 1/HOT_SHARE of the rows is looked up in a broadcast table of
@@ -150,40 +151,46 @@ def spearman_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     """As :func:`pearson_pairs`, on average ranks of the pairwise complete rows.
 
     Columns without missing values are ranked once each; pairs that touch a column
-    with gaps are ranked on their own complete rows, all such pairs in one pass.
+    with gaps are ranked on their own complete rows.  The rank table of all these
+    groups holds distinct values only; it is written once and joined back from there.
     """
     pairs = _pairs(names)
     holes = df.agg(
         *[F.count_if(missing(df, c)).alias(f"m{i}") for i, c in enumerate(names)]
     ).first()
-    whole = {i for i in range(len(names)) if holes[f"m{i}"] == 0}
+    whole = [i for i in range(len(names)) if holes[f"m{i}"] == 0]
     shared = [(a, b) for a, b in pairs if a in whole and b in whole]
     apart = [p for p in pairs if p not in shared]
-    results = []
+    members = whole if shared else []
+    x = {i: as_double(df, c) for i, c in enumerate(names)}
+
+    # Groups to rank: whole columns first, then both sides of each pair with gaps.
+    sides = [
+        F.when(x[other].isNotNull(), x[own]) for a, b in apart for own, other in ((a, b), (b, a))
+    ]
+    cells = melt(df, [(c,) for c in [*(x[i] for i in members), *sides]], ["v"], keep_nulls=False)
+    path = scratch_path(df.sparkSession, "ranks")
+    # Slices are contiguous in (g, v): row-group statistics prune the reads by group.
+    average_ranks(cells.select(F.col("i").cast("int").alias("g"), "v")).write.parquet(path)
+    ranks = df.sparkSession.read.schema(
+        "g int, v double, n bigint, total bigint, rank double"
+    ).parquet(path)
 
+    results = []
     if shared:
-        members = sorted({i for pair in shared for i in pair})
-        rows = df.select(*[as_double(df, names[i]).alias(f"x{i}") for i in members])
-        cells = melt(rows, [(F.col(f"x{i}"),) for i in members], ["v"], keep_nulls=False)
-        ranks = average_ranks(cells.withColumnRenamed("i", "g"))
-        for at, i in enumerate(members):
-            mine = ranks.where(F.col("g") == str(at))
-            rows = _attach_rank(rows, f"x{i}", mine, F.lit(str(at)))
+        rows = df.select(*[x[i].alias(f"x{i}") for i in members])
+        for g, i in enumerate(members):
+            rows = _attach_rank(rows, f"x{i}", ranks.where(F.col("g") == g), F.lit(g))
         ranked = melt(
             rows, [(F.col(f"x{a}"), F.col(f"x{b}")) for a, b in shared], ["x", "y"], False
         )
         results.append(_pair_rows(ranked, names, shared))
     if apart:
-        rows = melt(
-            df,
-            [(as_double(df, names[a]), as_double(df, names[b])) for a, b in apart],
-            ["x", "y"],
-            keep_nulls=False,
-        ).dropna()
-        values = rows
-        for side in ("x", "y"):
-            ranks = average_ranks(values.select(F.col("i").alias("g"), F.col(side).alias("v")))
-            rows = _attach_rank(rows, side, ranks, F.col("i"))
+        rows = melt(df, [(x[a], x[b]) for a, b in apart], ["x", "y"], keep_nulls=False).dropna()
+        for side, column in enumerate(("x", "y")):
+            group = F.col("i").cast("int") * 2 + len(members) + side
+            own = (F.col("g") >= len(members)) & ((F.col("g") - len(members)) % 2 == side)
+            rows = _attach_rank(rows, column, ranks.where(own), group)
         results.append(_pair_rows(rows, names, apart))
     return reduce(DataFrame.unionByName, results)
 

@@ -56,13 +56,16 @@ def slice_number(key: Column, sample: DataFrame, slices: int) -> Column:
     # Binary search: add the largest steps whose cut point is not above the key.
     n = slices - 1
     steps = [1 << b for b in range(n.bit_length() - 1, -1, -1)]
-    return F.aggregate(
+    place = F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
         lambda at, step: F.when(
             (at + step <= n) & (F.get(bounds, at + step - 1) <= key), at + step
         ).otherwise(at),
     )
+    # Declared non-null, or joins on the slice would push a null test of the whole
+    # search below the aggregation that precedes them.
+    return F.coalesce(place, F.lit(0))
 
 
 def with_slices(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
