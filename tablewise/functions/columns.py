@@ -96,10 +96,11 @@ def number_text(c: Column, dtype: T.DataType) -> Column:
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
     mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
     power = F.substring_index(text, "E", -1).try_cast("int")
+    digits = F.abs(power).cast("string")
     scientific = F.concat(
         mantissa,
         F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(power).cast("string"), 2, "0"),
+        F.when(F.length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits),
     )
     return F.when(
         text.contains("E"),

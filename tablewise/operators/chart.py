@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.columns import (
@@ -155,29 +155,34 @@ def class_shares(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _box(values: DataFrame) -> Column:
+    """Quartiles and fences of ``v`` as a scalar struct."""
+    box = profile.fences(values, ["v"], profile.IQR_MULTIPLIER)
+    fields = ("n", "q0", "q1", "q2", "lower", "upper")
+    return box.agg(F.struct(*[F.max(c).alias(c) for c in fields]).alias("s")).scalar()
+
+
 def box_plot(df: DataFrame, column: str) -> DataFrame:
     """One row: q25, q50, q75, whiskers (outermost values within the fences), outliers."""
     values = _numbers(df, column)
-    box = profile.fences(values, ["v"], profile.IQR_MULTIPLIER)
-    s = box.agg(F.struct(*[F.max(c).alias(c) for c in ("lower", "upper")]).alias("s")).scalar()
-    inside = F.col("v").between(s["lower"], s["upper"])
-    ends = values.agg(
+    box = _box(values)
+    inside = F.col("v").between(box["lower"], box["upper"])
+    return values.agg(
+        F.count("v").alias("n"),
         F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"),
-    ).withColumn("i", F.lit(0))
-    return box.join(F.broadcast(ends), "i").select(
-        F.col("n"), F.col("q0").alias("q25"), F.col("q1").alias("q50"),
-        F.col("q2").alias("q75"), "whisker_low", "whisker_high", "n_outliers",
+    ).select(
+        "n", box["q0"].alias("q25"), box["q1"].alias("q50"), box["q2"].alias("q75"),
+        "whisker_low", "whisker_high", "n_outliers",
     )
 
 
 def box_outliers(df: DataFrame, column: str) -> DataFrame:
     """(v): the values outside the fences."""
     values = _numbers(df, column)
-    box = profile.fences(values, ["v"], profile.IQR_MULTIPLIER)
-    s = box.agg(F.struct(*[F.max(c).alias(c) for c in ("lower", "upper")]).alias("s")).scalar()
-    return values.where(~F.col("v").between(s["lower"], s["upper"]))
+    box = _box(values)
+    return values.where(~F.col("v").between(box["lower"], box["upper"]))
 
 
 def footprint_bars(df: DataFrame, top_n: int = LARGEST_COLUMNS) -> DataFrame:

@@ -176,16 +176,18 @@ def _keep_rows(
     affected: Sequence[str],
     warnings: Sequence[str] = (),
 ) -> OpResult:
-    """An operator that drops the rows for which ``keep`` does not hold."""
-    sure = F.coalesce(keep, F.lit(False))
-    row = df.select(sure.alias("k")).agg(
+    """An operator that drops the rows for which ``keep`` is not true.
+
+    The predicate goes into the filter as it is, so that it can reach the scan.
+    """
+    row = df.select(keep.alias("k")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("k")).alias("kept")
     )
     log = _log_row(
         row, op, params, F.col("n"), F.col("kept"), F.lit(0), _texts(affected),
         _texts(warnings),
     )
-    return OpResult(df.where(sure), log)
+    return OpResult(df.where(keep), log)
 
 
 def _other(
@@ -362,11 +364,17 @@ def drop_missing(
         raise CleaningError(f"how must be 'any' or 'all', got {how!r}")
     subset = list(columns or df.columns)
     require_columns(df, subset)
-    held = reduce(
-        lambda a, b: a + b, [F.when(missing(df, c), 0).otherwise(1) for c in subset]
-    )
     need = thresh if thresh is not None else (len(subset) if how == "any" else 1)
-    return _keep_rows(df, "drop_missing", params, held >= need, subset)
+    held = [~missing(df, c) for c in subset]
+    if need <= 0:
+        keep = F.lit(True)
+    elif need == len(subset):
+        keep = reduce(lambda a, b: a & b, held)
+    elif need == 1:
+        keep = reduce(lambda a, b: a | b, held)
+    else:
+        keep = reduce(lambda a, b: a + b, [h.cast("int") for h in held]) >= need
+    return _keep_rows(df, "drop_missing", params, keep, subset)
 
 
 # ------------------------------------------------------------------ duplicates
