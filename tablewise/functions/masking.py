@@ -10,6 +10,7 @@ from tablewise.functions.patterns import (
     PLACEHOLDERS,
     WHOLE_CELL,
     java_regex,
+    may_match,
 )
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -205,7 +206,22 @@ def scrub_text(c: Column, categories: list[str] | None = None) -> Column:
     for category in categories:
         if category in WHOLE_CELL:
             return F.when(F.length(c) > 0, F.lit(PLACEHOLDERS[category])).otherwise(c)
-    out = c
-    for category in [x for x in categories if x in PATTERNS] + list(PATTERNS):
-        out = F.regexp_replace(out, java_regex(category), PLACEHOLDERS[category])
-    return out
+    order = [x for x in categories if x in PATTERNS] + list(PATTERNS)
+
+    def replaced(kinds: list[str]) -> Column:
+        out = c
+        for kind in kinds:
+            out = F.regexp_replace(out, java_regex(kind), PLACEHOLDERS[kind])
+        return out
+
+    # Texts without a digit or an "@" skip the matchers that need one: replacing never
+    # brings either in.
+    digits = [x for x in order if x != "email"]
+    mails = [x for x in order if x == "email"]
+    has_digit, has_at = may_match(c, "mobile"), may_match(c, "email")
+    return (
+        F.when(has_digit & has_at, replaced(order))
+        .when(has_digit, replaced(digits))
+        .when(has_at, replaced(mails))
+        .otherwise(c)
+    )

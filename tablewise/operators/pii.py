@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tablewise.functions import masking
 from tablewise.functions.columns import (
     as_text,
-    missing,
+    melt,
+    name_of,
     replace_columns,
     require_columns,
-    wide_to_long,
 )
 from tablewise.functions.patterns import (
     LOW_CONFIDENCE,
@@ -20,7 +20,8 @@ from tablewise.functions.patterns import (
     MIN_PRESENT_RATIO,
     PATTERNS,
     header_hint,
-    matches,
+    java_regex,
+    may_match,
 )
 
 METHODS = ("synthetic", "hash", "redact")
@@ -30,17 +31,22 @@ DEFAULT_SALT = "tablewise"
 def pii_hits(df: DataFrame) -> DataFrame:
     """(i, column, n_rows, present, <category> hit counts): one scan of all values."""
     names = df.columns
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    for i, c in enumerate(names):
-        text = as_text(df, c)
-        aggs.append(F.count_if(~missing(df, c)).alias(f"n{i}"))
-        aggs += [F.count_if(matches(text, k)).alias(f"{k}{i}") for k in PATTERNS]
-    cells = [
-        (F.lit(c), F.col(f"n{i}"), *[F.col(f"{k}{i}") for k in PATTERNS])
-        for i, c in enumerate(names)
-    ]
-    return df.agg(*aggs).select(
-        "n_rows", wide_to_long(cells, ["column", "present", *PATTERNS])
+    cells = melt(df, [(as_text(df, c),) for c in names], ["v"], keep_nulls=True)
+    v = F.col("v")
+    # The cheap tests become columns, so that each runs once per cell.
+    tested = cells.withColumns({"digit": may_match(v, "mobile"), "at": may_match(v, "email")})
+    hits = {
+        k: F.col("at" if k == "email" else "digit") & v.rlike(java_regex(k)) for k in PATTERNS
+    }
+    ordinal = F.col("i").cast("int")
+    return (
+        tested.groupBy("i")
+        .agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count("v").alias("present"),
+            *[F.count_if(hit).alias(k) for k, hit in hits.items()],
+        )
+        .withColumns({"i": ordinal, "column": name_of(names, ordinal)})
     )
 
 
