@@ -50,24 +50,39 @@ def outlier_rates(
     return _windowed(stream, ts, width, lateness, aggs)
 
 
+def _zone_free(stream: DataFrame, ts: str) -> bool:
+    return isinstance(dtype_of(stream, ts), T.TimestampNTZType)
+
+
 def with_event_time(stream: DataFrame, ts: str) -> DataFrame:
-    """Event time must carry a zone: zone-free times are read in the session zone."""
-    if isinstance(dtype_of(stream, ts), T.TimestampNTZType):
-        return replace_columns(stream, {ts: quoted(ts).cast("timestamp")})
-    return stream
+    """Event time must carry a zone: zone-free times are taken as UTC.
+
+    The cast reads them in the session zone, so the zone is shifted out again; daily
+    windows then start at midnight whatever the session zone is.
+    """
+    if not _zone_free(stream, ts):
+        return stream
+    zone = stream.sparkSession.conf.get("spark.sql.session.timeZone")
+    return replace_columns(
+        stream, {ts: F.from_utc_timestamp(quoted(ts).cast("timestamp"), zone)}
+    )
 
 
 def _windowed(
     stream: DataFrame, ts: str, width: str, lateness: str, aggs: dict[str, Column]
 ) -> DataFrame:
+    start, end = F.col("w.start"), F.col("w.end")
+    if _zone_free(stream, ts):
+        zone = stream.sparkSession.conf.get("spark.sql.session.timeZone")
+        start, end = (F.to_utc_timestamp(t, zone).cast("timestamp_ntz") for t in (start, end))
     return (
         with_event_time(stream, ts)
         .withWatermark(ts, lateness)
         .groupBy(F.window(ts, width).alias("w"))
         .agg(F.count(F.lit(1)).alias("n_rows"), *[a.alias(c) for c, a in aggs.items()])
         .select(
-            F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-            F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+            start.alias("window_start"),
+            end.alias("window_end"),
             "n_rows",
             *[quoted(c) for c in aggs],
         )

@@ -87,6 +87,17 @@ def test_row_numbers_by_timestamp_and_double(spark, small_slices):
         assert [r["id"] for r in got] == sorted(range(500), key=lambda i: sign * i)
 
 
+def test_row_numbers_with_nan_infinity_and_quotes(spark, small_slices):
+    xs = [float("nan"), float("inf"), -float("inf")] * 20 + [i / 3 for i in range(200)]
+    rows = [(x, f'q"{i}\\,é', i) for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "x double, s string, i bigint").repartition(5)
+    got = clean.reset_index(df, ["x", "s"]).df.orderBy("row_no").collect()
+    want = df.orderBy("x", "s").collect()
+    assert [r["i"] for r in got] == [r["i"] for r in want]
+    texts = clean.reset_index(df, ["s"]).df.orderBy("row_no").collect()
+    assert [r["i"] for r in texts] == [r["i"] for r in df.orderBy("s").collect()]
+
+
 def test_order_is_required(spark, single_row):
     with pytest.raises(clean.CleaningError):
         clean.fill_missing(single_row, strategy="ffill")
