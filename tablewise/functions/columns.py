@@ -167,22 +167,26 @@ def melt(
     """Turn per-column cells into rows (i, *names), ``i`` the ordinal of the column.
 
     SQL's multi-value UNPIVOT plans as an Expand inside whole-stage codegen.  Rows
-    whose cells are all null are left out unless ``keep_nulls``, which is needed where
-    the cells differ in type.  Aggregating the long form by ``i`` compiles to one small
-    loop, where an aggregate per column would outgrow what the JIT compiles.
+    whose cells are all null are left out unless ``keep_nulls``.  Aggregating the long
+    form by ``i`` compiles to one small loop, where an aggregate per column would outgrow
+    what the JIT compiles.
     """
+    cols = [[f"c{i}_{j}" for j in range(len(names))] for i in range(len(cells))]
     wide = df.select(
-        *[c.alias(f"c{i}_{j}") for i, row in enumerate(cells) for j, c in enumerate(row)]
+        *[F.lit(i).alias(f"o{i}") for i in range(len(cells))],
+        *[c.alias(n) for row, ns in zip(cells, cols) for c, n in zip(row, ns)],
     )
     groups = ", ".join(
-        f"({', '.join(f'c{i}_{j}' for j in range(len(names)))}) AS `{i}`"
-        for i in range(len(cells))
+        f"({', '.join([f'o{i}', *ns])}) AS `{i}`" for i, ns in enumerate(cols)
     )
-    mode = "INCLUDE NULLS" if keep_nulls else "EXCLUDE NULLS"
-    return df.sparkSession.sql(
-        f"SELECT * FROM {{wide}} UNPIVOT {mode} (({', '.join(names)}) FOR i IN ({groups}))",
+    long = df.sparkSession.sql(
+        f"SELECT i, {', '.join(names)} FROM {{wide}} "
+        f"UNPIVOT INCLUDE NULLS ((i, {', '.join(names)}) FOR label IN ({groups}))",
         wide=wide,
     )
+    if keep_nulls:
+        return long
+    return long.where(" OR ".join(f"{n} IS NOT NULL" for n in names))
 
 
 def wide_to_long(cells: list[tuple[Column, ...]], names: list[str]) -> Column:

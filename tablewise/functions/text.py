@@ -28,12 +28,17 @@ def change_case(c: Column, case: str) -> Column:
 def lexical_class(c: Column) -> Column:
     """integer / decimal / boolean / text, judged by the whole trimmed value."""
     t = F.trim(c)
-    return (
+    numeric = (
         F.when(t.rlike(r"^[+-]?[0-9]+$"), F.lit("integer"))
         .when(
             t.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"),
             F.lit("decimal"),
         )
+        .otherwise(F.lit("text"))
+    )
+    # Most texts hold no digit and need none of the number patterns.
+    return (
+        F.when(c.rlike("[0-9]"), numeric)
         .when(F.lower(t).isin("true", "false"), F.lit("boolean"))
         .otherwise(F.lit("text"))
     )

@@ -337,7 +337,8 @@ def text_facts(df: DataFrame, classes: bool = True, dates: bool = True) -> DataF
         cells = cells.withColumn("kind", lexical_class(F.col("v")))
         aggs += [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in LEXICAL_CLASSES]
     if dates:
-        short = F.when(F.length("v") <= LONGEST_DATE, F.trim("v"))
+        dated = (F.length("v") <= LONGEST_DATE) & F.col("v").rlike("[0-9]")
+        short = F.when(dated, F.trim("v"))
         cells = cells.withColumn("short", short)
         aggs += [
             F.count(layout.parse(F.col("short"))).alias(f"hit{j}")
