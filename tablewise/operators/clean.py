@@ -336,8 +336,12 @@ def _constant_for(dtype: T.DataType, value: Any) -> Column | None:
             return None
         if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
             return F.lit(value).cast(dtype)
-        # A fraction widens an integer column to double.
-        return F.lit(value).cast(dtype) if float(value).is_integer() else F.lit(float(value))
+        # A fraction widens an integer column to double, a large number to bigint.
+        if not float(value).is_integer():
+            return F.lit(float(value))
+        bits = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31}.get(type(dtype), 63)
+        fits = -(2**bits) <= value < 2**bits
+        return F.lit(int(value)).cast(dtype if fits else "bigint")
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.lit(value).cast(dtype) if not number else None
     return None
@@ -738,20 +742,21 @@ def row_predicate(df: DataFrame, column: str, op: str, value: Any) -> Column:
         raise CleaningError(f"unknown comparison {op!r}; use one of {COMPARISONS}")
     require_columns(df, [column])
     c, gone = quoted(column), missing(df, column)
+    dtype = dtype_of(df, column)
     if op in ("in", "notin"):
         if not isinstance(value, (list, tuple, set)):
             raise CleaningError(f"{op} needs a list of values, got {type(value).__name__}")
-        inside = ~gone & c.isin(list(value))
+        alike = [v for v in value if v is not None and _comparable(dtype, v)]
+        inside = ~gone & c.isin(alike) if alike else F.lit(False)
         return inside if op == "in" else ~F.coalesce(inside, F.lit(False))
     if op == "contains":
         if not isinstance(value, str):
             raise CleaningError(f"contains needs a text, got {type(value).__name__}")
         return as_text(df, column).contains(value)
-    numeric = is_numeric(dtype_of(df, column))
-    if isinstance(value, str) and numeric and op not in ("==", "!="):
-        raise CleaningError(f"cannot compare numeric column {column!r} with text {value!r}")
-    if isinstance(value, str) and numeric:
-        return F.lit(op == "!=")  # a number never equals a text
+    if not _comparable(dtype, value):
+        if op in ("==", "!="):
+            return F.lit(op == "!=")  # a number never equals a text
+        raise CleaningError(f"cannot compare column {column!r} ({dtype}) with {value!r}")
     if op == "!=":
         return gone | (c != value)
     test = {
@@ -761,6 +766,15 @@ def row_predicate(df: DataFrame, column: str, op: str, value: Any) -> Column:
     return ~gone & test
 
 
+def _comparable(dtype: T.DataType, value: Any) -> bool:
+    """Texts compare with texts and numbers with numbers; dates take both spellings."""
+    if is_text(dtype):
+        return isinstance(value, str)
+    if is_numeric(dtype):
+        return not isinstance(value, str)
+    return True
+
+
 def filter_rows(df: DataFrame, column: str, op: str, value: Any) -> OpResult:
     """Keep the rows whose cell compares as asked."""
     params = {"column": column, "op": op, "value": value}
