@@ -11,10 +11,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewise.llm import bpe, exact, mixing, sharding, simhash
+from tablewise.llm import (
+    bpe,
+    exact,
+    lattice,
+    minhash,
+    mixing,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+)
 from tablewise.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +43,18 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    return lattice.score_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES)
+    ).withColumnRenamed("id", "doc_id")
+
+
+def op3_minhash_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, the fingerprints of each document and its edited text, and likeness."""
+    return minhash.fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id, and the class's copies and links."""
     return simhash.near_groups(table(spark, sf_dir, "documents")).select(
@@ -43,6 +66,13 @@ def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    return toxicity.toxicity(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ).withColumnRenamed("id", "doc_id")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
     return exact.exact_groups(table(spark, sf_dir, "documents"), digest_all=True).withColumnRenamed(
@@ -50,6 +80,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_tokens of every document."""
+    return token_counts.count_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES)
+    ).withColumnRenamed("id", "doc_id")
+
+
 def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, rate of every document."""
     return mixing.mix_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -66,8 +103,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe,
+        op2_lattice_lm,
+        op3_minhash_prints,
         op4_simhash_trie,
+        op5_toxicity,
         op7_exact_dedup,
+        op8_token_counts,
         op9_entropy_mix,
         op10_jump_shards,
     )
