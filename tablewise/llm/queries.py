@@ -20,6 +20,7 @@ from tablewise.llm import (
     sharding,
     simhash,
     token_counts,
+    toolcalls,
     toxicity,
 )
 from tablewise.llm.common import table
@@ -73,6 +74,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumnRenamed("id", "doc_id")
 
 
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and results made from all conversations: linked, ordered, validated, as JSON."""
+    conversations = table(spark, sf_dir, "conversations")
+    return toolcalls.link_calls(
+        toolcalls.derived_messages(conversations), toolcalls.tool_table(conversations)
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
     return exact.exact_groups(table(spark, sf_dir, "documents"), digest_all=True).withColumnRenamed(
@@ -107,10 +116,11 @@ QUERIES = {
         op3_minhash_prints,
         op4_simhash_trie,
         op5_toxicity,
+        op6_tool_calls,
         op7_exact_dedup,
         op8_token_counts,
         op9_entropy_mix,
         op10_jump_shards,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_tool_calls": toolcalls.ORACLE}
