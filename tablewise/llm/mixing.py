@@ -90,8 +90,10 @@ def _targets(histogram: DataFrame, weights, share: float, most: int) -> DataFram
 def _tilts(histogram: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     """Adds mean and tilt to the targets: Newton steps on the dual, kept inside a bracket."""
     means = histogram.groupBy("source").agg(
-        (F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size")))
-        .alias("mean")
+        F.try_divide(
+            F.sum((F.col("n") * F.col("size")).cast("double") * F.col("size")),
+            F.sum(F.col("n") * F.col("size")),
+        ).alias("mean")
     )
     nothing, limit = F.lit(None).cast("double"), F.col("target") >= F.col("source_size") * most
     state = checkpointed(

@@ -252,13 +252,15 @@ def near_groups(
     hot_node: int = HOT_NODE,
     with_key: bool = False,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, print (signed long), component_id, copies, links [, key].
+    """One row per row of ``docs``: id, print (signed long), component_id, copies, links
+    [, root, key].
 
     Null text counts as empty; texts without words have fingerprint 0 and are linked like
     any other.  Equal fingerprints are one class (``copies`` rows); ``links`` counts the
     other classes within the budget.  ``component_id`` is the smallest id that can be
     reached over links (nulls are passed over; null if there is no other).  Repeated rows
-    stay repeated; an empty table gives an empty table.
+    stay repeated; an empty table gives an empty table.  ``with_key`` adds the row's
+    ``row_key`` and the component's own name, one of its fingerprints.
     """
     rows = written(
         docs.select(
@@ -284,10 +286,10 @@ def near_groups(
     ).withColumn("root", F.coalesce("root", "print"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(least, "root").select(
-        "print", "component_id", "copies", F.coalesce("links", F.lit(0)).alias("links")
+        "print", "component_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), "root"
     )
     return rows.join(named, "print").select(
-        "id", "print", "component_id", "copies", "links", *(["key"] if with_key else [])
+        "id", "print", "component_id", "copies", "links", *(["root", "key"] if with_key else [])
     )
 
 
@@ -302,8 +304,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null ids come last.
     """
     groups = written(near_groups(docs, id_col, text_col, with_key=True), "groups")
-    best = groups.groupBy("component_id", F.when(F.isnull("component_id"), F.col("print")).alias("p"))
-    best = best.agg(
+    best = groups.groupBy("root").agg(
         F.min(F.struct(F.isnull("id").alias("none"), F.col("id"), F.col("key"))).alias("best")
     )
     chosen = best.select(F.col("best.key").alias("key")).distinct().withColumn("first", F.lit(True))
