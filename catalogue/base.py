@@ -6,6 +6,7 @@ from key arithmetic that reads the same in Spark SQL and in plain SQL.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,9 +20,18 @@ class Entry:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    with_scratch(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_scratch(spark: SparkSession) -> None:
+    """A scratch folder for sessions on this machine alone that name none."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and (context.master == "local" or context.master.startswith("local[")):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tablewise-"))
+
+
 @dataclass(frozen=True)
 class View:
     source: str
@@ -85,6 +95,28 @@ VIEWS: dict[str, View] = {
             "CAST(3 AS INT) AS level",
         ),
     ),
+    # Line items with both kinds of missing numbers, null and NaN.
+    "nan_lines": View(
+        "lineitem",
+        (
+            "l_orderkey",
+            "l_linenumber",
+            "CASE WHEN l_orderkey % 10 = 3 THEN NULL WHEN l_orderkey % 10 = 4 "
+            "THEN CAST('NaN' AS DOUBLE) ELSE l_quantity END AS l_quantity",
+            "CASE WHEN l_partkey % 7 = 2 THEN CAST('NaN' AS DOUBLE) "
+            "ELSE l_extendedprice END AS l_extendedprice",
+            "l_returnflag",
+        ),
+    ),
+    # Orders whose dates stand among many blanks.
+    "padded_orders": View(
+        "orders",
+        (
+            "o_orderkey",
+            f"CASE WHEN o_orderkey % 5 = 0 THEN rpad({_DMY}, 60, ' ') "
+            f"ELSE lpad({_ISO}, 70, ' ') END AS date_text",
+        ),
+    ),
     # Events with gaps, for order-dependent fills.
     "gappy_events": View(
         "events",

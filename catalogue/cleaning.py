@@ -362,6 +362,15 @@ add(
 )
 
 
+add(
+    "c19_preview_limit", UNTIDY,
+    "SELECT least(7, count(*)) AS shown, TRUE AS all_changed FROM d WHERE segment <> trim(segment)",
+    lambda df: preview(df, "strip_whitespace", n=7, columns=["segment"]).agg(
+        F.count(F.lit(1)).alias("shown"), F.bool_and(F.expr("old <> new")).alias("all_changed")
+    ),
+)
+
+
 def _versions(df):
     """Store three states, one of them twice, and undo one: what is left on the stack."""
     store = TableVersions(df.sparkSession, scratch_path(df.sparkSession, "versions"))
@@ -375,12 +384,20 @@ def _versions(df):
 
 add("c20_versions", ORDERS, "SELECT DISTINCT CAST(2 AS INT) AS depth, * FROM d", _versions)
 add(
-    "c20_fingerprint", ORDERS, "SELECT TRUE AS same, FALSE AS changed",
+    "c20_fingerprint", ORDERS, "SELECT TRUE AS same, TRUE AS changed, TRUE AS shortened",
     lambda df: df.sparkSession.range(1).select(
         F.lit(fingerprint(df) == fingerprint(df.repartition(7))).alias("same"),
-        F.lit(fingerprint(df) == fingerprint(df.where("o_orderkey > 0"))).alias("changed"),
+        F.lit(fingerprint(df) != fingerprint(_one_cell_changed(df))).alias("changed"),
+        F.lit(fingerprint(df) != fingerprint(df.where("o_orderkey > 1"))).alias("shortened"),
     ),
 )
+
+
+def _one_cell_changed(df):
+    first = F.col("o_orderkey") == df.agg(F.max("o_orderkey")).first()[0]
+    return df.withColumn("o_orderpriority", F.when(first, "changed").otherwise(F.col("o_orderpriority")))
+
+
 _RECIPE = to_json(
     [
         ("drop_duplicates", {}),
@@ -401,3 +418,141 @@ add(
     }) + " FROM u, m) SELECT " + ", ".join(_KEPT) + " FROM x WHERE o_totalprice >= 1000",
     lambda df: _rounded(replay(df, _RECIPE), ["o_totalprice"], 4),
 )
+
+# ------------------------------------------------- a recipe of statistic steps
+
+_CHAINED = ["l_quantity", "l_extendedprice", "l_discount"]
+_CHAIN = to_json(
+    [
+        ("drop_duplicates", {}),
+        ("fill_missing", {"columns": _CHAINED, "strategy": "median"}),
+        ("cap_outliers_iqr", {"columns": _CHAINED}),
+        ("normalize_minmax", {"columns": _CHAINED}),
+        ("standardize_zscore", {"columns": _CHAINED}),
+    ]
+)
+
+
+def _step(name: str, before: str, exprs: str, extra: str = "") -> str:
+    """One step as a CTE; ``exprs`` is written for a column {c}."""
+    return (
+        f"{name} AS (SELECT " + listed(LINES, {c: exprs.format(c=c) for c in _CHAINED})
+        + f" FROM {before}{extra})"
+    )
+
+
+def _facts(name: str, before: str, aggs: str) -> str:
+    return f"{name} AS (SELECT " + ", ".join(aggs.format(c=c) for c in _CHAINED) + f" FROM {before})"
+
+
+_LO = "quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo_{c}"
+_HI = "quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi_{c}"
+ENTRIES["c21_replay_chain"] = Entry(
+    lambda spark, sf: _rounded(replay(view(spark, sf, LINES), _CHAIN), _CHAINED, 4),
+    over(LINES, "").rstrip() + ", u AS (SELECT DISTINCT * FROM d), "
+    + ", ".join([
+        _facts("m", "u", "quantile_cont({c}, 0.5) AS m_{c}"),
+        _step("a", "u", "coalesce({c}, m_{c})", ", m"),
+        _facts("f", "a", _LO + ", " + _HI),
+        _step("b", "a", "CASE WHEN {c} < lo_{c} THEN lo_{c} WHEN {c} > hi_{c} THEN hi_{c} ELSE {c} END",
+              ", f"),
+        _facts("r", "b", "min({c}) AS min_{c}, max({c}) AS max_{c}"),
+        _step("n", "b", "({c} - min_{c}) / (max_{c} - min_{c})", ", r"),
+        _facts("z", "n", "avg({c}) AS avg_{c}, stddev_pop({c}) AS sd_{c}"),
+    ])
+    + " SELECT " + listed(LINES, {c: f"round(({c} - avg_{c}) / sd_{c}, 4)" for c in _CHAINED})
+    + " FROM n, z",
+)
+
+# ------------------------------------------------------ null and NaN are missing
+
+NANS = "nan_lines"
+_NUMBERS = ("l_quantity", "l_extendedprice")
+
+
+def add_nan(name: str, body: str, run) -> None:
+    """SQL over the view with NaN read as null (``p``), which no result shows as NaN."""
+    plain = listed(NANS, {c: f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END" for c in _NUMBERS})
+    ENTRIES[name] = Entry(
+        lambda spark, sf: _no_nan(run(view(spark, sf, NANS))),
+        over(NANS, "").rstrip() + f", p AS (SELECT {plain} FROM d){body}",
+    )
+
+
+def _no_nan(df):
+    return df.withColumns({c: F.nullif(F.col(c), F.lit(float("nan"))) for c in _NUMBERS if c in df.columns})
+
+
+_ALL = ", ".join(columns_of(NANS))
+add_nan(
+    "c01a_fill_mean_nan",
+    " SELECT " + listed(NANS, {c: f"round(coalesce({c}, (SELECT avg({c}) FROM p)), 4)" for c in _NUMBERS})
+    + " FROM p",
+    lambda df: _rounded(clean.fill_missing(df, list(_NUMBERS), "mean").df, _NUMBERS, 4),
+)
+add_nan(
+    "c01c_fill_mode_nan",
+    " SELECT " + listed(NANS, {
+        "l_quantity": "coalesce(l_quantity, (SELECT l_quantity FROM p WHERE l_quantity IS NOT NULL "
+        "GROUP BY l_quantity ORDER BY count(*) DESC, l_quantity LIMIT 1))"
+    }) + " FROM p",
+    lambda df: clean.fill_missing(df, ["l_quantity"], "mode").df,
+)
+add_nan(
+    "c02_drop_missing_nan",
+    f" SELECT {_ALL} FROM p WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL",
+    lambda df: clean.drop_missing(df).df,
+)
+add_nan(
+    "c03_dedupe_nan",
+    f" SELECT {_ALL} FROM (SELECT *, row_number() OVER (PARTITION BY l_quantity, l_returnflag "
+    "ORDER BY l_orderkey, l_linenumber) AS r FROM p) WHERE r = 1",
+    lambda df: clean.drop_duplicates(
+        df, ["l_quantity", "l_returnflag"], order_by=["l_orderkey", "l_linenumber"]
+    ).df,
+)
+# The row that stays keeps its kind of missing number.
+ENTRIES["c03_dedupe_nan_kept"] = Entry(
+    lambda spark, sf: clean.drop_duplicates(
+        view(spark, sf, NANS), ["l_quantity"], order_by=["l_orderkey", "l_linenumber"]
+    ).df.agg(
+        F.count_if(F.isnan("l_quantity")).alias("nan_rows"),
+        F.count_if(F.col("l_quantity").isNull()).alias("null_rows"),
+    ),
+    over(NANS, "").rstrip() + ", f AS (SELECT l_quantity FROM d WHERE l_quantity IS NULL OR "
+    "isnan(l_quantity) ORDER BY l_orderkey, l_linenumber LIMIT 1) "
+    "SELECT count(*) FILTER (WHERE l_quantity IS NOT NULL) AS nan_rows, "
+    "count(*) FILTER (WHERE l_quantity IS NULL) AS null_rows FROM f",
+)
+add_nan(
+    "c04_cap_outliers_nan",
+    ", f AS (SELECT " + ", ".join(x.format(c="l_extendedprice") for x in (_LO, _HI)) + " FROM p) SELECT "
+    + listed(NANS, {
+        "l_extendedprice": "round(CASE WHEN l_extendedprice < lo_l_extendedprice THEN lo_l_extendedprice "
+        "WHEN l_extendedprice > hi_l_extendedprice THEN hi_l_extendedprice ELSE l_extendedprice END, 4)"
+    }) + " FROM p, f",
+    lambda df: _rounded(clean.cap_outliers_iqr(df, ["l_extendedprice"]).df, ["l_extendedprice"], 4),
+)
+add_nan(
+    "c13_clip_nan",
+    " SELECT " + listed(NANS, {"l_quantity": "CASE WHEN l_quantity < 5 THEN 5 WHEN l_quantity > 20 THEN 20 "
+                                "ELSE l_quantity END"}) + " FROM p",
+    lambda df: clean.clip_range(df, ["l_quantity"], 5, 20).df,
+)
+add_nan(
+    "c15_zscore_nan",
+    " SELECT " + listed(NANS, {
+        c: f"round(({c} - (SELECT avg({c}) FROM p)) / (SELECT stddev_pop({c}) FROM p), 4)" for c in _NUMBERS
+    }) + " FROM p",
+    lambda df: _rounded(clean.standardize_zscore(df, list(_NUMBERS)).df, _NUMBERS, 4),
+)
+for _name, _op, _val, _cond in (
+    ("ne", "!=", 7.0, "l_quantity IS NULL OR l_quantity <> 7"),
+    ("gt", ">", 7.0, "l_quantity > 7"),
+    ("notin", "notin", [7.0, 8.0], "l_quantity IS NULL OR l_quantity NOT IN (7, 8)"),
+):
+    add_nan(
+        f"c16_{_name}_nan",
+        f" SELECT {_ALL} FROM p WHERE {_cond}",
+        lambda df, op=_op, val=_val: clean.filter_rows(df, "l_quantity", op, val).df,
+    )

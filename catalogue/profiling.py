@@ -51,6 +51,19 @@ add(
     lambda df: profile.rank_columns_by_missing(df, 20),
 )
 
+add(
+    "p01_missing_nan", "nan_lines",
+    "SELECT * FROM (" + union([
+        f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {t}) AS missing_count, "
+        f"round(100.0 * count(*) FILTER (WHERE {t}) / count(*), 4) AS missing_pct FROM d"
+        for c, t in (
+            ("l_orderkey", "FALSE"), ("l_linenumber", "FALSE"), ("l_returnflag", "FALSE"),
+            *((c, f"{c} IS NULL OR isnan({c})") for c in ("l_quantity", "l_extendedprice")),
+        )
+    ]) + ")",
+    profile.missing_summary,
+)
+
 # ---------------------------------------------------------------- P2
 
 _COLS = ", ".join(columns_of(ORDERS))
@@ -322,6 +335,15 @@ add(
     ),
 )
 
+add(
+    "p12_padded_dates", "padded_orders",
+    "SELECT 'date_text' AS \"column\", (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT "
+    "date_text AS v FROM d WHERE o_orderkey % 5 = 0 ORDER BY v LIMIT 5)) AS samples",
+    lambda df: profile.date_consistency(df).select(
+        "column", F.array_join("samples", ",").alias("samples")
+    ),
+)
+
 # ---------------------------------------------------------------- P13, P14
 
 _BYTES = {

@@ -1,16 +1,19 @@
 """Cleaning operators.  Each takes a DataFrame and returns an :class:`OpResult`.
 
-Results are lazy: ``result.df`` is the cleaned plan and ``result.log`` a one-row
-frame that counts the changes in a single pass when somebody asks for it.  Argument
-and schema errors are raised at once; value errors surface when a job runs.
+``result.df`` is the cleaned plan; ``result.log``, a one-row frame that counts the changes
+in a single pass, is planned when somebody asks for it.  Row-local operators run nothing.
+Operators that need statistics or an order of the whole table (fills but by constants,
+outliers, scaling, date layouts, narrowing, row numbers) read it at once for one small
+row, which enters the plan as constants: a step adds one projection to the plan, and a
+recipe's plan grows with the number of its steps.  Argument and schema errors are raised
+at once; value errors surface when a job runs.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewise.functions.columns import (
+    FLOATING,
     as_double,
     as_text,
     dtype_of,
@@ -45,17 +49,28 @@ class CleaningError(ValueError):
     """An operator got arguments it cannot work with."""
 
 
-@dataclass(frozen=True)
 class OpResult:
-    """The cleaned table and its lazy one-row change log.
+    """The cleaned table and its one-row change log.
 
     ``changes`` holds the changed cells as (column, old, new), for operators that keep
-    all rows and rewrite cells; it is None for the others.
+    all rows and rewrite cells; it is None for the others.  Both are planned on demand.
     """
 
-    df: DataFrame
-    log: DataFrame
-    changes: DataFrame | None = None
+    def __init__(
+        self,
+        df: DataFrame,
+        log: Callable[[], DataFrame],
+        changes: Callable[[], DataFrame | None] = lambda: None,
+    ):
+        self.df, self._log, self._changes = df, log, changes
+
+    @cached_property
+    def log(self) -> DataFrame:
+        return self._log()
+
+    @cached_property
+    def changes(self) -> DataFrame | None:
+        return self._changes()
 
 
 # ------------------------------------------------------------------ change log
@@ -116,38 +131,40 @@ def _rewrite(
         changed.get(c, ~quoted(c).eqNullSafe(exprs[c])) if c in exprs else None
         for c in names
     ]
-    # The tests read old and new cells side by side, in one pass.
-    flags = df.select(
-        F.lit(1).alias("__row"),
-        *[t.alias(f"t{i}") for i, t in enumerate(tests)],
-        *[cond.alias(f"w{i}") for i, (cond, _) in enumerate(late)],
-    )
-    row = flags.agg(
-        F.count("__row").alias("n"),
-        *[F.count_if(F.col(f"t{i}")).alias(f"t{i}") for i in range(len(names))],
-        *[F.coalesce(F.bool_or(f"w{i}"), F.lit(False)).alias(f"w{i}") for i in range(len(late))],
-    )
-    if always:
-        affected = _texts(names)
-    else:
-        affected = F.array_compact(
-            F.array(
-                F.lit(None).cast("string"),
-                *[F.when(F.col(f"t{i}") > 0, F.lit(c)) for i, c in enumerate(names)],
-            )
+    def log() -> DataFrame:
+        # The tests read old and new cells side by side, in one pass.
+        flags = df.select(
+            F.lit(1).alias("__row"),
+            *[t.alias(f"t{i}") for i, t in enumerate(tests)],
+            *[cond.alias(f"w{i}") for i, (cond, _) in enumerate(late)],
+        )
+        row = flags.agg(
+            F.count("__row").alias("n"),
+            *[F.count_if(F.col(f"t{i}")).alias(f"t{i}") for i in range(len(names))],
+            *[F.coalesce(F.bool_or(f"w{i}"), F.lit(False)).alias(f"w{i}") for i in range(len(late))],
         )
-    cells = reduce(lambda a, b: a + b, [F.col(f"t{i}") for i in range(len(names))], F.lit(0))
-    said = F.concat(
-        _texts(warnings),
-        F.array_compact(
-            F.array(
-                F.lit(None).cast("string"),
-                *[F.when(F.col(f"w{i}"), F.lit(text)) for i, (_, text) in enumerate(late)],
+        if always:
+            affected = _texts(names)
+        else:
+            affected = F.array_compact(
+                F.array(
+                    F.lit(None).cast("string"),
+                    *[F.when(F.col(f"t{i}") > 0, F.lit(c)) for i, c in enumerate(names)],
+                )
             )
-        ),
-    )
-    log = _log_row(row, op, params, F.col("n"), F.col("n"), cells, affected, said)
-    return OpResult(replace_columns(df, exprs), log, _changes(df, exprs, tests))
+        cells = reduce(lambda a, b: a + b, [F.col(f"t{i}") for i in range(len(names))], F.lit(0))
+        said = F.concat(
+            _texts(warnings),
+            F.array_compact(
+                F.array(
+                    F.lit(None).cast("string"),
+                    *[F.when(F.col(f"w{i}"), F.lit(text)) for i, (_, text) in enumerate(late)],
+                )
+            ),
+        )
+        return _log_row(row, op, params, F.col("n"), F.col("n"), cells, affected, said)
+
+    return OpResult(replace_columns(df, exprs), log, lambda: _changes(df, exprs, tests))
 
 
 def _changes(df: DataFrame, exprs: dict[str, Column], tests: list[Column]) -> DataFrame | None:
@@ -180,13 +197,15 @@ def _keep_rows(
 
     The predicate goes into the filter as it is, so that it can reach the scan.
     """
-    row = df.select(keep.alias("k")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("k")).alias("kept")
-    )
-    log = _log_row(
-        row, op, params, F.col("n"), F.col("kept"), F.lit(0), _texts(affected),
-        _texts(warnings),
-    )
+    def log() -> DataFrame:
+        row = df.select(keep.alias("k")).agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("k")).alias("kept")
+        )
+        return _log_row(
+            row, op, params, F.col("n"), F.col("kept"), F.lit(0), _texts(affected),
+            _texts(warnings),
+        )
+
     return OpResult(df.where(keep), log)
 
 
@@ -195,18 +214,20 @@ def _other(
     warnings: Sequence[str] = (),
 ) -> OpResult:
     """Any other operator: rows are counted on both sides."""
-    sides = (
-        df.select(F.lit(0).alias("side"))
-        .unionAll(out.select(F.lit(1).alias("side")))
-        .agg(
-            F.count_if(F.col("side") == 0).alias("n"),
-            F.count_if(F.col("side") == 1).alias("m"),
+    def log() -> DataFrame:
+        sides = (
+            df.select(F.lit(0).alias("side"))
+            .unionAll(out.select(F.lit(1).alias("side")))
+            .agg(
+                F.count_if(F.col("side") == 0).alias("n"),
+                F.count_if(F.col("side") == 1).alias("m"),
+            )
         )
-    )
-    log = _log_row(
-        sides, op, params, F.col("n"), F.col("m"), F.lit(0), _texts(affected),
-        _texts(warnings),
-    )
+        return _log_row(
+            sides, op, params, F.col("n"), F.col("m"), F.lit(0), _texts(affected),
+            _texts(warnings),
+        )
+
     return OpResult(out, log)
 
 
@@ -220,9 +241,17 @@ def _of_kind(
     return good, notes
 
 
-def _scalars(long: DataFrame, columns: Sequence[str], fields: Sequence[str]) -> Column:
-    """Per-column statistics as one scalar subquery: ``s["c0"]["mean"]`` and so on."""
-    return stats.one_row(long, columns, fields).scalar()
+def _constants(rows: DataFrame, columns: Sequence[str], fields: Sequence[str]) -> list[dict]:
+    """Statistics per column as constants; null for a column without values.
+
+    ``rows`` has at most one row (i, *fields) per column, so this reads as many.
+    """
+    kinds = {f: rows.schema[f].dataType for f in fields}
+    found = {r["i"]: r for r in rows.select("i", *fields).collect()}
+    return [
+        {f: F.lit(found[i][f] if i in found else None).cast(kinds[f]) for f in fields}
+        for i in range(len(columns))
+    ]
 
 
 def _no_stream(df: DataFrame, op: str) -> None:
@@ -288,10 +317,11 @@ def _fill_by_mean(df: DataFrame, params: dict, names: list[str]) -> OpResult:
     good, notes = _of_kind(df, names, is_numeric, "numeric")
     if not good:
         return _rewrite(df, "fill_missing", params, {}, notes)
-    means = df.agg(
-        F.struct(*[F.avg(as_double(df, c)).alias(f"c{i}") for i, c in enumerate(good)]).alias("s")
-    ).scalar()
-    exprs = {c: _plug(df, c, means[f"c{i}"]) for i, c in enumerate(good)}
+    means = _constants(
+        stats.long_values(df, good).groupBy(F.col("i").cast("int").alias("i"))
+        .agg(F.avg("v").alias("mean")), good, ["mean"]
+    )
+    exprs = {c: _plug(df, c, means[i]["mean"]) for i, c in enumerate(good)}
     return _rewrite(df, "fill_missing", params, exprs, notes)
 
 
@@ -299,18 +329,16 @@ def _fill_by_median(df: DataFrame, params: dict, names: list[str]) -> OpResult:
     good, notes = _of_kind(df, names, is_numeric, "numeric")
     if not good:
         return _rewrite(df, "fill_missing", params, {}, notes)
-    middle = _scalars(stats.quantiles(df, good, [0.5]), good, ["q0"])
-    exprs = {c: _plug(df, c, middle[f"c{i}"]["q0"]) for i, c in enumerate(good)}
+    middle = _constants(stats.quantiles(df, good, [0.5]), good, ["q0"])
+    exprs = {c: _plug(df, c, middle[i]["q0"]) for i, c in enumerate(good)}
     return _rewrite(df, "fill_missing", params, exprs, notes)
 
 
 def _fill_by_mode(df: DataFrame, params: dict, names: list[str]) -> OpResult:
-    exprs, late = {}, []
-    for c in names:
-        top = stats.most_frequent(df, c).scalar()
-        exprs[c] = _plug(df, c, top)
-        late.append((top.isNull(), f"skipped {c!r}: no value present"))
-    return _rewrite(df, "fill_missing", params, exprs, late=late)
+    top = stats.most_frequent(df, names)
+    exprs = {c: _plug(df, c, v) for c, v in zip(names, top) if v is not None}
+    notes = [f"skipped {c!r}: no value present" for c, v in zip(names, top) if v is None]
+    return _rewrite(df, "fill_missing", params, exprs, notes)
 
 
 def _fill_by_constant(df: DataFrame, params: dict, names: list[str], value: Any) -> OpResult:
@@ -353,7 +381,11 @@ def _fill_by_neighbour(
     filled = carry(df, names, order_by, keys, forward)
     exprs = {c: F.coalesce(present(df, c), F.col(f"__fill_{i}")) for i, c in enumerate(names)}
     wide = _rewrite(filled, "fill_missing", params, exprs)
-    return OpResult(wide.df.select(*[quoted(c) for c in df.columns]), wide.log, wide.changes)
+    return OpResult(
+        wide.df.select(*[quoted(c) for c in df.columns]),
+        lambda: wide.log,
+        lambda: wide.changes,
+    )
 
 
 def drop_missing(
@@ -402,8 +434,11 @@ def drop_duplicates(
         raise CleaningError(f"keep must be 'first', 'last' or 'none', got {keep!r}")
     require_columns(df, [*(subset or []), *(order_by or [])])
     keys = list(subset or df.columns)
-    rest = [c for c in df.columns if c not in keys]
-    group = [present(df, c).alias(c) for c in keys]
+    # NaN and null are one missing value as keys, but the row that stays keeps its own.
+    floating = [c for c in keys if isinstance(dtype_of(df, c), FLOATING)]
+    rest = [c for c in df.columns if c not in keys or c in floating]
+    group = [present(df, c).alias(f"g{i}") for i, c in enumerate(keys)]
+    at_key = {c: F.col(f"g{i}").alias(c) for i, c in enumerate(keys) if c not in floating}
 
     if not rest and keep != "none":
         out = df.dropDuplicates()
@@ -419,8 +454,8 @@ def drop_duplicates(
         folded = df.groupBy(*group).agg(*aggs)
         if keep == "none":
             folded = folded.where("__n = 1")
-        at = {c: F.col("__row")[f"r{i}"].alias(c) for i, c in enumerate(rest)}
-        out = folded.select(*[at[c] if c in at else quoted(c) for c in df.columns])
+        at = at_key | {c: F.col("__row")[f"r{i}"].alias(c) for i, c in enumerate(rest)}
+        out = folded.select(*[at[c] for c in df.columns])
     return _other(df, out, "drop_duplicates", params, keys)
 
 
@@ -432,7 +467,7 @@ def _sortable(df: DataFrame) -> list[str]:
 
 # -------------------------------------------------------------------- outliers
 
-def _fence_scalars(df: DataFrame, columns: list[str], multiplier: float):
+def _fences(df: DataFrame, columns: list[str], multiplier: float) -> list[dict]:
     q = stats.quantiles(df, columns, [0.25, 0.75])
     spread = F.col("q1") - F.col("q0")
     q = q.withColumns(
@@ -441,7 +476,7 @@ def _fence_scalars(df: DataFrame, columns: list[str], multiplier: float):
             "upper": F.col("q1") + multiplier * spread,
         }
     )
-    return _scalars(q, columns, ["lower", "upper"])
+    return _constants(q, columns, ["lower", "upper"])
 
 
 def _clipped(c: Column, lower: Column | None, upper: Column | None) -> Column:
@@ -463,10 +498,10 @@ def cap_outliers_iqr(
     _no_stream(df, "cap_outliers_iqr")
     if not good:
         return _rewrite(df, "cap_outliers_iqr", params, {}, notes)
-    fence = _fence_scalars(df, good, multiplier)
+    fence = _fences(df, good, multiplier)
     exprs = {
         c: _clipped(
-            quoted(c).cast("double"), fence[f"c{i}"]["lower"], fence[f"c{i}"]["upper"]
+            quoted(c).cast("double"), fence[i]["lower"], fence[i]["upper"]
         )
         for i, c in enumerate(good)
     }
@@ -482,10 +517,9 @@ def remove_outliers_iqr(
     _no_stream(df, "remove_outliers_iqr")
     keep = F.lit(True)
     if good:
-        fence = _fence_scalars(df, good, multiplier)
+        fence = _fences(df, good, multiplier)
         for i, c in enumerate(good):
-            s = fence[f"c{i}"]
-            keep &= missing(df, c) | quoted(c).between(s["lower"], s["upper"])
+            keep &= missing(df, c) | quoted(c).between(fence[i]["lower"], fence[i]["upper"])
     return _keep_rows(df, "remove_outliers_iqr", params, keep, good, notes)
 
 
@@ -536,10 +570,12 @@ def drop_columns(df: DataFrame, columns: Sequence[str]) -> OpResult:
 
 
 def _same_rows(df, out, op, params, affected, warnings=()) -> OpResult:
-    row = df.agg(F.count(F.lit(1)).alias("n"))
-    log = _log_row(
-        row, op, params, F.col("n"), F.col("n"), F.lit(0), _texts(affected), _texts(warnings)
-    )
+    def log() -> DataFrame:
+        row = df.agg(F.count(F.lit(1)).alias("n"))
+        return _log_row(
+            row, op, params, F.col("n"), F.col("n"), F.lit(0), _texts(affected), _texts(warnings)
+        )
+
     return OpResult(out, log)
 
 
@@ -559,19 +595,25 @@ def parse_dates(
         raise CleaningError(f"errors must be 'coerce' or 'raise', got {errors!r}")
     require_columns(df, columns)
     exprs, changed, notes = {}, {}, []
-    for c in columns:
-        dtype = dtype_of(df, c)
-        if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            notes.append(f"left {c!r} alone: already a date")
-            continue
+    dated = (T.TimestampType, T.TimestampNTZType, T.DateType)
+    texts = [c for c in columns if not isinstance(dtype_of(df, c), dated)]
+    notes = [f"left {c!r} alone: already a date" for c in columns if c not in texts]
+    if format == "infer" and texts:
+        _no_stream(df, "parse_dates(infer)")
+        best = df.agg(
+            *[
+                best_layout(F.array(*[F.count(x.parse(as_text(df, c))) for x in LAYOUTS]))
+                .alias(f"b{i}")
+                for i, c in enumerate(texts)
+            ]
+        ).first()
+    for i, c in enumerate(texts):
         text = as_text(df, c)
         if format == "infer":
-            _no_stream(df, "parse_dates(infer)")
-            hits = F.array(*[F.count(layout.parse(text)) for layout in LAYOUTS])
-            best = df.agg(best_layout(hits).alias("b")).scalar()
+            layout = best[f"b{i}"]
             parsed = F.lit(None).cast("timestamp_ntz")
-            for j, layout in reversed(list(enumerate(LAYOUTS))):
-                parsed = F.when(best == j, layout.parse(text)).otherwise(parsed)
+            if layout is not None and 0 <= layout < len(LAYOUTS):
+                parsed = LAYOUTS[layout].parse(text)
         else:
             try:
                 parsed = parse_pattern(text, format)
@@ -689,18 +731,17 @@ def _clipped_exact(c: Column, lower: Column | None, upper: Column | None) -> Col
 
 
 def _scale(df, op, params, columns, aggs, scaled, flat, flat_note, void_note) -> OpResult:
-    """Shared frame of the two scalings: statistics as scalars, then arithmetic."""
+    """Shared frame of the two scalings: statistics as constants, then arithmetic."""
     good, notes = _of_kind(df, columns, is_numeric, "numeric")
     _no_stream(df, op)
     if not good:
         return _rewrite(df, op, params, {}, notes)
-    s = df.agg(
-        F.struct(*[F.struct(*aggs(as_double(df, c))).alias(f"c{i}") for i, c in enumerate(good)])
-        .alias("s")
-    ).scalar()
+    seen = stats.long_values(df, good).groupBy(F.col("i").cast("int").alias("i")).agg(*aggs)
+    fields = [c for c in seen.columns if c != "i"]
+    found = _constants(seen, good, fields)
     exprs, late = {}, []
     for i, c in enumerate(good):
-        known, x = s[f"c{i}"], as_double(df, c)
+        known, x = found[i] | {"n": F.coalesce(found[i]["n"], F.lit(0))}, as_double(df, c)
         void = known["n"] == 0
         exprs[c] = F.when(flat(known), 0.0).when(void, x).otherwise(scaled(x, known))
         late.append((flat(known), f"{c!r} {flat_note}"))
@@ -713,7 +754,7 @@ def normalize_minmax(df: DataFrame, columns: Sequence[str]) -> OpResult:
     """Map each column onto 0..1; a constant column becomes 0.0 on every row."""
     return _scale(
         df, "normalize_minmax", {"columns": list(columns)}, columns,
-        lambda x: (F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")),
+        (F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")),
         lambda x, s: (x - s["lo"]) / (s["hi"] - s["lo"]),
         lambda s: (s["n"] > 0) & (s["lo"] == s["hi"]),
         "is constant: set to 0.0", "skipped: no value present",
@@ -724,7 +765,7 @@ def standardize_zscore(df: DataFrame, columns: Sequence[str]) -> OpResult:
     """Subtract the mean, divide by the population deviation; 0.0 without variation."""
     return _scale(
         df, "standardize_zscore", {"columns": list(columns)}, columns,
-        lambda x: (F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd")),
+        (F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd")),
         lambda x, s: (x - s["mean"]) / s["sd"],
         lambda s: (s["n"] == 0) | (s["sd"] == 0),
         "has no variation: set to 0.0", "",

@@ -322,9 +322,6 @@ def constant_columns(df: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------- mixed values
 
-LONGEST_DATE = 40  # characters; longer texts are no dates
-
-
 def text_facts(df: DataFrame, classes: bool = True, dates: bool = True) -> DataFrame:
     """Per text column: present values, values per lexical class, hits per date layout.
 
@@ -337,11 +334,9 @@ def text_facts(df: DataFrame, classes: bool = True, dates: bool = True) -> DataF
         cells = cells.withColumn("kind", lexical_class(F.col("v")))
         aggs += [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in LEXICAL_CLASSES]
     if dates:
-        dated = (F.length("v") <= LONGEST_DATE) & F.col("v").rlike("[0-9]")
-        short = F.when(dated, F.trim("v"))
-        cells = cells.withColumn("short", short)
+        cells = cells.withColumn("day", F.when(F.col("v").rlike("[0-9]"), F.trim("v")))
         aggs += [
-            F.count(layout.parse(F.col("short"))).alias(f"hit{j}")
+            F.count(layout.parse(F.col("day"))).alias(f"hit{j}")
             for j, layout in enumerate(LAYOUTS)
         ]
     grouped = cells.groupBy("i").agg(*aggs)
@@ -451,7 +446,7 @@ def date_consistency(df: DataFrame, n_samples: int = 5) -> DataFrame:
     # Each cell is tried with the layout of its own column only.
     parsed = F.lit(None).cast("timestamp_ntz")
     for j, layout in enumerate(LAYOUTS):
-        parsed = F.when(F.col("layout") == j, layout.parse(F.col("v"))).otherwise(parsed)
+        parsed = F.when(F.col("layout") == j, layout.parse(F.trim("v"))).otherwise(parsed)
     failing = (
         cells.join(F.broadcast(flagged.select("i", "column", "layout")), "i")
         .where(parsed.isNull())

@@ -11,10 +11,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewise.functions.columns import (
+    NESTED,
     as_double,
     digest_pair,
+    dtype_of,
+    is_numeric,
     melt,
     name_of,
     present,
@@ -255,31 +259,40 @@ def duplicate_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def most_frequent(df: DataFrame, name: str) -> DataFrame:
-    """One row, column ``v``: the most frequent present value, smallest on ties."""
-    counts = (
-        df.select(present(df, name).alias("v"))
-        .where(F.col("v").isNotNull())
-        .groupBy("v")
-        .agg(F.count(F.lit(1)).alias("n"))
+def most_frequent(df: DataFrame, names: Sequence[str]) -> list[Column | None]:
+    """Each column's most frequent present value (the smallest of ties) as a constant.
+
+    One count of all columns' values in text form, with map-side combining, then one row
+    per column.  Ties go by number where the text is one, else by text.
+    """
+    if not names:
+        return []
+    cells = melt(
+        df,
+        [
+            (
+                (F.to_json(present(df, c)) if isinstance(dtype_of(df, c), NESTED)
+                 else present(df, c).cast("string")),
+                as_double(df, c) if is_numeric(dtype_of(df, c)) else F.lit(None).cast("double"),
+            )
+            for c in names
+        ],
+        ["v", "x"],
+        keep_nulls=False,
     )
-    return counts.agg(
-        F.min_by("v", F.struct((-F.col("n")).alias("n"), F.col("v"))).alias("v")
+    counts = cells.groupBy("i", "v", "x").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy(F.col("i").cast("int").alias("i")).agg(
+        F.min(F.struct((-F.col("n")).alias("n"), F.col("x"), F.col("v"))).alias("best")
     )
+    found = {r["i"]: r["best"]["v"] for r in best.collect()}
+    return [_typed(found[i], dtype_of(df, c)) if i in found else None for i, c in enumerate(names)]
 
 
-def one_row(long: DataFrame, columns: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Fold per-column rows into one struct per column, for use as a scalar subquery."""
-    return long.agg(
-        F.struct(
-            *[
-                F.max(
-                    F.when(F.col("i") == i, F.struct(*[F.col(f) for f in fields]))
-                ).alias(f"c{i}")
-                for i in range(len(columns))
-            ]
-        ).alias("s")
-    )
+def _typed(text: str, dtype: T.DataType) -> Column:
+    """A value from its text form."""
+    if isinstance(dtype, NESTED):
+        return F.from_json(F.lit(text), dtype)
+    return F.lit(text).cast(dtype)
 
 
 def column_facts(df: DataFrame) -> DataFrame:

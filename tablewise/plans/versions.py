@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from tablewise.functions.columns import digest_pair
 from tablewise.sources.writers import write_parquet
 
 MAX_VERSIONS = 10
+_HEAD = -1
 _SCHEMA = "place int, label string, path string, fingerprint string, stored_at timestamp"
 
 
@@ -27,23 +29,49 @@ def fingerprint(df: DataFrame) -> str:
 
 
 class TableVersions:
-    """A stack of at most ten states below ``root``, newest last."""
+    """A stack of at most ``keep`` states below ``root``, newest last.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    Every change writes a new index beside the old ones and replaces nothing, so a crash
+    leaves the last complete index in force.  States that fall off the stack, or were
+    taken off it, keep their files, as tables may still read them: see :meth:`unused`.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keep: int = MAX_VERSIONS):
+        if keep < 1:
+            raise ValueError("a stack keeps at least one version")
+        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
 
     @property
     def _index_path(self) -> str:
         return f"{self.root}/versions"
 
+    def _rows(self) -> list[dict]:
+        """All indexes, oldest first; each has a first row that marks it as complete."""
+        try:
+            rows = self.spark.read.schema(f"{_SCHEMA}, seq int").parquet(self._index_path).collect()
+        except AnalysisException as exc:
+            if exc.getCondition() == "PATH_NOT_FOUND":
+                return []
+            raise
+        return sorted((r.asDict() for r in rows), key=lambda r: (r["seq"], r["place"]))
+
     def entries(self) -> list[dict]:
-        if not self._exists(self._index_path):
-            return []
-        rows = self.spark.read.schema(_SCHEMA).parquet(self._index_path).collect()
-        return sorted((r.asDict() for r in rows), key=lambda r: r["place"])
+        return self._last(self._rows())[1]
+
+    @staticmethod
+    def _last(rows: list[dict]) -> tuple[int, list[dict]]:
+        seq = max((r["seq"] for r in rows if r["place"] == _HEAD), default=-1)
+        own = [r for r in rows if r["seq"] == seq and r["place"] != _HEAD]
+        return seq, [{k: v for k, v in r.items() if k != "seq"} for r in own]
+
+    def unused(self) -> list[str]:
+        """Paths of stored states that the stack no longer holds."""
+        rows = self._rows()
+        held = {e["path"] for e in self._last(rows)[1]}
+        return sorted({r["path"] for r in rows if r["path"] and r["path"] not in held})
 
     def table(self) -> DataFrame:
-        """The index itself: at most ten rows."""
+        """The index itself: one row per state."""
         return self.spark.createDataFrame(
             [tuple(e.values()) for e in self.entries()], _SCHEMA
         )
@@ -53,7 +81,8 @@ class TableVersions:
 
     def push(self, df: DataFrame, label: str) -> bool:
         """Store a state; False when it equals the newest one."""
-        entries, mark = self.entries(), fingerprint(df)
+        seq, entries = self._last(self._rows())
+        mark = fingerprint(df)
         if entries and entries[-1]["fingerprint"] == mark:
             return False
         path = f"{self.root}/state-{uuid.uuid4().hex}"
@@ -62,42 +91,23 @@ class TableVersions:
             {"place": 0, "label": label, "path": path, "fingerprint": mark,
              "stored_at": datetime.now(timezone.utc)}
         )
-        self._save(entries[-MAX_VERSIONS:])
-        for old in entries[:-MAX_VERSIONS]:
-            self._remove(old["path"])
+        self._save(seq + 1, entries[-self.keep:])
         return True
 
     def undo(self) -> DataFrame | None:
-        """Take the newest state off the stack and return it; None when there is none.
-
-        Its files stay, since the returned table still reads them.
-        """
-        entries = self.entries()
+        """Take the newest state off the stack and return it; None when there is none."""
+        seq, entries = self._last(self._rows())
         if not entries:
             return None
         last = entries.pop()
-        self._save(entries)
+        self._save(seq + 1, entries)
         return self.spark.read.parquet(last["path"])
 
-    def _save(self, entries: list[dict]) -> None:
-        rows = [
+    def _save(self, seq: int, entries: list[dict]) -> None:
+        rows = [(_HEAD, None, None, None, datetime.now(timezone.utc))] + [
             (i, e["label"], e["path"], e["fingerprint"], e["stored_at"])
             for i, e in enumerate(entries)
         ]
-        self.spark.createDataFrame(rows, _SCHEMA).coalesce(1).write.mode(
-            "overwrite"
-        ).parquet(self._index_path)
-
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        return target.getFileSystem(conf), target
-
-    def _exists(self, path: str) -> bool:
-        fs, target = self._fs(path)
-        return fs.exists(target)
-
-    def _remove(self, path: str) -> None:
-        fs, target = self._fs(path)
-        fs.delete(target, True)
+        self.spark.createDataFrame(rows, _SCHEMA).coalesce(1).write.parquet(
+            f"{self._index_path}/seq={seq}"
+        )

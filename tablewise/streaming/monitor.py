@@ -108,8 +108,13 @@ def profile_batches(path: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` sink that appends the health score of every micro-batch."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        scored = health_score(batch).withColumn("batch_id", F.lit(batch_id))
-        # One directory per batch keeps a retried batch from being counted twice.
-        scored.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        # The score scans the batch several times; the source is read once.
+        held = batch.persist()
+        try:
+            scored = health_score(held).withColumn("batch_id", F.lit(batch_id))
+            # One directory per batch keeps a retried batch from being counted twice.
+            scored.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            held.unpersist()
 
     return sink

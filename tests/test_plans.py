@@ -1,5 +1,7 @@
 """Replay, versions, SQL, planted issues, streams, and the shape of query plans."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,9 +57,9 @@ def test_fingerprint_sees_copies_and_types(spark):
 
 def test_sql(spark, clean_table):
     r = query(spark, "SELECT city, count(*) AS n FROM df GROUP BY city", clean_table)
-    assert sum(x["n"] for x in r.df.collect()) == 50 and not r.truncated()
+    assert sum(x["n"] for x in r.df.collect()) == 50 and not r.truncated
     few = query(spark, "SELECT * FROM df", clean_table, max_rows=5)
-    assert few.df.count() == 5 and few.truncated()
+    assert few.df.count() == 5 and few.truncated
     joined = query(spark, "SELECT count(*) AS n FROM a JOIN b USING (id)", {"a": clean_table, "b": spark.range(9)})
     assert joined.df.first()["n"] == 9
     assert query(spark, "WITH t AS (SELECT 1 AS x) SELECT * FROM t LIMIT 1 -- end").df.first()["x"] == 1
@@ -142,11 +144,30 @@ def test_row_local_chain_stays_in_one_stage(spark, sf_dir):
     assert "Exchange" not in plan_of(df)
 
 
-def test_scalars_share_one_subquery(spark, sf_dir):
+CHAIN = [
+    {"op": "fill_missing", "params": {"columns": ["l_quantity", "l_tax"], "strategy": "median"}},
+    {"op": "cap_outliers_iqr", "params": {"columns": ["l_quantity", "l_extendedprice"]}},
+    {"op": "normalize_minmax", "params": {"columns": ["l_quantity", "l_discount"]}},
+    {"op": "standardize_zscore", "params": {"columns": ["l_quantity", "l_extendedprice"]}},
+    {"op": "fill_missing", "params": {"columns": ["l_returnflag"], "strategy": "mode"}},
+]
+
+
+def test_recipes_grow_the_plan_step_by_step(spark, sf_dir):
+    """Ten statistic steps: each adds about as much to the plan as the one before."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    df = clean.standardize_zscore(lines, ["l_quantity", "l_tax", "l_discount"]).df
-    df.write.format("noop").mode("overwrite").save()
-    out = df.groupBy().sum("l_quantity", "l_tax", "l_discount")
-    out.collect()
-    plan = plan_of(out)
-    assert plan.count("ReusedSubquery") >= 2 and "NestedLoop" not in plan
+    once = len(plan_of(replay(lines, CHAIN)))
+    started = time.perf_counter()
+    twice = replay(lines, CHAIN * 2)
+    plan = plan_of(twice)
+    assert "Subquery" not in plan and "Exchange" not in plan
+    assert len(plan) < 3 * once
+    assert twice.count() == lines.count()
+    assert time.perf_counter() - started < 120
+
+
+def test_logs_are_planned_on_demand(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    result = clean.strip_whitespace(lines)
+    assert "log" not in vars(result) and result.log.first()["rows_before"] == lines.count()
+    assert result.log is result.log

@@ -119,8 +119,21 @@ def test_duplicate_counts_with_nan_zero_and_nested(spark):
 
 
 def test_most_frequent_takes_smallest_on_ties(spark):
-    df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), ("c",), (None,)] , "x string")
-    assert stats.most_frequent(df, "x").first()["v"] == "a"
+    df = spark.createDataFrame(
+        [("b", 10, None), ("a", 9, None), ("b", 9, None), ("a", 10, None), ("c", 1, None)],
+        "x string, y int, z double",
+    )
+    x, y, z = stats.most_frequent(df, ["x", "y", "z"])
+    assert df.select(x, y).first()[:] == ("a", 9) and z is None
+
+
+def test_most_frequent_of_other_types(spark):
+    df = spark.sql(
+        "SELECT * FROM VALUES (timestamp_ntz'2024-01-02 03:04:05.6', date'2024-05-06', 1.50BD, true, "
+        "array(1, 2), 0.1D), (null, null, null, null, null, double('nan')) AS t(a, b, c, d, e, f)"
+    )
+    top = stats.most_frequent(df, df.columns)
+    assert df.select(*[t.eqNullSafe(df[c]) for t, c in zip(top, df.columns)]).first()[:] == (True,) * 6
 
 
 def test_column_facts(spark):
