@@ -102,6 +102,51 @@ add(
 )
 
 
+def _people(df):
+    return df.select("c_custkey", F.concat(F.lit("ref "), F.col("note")).alias("note"), "pan_no")
+
+
+_PEOPLE = "SELECT c_custkey, concat('ref ', note) AS note, pan_no FROM d"
+
+
+def _csv_gz(df):
+    """Semicolons and compression, read with default arguments."""
+    path = _path(df, "people.csv.gz")
+    _people(df).write.option("header", True).option("sep", ";").option("compression", "gzip").csv(path)
+    return readers.load(df.sparkSession, path)
+
+
+def _json_gz(df):
+    """One compressed document: an indented array of all rows."""
+    path = _path(df, "people.json.gz")
+    rows = _people(df).select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("row"))
+    rows.agg(
+        F.concat(F.lit("[\n"), F.array_join(F.collect_list("row"), ",\n"), F.lit("\n]")).alias("value")
+    ).coalesce(1).write.option("compression", "gzip").text(path)
+    return readers.load(df.sparkSession, path).select("c_custkey", "note", "pan_no")
+
+
+def _late_latin(df):
+    """One file whose only byte outside ASCII stands in its last line."""
+    path, last = _path(df, "late.csv"), df.agg(F.max("c_custkey")).first()[0]
+    named = F.when(F.col("c_custkey") == last, "Café").otherwise(F.col("note"))
+    (
+        df.select("c_custkey", named.alias("note"), "pan_no").orderBy("c_custkey").coalesce(1)
+        .write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    )
+    return readers.load(df.sparkSession, path)
+
+
+add("s02_csv_gz", PEOPLE, _PEOPLE, _csv_gz)
+add("s05_json_gz", PEOPLE, _PEOPLE, _json_gz)
+add(
+    "s02_late_latin1", PEOPLE,
+    "SELECT c_custkey, CASE WHEN c_custkey = (SELECT max(c_custkey) FROM d) THEN 'Café' ELSE note END "
+    "AS note, pan_no FROM d",
+    _late_latin,
+)
+
+
 def _messy_headers(df):
     messy = df.select(
         F.col("c_custkey").alias("﻿ key "), F.col("pincode").alias("\tpin code  ")

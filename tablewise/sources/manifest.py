@@ -1,101 +1,114 @@
-"""One row per input file: size, text encoding, delimiter and JSON layout."""
+"""One row per input file: size, text encoding, delimiter and JSON layout.
 
-from __future__ import annotations
+All of a file is looked at, as Spark's text reader gives it, so compressed files are judged
+by their content and a character far down a file counts like one in its first line.  The
+work is an aggregation over lines; what is kept per file does not grow with it.
+"""
 
-import csv
-import json
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PROBE_BYTES = 64 * 1024
-SNIFF_CHARS = 16 * 1024
-# Larger files are probed through their first lines instead of being read whole.
-MAX_WHOLE_FILE = 64 * 1024 * 1024
 DELIMITERS = (",", ";", "\t", "|")
-_SCHEMA = "path string, bytes bigint, encoding string, delimiter string, json_layout string"
-
-
-def encoding_of(head: bytes) -> str:
-    """utf-8-sig with a byte-order mark, utf-8 where it decodes, else latin-1."""
-    if head[:3] == b"\xef\xbb\xbf":
-        return "utf-8-sig"
-    try:
-        head.decode("utf-8")
-    except UnicodeDecodeError as exc:
-        # A character cut off by the end of the probe is no fault of the file.
-        cut = len(head) >= PROBE_BYTES and exc.start >= len(head) - 3
-        return "utf-8" if cut else "latin-1"
-    return "utf-8"
-
-
-def delimiter_of(text: str) -> str:
-    """The delimiter that splits the sniffed lines most evenly; comma by default."""
-    lines = text[:SNIFF_CHARS].splitlines()
-    if len(text) > SNIFF_CHARS:
-        lines = lines[:-1]
-    lines = [x for x in lines if x.strip()]
-    best, best_score = ",", (0.0, 0)
-    for d in DELIMITERS:
-        widths = [len(row) for row in csv.reader(lines, delimiter=d)]
-        if not widths or widths[0] < 2:
-            continue
-        same = sum(w == widths[0] for w in widths) / len(widths)
-        if (same, widths[0]) > best_score:
-            best, best_score = d, (same, widths[0])
-    return best
-
-
-def json_layout_of(text: str) -> str:
-    """'lines' when the first line is a whole object, else 'document'."""
-    body = text.lstrip("﻿ \t\r\n")
-    if not body.startswith("{"):
-        return "document" if body.startswith("[") else "lines"
-    try:
-        json.loads(body.splitlines()[0])
-    except ValueError:
-        return "document"
-    return "lines"
-
-
-def _describe(path: str, size: int, head: bytes) -> tuple:
-    encoding = encoding_of(head)
-    text = head.decode(encoding, errors="ignore")
-    return path, size, encoding, delimiter_of(text), json_layout_of(text)
-
-
-def _probe(batches):
-    for pdf in batches:
-        rows = [
-            _describe(p, n, bytes(h)) for p, n, h in zip(pdf["path"], pdf["length"], pdf["head"])
-        ]
-        yield pd.DataFrame(rows, columns=["path", "bytes", "encoding", "delimiter", "json_layout"])
+_PATH = "_metadata.file_path"
 
 
-def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, encoding, delimiter, json_layout) of every file under ``path``."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .where(~F.col("path").rlike(r"/[_.][^/]*$"))
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value): every line of every file, its bytes as they are."""
+    text = spark.read.option("recursiveFileLookup", True).text(path)
+    return text.select(F.col(_PATH).alias("path"), "value")
+
+
+def _encodings(lines: DataFrame) -> DataFrame:
+    """utf-8 where all lines are valid, else latin-1.
+
+    A byte-order mark makes no difference: every reader here takes it off.
+    """
+    valid = F.bool_and(F.is_valid_utf8("value"))
+    return lines.groupBy("path").agg(F.when(valid, "utf-8").otherwise("latin-1").alias("encoding"))
+
+
+def _fields(line: Column, delimiter: str) -> Column:
+    """Fields of a line, delimiters between double quotes left out."""
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+
+
+def _delimiters(lines: DataFrame) -> DataFrame:
+    """The delimiter that gives most lines of a file the same number of fields (over one).
+
+    Ties go to more fields, then to the order of ``DELIMITERS``; comma by default.
+    """
+    filled = lines.select("path", F.make_valid_utf8("value").alias("value")).where(
+        F.trim("value") != ""
     )
-    whole = files.where(F.col("length") <= MAX_WHOLE_FILE).select(
-        "path", "length", F.substring("content", 1, PROBE_BYTES).alias("head")
+    widths = filled.select(
+        "path",
+        F.posexplode(F.array(*[_fields(F.col("value"), d) for d in DELIMITERS])).alias("d", "width"),
+    )
+    counts = widths.where("width > 1").groupBy("path", "d", "width").agg(F.count(F.lit(1)).alias("n"))
+    best = Window.partitionBy("path").orderBy(F.desc("n"), F.desc("width"), "d")
+    return (
+        counts.withColumn("place", F.row_number().over(best))
+        .where("place = 1")
+        .select("path", F.get(F.array(*[F.lit(d) for d in DELIMITERS]), F.col("d")).alias("delimiter"))
+    )
+
+
+def _layouts(lines: DataFrame) -> DataFrame:
+    """'lines' when most filled lines are whole objects, else 'document'."""
+    text = F.trim(F.make_valid_utf8("value"))
+    braced = text.startswith("{") & text.endswith("}")
+    whole = F.when(braced, F.try_parse_json(text).isNotNull()).otherwise(False)
+    return (
+        lines.select("path", text.alias("text"), whole.alias("whole"))
+        .where("text <> ''")
+        .groupBy("path")
+        .agg(
+            F.when(F.count_if("whole") * 2 > F.count(F.lit(1)), "lines")
+            .otherwise("document")
+            .alias("json_layout")
+        )
+    )
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes) of the files; their content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.where(~F.col("path").rlike(r"/[_.][^/]*$")).select(
+        F.col(_PATH).alias("path"), F.col("length").alias("bytes")
+    )
+
+
+def dialects(spark: SparkSession, path: str) -> DataFrame:
+    """(path, encoding, delimiter) of every file under ``path``."""
+    lines = _lines(spark, path)
+    return (
+        _files(spark, path)
+        .join(_encodings(lines), "path", "left")
+        .join(_delimiters(lines), "path", "left")
+        .select(
+            "path",
+            F.coalesce("encoding", F.lit("utf-8")).alias("encoding"),
+            F.coalesce("delimiter", F.lit(",")).alias("delimiter"),
+        )
+    )
+
+
+def json_layouts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, json_layout) of every file under ``path`` that has a filled line."""
+    return _layouts(_lines(spark, path))
+
+
+def file_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, encoding, delimiter, json_layout) of every file with content under ``path``.
+
+    Sizes are those on disk; all else describes the decompressed text.
+    """
+    return (
+        _files(spark, path)
+        .join(dialects(spark, path), "path")
+        .join(json_layouts(spark, path), "path", "left")
+        .withColumn("json_layout", F.coalesce("json_layout", F.lit("lines")))
     )
-    found = whole.mapInPandas(_probe, _SCHEMA)
-    large = files.where(F.col("length") > MAX_WHOLE_FILE).select("path", "length").collect()
-    if not large:
-        return found
-    rows = [_describe(r["path"], r["length"], _first_lines(spark, r["path"])) for r in large]
-    return found.unionByName(spark.createDataFrame(rows, _SCHEMA))
-
-
-def _first_lines(spark: SparkSession, path: str) -> bytes:
-    """Head of one large file: a limited read touches its first split only."""
-    lines = spark.read.option("encoding", "ISO-8859-1").option("header", False).option(
-        "sep", "\x00"
-    ).option("quote", "").schema("line string").csv(path).limit(200).collect()
-    text = "\n".join(r["line"] or "" for r in lines)
-    return text.encode("latin-1", errors="ignore")[:PROBE_BYTES]

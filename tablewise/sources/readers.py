@@ -17,7 +17,7 @@ from tablewise.functions.columns import (
     text_columns,
 )
 from tablewise.functions.dates import parse_iso
-from tablewise.sources.manifest import file_manifest
+from tablewise.sources.manifest import dialects, json_layouts
 
 # --- fixed values: extension -> format, sampling limits -------------------------
 FORMATS = {
@@ -31,8 +31,6 @@ FORMATS = {
 COMPRESSION = ("gz", "bz2", "zst", "zip", "xz")
 NOT_SPLIT_BY_SPARK = ("zip", "xz")
 SAMPLE_ROWS = 10_000
-SAMPLE_FROM_BYTES = 30 * 1024 * 1024
-MAX_PROBED_FILES = 1_000
 
 
 class UnsupportedFileError(ValueError):
@@ -87,9 +85,9 @@ def read_csv(
 ) -> DataFrame:
     """Header row, inferred types unless ``schema`` is given.
 
-    Without ``sep`` or ``encoding`` the head of every file is probed and files are
-    read in groups of equal dialect, joined by column name.  Pass both for large
-    sets of files: probing more than 1000 files is refused.
+    Without ``sep`` or ``encoding`` all lines of every file are looked at first, and
+    files are read in groups of equal dialect, joined by column name; pass both to save
+    that scan.  Compressed files are read like plain ones.
     """
     if sep is not None and encoding is not None:
         dialects = {(sep, encoding): [path]}
@@ -104,24 +102,33 @@ def read_csv(
 
 
 def _probed_dialects(spark, path, sep, encoding) -> dict[tuple[str, str], list[str]]:
-    files = file_manifest(spark, path)
-    found = files.select("path", "encoding", "delimiter").limit(MAX_PROBED_FILES + 1).collect()
-    if len(found) > MAX_PROBED_FILES:
-        raise ValueError(f"over {MAX_PROBED_FILES} files: pass sep and encoding explicitly")
-    if not found:
+    """Files by dialect; a set of files with one dialect stays the path that was given."""
+    files = dialects(spark, path).select(
+        "path",
+        (F.lit(sep) if sep else F.col("delimiter")).alias("sep"),
+        (F.lit(encoding) if encoding else F.col("encoding")).alias("encoding"),
+    )
+    known = files.select("sep", "encoding").distinct().collect()
+    if not known:
         raise FileNotFoundError(f"no files at {path}")
-    dialects: dict[tuple[str, str], list[str]] = {}
-    for r in found:
-        key = (sep or r["delimiter"], encoding or r["encoding"])
-        dialects.setdefault(key, []).append(r["path"])
-    return dialects
+    if len({(r["sep"], _charset(r["encoding"])) for r in known}) == 1:
+        return {(known[0]["sep"], known[0]["encoding"]): [path]}
+    # Paths of mixed files go through the driver, which lists them for any read.
+    found: dict[tuple[str, str], list[str]] = {}
+    for r in files.collect():
+        found.setdefault((r["sep"], r["encoding"]), []).append(r["path"])
+    return found
+
+
+def _charset(encoding: str) -> str:
+    return "ISO-8859-1" if encoding == "latin-1" else "UTF-8"
 
 
 def _csv(spark, paths, sep, encoding, schema, multiline) -> DataFrame:
     reader = (
         spark.read.option("header", True)
         .option("sep", sep)
-        .option("encoding", "ISO-8859-1" if encoding == "latin-1" else "UTF-8")
+        .option("encoding", _charset(encoding))
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
@@ -191,11 +198,11 @@ def read_json(
 ) -> DataFrame:
     """Records array, JSON Lines, single objects, or an object of column lists.
 
-    ``layout`` ('lines' or 'document') skips looking at the head of the files.
+    ``layout`` ('lines' or 'document') saves looking at the lines of the files first.
     """
     if layout is None:
-        heads = file_manifest(spark, path).select("json_layout").distinct().limit(3).collect()
-        kinds = {r["json_layout"] for r in heads}
+        seen = json_layouts(spark, path).select("json_layout").distinct().collect()
+        kinds = {r["json_layout"] for r in seen}
         if len(kinds) > 1:
             raise ValueError(f"files mix JSON layouts {sorted(kinds)}: read them apart")
         layout = kinds.pop() if kinds else "lines"

@@ -4,10 +4,12 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows_of
 from tablewise.sources import readers, writers
-from tablewise.sources.manifest import delimiter_of, encoding_of, file_manifest, json_layout_of
+from tablewise.sources.manifest import file_manifest
+from tablewise.sources.scratch import NoSharedFolderError, scratch_path
 
 
 def put(folder, name, data):
@@ -55,8 +57,18 @@ def test_csv_dialects_and_compression(spark, tmp_path):
     assert rows_of(df, "id", "name", "extra") == [(1, "café", None), (2, "naïve", None), (3, "x", 9)]
     zipped = tmp_path / "z"
     zipped.mkdir()
-    put(zipped, "d.csv.gz", gzip.compress(b"id,name\n4,y\n"))
-    assert rows_of(readers.load(spark, str(zipped / "d.csv.gz"), sep=",", encoding="utf-8"), "*") == [(4, "y")]
+    put(zipped, "d.csv.gz", gzip.compress("id;name\n4,5;café\n".encode("latin-1")))
+    assert rows_of(readers.load(spark, str(zipped / "d.csv.gz")), "*") == [("4,5", "café")]
+    put(zipped, "e.json.gz", gzip.compress(json.dumps([{"a": 1}, {"a": 2}], indent=1).encode()))
+    assert rows_of(readers.load(spark, str(zipped / "e.json.gz")), "*") == [(1,), (2,)]
+
+
+def test_bytes_far_down_a_file_count(spark, tmp_path):
+    late = put(tmp_path, "late.csv", ("id;name\n" + "1;plain\n" * 30_000 + "2;caf\xe9\n").encode("latin-1"))
+    df = readers.load(spark, late)
+    assert df.count() == 30_001
+    assert df.where("id = 2").first()["name"] == "café"
+    assert df.where(F.col("name").contains("\ufffd")).count() == 0
 
 
 def test_header_clash(spark, tmp_path):
@@ -90,30 +102,42 @@ def test_manifest(spark, tmp_path):
     put(tmp_path, "_hidden.csv", "a,b\n")
     got = {r["path"].rsplit("/", 1)[1]: r for r in file_manifest(spark, str(tmp_path)).collect()}
     assert set(got) == {"bom.csv", "latin.csv"}
-    assert (got["bom.csv"]["encoding"], got["bom.csv"]["delimiter"]) == ("utf-8-sig", "\t")
+    assert (got["bom.csv"]["encoding"], got["bom.csv"]["delimiter"]) == ("utf-8", "\t")
     assert (got["latin.csv"]["encoding"], got["latin.csv"]["delimiter"]) == ("latin-1", ";")
 
 
-def test_probe_rules(monkeypatch):
-    assert encoding_of("é".encode() * 40_000) == "utf-8"
-    assert encoding_of(("x" + "é" * 40_000).encode()[: 64 * 1024]) == "utf-8"
-    assert encoding_of(b"\xe9t\xe9") == "latin-1"
-    assert delimiter_of("one\ntwo\n") == ","
-    assert delimiter_of('"a,b";c\n"d,e";f\n') == ";"
-    assert delimiter_of("") == ","
-    assert json_layout_of(' {"a": 1}\n') == "lines"
-    assert json_layout_of('{\n "a": 1}') == "document"
-    assert json_layout_of("[1]") == "document"
+@pytest.mark.parametrize(
+    "content, encoding, delimiter, layout",
+    [
+        (("é" * 40_000).encode(), "utf-8", ",", "document"),
+        (b"\xe9t\xe9", "latin-1", ",", "document"),
+        (b"one\ntwo\n", "utf-8", ",", "document"),
+        (b'"a,b";c\n"d,e";f\n', "utf-8", ";", "document"),
+        (b"a|b|c\nd|e|f\ng,h\n", "utf-8", "|", "document"),
+        (b' {"a": 1}\n', "utf-8", ",", "lines"),
+        (b'{\n "a": 1}', "utf-8", ",", "document"),
+        (b'[\n{"a": 1},\n{"a": 2},\n{"a": 3}\n]', "utf-8", ",", "document"),
+        (b'\xef\xbb\xbf{"a": 1}\n{"a": 2}\n', "utf-8", ",", "lines"),
+    ],
+)
+def test_manifest_rules(spark, tmp_path, content, encoding, delimiter, layout):
+    put(tmp_path, "file.txt", content)
+    (r,) = file_manifest(spark, str(tmp_path)).collect()
+    assert (r["bytes"], r["encoding"], r["delimiter"], r["json_layout"]) == (
+        len(content), encoding, delimiter, layout
+    )
 
 
-def test_large_files_are_probed_by_their_first_lines(spark, tmp_path, monkeypatch):
-    from tablewise.sources import manifest
+def test_scratch_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
 
-    monkeypatch.setattr(manifest, "MAX_WHOLE_FILE", 10)
-    put(tmp_path, "big.csv", "a;b\n" + "1;2\n" * 50)
-    r = file_manifest(spark, str(tmp_path)).first()
-    assert (r["delimiter"], r["encoding"], r["bytes"]) == (";", "utf-8", 204)
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
 
+    with pytest.raises(NoSharedFolderError):
+        scratch_path(Session, "x")
 
 def test_write_csv_and_read_back(spark, tmp_path, clean_table):
     out = str(tmp_path / "clean.csv")
