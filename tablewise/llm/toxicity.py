@@ -174,9 +174,8 @@ def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush():
         units = list(set().union(*counts.values()))
-        yield pa.RecordBatch.from_pydict(
-            {"unit": units} | {name: [own[u] for u in units] for name, own in counts.items()}
-        )
+        columns = [pa.array([own[u] for u in units], pa.int64()) for own in counts.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), *columns], ["unit", *counts])
 
     for batch in batches:
         columns = (batch.column(c).to_pylist() for c in ("folded", "toxic", "like"))
