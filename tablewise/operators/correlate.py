@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +28,10 @@ from tablewise.operators.profile import empty_frame
 from tablewise.sources.scratch import scratch_path
 
 PAIRS = "col_a string, col_b string, r double"
-# A value held by over 1/HOT_SHARE of the rows is looked up in a broadcast table of
-# at most HOT_SHARE entries, so that no join key gathers more rows than that.
-HOT_SHARE = 1000
+# A value held by more rows than this is looked up in a broadcast table, so that no join
+# key gathers more rows in a task; the table has an entry for so many rows at most.
+HOT_ROWS = 250_000
+_SPREAD = 1000
 
 
 def _pairs(names: list[str]) -> list[tuple[int, int]]:
@@ -41,12 +45,8 @@ def _correlation(x: Column, y: Column) -> Column:
     return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
-def _pair_rows(
-    cells: DataFrame, names: list[str], pairs: list[tuple[int, int]]
-) -> DataFrame:
-    """Correlate the (i, x, y) rows per pair ordinal ``i``."""
-    both = cells.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    found = both.groupBy("i").agg(_correlation(F.col("x"), F.col("y")).alias("r"))
+def _listed(found: DataFrame, names: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
+    """(col_a, col_b, ia, ib, r) of every pair, from (i, r) by pair ordinal; r may be null."""
     order = F.array(
         *[
             F.struct(
@@ -57,23 +57,85 @@ def _pair_rows(
         ]
     )
     # Pairs without a complete row still appear, with r null.
-    listed = cells.sparkSession.range(1).select(F.inline(order))
+    listed = found.sparkSession.range(1).select(F.inline(order))
     return (
         listed.join(found, listed["k"] == found["i"].cast("int"), "left")
         .select("col_a", "col_b", "ia", "ib", "r")
     )
 
 
+def _pair_rows(
+    cells: DataFrame, names: list[str], pairs: list[tuple[int, int]]
+) -> DataFrame:
+    """Correlate the (i, x, y) rows per pair ordinal ``i``."""
+    both = cells.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    found = both.groupBy("i").agg(_correlation(F.col("x"), F.col("y")).alias("r"))
+    return _listed(found, names, pairs)
+
+
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of every pair of columns over the rows where both are present.
+
+    A task multiplies its rows as matrices and sends one row per pair, so the work per
+    row grows with the square of the columns only inside the processor.
+    """
+    totals = None
+    for batch in batches:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        x = x.astype(float)
+        held = ~np.isnan(x)
+        x = np.where(held, x, 0.0)
+        own = held.astype(float)
+        sums = np.stack([own.T @ own, x.T @ own, (x * x).T @ own, x.T @ x])
+        totals = sums if totals is None else totals + sums
+    if totals is None:
+        return
+    a, b = np.triu_indices(totals.shape[1], 1)
+    n, sx, sxx, sxy = totals
+    found = [n[a, b], sx[a, b], sx[b, a], sxx[a, b], sxx[b, a], sxy[a, b]]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(len(a))), *map(pa.array, found)], ["i", *_SUMS]
+    )
+
+
+def _matrix_pairs(df: DataFrame, names: list[str], cells: list[Column]) -> DataFrame:
+    """Correlations of all pairs of the numeric ``cells``, one per name.
+
+    Values are shifted by the column's least one, so that a column without variation has
+    sums of exactly zero.
+    """
+    low = df.agg(*[F.min(c).alias(f"m{i}") for i, c in enumerate(cells)]).first()
+    shifted = df.select(
+        *[(c - F.lit(low[f"m{i}"] or 0.0)).alias(f"x{i}") for i, c in enumerate(cells)]
+    )
+    schema = "i long, " + ", ".join(f"{s} double" for s in _SUMS)
+    total = (
+        shifted.mapInArrow(_pair_sums, schema)
+        .groupBy("i")
+        .agg(*[F.sum(s).alias(s) for s in _SUMS])
+    )
+    n = F.col("n")
+
+    def spread(square: str, plain: str) -> Column:
+        """Variance; what is left of cancelled sums counts as none."""
+        value = F.col(square) / n - F.pow(F.col(plain) / n, F.lit(2))
+        return F.when(value > F.col(square) / n * 1e-13, value)
+
+    over = F.sqrt(spread("sxx", "sx")) * F.sqrt(spread("syy", "sy"))
+    r = (F.col("sxy") / n - F.col("sx") / n * F.col("sy") / n) / over
+    found = total.where("n > 0").select("i", r.alias("r")).select(
+        "i",
+        F.when(F.col("r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "r"))).alias("r"),
+    )
+    return _listed(found, names, _pairs(names))
+
+
 def pearson_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     """(col_a, col_b, ia, ib, r) over the rows where both cells are present."""
-    pairs = _pairs(names)
-    cells = melt(
-        df,
-        [(as_double(df, names[a]), as_double(df, names[b])) for a, b in pairs],
-        ["x", "y"],
-        keep_nulls=False,
-    )
-    return _pair_rows(cells, names, pairs)
+    return _matrix_pairs(df, names, [as_double(df, c) for c in names])
 
 
 # ----------------------------------------------------------------- spearman
@@ -123,11 +185,10 @@ def average_ranks(cells: DataFrame) -> DataFrame:
 def _attach_rank(rows: DataFrame, name: str, ranks: DataFrame, group: Column) -> DataFrame:
     """Replace column ``name`` by its rank within ``group``.
 
-    Values held by over 1/HOT_SHARE of a group come from a broadcast table (at most
-    HOT_SHARE entries per group); their rows get a spread-out key that matches nothing,
-    so the shuffle join gathers rare values only.
+    Values held by over HOT_ROWS rows come from a broadcast table; their rows get a
+    spread-out key that matches nothing, so the shuffle join gathers rarer values only.
     """
-    frequent = F.col("n") * HOT_SHARE > F.col("total")
+    frequent = F.col("n") > HOT_ROWS
     hot = ranks.where(frequent).select(
         F.col("g").alias("__g"), F.col("v").alias(name), F.col("rank").alias("__hot")
     )
@@ -135,7 +196,7 @@ def _attach_rank(rows: DataFrame, name: str, ranks: DataFrame, group: Column) ->
         F.col("g").alias("__g"), F.col("v").alias(name), F.lit(0).alias("__salt"),
         F.col("rank").alias("__cold"),
     )
-    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(HOT_SHARE)).cast("int") + 1
+    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(_SPREAD)).cast("int") + 1
     marked = (
         rows.withColumn("__g", group)
         .join(F.broadcast(hot), ["__g", name], "left")
@@ -181,10 +242,12 @@ def spearman_pairs(df: DataFrame, names: list[str]) -> DataFrame:
         rows = df.select(*[x[i].alias(f"x{i}") for i in members])
         for g, i in enumerate(members):
             rows = _attach_rank(rows, f"x{i}", ranks.where(F.col("g") == g), F.lit(g))
-        ranked = melt(
-            rows, [(F.col(f"x{a}"), F.col(f"x{b}")) for a, b in shared], ["x", "y"], False
+        own = [names[i] for i in members]
+        ranked = _matrix_pairs(rows, own, [F.col(f"x{i}") for i in members])
+        at = F.array(*[F.lit(i) for i in members])
+        results.append(
+            ranked.withColumns({"ia": F.get(at, F.col("ia")), "ib": F.get(at, F.col("ib"))})
         )
-        results.append(_pair_rows(ranked, names, shared))
     if apart:
         rows = melt(df, [(x[a], x[b]) for a, b in apart], ["x", "y"], keep_nulls=False).dropna()
         for side, column in enumerate(("x", "y")):

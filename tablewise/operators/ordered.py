@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tablewise.functions.columns import present, quoted, require_columns
 
-MAX_SLICES = 8192
-ROWS_PER_SLICE = 2_000  # lower bound, keeps small tables in few slices
+ROWS_PER_SLICE = 250_000  # what one window task sorts, whatever the size of the table
+LEAST_PER_SLICE = 2_000  # keeps small tables in few slices
 SAMPLE_PER_SLICE = 32
 _JSON = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -32,15 +32,16 @@ def order_key(names: Sequence[str]) -> Column:
 
 
 def slice_count(spark: SparkSession, rows: int) -> int:
-    """Several slices per shuffle task, so that their hash placement evens out."""
-    wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(MAX_SLICES, wanted, rows // ROWS_PER_SLICE))
+    """Slices that grow with the rows; small tables get several per shuffle task, so that
+    their hash placement evens out."""
+    spread = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(spread, rows // LEAST_PER_SLICE), -(-rows // ROWS_PER_SLICE))
 
 
 def slice_number(key: Column, sample: DataFrame, slices: int) -> Column:
     """Slice 0..slices-1 of a key, between cut points of a sample of keys (column k).
 
-    At most MAX_SLICES keys travel through the driver and come back as a literal.
+    One key per slice travels through the driver and comes back as a literal.
     """
     if slices == 1:
         # Always 0, but no constant: joins on the slice stay equi-joins.
@@ -82,7 +83,7 @@ def with_slices(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
 
 
 def _by_slice(order: str) -> Window:
-    """Window over the slice table: one row per slice, at most MAX_SLICES rows."""
+    """Window over the slice table: one row per slice."""
     return Window.partitionBy(F.lit(0)).orderBy(order)
 
 

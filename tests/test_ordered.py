@@ -3,13 +3,15 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tablewise.operators import clean, correlate, ordered
 
 
 @pytest.fixture()
 def small_slices(monkeypatch):
-    monkeypatch.setattr(ordered, "ROWS_PER_SLICE", 20)
+    monkeypatch.setattr(ordered, "ROWS_PER_SLICE", 40)
+    monkeypatch.setattr(ordered, "LEAST_PER_SLICE", 20)
 
 
 def sensor_rows(n=900):
@@ -105,9 +107,22 @@ def test_order_is_required(spark, single_row):
         clean.reset_index(single_row, [])
 
 
-@pytest.mark.parametrize("hot_share", [3, 1000])
-def test_spearman_matches_pandas(spark, small_slices, monkeypatch, hot_share):
-    monkeypatch.setattr(correlate, "HOT_SHARE", hot_share)
+@pytest.mark.parametrize("share", [0.0009, 0.3])
+def test_slices_follow_the_rows(spark, monkeypatch, share):
+    """No slice holds much over its target, whether or not a key is hot."""
+    monkeypatch.setattr(ordered, "ROWS_PER_SLICE", 500)
+    monkeypatch.setattr(ordered, "LEAST_PER_SLICE", 500)
+    hot = F.when(F.pmod(F.xxhash64("id"), F.lit(10_000)) < int(share * 10_000), -1)
+    df = spark.range(40_000).select(hot.otherwise(F.col("id")).alias("key"), "id")
+    assert ordered.slice_count(spark, 40_000) == 80
+    assert ordered.slice_count(spark, 10**11) == 2 * 10**8
+    sizes = ordered.with_slices(df, ["key", "id"]).groupBy(ordered.SLICE).count().collect()
+    assert len(sizes) > 70 and max(r["count"] for r in sizes) < 3 * 500
+
+
+@pytest.mark.parametrize("hot_rows", [3, 100, 10**6])
+def test_spearman_matches_pandas(spark, small_slices, monkeypatch, hot_rows):
+    monkeypatch.setattr(correlate, "HOT_ROWS", hot_rows)
     r = np.random.default_rng(8)
     n = 600
     pdf = pd.DataFrame(
