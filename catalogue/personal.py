@@ -234,9 +234,9 @@ add(
 add(
     "i08_scrub_whole_cells", PEOPLE,
     "SELECT c_custkey, CASE WHEN full_name IS NULL THEN NULL ELSE '<NAME>' END AS full_name, "
-    "'<ADDRESS>' AS street, '<PAN>' AS pan_no FROM d WHERE length(pan_no) = 10",
+    "'<ADDRESS>' AS street, CASE WHEN length(pan_no) = 10 THEN '<PAN>' ELSE pan_no END AS pan_no FROM d",
     lambda df: pii.scrub_columns(
-        df.where("length(pan_no) = 10").select("c_custkey", "full_name", "street", "pan_no"),
+        df.select("c_custkey", "full_name", "street", "pan_no"),
         {"full_name": ["name"], "street": ["address"], "pan_no": ["pan"]},
     ).withColumn("c_custkey", F.col("c_custkey").cast("bigint")),
 )

@@ -201,6 +201,16 @@ ENTRIES["p06_spearman_complete"] = Entry(
     ),
     "WITH d AS (SELECT * FROM lineitem) " + _matrix_sql(_R4, _spearman_sql),
 )
+_ALL_NUMBERS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+    "l_discount", "l_tax",
+]
+ENTRIES["p06_spearman_all_columns"] = Entry(
+    lambda spark, sf: _round_r(
+        correlate.correlation_matrix(table(spark, sf, "lineitem"), "spearman")
+    ),
+    "WITH d AS (SELECT * FROM lineitem) " + _matrix_sql(_ALL_NUMBERS, _spearman_sql),
+)
 add(
     "p07_top_correlations", LINES,
     "SELECT col_a, col_b, round(r, 6) AS r FROM (" + union([
