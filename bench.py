@@ -42,8 +42,10 @@ def headline(spark):
         "cap_outliers_lines": query("c04_cap_outliers"),
         "zscore_lines": query("c15_zscore"),
         "replay_orders": query("c21_replay"),
+        "replay_chain_lines": query("c21_replay_chain"),
         "pearson_lineitem": lambda: correlation_matrix(table("lineitem")),
         "spearman_lineitem": query("p06_spearman_complete"),
+        "spearman_all_lineitem": query("p06_spearman_all_columns"),
         "pii_detect_documents": lambda: pii.detect_pii(table("documents")),
         "pii_scrub_documents": query("i08_scrub_documents"),
         "pii_mask_customers": query("i07_synthetic"),

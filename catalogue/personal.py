@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogue.base import Entry, columns_of, listed, over, table, view
-from catalogue.profiling import union
+from catalogue.profiling import LINE_NUMBERS, _numeric_facts, union
 from tablewise.functions.masking import scrub_text
 from tablewise.functions.patterns import PATTERNS, matches
 from tablewise.operators import pii
@@ -258,3 +258,49 @@ add(
     lambda df: card.card_sections(df, plan={c: [k] for c, k in _HINTS.items()},
                                   order_by=["c_custkey"]),
 )
+_NUMERIC = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
+_SHOWN = " || ' | ' || ".join(f"CAST({c} AS VARCHAR)" for c in _NUMERIC)
+_PLACES = " ".join(f"WHEN '{c}' THEN {i + 1}" for i, c in enumerate(columns_of("dirty_lines")))
+ENTRIES["i09_card_numeric"] = Entry(
+    lambda spark, sf: card.numeric_lines(view(spark, sf, "dirty_lines")),
+    over("dirty_lines", "").rstrip() + f", f AS ({_numeric_facts(LINE_NUMBERS)}), g AS (SELECT "
+    "\"column\", n AS count, round(mean, 2) AS mean, round(sds, 2) AS std, round(lo, 2) AS min, "
+    "round(q25, 2) AS q25, round(q50, 2) AS q50, round(q75, 2) AS q75, round(hi, 2) AS max FROM f) "
+    f"SELECT 'numeric' AS section, CAST(CASE \"column\" {_PLACES} END AS INT) AS ordinal, "
+    f"'| ' || \"column\" || ' | ' || {_SHOWN} || ' |' AS text FROM g",
+)
+_LINE_PAIRS = [
+    (i, j, a, b)
+    for i, a in enumerate(LINE_NUMBERS) for j, b in enumerate(LINE_NUMBERS) if i < j
+]
+ENTRIES["i09_card_correlations"] = Entry(
+    lambda spark, sf: card.correlation_lines(view(spark, sf, "dirty_lines")),
+    over("dirty_lines", "").rstrip() + ", r AS (" + union([
+        f"SELECT {i} AS i, {j} AS j, '{a}' AS a, '{b}' AS b, "
+        f"(SELECT CASE WHEN isfinite(corr({a}, {b})) THEN corr({a}, {b}) END FROM d) AS r"
+        for i, j, a, b in _LINE_PAIRS
+    ]) + ") SELECT 'correlations' AS section, CAST(i * 10000 + j AS INT) AS ordinal, "
+    "printf('| %s | %s | %.2f |', a, b, abs(r)) AS text FROM r WHERE r IS NOT NULL "
+    "ORDER BY abs(r) DESC, i, j LIMIT 5",
+)
+add(
+    "i09_card_sample", PEOPLE,
+    "SELECT 'sample' AS section, CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS INT) AS ordinal, "
+    "'| ' || CAST(c_custkey AS VARCHAR) || ' | <NAME> | <ADDRESS> | ' || note || ' |' AS text FROM d "
+    "WHERE full_name IS NOT NULL ORDER BY c_custkey LIMIT 4",
+    lambda df: card.sample_lines(
+        df.where("full_name IS NOT NULL").select("c_custkey", "full_name", "street", "note"), 4,
+        {"full_name": ["name"], "street": ["address"]}, ["c_custkey"],
+    ),
+)
+add(
+    "i08_scrub_columns_marked", PEOPLE,
+    "SELECT c_custkey, CASE WHEN customer_email IS NULL THEN NULL WHEN customer_email = 'none' THEN 'none' "
+    "ELSE '<EMAIL>' END AS customer_email, CASE WHEN phone_no = 'n/a' THEN 'n/a' ELSE '<PHONE>' END "
+    "AS phone_no, CASE WHEN pan_no = 'ABC' THEN 'ABC' ELSE '<PAN>' END AS pan_no, '<IFSC>' AS ifsc_code "
+    "FROM d",
+    lambda df: pii.scrub_columns(
+        df.select("c_custkey", "customer_email", "phone_no", "pan_no", "ifsc_code"),
+        {c: [_HINTS[c]] for c in ("customer_email", "phone_no", "pan_no", "ifsc_code")},
+    ).withColumn("c_custkey", F.col("c_custkey").cast("bigint")),
+)
