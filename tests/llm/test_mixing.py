@@ -1,7 +1,6 @@
 import re
 from collections import defaultdict
 
-import pytest
 from pyspark.sql import functions as F
 
 from tablewise.llm import mixing
@@ -82,10 +81,9 @@ def test_entropy_balance(spark):
     assert by_source and all(len(v) == 1 for v in by_source.values())
 
 
-@pytest.mark.parametrize("partitions", [1, 7])
-def test_reruns_agree(documents, partitions):
+def test_reruns_agree(documents):
     first = sorted(map(tuple, mixing.mix_report(documents).collect()))
-    again = sorted(map(tuple, mixing.mix_report(documents.repartition(partitions)).collect()))
+    again = sorted(map(tuple, mixing.mix_report(documents.repartition(7)).collect()))
     assert [r[:6] for r in first] == [r[:6] for r in again]
 
 
