@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,6 +129,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     held = None
     schema = None
+    unpack = zstandard.ZstdDecompressor().decompress
 
     def batch_of(rows):
         columns = list(zip(*rows))
@@ -148,7 +150,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         ids = batch.column("id").to_pylist()
         for row_id, raw in zip(ids, batch.column("text")):
-            raw = raw.as_py()
+            raw = unpack(raw.as_py())
             text, bits = raw.decode("utf-8", "replace"), sketch(raw)
             if held is None:
                 rows.append(("first", part, row_id, *[None] * 1, None, packed(bits), None, None, None, text))
@@ -174,14 +176,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     any text without words and unlike all others.  Repeated rows stay repeated; an empty
     table gives an empty table.
 
-    The rows are range-partitioned once, and each partition is read in order.  What
-    crosses partitions is one text per partition.
+    The rows are range-partitioned once, their texts compressed, and each partition is
+    read in order.  What crosses partitions is one text per partition.
     """
     text = text_of(text_col)
     order = [F.col("id").desc_nulls_last(), F.col("hash"), F.col("text")]
+
+    @F.arrow_udf("binary")
+    def compressed(texts: pa.Array) -> pa.Array:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return pa.array([pack(t.as_py()) for t in texts], pa.binary())
+
     rows = docs.select(
         F.col(quoted(id_col)).alias("id"),
-        text.cast("binary").alias("text"),
+        compressed(text.cast("binary")).alias("text"),
         F.xxhash64(text).alias("hash"),
     )
     id_type = rows.schema["id"].dataType.simpleString()
@@ -214,6 +222,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("id", "text", "next_text", "next_print")
     )
 
+    text_type, likeness_type = pa.string(), pa.float64()
+    kinds = {
+        "n_chars": pa.int64(), "edited_sha256": text_type, "fingerprint": text_type,
+        "edited_fingerprint": text_type, "near_edited": likeness_type, "near_next": likeness_type,
+    }
+
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("text", "next_text", "next_print"))
@@ -221,10 +235,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 _compared(text, sketch(text.encode()), after, unpacked(after_print))
                 for text, after, after_print in zip(*columns)
             ]
-            names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"]
-            yield pa.RecordBatch.from_pydict(
-                {"id": batch.column("id")}
-                | {n: [f[i] for f in found] for i, n in enumerate([*names, "near_edited", "near_next"])}
-            )
+            columns = [
+                pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds.values())
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", *kinds])
 
     return inner.unionByName(lasts.mapInArrow(settle, f"id {id_type}, {_RESULT}"))
