@@ -2,17 +2,17 @@
 
 A task takes the distinct words (matches of the split pattern) of its batch and applies
 the merges to all of them together.  An inverted index leads from the rank of a token
-pair to the positions where that pair stands; ranks are taken in order, and a merge only
-touches the two neighbours of its position.  Words are independent of each other, so this
-gives each word the tokens that merging it alone would give, at a cost in proportion to
-its length rather than to its square.
+pair to the positions where that pair stands; ranks are taken in order, each at all of its
+positions at once, and a merge only touches the two neighbours of its position.  Words are
+independent of each other, so this gives each word the tokens that merging it alone would
+give, at a cost in proportion to its length rather than to its square.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,113 +22,197 @@ from pyspark.sql import functions as F
 
 from tablewise.llm.common import quoted, text_of
 
-#: Words whose tokens a Python worker remembers; beyond it starts anew.
-REMEMBERED = 400_000
+#: Words whose tokens a task remembers, in each of two generations.
+REMEMBERED = 150_000
+#: Pairs that are looked up one by one rather than by hashing.
+_FEW = 1000
 _KNOWN: dict[str, "Merges"] = {}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """The tokens of each word, all merges being applied in rank order."""
-    symbols: list[bytes] = []
-    after: list[int] = []  # position of the next symbol of the word, or -1
-    before: list[int] = []
-    starts = []
-    for word in words:
-        starts.append(len(symbols) if word else -1)
-        first = len(symbols)
-        last = first + len(word) - 1
-        symbols.extend([word[i : i + 1] for i in range(len(word))])
-        after.extend(range(first + 1, last + 1))
-        before.extend(range(first - 1, last))
-        if word:
-            after.append(-1)
-            before[first] = -1
-    index: dict[int, list[int]] = {}
-    for at, to in enumerate(after):
-        if to >= 0:
-            rank = ranks.get(symbols[at] + symbols[to])
-            if rank is not None:
-                index.setdefault(rank, []).append(at)
-    queue = list(index)
-    heapq.heapify(queue)
+class PairTable:
+    """Rank of the token that two tokens make, for whole arrays of pairs."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        self.bits = max(10, (4 * len(pairs)).bit_length())
+        size = 1 << self.bits
+        self.keys = np.full(size + 256, -1, np.int64)
+        self.ranks = np.full(size + 256, -1, np.int64)
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        self.probes = 1
+        for key, slot in zip(keys.tolist(), self._slots(keys).tolist()):
+            probe = 0
+            while self.keys[slot + probe] >= 0:
+                probe += 1
+            self.keys[slot + probe], self.ranks[slot + probe] = key, pairs[key]
+            self.probes = max(self.probes, probe + 1)
+        order = np.argsort(keys)
+        self.sorted = np.append(keys[order], np.iinfo(np.int64).max)
+        values = np.fromiter(pairs.values(), np.int64, len(pairs))
+        self.sorted_ranks = np.append(values[order], -1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        spread = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (spread >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) << 32 | right
+        if len(keys) < _FEW:
+            at = self.sorted.searchsorted(keys)
+            return np.where(self.sorted[at] == keys, self.sorted_ranks[at], -1)
+        slots = self._slots(keys)
+        found = np.where(self.keys[slots] == keys, self.ranks[slots], -1)
+        for probe in range(1, self.probes):
+            open_ = np.flatnonzero((found < 0) & (self.keys[slots + probe - 1] >= 0))
+            if not len(open_):
+                break
+            near = slots[open_] + probe
+            found[open_] = np.where(self.keys[near] == keys[open_], self.ranks[near], -1)
+        return found
+
+
+def merge_one(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The tokens of one word: always the pair of least rank, the leftmost of equals."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while len(parts) > 1:
+        found = [ranks.get(a + b, -1) for a, b in zip(parts, parts[1:])]
+        known = [r for r in found if r >= 0]
+        if not known:
+            break
+        at = found.index(min(known))
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[p] for p in parts]
+
+
+def replay(
+    words: list[bytes], ranks: dict[bytes, int], table: PairTable
+) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ends): the tokens of all words in turn, and where each word's end.
+
+    A vocabulary's merges never make a pair of smaller rank than their own.  Where one
+    does all the same, the word is merged by itself.
+    """
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    one_byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)])
+    symbol = one_byte[np.frombuffer(b"".join(words), np.uint8)].astype(np.int32)
+    n, ends = len(symbol), np.cumsum(lengths)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    # Positions of a batch of words fit into 32 bits.
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    some = lengths > 0
+    after[ends[some] - 1] = -1
+    before[(ends - lengths)[some]] = -1
+    odd = np.zeros(len(words), bool)
+    index: dict[int, list[np.ndarray]] = {}
+    queue: list[int] = []
+
+    def note(found: np.ndarray, places: np.ndarray) -> None:
+        known = found >= 0
+        if not known.any():
+            return
+        found, places = found[known], places[known]
+        order = np.argsort(found, kind="stable")
+        found, places = found[order], places[order]
+        cuts = np.flatnonzero(found[1:] != found[:-1]) + 1
+        starts = [0, *cuts.tolist(), len(found)]
+        for rank, start, end in zip(found[starts[:-1]].tolist(), starts, starts[1:]):
+            if rank in index:
+                index[rank].append(places[start:end])
+            else:
+                index[rank] = [places[start:end]]
+                heapq.heappush(queue, rank)
+
+    at = np.flatnonzero(after >= 0)
+    note(table.find(symbol[at], symbol[at + 1]), at)
     while queue:
         rank = heapq.heappop(queue)
-        places = index.pop(rank, None)
-        if places is None:
+        places = index.pop(rank)
+        at = np.unique(np.concatenate(places)) if len(places) > 1 else places[0]
+        to = after[at]
+        whole = to >= 0
+        at, to = at[whole], to[whole]
+        same = table.find(symbol[at], symbol[to]) == rank  # the pair may be another by now
+        at, to = at[same], to[same]
+        if not len(at):
             continue
-        places.sort()
-        for nth, at in enumerate(places):
-            to = after[at]
-            if to < 0:
-                continue
-            merged = symbols[at] + symbols[to]
-            # The pair here may be another one by now, or have been absorbed.
-            if symbols[to] == b"" or symbols[at] == b"" or ranks.get(merged) != rank:
-                continue
-            symbols[at], symbols[to] = merged, b""
-            beyond = after[at] = after[to]
-            after[to] = -1
-            lower = False
-            if beyond >= 0:
-                before[beyond] = at
-                new = ranks.get(merged + symbols[beyond])
-                if new is not None:
-                    if new not in index:
-                        heapq.heappush(queue, new)
-                    index.setdefault(new, []).append(at)
-                    lower = new < rank
-            behind = before[at]
-            if behind >= 0:
-                new = ranks.get(symbols[behind] + merged)
-                if new is not None:
-                    if new not in index:
-                        heapq.heappush(queue, new)
-                    index.setdefault(new, []).append(behind)
-                    lower = lower or new < rank
-            if lower and nth + 1 < len(places):  # a merge of smaller rank comes first
-                index.setdefault(rank, []).extend(places[nth + 1 :])
-                heapq.heappush(queue, rank)
-                break
-    found = []
-    for at in starts:
-        tokens = []
-        while at >= 0:
-            tokens.append(ranks[symbols[at]])
-            at = after[at]
-        found.append(tokens)
-    return found
+        chained = np.append(False, to[:-1] == at[1:])
+        if chained.any():  # of overlapping pairs every other one, from the left
+            first = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+            every_other = (np.arange(len(at)) - first) % 2 == 0
+            at, to = at[every_other], to[every_other]
+        beyond = after[to]
+        symbol[at], symbol[to] = rank, -1
+        after[at], after[to] = beyond, -1
+        inner = beyond >= 0
+        before[beyond[inner]] = at[inner]
+        behind = before[at]
+        outer = behind >= 0
+        places = np.concatenate([at[inner], behind[outer]])
+        found = table.find(symbol[places], symbol[np.concatenate([beyond[inner], at[outer]])])
+        smaller = (found >= 0) & (found < rank)
+        if smaller.any():
+            odd[owner[places[smaller]]] = True
+        note(found, places)
+    kept = symbol >= 0
+    ids = symbol[kept]
+    ends = np.cumsum(np.bincount(owner[kept], minlength=len(words)))
+    if odd.any():
+        parts = np.split(ids, ends[:-1])
+        for word in np.flatnonzero(odd):
+            parts[word] = np.array(merge_one(words[word], ranks), np.int64)
+        ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+    return ids, ends
 
 
 class Merges:
     """A vocabulary of ranks with the words met so far, as packed little-endian ids."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
+        self.ranks, self.table = ranks, PairTable(ranks)
         self.split = regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces = dict(zip(ranks.values(), ranks))
 
     def learn(self, words: set[str]) -> None:
-        hard = []
+        hard, raw = [], []
         for word in words:
-            raw = word.encode()
-            rank = self.ranks.get(raw)
+            whole = word.encode()
+            rank = self.ranks.get(whole)
             if rank is None:
-                hard.append((word, raw))
+                hard.append(word)
+                raw.append(whole)
             else:
                 self.words[word] = rank.to_bytes(4, "little")
-        for (word, _), tokens in zip(hard, replay([raw for _, raw in hard], self.ranks)):
-            self.words[word] = np.array(tokens, "<u4").tobytes()
+        if hard:
+            ids, ends = replay(raw, self.ranks, self.table)
+            packed = ids.astype("<u4").tobytes()
+            start = 0
+            for word, end in zip(hard, (4 * ends).tolist()):
+                self.words[word] = packed[start:end]
+                start = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(text) for text in texts]
+        # One object for all occurrences of a word, so that the lists of words stay small.
+        seen: dict[str, str] = {}
+        split = [list(map(seen.setdefault, words, words)) for words in map(self.split, texts)]
         if len(self.words) > REMEMBERED:
-            self.words = {}
-        new = set().union(*split) - self.words.keys()
-        self.learn(new)
+            self.words, self.older = {}, self.words
+        new = seen.keys() - self.words.keys()
+        again = new & self.older.keys()
+        self.words.update(zip(again, map(self.older.__getitem__, again)))
+        self.learn(new - again)
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+    def forget(self) -> None:
+        self.words, self.older = {}, {}
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -146,7 +230,7 @@ def _merges(content: bytes, pattern: str, name: str) -> Merges:
     return _KNOWN[name]
 
 
-def _slices(values: list, limit: int = 1 << 22) -> list[list]:
+def _slices(values: list, limit: int = 1 << 23) -> list[list]:
     """Runs of values of a few megabytes each, so that a batch of long texts stays small."""
     runs, size = [[]], 0
     for v in values:
@@ -174,10 +258,12 @@ def bpe_codec(
     name = f"{path} {pattern}"
 
     @F.arrow_udf("binary")
-    def encode(texts: pa.Array) -> pa.Array:
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         merges = _merges(shared.value, pattern, name)
-        raw = [t.as_py().decode("utf-8", "replace") for t in texts]
-        return pa.array([x for run in _slices(raw) for x in merges.encode(run)], pa.binary())
+        for texts in batches:
+            raw = [t.as_py().decode("utf-8", "replace") for t in texts]
+            yield pa.array([x for run in _slices(raw) for x in merges.encode(run)], pa.binary())
+        merges.forget()  # a worker that waits for its next task holds the vocabulary only
 
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
