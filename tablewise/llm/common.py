@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,27 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of texts that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on the bytes of an Arrow batch, so that a few very long
+    texts among ten thousand rows do not fill a worker's memory."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(setting).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
+def release_memory() -> None:
+    """Gives memory that a finished task used back to the machine, where the platform can:
+    workers wait for further tasks, of other operators too."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
