@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import quoted, text_of, written
+from tablewise.llm.common import quoted, release_memory, small_batches, text_of, written
 from tablewise.llm.pieces import Pieces, read_pieces
 from tablewise.llm.subwords import Lattice
 
 #: Classes that are told apart; documents of all others share one more.
 CLASSES = 8
-#: Words whose scores are broadcast (about 100 bytes each); the others are joined.
+#: Words whose scores are broadcast at most (about 100 bytes each); the others are joined.
 FREQUENT = 1 << 18
 #: Share of the counts over all classes, and of the end among what was never seen.
 OVER_ALL = 0.1
@@ -79,6 +79,9 @@ def _counter(classes: int):
                     for own in (*counts, unseen):
                         own.clear()
         yield flush()
+        counts.clear()
+        unseen.clear()
+        release_memory()
 
     return count
 
@@ -215,6 +218,25 @@ class Model:
         ]
 
 
+def _frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words over the least count that at most ``most`` words reach.
+
+    Counts are put into logarithmic steps, of which there are a few hundred at most; no
+    task sorts the words.
+    """
+    step = F.floor(F.log2("overall") * 16).cast("int")
+    sizes = words.where("overall > 0").groupBy(step.alias("step")).count().collect()
+    least, taken = None, 0
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        taken += r["count"]
+        if taken > most:
+            break
+        least = r["step"]
+    if least is None:
+        return words.limit(0)
+    return words.where(F.col("overall") > 0).where(step >= least)
+
+
 def _scorer(frequent, width: int):
     name = uuid.uuid4().hex
 
@@ -276,6 +298,7 @@ def score_documents(
     have the scores of the vocabulary alone.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     label = F.coalesce(F.col(quoted(class_col)).cast("string"), F.lit(""))
     own = docs.select(
         F.col(quoted(id_col)).alias("id"),
@@ -319,13 +342,7 @@ def score_documents(
         [totals[c] or 0 for c in counts],
         totals["distinct"],
     )
-    top = (
-        words.withColumn("overall", overall)
-        .orderBy(F.desc("overall"), "word")
-        .limit(frequent_words)
-        .drop("overall")
-        .toArrow()
-    )
+    top = _frequent(words.withColumn("overall", overall), frequent_words).drop("overall").toArrow()
     matrix = model.matrix(
         np.column_stack([top.column(c).to_numpy() for c in counts]).astype(float),
         np.array(top.column("sub").to_pylist(), float).reshape(-1, classes),
