@@ -22,12 +22,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import fresh, quoted, text_of, written
+from tablewise.llm.common import (
+    fresh,
+    quoted,
+    release_memory,
+    small_batches,
+    text_of,
+    written,
+)
 
-#: Labelled rows of each class that are learned from at most, chosen by hash of the id.
+#: Labelled rows of each class that are learned from, all or about so many by hash of the id.
 SAMPLE = 20_000
+_PLACES = 1 << 40
 #: Entries of the lexicon and of the learned exceptions at most.
 ENTRIES = 4_000
+#: Candidates that a counting task holds before it passes its counts on.
+HELD = 200_000
 #: Lengths of word beginnings that may become entries, and of whole words.
 STEM = (4, 8)
 LONGEST_WORD = 40
@@ -181,11 +191,13 @@ def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = (batch.column(c).to_pylist() for c in ("folded", "toxic", "like"))
         for text, toxic, like in zip(*columns):
             counts[_COUNTS[2 * toxic + like % 2]].update(_units(text))
-        if sum(map(len, counts.values())) > 500_000:
+        if sum(map(len, counts.values())) > HELD:
             yield from flush()
             for own in counts.values():
                 own.clear()
     yield from flush()
+    counts.clear()
+    release_memory()
 
 
 def _lexicon(units: DataFrame, totals: dict[str, int], halves: tuple[int, ...]) -> dict[str, float]:
@@ -266,6 +278,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return coefficients
 
 
+def _share(rows: int, wanted: int) -> int:
+    """Places out of ``_PLACES`` that about ``wanted`` of ``rows`` rows fall on."""
+    return _PLACES if rows <= wanted else _PLACES * wanted // rows
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -275,12 +292,13 @@ def fit(
     sample_rows: int = SAMPLE,
     exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> Model:
-    """Learns from at most ``sample_rows`` labelled rows of each class that are not held out.
+    """Learns from about ``sample_rows`` labelled rows of each class that are not held out.
 
     Ids that are labelled twice count as toxic if either label says so; null ids and null
     labels are left out.  Near copies in the sample count once.  Without labels of both
     kinds the lexicon is empty and every text gets the share of toxic labels as its score.
     """
+    small_batches(docs.sparkSession)
     marked = (
         labels.select(
             F.col(quoted(id_col)).alias("id"),
@@ -291,9 +309,13 @@ def fit(
         .groupBy("id")
         .agg(F.max("toxic").cast("long").alias("toxic"))
     )
-    order = [F.xxhash64(F.lit("sample"), F.col("id").cast("string")), F.col("id")]
-    chosen = marked.where("toxic = 1").orderBy(*order).limit(sample_rows).unionAll(
-        marked.where("toxic = 0").orderBy(*order).limit(sample_rows)
+    # A share of each class by hash of the id: what comes back is bounded, nothing is sorted.
+    sizes = dict(marked.groupBy("toxic").count().collect())
+    place = F.pmod(F.xxhash64(F.lit("sample"), F.col("id").cast("string")), F.lit(_PLACES))
+    chosen = marked.where(
+        F.when(F.col("toxic") == 1, place < _share(sizes.get(1, 0), sample_rows)).otherwise(
+            place < _share(sizes.get(0, 0), sample_rows)
+        )
     )
 
     @F.arrow_udf("string")
@@ -358,6 +380,7 @@ def fit(
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """Probability that a text is toxic, by the text alone; null counts as empty."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
