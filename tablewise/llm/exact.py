@@ -76,13 +76,10 @@ def exact_groups(
         }
     )
     signatures = written(base.select("length", "head"), "signatures")
-    lengths = signatures.groupBy("length").count().where("count > 1").select("length")
-    heads = (
-        signatures.join(lengths, "length", "left_semi")
-        .groupBy("length", "head")
-        .count()
-        .where("count > 1")
-    )
+    # Counted by length and prefix at once, so that a hot length is summed before it is dealt.
+    heads = signatures.groupBy("length", "head").count()
+    lengths = heads.groupBy("length").agg(F.sum("count").alias("n")).where("n > 1")
+    heads = heads.join(lengths, "length", "left_semi").where("count > 1")
     bitmap = F.broadcast(written(_bitmap(heads), "bitmap"))
     at = _position(F.col("length"), F.col("head"))
     digest = F.sha2(F.col("normal"), 256)
