@@ -36,7 +36,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2
 #: Documents of a class that are ordered by hash in one task.
-PIECE = 2000
+PIECE = 256
 _ROUNDS = 80
 
 
