@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import quoted, text_of, written
+from tablewise.llm.common import quoted, small_batches, text_of, written
 
 SHINGLE = 5
 BIN_BITS = 9
@@ -187,6 +187,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         pack = zstandard.ZstdCompressor(level=3).compress
         return pa.array([pack(t.as_py()) for t in texts], pa.binary())
 
+    small_batches(docs.sparkSession)
     rows = docs.select(
         F.col(quoted(id_col)).alias("id"),
         compressed(text.cast("binary")).alias("text"),

@@ -19,7 +19,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import fresh, keep_rows, quoted, row_key, text_of, written
+from tablewise.llm.common import (
+    fresh,
+    keep_rows,
+    quoted,
+    row_key,
+    small_batches,
+    text_of,
+    written,
+)
 from tablewise.llm.components import connected
 
 BITS = 64
@@ -262,6 +270,7 @@ def near_groups(
     stay repeated; an empty table gives an empty table.  ``with_key`` adds the row's
     ``row_key`` and the component's own name, one of its fingerprints.
     """
+    small_batches(docs.sparkSession)
     rows = written(
         docs.select(
             F.col(quoted(id_col)).alias("id"),

@@ -6,11 +6,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import quoted, text_of
+from tablewise.llm.common import quoted, small_batches, text_of
 from tablewise.llm.pieces import Pieces, read_pieces, token_counts
 
 #: Words whose counts a Python worker remembers; beyond it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 _KNOWN: dict[str, dict[bytes, int]] = {}
 
 
@@ -35,6 +35,7 @@ def count_tokens(
     repeated; an empty table gives an empty table.  Each task inserts the distinct words
     of its batch in a trie; the vocabulary is broadcast, its size being that of its file.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_pieces(path))
 
     @F.arrow_udf("struct<n_words: long, n_tokens: long>")
