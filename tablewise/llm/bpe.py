@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +20,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import quoted, text_of
+from tablewise.llm.common import quoted, release_memory, small_batches, text_of
 
-#: Words whose tokens a task remembers, in each of two generations.
-REMEMBERED = 150_000
+#: Words whose tokens a Python worker remembers, in each of two generations.
+REMEMBERED = 100_000
 #: Pairs that are looked up one by one rather than by hashing.
 _FEW = 1000
 _KNOWN: dict[str, "Merges"] = {}
@@ -210,9 +210,6 @@ class Merges:
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
-    def forget(self) -> None:
-        self.words, self.older = {}, {}
-
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -230,7 +227,7 @@ def _merges(content: bytes, pattern: str, name: str) -> Merges:
     return _KNOWN[name]
 
 
-def _slices(values: list, limit: int = 1 << 23) -> list[list]:
+def _slices(values: list, limit: int = 1 << 22) -> list[list]:
     """Runs of values of a few megabytes each, so that a batch of long texts stays small."""
     runs, size = [[]], 0
     for v in values:
@@ -253,17 +250,19 @@ def bpe_codec(
     stand for.  The file is read once, on the driver, and broadcast: its size is that of
     the vocabulary, whatever the corpus.
     """
+    small_batches(df.sparkSession)
     context = df.sparkSession.sparkContext
     shared = context.broadcast(read_ranks(path))
     name = f"{path} {pattern}"
 
+    # Plain batch functions: Spark runs both, one after the other, in the same worker.
     @F.arrow_udf("binary")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def encode(texts: pa.Array) -> pa.Array:
         merges = _merges(shared.value, pattern, name)
-        for texts in batches:
-            raw = [t.as_py().decode("utf-8", "replace") for t in texts]
-            yield pa.array([x for run in _slices(raw) for x in merges.encode(run)], pa.binary())
-        merges.forget()  # a worker that waits for its next task holds the vocabulary only
+        raw = [t.as_py().decode("utf-8", "replace") for t in texts]
+        ids = pa.array([x for run in _slices(raw) for x in merges.encode(run)], pa.binary())
+        release_memory()
+        return ids
 
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
