@@ -3,8 +3,9 @@
 Folding lower-cases, strips accents, turns look-alike letters of other scripts and digits
 or signs that stand for letters into plain ones, and leaves words with one blank between.
 The lexicon (whole words and word beginnings), its weights and the exception phrases are
-learned from a bounded sample of labelled rows; the final score is a logistic function of
-the summed weight and of that weight over the text's length.
+learned from a bounded sample of labelled rows, in which each class stands for all of its
+rows; the final score is a logistic function of the summed weight and of that weight over
+the text's length.
 """
 
 from __future__ import annotations
@@ -227,7 +228,9 @@ def _lexicon(units: DataFrame, totals: dict[str, int], halves: tuple[int, ...])
     return kept
 
 
-def _learned_exceptions(sample: DataFrame, lexicon: Model) -> frozenset[str]:
+def _learned_exceptions(
+    sample: DataFrame, lexicon: Model, stands_for: dict[int, float]
+) -> frozenset[str]:
     """Two-word phrases around an entry that are common in clean texts and not in toxic ones."""
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +258,10 @@ def _learned_exceptions(sample: DataFrame, lexicon: Model) -> frozenset[str]:
         .mapInArrow(phrases, "phrase string, toxic long")
         .groupBy("phrase")
         .agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
-        .where("clean >= 3 AND clean >= 10 * toxic")
+        .where(
+            (F.col("clean") >= 3)
+            & (F.col("clean") * stands_for[0] >= 10 * F.col("toxic") * stands_for[1])
+        )
         .orderBy(F.desc("clean"), "phrase")
         .limit(ENTRIES)
         .collect()
@@ -263,14 +269,15 @@ def _learned_exceptions(sample: DataFrame, lexicon: Model) -> frozenset[str]:
     return frozenset(r["phrase"] for r in rows)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; x has a leading column of ones."""
+def _logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; x has a leading column of ones, and each
+    line of it stands for so many ``rows``."""
     coefficients = np.zeros(x.shape[1])
     ridge = np.diag([1e-3] + [0.05] * (x.shape[1] - 1))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ coefficients, -30, 30)))
-        gradient = x.T @ (y - p) - ridge @ coefficients
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge
+        gradient = x.T @ (rows * (y - p)) - ridge @ coefficients
+        hessian = (x * (rows * p * (1 - p))[:, None]).T @ x + ridge
         step = np.linalg.solve(hessian, gradient)
         coefficients = coefficients + step
         if np.abs(step).max() < 1e-8:
@@ -295,8 +302,10 @@ def fit(
     """Learns from about ``sample_rows`` labelled rows of each class that are not held out.
 
     Ids that are labelled twice count as toxic if either label says so; null ids and null
-    labels are left out.  Near copies in the sample count once.  Without labels of both
-    kinds the lexicon is empty and every text gets the share of toxic labels as its score.
+    labels are left out.  A class that is drawn from counts as all of its labelled rows in
+    the scale and in the exceptions, so scores keep to the true mix on tables of any size.
+    Near copies in the sample count once.  Without labels of both kinds the lexicon is
+    empty and every text gets the share of toxic labels as its score.
     """
     small_batches(docs.sparkSession)
     marked = (
@@ -317,6 +326,8 @@ def fit(
             place < _share(sizes.get(0, 0), sample_rows)
         )
     )
+    drawn = dict(chosen.groupBy("toxic").count().collect())
+    stands_for = {c: sizes[c] / drawn[c] if c in drawn else 1.0 for c in (0, 1)}
 
     @F.arrow_udf("string")
     def folded(texts: pa.Array) -> pa.Array:
@@ -343,7 +354,8 @@ def fit(
     clean, toxic = (totals[f"{c}0"] + totals[f"{c}1"] for c in ("clean", "toxic"))
     given = frozenset(f for f in map(fold, exceptions) if f)
     if not clean or not toxic:
-        return Model({}, given, min(float(np.log((toxic + 0.5) / (clean + 1.5))), -0.1))
+        odds = (toxic * stands_for[1] + 0.5) / (clean * stands_for[0] + 1.5)
+        return Model({}, given, min(float(np.log(odds)), -0.1))
     units = written(
         sample.select("folded", "toxic", "like")
         .mapInArrow(_count_units, "unit string, " + ", ".join(f"{c} long" for c in _COUNTS))
@@ -353,7 +365,7 @@ def fit(
         "units",
     )
     weights = _lexicon(units, totals, (0, 1))
-    learned = given | _learned_exceptions(sample, Model(weights, given))
+    learned = given | _learned_exceptions(sample, Model(weights, given), stands_for)
     # The scale is fitted on hits of entries that were learned from the other half.
     others = [Model(_lexicon(units, totals, (1 - half,)), learned) for half in (0, 1)]
 
@@ -374,7 +386,8 @@ def fit(
     ).toPandas().to_numpy(float)
     data = data[np.lexsort(data.T)]
     x = np.column_stack([np.ones(len(data)), data[:, :2]])
-    intercept, by_weight, by_density = _logistic(x, data[:, 2])
+    rows = np.where(data[:, 2] == 1, stands_for[1], stands_for[0])
+    intercept, by_weight, by_density = _logistic(x, data[:, 2], rows)
     return Model(weights, learned, float(intercept), float(by_weight), float(by_density))
 
 

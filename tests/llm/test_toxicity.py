@@ -93,6 +93,26 @@ def test_copies_count_once(planted, spark):
     assert len(model.weights) <= 8
 
 
+def test_sample_keeps_the_mix(spark):
+    """A weak entry scores as in the whole table when clean rows are drawn and toxic ones all kept."""
+    own = random.Random(4)
+    rows = []
+    for i in range(6000):
+        text = " ".join("w" + "".join(own.choices("abcdefgh", k=3)) for _ in range(12))
+        kind = own.random()
+        weak, fish = kind < 0.08, 0.08 <= kind < 0.10
+        toxic = own.random() < (0.4 if weak else 0.04 if fish else 0.005)
+        rows.append((i, text + " blorg" * weak + " blorg fish" * fish, int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    whole, drawn = (toxicity.fit(docs, labels, sample_rows=n) for n in (20_000, 1000))
+    text = toxicity.fold(rows[0][1].split(" blorg")[0] + " blorg")
+    assert whole.score(text) < 0.5
+    assert abs(drawn.score(text) - whole.score(text)) < 0.1
+    phrase = toxicity.fold("blorg fish")
+    assert phrase in whole.exceptions and phrase in drawn.exceptions
+
+
 def test_stage(planted, clashing, no_docs, spark):
     docs, labels, rows = planted
     kept = {r["doc_id"] for r in toxicity.drop_toxic(docs, labels).collect()}
