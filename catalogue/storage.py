@@ -15,6 +15,8 @@ from tablewise.sources.scratch import scratch_path
 
 ENTRIES: dict[str, Entry] = {}
 ORDERS, PEOPLE = "dirty_orders", "personal_customers"
+#: Rows of a JSON document at most; a power of two, so that no document mixes partitions.
+DOCUMENT_ROWS = 1 << 16
 
 
 def add(name: str, source: str, body: str | None, run) -> None:
@@ -117,21 +119,29 @@ def _csv_gz(df):
 
 
 def _json_gz(df):
-    """One compressed document: an indented array of all rows."""
+    """Compressed documents, each an indented array of a bounded number of rows."""
     path = _path(df, "people.json.gz")
-    rows = _people(df).select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("row"))
-    rows.agg(
+    rows = _people(df).select(
+        F.expr(f"monotonically_increasing_id() div {DOCUMENT_ROWS}").alias("document"),
+        F.to_json(F.struct("*"), {"pretty": "true"}).alias("row"),
+    )
+    documents = rows.groupBy("document").agg(
         F.concat(F.lit("[\n"), F.array_join(F.collect_list("row"), ",\n"), F.lit("\n]")).alias("value")
-    ).coalesce(1).write.option("compression", "gzip").text(path)
+    )
+    # A file is one document.
+    (
+        documents.select("value").write.option("compression", "gzip")
+        .option("maxRecordsPerFile", 1).text(path)
+    )
     return readers.load(df.sparkSession, path).select("c_custkey", "note", "pan_no")
 
 
 def _late_latin(df):
-    """One file whose only byte outside ASCII stands in its last line."""
+    """Files in the order of keys; the only byte outside ASCII stands in the last one's last line."""
     path, last = _path(df, "late.csv"), df.agg(F.max("c_custkey")).first()[0]
     named = F.when(F.col("c_custkey") == last, "Café").otherwise(F.col("note"))
     (
-        df.select("c_custkey", named.alias("note"), "pan_no").orderBy("c_custkey").coalesce(1)
+        df.select("c_custkey", named.alias("note"), "pan_no").orderBy("c_custkey")
         .write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
     )
     return readers.load(df.sparkSession, path)

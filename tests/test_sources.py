@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from catalogue import storage
 from conftest import rows_of
 from tablewise.sources import readers, writers
 from tablewise.sources.manifest import file_manifest
@@ -168,3 +169,39 @@ def test_capped(spark):
     assert readers.capped(spark.range(100), 7).count() == 7
     got = readers.capped(spark.range(100).selectExpr("100 - id AS x"), 3, ["x"])
     assert sorted(r["x"] for r in got.collect()) == [1, 2, 3]
+
+
+def people(spark, n):
+    return spark.range(0, n, 1, 3).select(
+        F.col("id").alias("c_custkey"), F.format_string("p%d", "id").alias("note"),
+        F.format_string("n%d", "id").alias("pan_no"),
+    )
+
+
+def test_json_documents_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(storage, "DOCUMENT_ROWS", 16, raising=False)
+    df = storage._json_gz(people(spark, 100))
+    sizes = [r["count"] for r in df.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 9 and max(sizes) <= 16  # 33, 33 and 34 rows in three partitions
+    assert rows_of(df, "c_custkey", "note", "pan_no") == sorted(
+        [(i, f"ref p{i}", f"n{i}") for i in range(100)], key=repr
+    )
+
+
+def test_late_byte_among_several_files(spark):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        df = storage._late_latin(people(spark, 100))
+        files = {r["path"]: [] for r in df.select(F.input_file_name().alias("path")).collect()}
+        assert len(files) > 1
+        for path, lines in files.items():
+            raw = spark.read.format("binaryFile").load(path).first()["content"]
+            lines += bytes(raw).splitlines()
+        late = [lines for lines in files.values() if not b"".join(lines).isascii()]
+        assert len(late) == 1 and b"".join(late[0][:-1]).isascii()
+        assert rows_of(df, "c_custkey", "note", "pan_no") == sorted(
+            [(i, f"p{i}", f"n{i}") for i in range(99)] + [(99, "Café", "n99")], key=repr
+        )
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
