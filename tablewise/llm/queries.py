@@ -17,6 +17,7 @@ from tablewise.llm import (
     lattice,
     minhash,
     mixing,
+    resample,
     sharding,
     simhash,
     token_counts,
@@ -108,6 +109,13 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score, rank of every document, drawn towards the benchmark."""
+    return resample.importance_resample(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ).select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -121,6 +129,7 @@ QUERIES = {
         op8_token_counts,
         op9_entropy_mix,
         op10_jump_shards,
+        op13_resample,
     )
 }
-SQL: dict[str, str] = {"op6_tool_calls": toolcalls.ORACLE}
+SQL: dict[str, str] = {"op6_tool_calls": toolcalls.ORACLE, "op13_resample": resample.ORACLE}
