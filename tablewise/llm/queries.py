@@ -17,6 +17,7 @@ from tablewise.llm import (
     lattice,
     minhash,
     mixing,
+    neighbours,
     resample,
     sharding,
     simhash,
@@ -109,6 +110,11 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 nearest vectors found of every twentieth one."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_features, weight, score, rank of every document, drawn towards the benchmark."""
     return resample.importance_resample(
@@ -129,6 +135,7 @@ QUERIES = {
         op8_token_counts,
         op9_entropy_mix,
         op10_jump_shards,
+        op12_neighbours,
         op13_resample,
     )
 }
