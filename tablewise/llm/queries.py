@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewise.llm import (
+    alignment,
     bpe,
     exact,
     lattice,
@@ -29,6 +30,7 @@ from tablewise.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
+BYTE_TOKENS = "byte_bpe_50k.json"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +112,16 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
+    return alignment.alignment_report(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path(BYTE_TOKENS),
+        public_tokenizers.path(PIECES),
+        public_tokenizers.PATTERN,
+    ).withColumnRenamed("id", "doc_id")
+
+
 def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score: the 20 nearest vectors found of every twentieth one."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
@@ -135,6 +147,7 @@ QUERIES = {
         op8_token_counts,
         op9_entropy_mix,
         op10_jump_shards,
+        op11_alignment,
         op12_neighbours,
         op13_resample,
     )
