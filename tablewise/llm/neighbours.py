@@ -12,6 +12,9 @@ queries, found by scanning all rows: cells are made larger until the visits reac
 recall.  All rows are hashed, and cells may hold any number of rows: cells beyond a limit
 are dealt out in blocks, each of which all of the cell's queries visit.
 
+A query first visits a few cells of one table.  The last of the neighbours found there bounds
+what it still takes from other cells, so that what cells pass on does not grow with their number.
+
 Equal vectors are searched once; their rows take part by their smallest ids, as many as can
 be among the nearest.  A query whose cells hold too few rows is scanned against all of them.
 """
@@ -37,8 +40,10 @@ STEPS = 3
 #: Queries on which the visits are fitted, and the recall that they must reach there.
 FITTED = 200
 RECALL = 0.95
-#: Rows of a region (one comparison in memory); cells with more rows are dealt out in blocks.
-REGION = 8192
+#: Bytes of the rows of a region (one comparison in memory); cells with more are dealt out in blocks.
+REGION_BYTES = 1 << 25
+#: Cells of the first table that are visited ahead, so that far rows need not be passed on.
+AHEAD = 16
 #: Cells over the limit that are listed at most; the limit grows beyond.
 LISTED = 1_000_000
 #: Queries that are scanned against all rows at once.
@@ -177,6 +182,7 @@ def _scan(asked, width: int, take: int):
     return run
 
 
+_PLACED = ["region", "side", "row", "pos", "vec", "least", "cells"]
 _FOUND = "q long, row long, pos long, score double"
 
 
@@ -228,15 +234,15 @@ def fitted_cells(
         projections -= 1
 
 
-def _hashed(cells, width: int, regions: int, crowded):
-    """Every row once in each table, in the region of its cell (in all copies of its block)."""
+def _hashed(cells, width: int, regions: int, crowded, tables: range):
+    """Every row once in each of the tables, in the region of its cell (in all copies of its block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, rows = _matrix(batch.column("vec"), width), np.asarray(batch.column("row"), np.int64)
-            for t in range(TABLES):
+            for t in tables:
                 keys = cells.value.row_keys(t, x)
                 region, at = _row_regions(t, keys, rows, regions, crowded.value if crowded else {})
                 yield pa.RecordBatch.from_arrays(
@@ -244,9 +250,10 @@ def _hashed(cells, width: int, regions: int, crowded):
                         pa.array(region),
                         pa.array(np.zeros(len(at), np.int8)),
                         *(batch.column(c).take(pa.array(at)) for c in ("row", "pos", "vec")),
+                        pa.nulls(len(at), pa.float64()),
                         pa.array([k.tobytes() for k in keys[at]], pa.binary()),
                     ],
-                    ["region", "side", "row", "pos", "vec", "cells"],
+                    _PLACED,
                 )
         release_memory()
 
@@ -279,7 +286,7 @@ def _row_regions(table, keys, rows, regions, crowded):
     )
 
 
-def _visiting(cells, width: int, regions: int, crowded, visits: int):
+def _visiting(cells, width: int, regions: int, crowded, tables: range, visits: int):
     """Every query once in each region that has a cell it visits, with those cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +295,7 @@ def _visiting(cells, width: int, regions: int, crowded, visits: int):
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 q, rows = _matrix(batch.column("vec"), width), np.asarray(batch.column("row"), np.int64)
-                for t in range(TABLES):
+                for t in tables:
                     keys = cells.value.visited(t, q, visits)
                     owner = np.repeat(np.arange(len(q)), keys.shape[1])
                     flat = keys.ravel()
@@ -315,10 +322,10 @@ def _visiting(cells, width: int, regions: int, crowded, visits: int):
                         [
                             pa.array(region[starts]),
                             pa.array(np.ones(len(starts), np.int8)),
-                            *(batch.column(c).take(at) for c in ("row", "pos", "vec")),
+                            *(batch.column(c).take(at) for c in ("row", "pos", "vec", "least")),
                             pa.array([flat[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
                         ],
-                        ["region", "side", "row", "pos", "vec", "cells"],
+                        _PLACED,
                     )
         release_memory()
 
@@ -369,6 +376,8 @@ def _found(held, part: pa.RecordBatch, width: int, take: int) -> pa.RecordBatch:
     wanted = np.concatenate(cells)
     owner = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
     q, q_row = _matrix(part.column("vec"), width), np.asarray(part.column("row"), np.int64)
+    least = np.asarray(part.column("least"), np.float64)
+    least = least - _TINY * np.abs(least)
     low, high = keys.searchsorted(wanted, "left"), keys.searchsorted(wanted, "right")
     some = np.flatnonzero(high > low)
     some = some[np.argsort(low[some], kind="stable")]
@@ -380,7 +389,7 @@ def _found(held, part: pa.RecordBatch, width: int, take: int) -> pa.RecordBatch:
             scores = q[asks[i : i + 256]] @ x[start:end].T
             scores[q_row[asks[i : i + 256], None] == row[start:end]] = -np.inf
             who, what = _best(scores, take)
-            fine = scores[who, what] > -np.inf
+            fine = (scores[who, what] > -np.inf) & (scores[who, what] >= least[asks[i : i + 256]][who])
             got[0].append(asks[i : i + 256][who[fine]])
             got[1].append(what[fine] + start)
     who, what = (np.concatenate(g) for g in got)
@@ -394,6 +403,10 @@ def _found(held, part: pa.RecordBatch, width: int, take: int) -> pa.RecordBatch:
     )
 
 
+def _region_rows(width: int) -> int:
+    return max(1, REGION_BYTES // (8 * width))
+
+
 def _crowded(rows: DataFrame, cells, width: int, n: int) -> dict[int, tuple[int, int]]:
     """Cells over the limit: blocks of their rows, and copies of a block for the many queries."""
 
@@ -405,7 +418,7 @@ def _crowded(rows: DataFrame, cells, width: int, n: int) -> dict[int, tuple[int,
                 key, count = np.unique(found, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count)], ["key", "n"])
 
-    limit = max(REGION, TABLES * n // LISTED)
+    limit = max(_region_rows(width), TABLES * n // LISTED)
     counts = (
         rows.select("vec").mapInArrow(keys, "key long, n long").groupBy("key")
         .agg(F.sum("n").alias("n")).where(F.col("n") > limit).collect()
@@ -526,21 +539,37 @@ def _search(classes, queries, n, width, norm, take, seed) -> DataFrame:
     spark = classes.sparkSession
     fitted, visits = fitted_cells(classes, queries, n, width, norm, take, seed)
     cells = spark.sparkContext.broadcast(fitted)
-    regions = -(-n // REGION)
+    regions = -(-n // _region_rows(width))
     crowded = spark.sparkContext.broadcast(_crowded(classes, cells, width, n))
     item = classes.schema["vec"].dataType.simpleString()
-    schema = f"region long, side tinyint, row long, pos long, vec {item}, cells binary"
-    columns = ["row", "pos", "vec"]
-    index = classes.select(*columns).mapInArrow(_hashed(cells, width, regions, crowded), schema)
-    visiting = queries.select(*columns).mapInArrow(
-        _visiting(cells, width, regions, crowded, visits), schema
+    schema = (
+        f"region long, side tinyint, row long, pos long, vec {item}, least double, cells binary"
+    )
+    rows = classes.select("row", "pos", "vec")
+
+    def found_in(tables: range, visits: int, queries: DataFrame) -> DataFrame:
+        index = rows.mapInArrow(_hashed(cells, width, regions, crowded, tables), schema)
+        visiting = queries.mapInArrow(
+            _visiting(cells, width, regions, crowded, tables, visits), schema
+        )
+        return (
+            index.unionAll(visiting)
+            .repartition("region")
+            .sortWithinPartitions("region", "side")
+            .mapInArrow(_compare(width, take), _FOUND)
+        )
+
+    plain = queries.select("row", "pos", "vec").withColumn("least", F.lit(float("-inf")))
+    ahead = written(_nearest(found_in(range(1), min(visits, AHEAD), plain), take), "ahead")
+    bounds = (
+        ahead.groupBy(F.col("q").alias("row"))
+        .agg(F.min("score").alias("bound"), F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") == take)
     )
-    compared = (
-        index.unionAll(visiting)
-        .repartition("region")
-        .sortWithinPartitions("region", "side")
-        .mapInArrow(_compare(width, take), _FOUND)
+    bounded = plain.join(bounds, "row", "left").select(
+        "row", "pos", "vec", F.coalesce("bound", "least").alias("least")
     )
+    compared = ahead.unionAll(found_in(range(TABLES), visits, bounded))
     found = written(_nearest(compared.dropDuplicates(["q", "row"]), take), "found")
     least = min(take, n - 1)
     short = written(

@@ -61,10 +61,15 @@ def plain(text):
             at += len(t)
         spans.append(own)
     cuts = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
-    groups, low = [], 0
+    groups, at = [], [0, 0]
     for cut in cuts:
-        groups.append(tuple([i for i, s, e in own if s >= low and e <= cut] for own in spans))
-        low = cut
+        group = []
+        for side, own in enumerate(spans):
+            start = at[side]
+            while at[side] < len(own) and own[at[side]][2] <= cut:
+                at[side] += 1
+            group.append([i for i, _, _ in own[start : at[side]]])
+        groups.append(group)
     b_end = {e: i for i, _, e in spans[1]}
     links = [(i, b_end[e]) for i, _, e in spans[0] if e in b_end]
     return a, [i for i, _ in sides[1]], groups, links

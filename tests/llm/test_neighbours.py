@@ -88,7 +88,7 @@ def test_recall_and_copies(spark, many):
 def test_crowded_cells(spark, many, monkeypatch):
     """Cells over the limit are dealt out in blocks with copies, and nothing is lost."""
     rows = [(i, v) for i, v in many if i % 3 or i == 0]
-    monkeypatch.setattr(neighbours, "REGION", 30)
+    monkeypatch.setattr(neighbours, "REGION_BYTES", 30 * 8 * 16)
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     monkeypatch.setattr(neighbours, "CELL_ROWS", 100_000)
     assert recall(lists(neighbours.nearest(df, ASKS)), brute_force(rows)) == 1.0
