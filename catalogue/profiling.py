@@ -181,6 +181,25 @@ add(
 )
 
 
+# Infinities in the price of some rows, which correlations leave out pair by pair.
+_ENDLESS = "CASE WHEN l_orderkey % 50 = 3 THEN CAST('Infinity' AS DOUBLE) WHEN l_orderkey % 50 = 4 " \
+    "THEN CAST('-Infinity' AS DOUBLE) ELSE l_extendedprice END"
+_ENDLESS_NAMES = ["l_quantity", "price", "l_discount"]
+add(
+    "p05_pearson_infinite", LINES,
+    f"SELECT * FROM (WITH e AS (SELECT l_quantity, {_ENDLESS} AS price, l_discount FROM d) "
+    + _matrix_sql(
+        _ENDLESS_NAMES,
+        lambda a, b: f"(SELECT corr({a}, {b}) FROM e WHERE isfinite({a}) AND isfinite({b}))",
+    ) + ")",
+    lambda df: _round_r(
+        correlate.correlation_matrix(
+            df.select("l_quantity", F.expr(_ENDLESS).alias("price"), "l_discount")
+        )
+    ),
+)
+
+
 def _spearman_sql(a: str, b: str) -> str:
     rank = (
         "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tablewise.functions.columns import (
     as_double,
     melt,
-    missing,
     numeric_columns,
     wide_to_long,
 )
@@ -40,9 +39,23 @@ def _pairs(names: list[str]) -> list[tuple[int, int]]:
 
 def _correlation(x: Column, y: Column) -> Column:
     """Aggregate: Pearson's r, null where a side does not vary."""
-    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    # greatest and least skip nulls, which must stay null here.
-    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return _bounded(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
+def _cell(df: DataFrame, name: str) -> Column:
+    """The number in a cell; infinities have no place in a correlation and count as missing."""
+    x = as_double(df, name)
+    return F.when(F.abs(x) < float("inf"), x)
+
+
+def _bounded(r: Column) -> Column:
+    """``r`` within -1 and 1; undefined values are null.
+
+    greatest and least skip nulls and take NaN for the largest number, so both are
+    taken out first.
+    """
+    defined = r.isNotNull() & ~F.isnan(r)
+    return F.when(defined, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def _listed(found: DataFrame, names: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
@@ -89,7 +102,8 @@ def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = ~np.isnan(x)
         x = np.where(held, x, 0.0)
         own = held.astype(float)
-        sums = np.stack([own.T @ own, x.T @ own, (x * x).T @ own, x.T @ x])
+        with np.errstate(over="ignore", invalid="ignore"):
+            sums = np.stack([own.T @ own, x.T @ own, (x * x).T @ own, x.T @ x])
         totals = sums if totals is None else totals + sums
     if totals is None:
         return
@@ -126,16 +140,15 @@ def _matrix_pairs(df: DataFrame, names: list[str], cells: list[Column]) -> DataF
 
     over = F.sqrt(spread("sxx", "sx")) * F.sqrt(spread("syy", "sy"))
     r = (F.col("sxy") / n - F.col("sx") / n * F.col("sy") / n) / over
-    found = total.where("n > 0").select("i", r.alias("r")).select(
-        "i",
-        F.when(F.col("r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "r"))).alias("r"),
+    found = (
+        total.where("n > 0").select("i", r.alias("r")).select("i", _bounded(F.col("r")).alias("r"))
     )
     return _listed(found, names, _pairs(names))
 
 
 def pearson_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     """(col_a, col_b, ia, ib, r) over the rows where both cells are present."""
-    return _matrix_pairs(df, names, [as_double(df, c) for c in names])
+    return _matrix_pairs(df, names, [_cell(df, c) for c in names])
 
 
 # ----------------------------------------------------------------- spearman
@@ -216,14 +229,12 @@ def spearman_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     groups holds distinct values only; it is written once and joined back from there.
     """
     pairs = _pairs(names)
-    holes = df.agg(
-        *[F.count_if(missing(df, c)).alias(f"m{i}") for i, c in enumerate(names)]
-    ).first()
+    x = {i: _cell(df, c) for i, c in enumerate(names)}
+    holes = df.agg(*[F.count_if(x[i].isNull()).alias(f"m{i}") for i in x]).first()
     whole = [i for i in range(len(names)) if holes[f"m{i}"] == 0]
     shared = [(a, b) for a, b in pairs if a in whole and b in whole]
     apart = [p for p in pairs if p not in shared]
     members = whole if shared else []
-    x = {i: as_double(df, c) for i, c in enumerate(names)}
 
     # Groups to rank: whole columns first, then both sides of each pair with gaps.
     sides = [
@@ -277,7 +288,8 @@ def correlation_matrix(
 ) -> DataFrame:
     """(col_a, col_b, r): the whole matrix in long form, both triangles and diagonal.
 
-    r is null where it is not defined (a column without variation).
+    r is null where it is not defined (a column without variation).  Infinite cells count as
+    missing ones.
     """
     names = columns or numeric_columns(df)
     upper = correlation_pairs(df, method, columns)
@@ -285,9 +297,7 @@ def correlation_matrix(
         return empty_frame(df, PAIRS)
     varied = df.agg(
         *[
-            F.coalesce(
-                F.min(as_double(df, c)) < F.max(as_double(df, c)), F.lit(False)
-            ).alias(f"v{i}")
+            F.coalesce(F.min(_cell(df, c)) < F.max(_cell(df, c)), F.lit(False)).alias(f"v{i}")
             for i, c in enumerate(names)
         ]
     )

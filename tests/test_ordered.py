@@ -160,5 +160,32 @@ def test_pearson_matches_pandas_and_leaves_constants_null(spark):
         correlate.correlation_matrix(df, "kendall")
 
 
+@pytest.mark.parametrize("method", ["pearson", "spearman"])
+def test_infinities_count_as_missing(spark, method):
+    r = np.random.default_rng(9)
+    pdf = pd.DataFrame(r.normal(size=(300, 4)), columns=list("abcd"))
+    pdf.loc[::50, "a"], pdf.loc[7, "b"], pdf["only"] = np.inf, -np.inf, np.inf
+    df = spark.createDataFrame(pdf)
+    want = pdf.corr(method)
+    undefined = 0
+    for x in correlate.correlation_matrix(df, method).collect():
+        expected = want.at[x["col_a"], x["col_b"]]
+        if np.isnan(expected):
+            undefined += 1
+            assert x["r"] is None
+        else:
+            assert x["r"] == pytest.approx(expected, abs=1e-9)
+    assert undefined == 9  # the column of infinities with all five
+
+
+def test_undefined_sums_are_no_correlation(spark):
+    """Squares beyond the largest double leave no r; they are not taken for 1.0."""
+    df = spark.createDataFrame([(1e200, 1.0), (-1e200, 2.0), (3e200, 5.0)], "a double, b double")
+    got = {(x["col_a"], x["col_b"]): x["r"] for x in correlate.correlation_matrix(df).collect()}
+    assert got["a", "b"] is None and got["b", "a"] is None
+    pairs = df.selectExpr("0L AS i", "a AS x", "b AS y")
+    assert [x["r"] for x in correlate._pair_rows(pairs, list("ab"), [(0, 1)]).collect()] == [None]
+
+
 def test_fewer_than_two_numeric_columns(single_row):
     assert correlate.correlation_matrix(single_row).count() == 0
