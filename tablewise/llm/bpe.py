@@ -1,32 +1,43 @@
-"""Byte-level BPE: texts to token ids and back, by replaying the merges over all words.
-
-A task takes the distinct words (matches of the split pattern) of its batch and applies
-the merges to all of them together.  An inverted index leads from the rank of a token
-pair to the positions where that pair stands; ranks are taken in order, each at all of its
-positions at once, and a merge only touches the two neighbours of its position.  Words are
-independent of each other, so this gives each word the tokens that merging it alone would
-give, at a cost in proportion to its length rather than to its square.
+"""Byte-level BPE: texts to token ids and back, by replaying the merges over the corpus's words.
+
+The distinct words of all texts (matches of the split pattern) are gathered with their
+counts, and every partition of them applies the merges to its words together.  An inverted
+index leads from the rank of a token pair to the positions where that pair stands; ranks
+are taken in order, each at all of its positions at once, and a merge only touches the two
+neighbours of its position.  Words are independent of each other, so this gives each word the
+tokens that merging it alone would give, at a cost in proportion to its length rather than
+to its square, and once for all its occurrences.
+
+Texts then take the tokens of frequent words, a bounded number of them, from a table beside
+them; what is left in a text is joined with the table of all words and put in its place.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Callable
+import uuid
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import quoted, release_memory, small_batches, text_of
+from tablewise.llm.common import fresh, quoted, release_memory, small_batches, text_of, written
 
-#: Words whose tokens a Python worker remembers, in each of two generations.
-REMEMBERED = 100_000
+#: Words whose tokens are broadcast at most (about 200 bytes each in a worker).
+FREQUENT = 1 << 18
+#: Distinct words that a counting task holds before it passes them on, and bytes of words
+#: that are merged together.
+HELD = 300_000
+MERGED_BYTES = 1 << 22
 #: Pairs that are looked up one by one rather than by hashing.
 _FEW = 1000
 _KNOWN: dict[str, "Merges"] = {}
+_TABLES: dict[str, dict[str, bytes]] = {}
 
 
 class PairTable:
@@ -170,45 +181,46 @@ def replay(
 
 
 class Merges:
-    """A vocabulary of ranks with the words met so far, as packed little-endian ids."""
+    """A vocabulary of ranks: words to packed little-endian ids, and ids to bytes.
+
+    Ids are packed in two bytes where the vocabulary allows it.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.table = ranks, PairTable(ranks)
         self.split = regex.compile(pattern).findall
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.type = np.dtype("<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4")
         self.pieces = dict(zip(ranks.values(), ranks))
 
-    def learn(self, words: set[str]) -> None:
-        hard, raw = [], []
-        for word in words:
-            whole = word.encode()
-            rank = self.ranks.get(whole)
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of each of many words."""
+        merged = [b""] * len(words)
+        hard = []
+        for i, word in enumerate(words):
+            rank = self.ranks.get(word)
             if rank is None:
-                hard.append(word)
-                raw.append(whole)
+                hard.append(i)
             else:
-                self.words[word] = rank.to_bytes(4, "little")
+                merged[i] = rank.to_bytes(self.type.itemsize, "little")
         if hard:
-            ids, ends = replay(raw, self.ranks, self.table)
-            packed = ids.astype("<u4").tobytes()
+            ids, ends = replay([words[i] for i in hard], self.ranks, self.table)
+            packed = ids.astype(self.type).tobytes()
             start = 0
-            for word, end in zip(hard, (4 * ends).tolist()):
-                self.words[word] = packed[start:end]
+            for i, end in zip(hard, (self.type.itemsize * ends).tolist()):
+                merged[i] = packed[start:end]
                 start = end
+        return merged
+
+    def widened(self, packed: bytes) -> bytes:
+        """Packed ids in four bytes each."""
+        return np.frombuffer(packed, self.type).astype("<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # One object for all occurrences of a word, so that the lists of words stay small.
-        seen: dict[str, str] = {}
-        split = [list(map(seen.setdefault, words, words)) for words in map(self.split, texts)]
-        if len(self.words) > REMEMBERED:
-            self.words, self.older = {}, self.words
-        new = seen.keys() - self.words.keys()
-        again = new & self.older.keys()
-        self.words.update(zip(again, map(self.older.__getitem__, again)))
-        self.learn(new - again)
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        """A few texts at once, without Spark; four bytes an id."""
+        split = [self.split(t) for t in texts]
+        words = list(set().union(*split))
+        ids = dict(zip(words, self.merge([w.encode() for w in words])))
+        return [self.widened(b"".join(map(ids.__getitem__, words))) for words in split]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -227,49 +239,192 @@ def _merges(content: bytes, pattern: str, name: str) -> Merges:
     return _KNOWN[name]
 
 
-def _slices(values: list, limit: int = 1 << 22) -> list[list]:
-    """Runs of values of a few megabytes each, so that a batch of long texts stays small."""
-    runs, size = [[]], 0
-    for v in values:
-        if size + len(v) > limit and runs[-1]:
-            runs.append([])
-            size = 0
-        runs[-1].append(v)
-        size += len(v)
-    return runs
-
-
-def bpe_codec(
-    df: DataFrame, path: str, pattern: str
-) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
-    """(encode, decode) for the rank file at ``path``.
-
-    ``encode``: text column to token ids, packed as little-endian unsigned 32-bit integers
-    (binary).  Null is empty, an empty text has no ids, and malformed UTF-8 is replaced
-    as in any text.  There are no special tokens.  ``decode``: such ids to the bytes they
-    stand for.  The file is read once, on the driver, and broadcast: its size is that of
-    the vocabulary, whatever the corpus.
+def _texts(column: pa.Array) -> Iterator[str]:
+    return (t.as_py().decode("utf-8", "replace") for t in column)
+
+
+def _word_counter(merges):
+    """(word, n) of the words of a task; a word may come several times."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, counts = merges().split, Counter()
+
+        def flush() -> pa.RecordBatch:
+            words = pa.array([w.encode() for w in counts], pa.binary())
+            return pa.RecordBatch.from_arrays(
+                [words, pa.array(counts.values(), pa.int64())], ["word", "n"]
+            )
+
+        for batch in batches:
+            for text in _texts(batch.column(0)):
+                counts.update(split(text))
+                if len(counts) > HELD:
+                    yield flush()
+                    counts.clear()
+        yield flush()
+        counts.clear()
+        release_memory()
+
+    return count
+
+
+def _merger(merges):
+    """(word, n, ids): all words of a task, some megabytes at a time."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            part = pa.Table.from_batches(held)
+            words = part.column("word").to_pylist()
+            columns = [c.combine_chunks() for c in (part.column("word"), part.column("n"))]
+            return pa.RecordBatch.from_arrays(
+                [*columns, pa.array(merges().merge(words), pa.binary())], ["word", "n", "ids"]
+            )
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.column("word").nbytes
+            if size > MERGED_BYTES:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+        release_memory()
+
+    return merge
+
+
+def word_table(texts: DataFrame, merges) -> DataFrame:
+    """(word, n, ids): every distinct word of the one column of ``texts``, merged once.
+
+    Only words are shuffled, summed up by task first.
     """
-    small_batches(df.sparkSession)
-    context = df.sparkSession.sparkContext
-    shared = context.broadcast(read_ranks(path))
-    name = f"{path} {pattern}"
+    counted = texts.mapInArrow(_word_counter(merges), "word binary, n long")
+    return written(
+        counted.groupBy("word")
+        .agg(F.sum("n").alias("n"))
+        .mapInArrow(_merger(merges), "word binary, n long, ids binary"),
+        "words",
+        compression="zstd",
+    )
+
+
+def frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words over the least count that at most ``most`` words reach; no task sorts them."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    least, taken = None, 0
+    for r in sorted(words.groupBy(step.alias("step")).count().collect(), reverse=True):
+        taken += r["count"]
+        if taken > most:
+            break
+        least = r["step"]
+    return words.limit(0) if least is None else words.where(step >= least)
+
+
+def _encoder(top, merges):
+    """Ids of the known words of a text, and where the others belong (in bytes)."""
+    name = uuid.uuid4().hex
 
-    # Plain batch functions: Spark runs both, one after the other, in the same worker.
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<ids: binary, rare: array<struct<at: int, word: binary>>>")
     def encode(texts: pa.Array) -> pa.Array:
-        merges = _merges(shared.value, pattern, name)
-        raw = [t.as_py().decode("utf-8", "replace") for t in texts]
-        ids = pa.array([x for run in _slices(raw) for x in merges.encode(run)], pa.binary())
+        if name not in _TABLES:  # one table at a time stays in a worker
+            _TABLES.clear()
+            words, ids = top.value
+            _TABLES[name] = dict(zip((w.decode("utf-8", "replace") for w in words), ids))
+        get, split = _TABLES[name].get, merges().split
+        packed, starts, places, rare = [], [0], [], []
+        for text in _texts(texts):
+            words = split(text)
+            got = list(map(get, words))
+            if None in got:
+                at, parts, size = 0, [], 0
+                for i in [i for i, g in enumerate(got) if g is None]:
+                    parts.append(b"".join(got[at:i]))
+                    size += len(parts[-1])
+                    places.append(size)
+                    rare.append(words[i].encode())
+                    at = i + 1
+                got = [*parts, *got[at:]]
+            starts.append(len(rare))
+            packed.append(b"".join(got))
+        others = pa.StructArray.from_arrays(
+            [pa.array(places, pa.int32()), pa.array(rare, pa.binary())], ["at", "word"]
+        )
+        lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), others)
         release_memory()
-        return ids
+        return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), lists], ["ids", "rare"])
+
+    return encode
+
+
+def _filled(packed: bytes, rare: list[dict]) -> bytes:
+    parts, at = [], 0
+    for r in sorted(rare, key=lambda r: r["seq"]):
+        parts += [packed[at : r["at"]], r["ids"]]
+        at = r["at"]
+    return b"".join([*parts, packed[at:]])
+
+
+def with_tokens(
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    text_col: str = "text",
+    names: tuple[str, str] = ("ids", "decoded"),
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """The rows of ``docs`` with two more columns, named by ``names``; of its own those in ``keep``.
 
-    @F.arrow_udf("binary")
-    def decode(ids: pa.Array) -> pa.Array:
-        merges = _merges(shared.value, pattern, name)
-        return pa.array([merges.decode(i.as_py() or b"") for i in ids], pa.binary())
+    The first has the text's token ids by the rank file at ``path``, packed as little-endian
+    unsigned 32-bit integers (binary); the second the bytes that these ids stand for.  Null
+    is empty, an empty text has no ids, malformed UTF-8 is replaced; there are no special
+    tokens.  Repeated rows stay repeated.  The file is read once, on the driver, and broadcast:
+    its size is that of the vocabulary, whatever the corpus.  ``docs`` is read twice.
+    """
+    small_batches(docs.sparkSession)
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(read_ranks(path))
+    name = f"{path} {pattern}"
 
-    return lambda c: encode(F.coalesce(c, F.lit("")).cast("binary")), decode
+    def merges() -> Merges:
+        return _merges(shared.value, pattern, name)
+
+    text = text_of(text_col).cast("binary")
+    words = word_table(docs.select(text.alias("text")), merges)
+    best = frequent(words, FREQUENT).select("word", "ids").toArrow()
+    top = context.broadcast((best.column("word").to_pylist(), best.column("ids").to_pylist()))
+    row, coded, more = (fresh(docs, x) for x in ("row", "coded", "more"))
+    own = [quoted(c) for c in (docs.columns if keep is None else keep)]
+    partial = written(
+        docs.withColumns({row: F.monotonically_increasing_id(), coded: _encoder(top, merges)(text)})
+        .select(*own, row, coded),
+        "partial",
+        compression="zstd",
+    )
+    filling = "array<struct<seq: int, at: int, ids: binary>>"
+    rare = (
+        partial.select(row, F.posexplode(f"{coded}.rare").alias("seq", "r"))
+        .select(row, "seq", "r.at", "r.word")
+        .join(words.select("word", "ids"), "word")
+        .groupBy(row)
+        .agg(F.collect_list(F.struct("seq", "at", "ids")).alias(more))
+    )
+
+    @F.arrow_udf("struct<ids: binary, decoded: binary>")
+    def finish(packed: pa.Array, rare: pa.Array) -> pa.Array:
+        own = merges()
+        ids = [own.widened(_filled(p.as_py(), r.as_py() or [])) for p, r in zip(packed, rare)]
+        decoded = pa.array(map(own.decode, ids), pa.binary())
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], ["ids", "decoded"])
+
+    some = F.size(f"{coded}.rare") > 0
+    whole = partial.where(~some).withColumn(more, F.lit(None).cast(filling))
+    return (
+        partial.where(some).join(rare, row).select(*whole.columns).unionAll(whole)
+        .withColumn(coded, finish(F.col(f"{coded}.ids"), F.col(more)))
+        .select(*own, *[F.col(f"{coded}.{a}").alias(b) for a, b in zip(("ids", "decoded"), names)])
+    )
 
 
 def encode_documents(
@@ -279,9 +434,7 @@ def encode_documents(
 
     Repeated rows stay repeated and an empty table gives an empty table.
     """
-    encode, decode = bpe_codec(docs, path, pattern)
-    return (
-        docs.select(F.col(quoted(id_col)).alias("id"), encode(text_of(text_col)).alias("ids"))
-        .withColumn("decoded", decode(F.col("ids")))
-        .withColumn("n_tokens", F.floor(F.length("ids") / 4).cast("long"))
+    own = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    return with_tokens(own, path, pattern, keep=["id"]).withColumn(
+        "n_tokens", F.floor(F.length("ids") / 4).cast("long")
     )

@@ -73,3 +73,36 @@ def test_awkward(awkward, no_docs, clashing):
     assert sorted(bytes(r["decoded"]) for r in got) == want
     assert all(r["n_tokens"] * 4 == len(r["ids"]) for r in got)
     assert bpe.encode_documents(no_docs, PATH, public_tokenizers.PATTERN).collect() == []
+
+
+def test_rare_words_are_joined(monkeypatch, awkward, documents):
+    """With few or no words broadcast the ids are the same."""
+    some = documents.where("doc_id < 40").select("doc_id", "text").unionAll(awkward.select("doc_id", "text"))
+    want = sorted(
+        (repr(r[0]), LIBRARY.encode_ordinary(r[1] or ""), (r[1] or "").encode()) for r in some.collect()
+    )
+    for most in (0, 50):
+        monkeypatch.setattr(bpe, "FREQUENT", most)
+        got = bpe.encode_documents(some, PATH, public_tokenizers.PATTERN).collect()
+        assert sorted((repr(r["id"]), ids_of(r["ids"]), bytes(r["decoded"])) for r in got) == want
+
+
+def test_words_are_merged_once(documents, monkeypatch):
+    """The word table has each distinct word of the corpus once, with its count and its ids."""
+    monkeypatch.setattr(bpe, "HELD", 500)
+    some = documents.where("doc_id < 40").select("text").repartition(5)
+    table = bpe.word_table(some.selectExpr("cast(text AS binary) AS text"), lambda: MERGES).collect()
+    counts = {}
+    for r in some.collect():
+        for w in MERGES.split(r["text"]):
+            counts[w.encode()] = counts.get(w.encode(), 0) + 1
+    assert {bytes(r["word"]): r["n"] for r in table} == counts and len(table) == len(counts)
+    for r in table:
+        assert np.frombuffer(r["ids"], MERGES.type).tolist() == bpe.merge_one(bytes(r["word"]), RANKS)
+
+
+def test_wide_vocabulary():
+    """Ids over 65535 take four bytes on the way, too."""
+    wide = bpe.Merges({bytes([i]): i for i in range(256)} | {b"ab": 70_000}, public_tokenizers.PATTERN)
+    assert ids_of(wide.encode(["abc ab"])[0]) == [70_000, 99, 32, 70_000]
+    assert wide.decode(wide.encode(["abc ab"])[0]) == b"abc ab"
