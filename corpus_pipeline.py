@@ -41,16 +41,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids (packed, 4 bytes each), their number, and whether
     decoding gives the text back.  New columns get other names where ``docs`` has theirs."""
-    to_ids, to_bytes = bpe.bpe_codec(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     names = {n: n if n not in docs.columns else fresh(docs, n) for n in ("ids", "n_tokens", "exact")}
-    ids, decoded = F.col(names["ids"]), fresh(docs, "decoded")
-    return (
-        docs.withColumn(names["ids"], to_ids(text_of("text")))
-        .withColumn(decoded, to_bytes(ids))
-        .withColumn(names["n_tokens"], F.floor(F.length(ids) / 4).cast("long"))
-        .withColumn(names["exact"], F.col(decoded) == text_of("text").cast("binary"))
-        .drop(decoded)
+    decoded = fresh(docs, "decoded")
+    coded = bpe.with_tokens(
+        docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, names=(names["ids"], decoded)
     )
+    return coded.withColumns(
+        {
+            names["n_tokens"]: F.floor(F.length(names["ids"]) / 4).cast("long"),
+            names["exact"]: F.col(decoded) == text_of("text").cast("binary"),
+        }
+    ).drop(decoded)
 
 
 STAGES = [
