@@ -1,4 +1,4 @@
-"""One row per input file: size, text encoding, delimiter and JSON layout.
+"""One row per input file: size, character set, delimiter and JSON layout.
 
 All of a file is looked at, as Spark's text reader gives it, so compressed files are judged
 by their content and a character far down a file counts like one in its first line.  The
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tablewise.sources.charset import encodings
+
 DELIMITERS = (",", ";", "\t", "|")
 _PATH = "_metadata.file_path"
 
@@ -20,15 +22,6 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.col(_PATH).alias("path"), "value")
 
 
-def _encodings(lines: DataFrame) -> DataFrame:
-    """utf-8 where all lines are valid, else latin-1.
-
-    A byte-order mark makes no difference: every reader here takes it off.
-    """
-    valid = F.bool_and(F.is_valid_utf8("value"))
-    return lines.groupBy("path").agg(F.when(valid, "utf-8").otherwise("latin-1").alias("encoding"))
-
-
 def _fields(line: Column, delimiter: str) -> Column:
     """Fields of a line, delimiters between double quotes left out."""
     bare = F.regexp_replace(line, '"[^"]*"', "")
@@ -73,7 +66,7 @@ def _layouts(lines: DataFrame) -> DataFrame:
     )
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes) of the files; their content is not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.where(~F.col("path").rlike(r"/[_.][^/]*$")).select(
@@ -82,15 +75,16 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dialects(spark: SparkSession, path: str) -> DataFrame:
-    """(path, encoding, delimiter) of every file under ``path``."""
+    """(path, encoding, confidence, delimiter) of every file under ``path``."""
     lines = _lines(spark, path)
     return (
-        _files(spark, path)
-        .join(_encodings(lines), "path", "left")
+        listed_files(spark, path)
+        .join(encodings(lines), "path", "left")
         .join(_delimiters(lines), "path", "left")
         .select(
             "path",
             F.coalesce("encoding", F.lit("utf-8")).alias("encoding"),
+            F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
             F.coalesce("delimiter", F.lit(",")).alias("delimiter"),
         )
     )
@@ -102,12 +96,12 @@ def json_layouts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, encoding, delimiter, json_layout) of every file with content under ``path``.
+    """(path, bytes, encoding, confidence, delimiter, json_layout) of every file with content.
 
     Sizes are those on disk; all else describes the decompressed text.
     """
     return (
-        _files(spark, path)
+        listed_files(spark, path)
         .join(dialects(spark, path), "path")
         .join(json_layouts(spark, path), "path", "left")
         .withColumn("json_layout", F.coalesce("json_layout", F.lit("lines")))

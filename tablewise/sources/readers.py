@@ -17,6 +17,8 @@ from tablewise.functions.columns import (
     text_columns,
 )
 from tablewise.functions.dates import parse_iso
+from tablewise.sources.archives import SUFFIXES, suffix_of, unpacked
+from tablewise.sources.charset import SPARK_NAMES, recoded
 from tablewise.sources.manifest import dialects, json_layouts
 
 # --- fixed values: extension -> format, sampling limits -------------------------
@@ -29,25 +31,25 @@ FORMATS = {
     "ndjson": "json",
 }
 COMPRESSION = ("gz", "bz2", "zst", "zip", "xz")
-NOT_SPLIT_BY_SPARK = ("zip", "xz")
 SAMPLE_ROWS = 10_000
 
 
 class UnsupportedFileError(ValueError):
-    """The extension is missing, unknown, or a compression Spark cannot read."""
+    """The extension is missing or unknown."""
 
 
 def format_of(path: str) -> str:
     """Format by extension, after stripping one compression suffix."""
     parts = posixpath.basename(path.rstrip("/")).lower().split(".")[1:]
-    if parts and parts[-1] in COMPRESSION:
-        if parts[-1] in NOT_SPLIT_BY_SPARK:
-            raise UnsupportedFileError(f"{parts[-1]} files are not readable here: {path}")
+    packed = parts[-1] if parts and parts[-1] in COMPRESSION else None
+    if packed:
         parts = parts[:-1]
     if not parts:
         raise UnsupportedFileError(f"no file extension: {path}")
     if parts[-1] not in FORMATS:
         raise UnsupportedFileError(f"unknown extension .{parts[-1]}; known: {sorted(FORMATS)}")
+    if packed in SUFFIXES and FORMATS[parts[-1]] == "parquet":
+        raise UnsupportedFileError(f"only text is unpacked from .{packed}: {path}")
     return FORMATS[parts[-1]]
 
 
@@ -60,9 +62,13 @@ def load(
 ) -> DataFrame:
     """Read a file, directory or glob by its extension and clean it up.
 
-    The whole input is read unless ``sample`` asks for a capped read.
+    The whole input is read unless ``sample`` asks for a capped read.  Zip and xz files
+    are unpacked first, member by member, into the session's shared folder; the members
+    of a zip file are read as the files of a folder.
     """
     kind = options.pop("format", None) or format_of(path)
+    if suffix_of(path) in SUFFIXES:
+        path = unpacked(spark, path)
     readers = {"csv": read_csv, "tsv": read_tsv, "parquet": read_parquet, "json": read_json}
     df = readers[kind](spark, path, **options)
     return capped(df, SAMPLE_ROWS, order_by) if sample else df
@@ -87,7 +93,8 @@ def read_csv(
 
     Without ``sep`` or ``encoding`` all lines of every file are looked at first, and
     files are read in groups of equal dialect, joined by column name; pass both to save
-    that scan.  Compressed files are read like plain ones.
+    that scan.  Compressed files are read like plain ones.  Encodings: utf-8, latin-1,
+    cp1252, cp1251, shift_jis, gb18030, utf-16-le, utf-16-be.
     """
     if sep is not None and encoding is not None:
         dialects = {(sep, encoding): [path]}
@@ -111,7 +118,7 @@ def _probed_dialects(spark, path, sep, encoding) -> dict[tuple[str, str], list[s
     known = files.select("sep", "encoding").distinct().collect()
     if not known:
         raise FileNotFoundError(f"no files at {path}")
-    if len({(r["sep"], _charset(r["encoding"])) for r in known}) == 1:
+    if len({(r["sep"], r["encoding"]) for r in known}) == 1:
         return {(known[0]["sep"], known[0]["encoding"]): [path]}
     # Paths of mixed files go through the driver, which lists them for any read.
     found: dict[tuple[str, str], list[str]] = {}
@@ -120,22 +127,39 @@ def _probed_dialects(spark, path, sep, encoding) -> dict[tuple[str, str], list[s
     return found
 
 
-def _charset(encoding: str) -> str:
-    return "ISO-8859-1" if encoding == "latin-1" else "UTF-8"
-
-
 def _csv(spark, paths, sep, encoding, schema, multiline) -> DataFrame:
+    """Sets that Spark does not read are read byte by byte, as latin-1, and recoded cell by
+    cell: bytes of delimiters, quotes and line ends are no part of their longer characters."""
+    known = encoding in SPARK_NAMES or encoding.lower().startswith(("utf-", "iso-", "us-"))
+    if not known and sep == "|" and encoding in ("shift_jis", "gb18030"):
+        raise ValueError(f"a bar may be part of a character of {encoding}: name another delimiter")
+    wide = encoding.startswith("utf-16")
     reader = (
         spark.read.option("header", True)
         .option("sep", sep)
-        .option("encoding", _charset(encoding))
+        .option("encoding", SPARK_NAMES.get(encoding, encoding if known else "ISO-8859-1"))
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
     )
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.csv(paths)
+    if wide and not multiline:
+        reader = reader.option("lineSep", "\n")
+    if schema is not None and known and not wide:
+        return reader.schema(schema).csv(paths)
+    df = reader.csv(paths)
+    if not known:
+        df = recoded(df, encoding)
+    if wide and not multiline and df.columns:
+        # Line ends of two characters leave their first one in the last column.
+        last = df.columns[-1]
+        df = df.withColumn(last, F.regexp_replace(quoted(last), "\r$", ""))
+        df = df.withColumnRenamed(last, last.rstrip("\r"))
+    if schema is None:
+        return df
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return df.select(
+        *[quoted(c).try_cast(f.dataType).alias(f.name) for c, f in zip(df.columns, wanted.fields)]
+    )
 
 
 def with_inferred_types(df: DataFrame) -> DataFrame:

@@ -1,14 +1,17 @@
 """Readers, writers and the file manifest."""
 
 import gzip
+import io
 import json
+import lzma
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from catalogue import storage
 from conftest import rows_of
-from tablewise.sources import readers, writers
+from tablewise.sources import archives, readers, writers
 from tablewise.sources.manifest import file_manifest
 from tablewise.sources.scratch import NoSharedFolderError, scratch_path
 
@@ -27,7 +30,7 @@ def test_formats(path, want):
     assert readers.format_of(path) == want
 
 
-@pytest.mark.parametrize("path", ["malware.exe", "README", "book.xlsx", "a.csv.zip", "a.json.xz", "a.gz"])
+@pytest.mark.parametrize("path", ["malware.exe", "README", "book.xlsx", "a.parquet.zip", "a.exe.xz", "a.gz"])
 def test_unsupported(path):
     with pytest.raises(readers.UnsupportedFileError):
         readers.format_of(path)
@@ -205,3 +208,106 @@ def test_late_byte_among_several_files(spark):
         )
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+CHARSETS = {
+    "utf-8": ("naïve 日本", "id,name\n1,naïve 日本\n"),
+    "latin-1": ("Café für Ölçü", None),
+    "cp1252": ("l’été – 5 €", None),
+    "cp1251": ("Привет, Иван Щукин", None),
+    "shift_jis": ("東京都渋谷区のデータ", None),
+    "gb18030": ("北京市海淀区数据分析", None),
+    "utf-16-le": ("Ивановo 日本", None),
+    "utf-16-be": ("Émile Žižek", None),
+}
+
+
+def in_charset(encoding, ids, text):
+    rows = "".join(f'{i};"{text} {i}";plain\r\n' for i in ids)
+    content = f"id;{text[:4]};note\r\n{rows}".encode("cp932" if encoding == "shift_jis" else encoding)
+    return {"utf-16-le": b"\xff\xfe"}.get(encoding, b"") + content
+
+
+@pytest.mark.parametrize("encoding", [e for e in CHARSETS if e != "utf-8"])
+def test_charsets_are_guessed_and_read_back(spark, tmp_path, encoding):
+    text = CHARSETS[encoding][0]
+    path = put(tmp_path, "t.csv", in_charset(encoding, range(1, 40), text))
+    (r,) = file_manifest(spark, path).collect()
+    assert r["encoding"] == encoding and r["confidence"] >= 0.5
+    assert r["delimiter"] == ";"
+    df = readers.load(spark, path)
+    assert df.columns == ["id", text[:4].strip(), "note"]
+    assert rows_of(df, "*") == sorted([(i, f"{text} {i}", "plain") for i in range(1, 40)], key=repr)
+
+
+def test_files_of_many_charsets_load_together(spark, tmp_path):
+    want = []
+    for n, (encoding, (text, _)) in enumerate(CHARSETS.items()):
+        body = f"id,name\n{n},{text.replace(',', '')}\n"
+        put(tmp_path, f"{n}.csv", body.encode("cp932" if encoding == "shift_jis" else encoding))
+        want.append((n, text.replace(",", "")))
+    got = {r["path"].rsplit("/", 1)[1]: r["encoding"] for r in file_manifest(spark, str(tmp_path)).collect()}
+    assert got == {f"{n}.csv": encoding for n, encoding in enumerate(CHARSETS)}
+    assert rows_of(readers.read_csv(spark, str(tmp_path)), "id", "name") == sorted(want, key=repr)
+    schema = "id bigint, name string"
+    russian = readers.read_csv(spark, str(tmp_path / "3.csv"), encoding="cp1251", sep=",", schema=schema)
+    assert russian.collect() == [want[3]] and russian.dtypes[0] == ("id", "bigint")
+
+
+def test_bytes_of_no_charset_are_latin1(spark, tmp_path):
+    put(tmp_path, "noise.csv", b"a,b\n" + bytes([0xA4, 0x20, 0xAC, 0x2C, 0xA6, 0x20, 0xB8, 0x0A]) * 30)
+    put(tmp_path, "empty.csv", b"")
+    (r,) = file_manifest(spark, str(tmp_path / "noise.csv")).collect()
+    assert r["encoding"] == "latin-1" and r["confidence"] < 0.5
+    assert readers.load(spark, str(tmp_path / "noise.csv")).first()["a"] == "¤ ¬"
+
+
+def test_zip_members_load_like_plain_files(spark, tmp_path):
+    path = tmp_path / "both.csv.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("one.csv", "id,name\n1,naïve\n2,\"a, b\"\n")
+        z.writestr("deep/two.csv", in_charset("cp1251", range(3, 9), "Привет Иван"))
+        z.writestr("__MACOSX/._one.csv", b"\x00\x01")
+        z.writestr("deep/", b"")
+    got = readers.load(spark, str(path)).select("id", "name", "Прив")
+    assert rows_of(got, "*") == sorted(
+        [(1, "naïve", None), (2, "a, b", None), *((i, None, f"Привет Иван {i}") for i in range(3, 9))],
+        key=repr,
+    )
+    assert readers.format_of(str(path)) == "csv"
+
+
+def test_xz_and_packed_json(spark, tmp_path):
+    csv = put(tmp_path, "t.csv.xz", lzma.compress("id;x\n1;1.5\n2;\n".encode()))
+    assert rows_of(readers.load(spark, csv), "*") == [(1, 1.5), (2, None)]
+    lines = put(tmp_path, "t.jsonl.xz", lzma.compress(b'{"a": 1}\n{"a": 2}\n'))
+    assert rows_of(readers.load(spark, lines), "a") == [(1,), (2,)]
+    with zipfile.ZipFile(tmp_path / "t.json.zip", "w") as z:
+        z.writestr("t.json", json.dumps([{"a": 1}, {"a": 2}], indent=1))
+    assert rows_of(readers.load(spark, str(tmp_path / "t.json.zip")), "a") == [(1,), (2,)]
+
+
+def test_members_are_streamed(spark, tmp_path, monkeypatch):
+    """A member far larger than a block comes in batches; lines may cross blocks."""
+    text = "".join(f"{i},{'x' * (i % 97)}\n" for i in range(200_000))
+    blocks = list(archives.lines_of(io.BytesIO(text.encode())))
+    assert len(blocks) > 5 and max(sum(map(len, b)) for b in blocks) < 2 * archives.BLOCK
+    assert b"\n".join(line for b in blocks for line in b) + b"\n" == text.encode()
+    with zipfile.ZipFile(tmp_path / "big.csv.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.csv", "id,x\n" + text)
+        z.writestr("b.csv", "id,x\n" + text)
+    df = readers.load(spark, str(tmp_path / "big.csv.zip"))
+    assert df.count() == 400_000
+    assert df.select("id").distinct().count() == 200_000
+
+
+def test_archives_that_cannot_be_read(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "none.csv.zip", "w") as z:
+        z.writestr(".hidden", "x")
+    with pytest.raises(archives.ArchiveError):
+        readers.load(spark, str(tmp_path / "none.csv.zip"))
+    broken = put(tmp_path, "broken.csv.xz", b"no archive")
+    with pytest.raises(Exception, match="(?i)format"):
+        readers.load(spark, broken)
+    with pytest.raises(readers.UnsupportedFileError):
+        readers.format_of("t.parquet.zip")
