@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import lzma
+import zipfile
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from catalogue.base import Entry, columns_of, over, table, view
@@ -81,9 +87,9 @@ def _mixed_dialects(df):
     path = _path(df, "mixed.csv")
     rows = df.select("c_custkey", F.concat(F.lit("Café "), F.col("note")).alias("note"),
                      F.col("pan_no"))
-    rows.where("c_custkey % 2 = 0").coalesce(2).write.mode("append").option("header", True).csv(path)
+    rows.where("c_custkey % 2 = 0").write.mode("append").option("header", True).csv(path)
     (
-        rows.where("c_custkey % 2 = 1").coalesce(2).write.mode("append").option("header", True)
+        rows.where("c_custkey % 2 = 1").write.mode("append").option("header", True)
         .option("sep", ";").option("encoding", "ISO-8859-1").csv(path)
     )
     return path
@@ -157,6 +163,93 @@ add(
 )
 
 
+# One text for each character set; which one a row has follows from its key.
+_TEXTS = {
+    "cp1252": "l’été à Köln – 5 €", "cp1251": "Привет, Иван", "shift_jis": "東京都渋谷区のデータ",
+    "gb18030": "北京市海淀区数据",
+}
+
+
+def _in_charset(rows, encoding: str):
+    """Lines of a file under a header of its own, as the bytes of a character set."""
+    codec = {"shift_jis": "cp932"}.get(encoding, encoding)
+
+    def lines(batches):
+        head = [b"c_custkey;note;pan_no"]
+        for batch in batches:
+            text = [t.encode(codec) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(head + text, pa.binary())], ["value"])
+            head = []
+
+    line = F.concat_ws(";", "c_custkey", "note", "pan_no").alias("value")
+    return rows.select(line).mapInArrow(lines, "value binary").selectExpr("CAST(value AS STRING) AS value")
+
+
+def _charsets(df):
+    """A folder of files in four character sets."""
+    path = _path(df, "charsets.csv")
+    for n, (encoding, text) in enumerate(_TEXTS.items()):
+        rows = df.where(f"c_custkey % {len(_TEXTS)} = {n}").withColumn("note", F.lit(text))
+        _in_charset(rows, encoding).write.mode("append").text(path)
+    return path
+
+
+_NOTES = "CASE c_custkey % 4 " + " ".join(
+    f"WHEN {n} THEN '{text}'" for n, text in enumerate(_TEXTS.values())
+) + " END"
+add(
+    "s02_csv_charsets", PEOPLE, f"SELECT c_custkey, {_NOTES} AS note, pan_no FROM d",
+    lambda df: readers.load(df.sparkSession, _charsets(df)),
+)
+add(
+    "s11_charsets", PEOPLE,
+    union([f"SELECT '{e}' AS encoding, ';' AS delimiter, TRUE AS sure" for e in _TEXTS]),
+    lambda df: file_manifest(df.sparkSession, _charsets(df))
+    .groupBy("encoding", "delimiter")
+    .agg(F.bool_and(F.col("confidence") >= 0.5).alias("sure")),
+)
+
+
+def _packed(df, suffix: str):
+    """A folder of archives, one written by each task: an xz file, or a zip file of two members."""
+    path = _path(df, f"people.csv.{suffix}")
+
+    def pack(batches):
+        store, folder = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+        store.create_dir(folder, recursive=True)
+        name = f"{folder}/part-{TaskContext.get().partitionId():05}.csv.{suffix}"
+        with store.open_output_stream(name) as out:
+            if suffix == "xz":
+                with lzma.open(out, "wb") as member:
+                    member.write(b"c_custkey,note,pan_no\n")
+                    for batch in batches:
+                        member.writelines(b + b"\n" for b in batch.column(1).to_pylist())
+            else:
+                # Members are written one after the other, so rows come sorted by side.
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                    member = side = None
+                    for batch in batches:
+                        for own, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                            if own != side:
+                                if member:
+                                    member.close()
+                                member, side = archive.open(f"side{own}.csv", "w"), own
+                                member.write(b"c_custkey,note,pan_no\n")
+                            member.write(line + b"\n")
+                    if member:
+                        member.close()
+        yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    line = F.concat_ws(",", "c_custkey", F.concat(F.lit("ref "), "note"), "pan_no")
+    rows = df.select((F.col("c_custkey") % 2).alias("side"), line.cast("binary").alias("line"))
+    rows.sortWithinPartitions("side").mapInArrow(pack, "name string").collect()
+    return readers.load(df.sparkSession, f"{path}/*.csv.{suffix}")
+
+
+add("s01_zip", PEOPLE, _PEOPLE, lambda df: _packed(df, "zip"))
+add("s01_xz", PEOPLE, _PEOPLE, lambda df: _packed(df, "xz"))
+
+
 def _messy_headers(df):
     messy = df.select(
         F.col("c_custkey").alias("﻿ key "), F.col("pincode").alias("\tpin code  ")
