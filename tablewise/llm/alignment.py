@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tablewise.llm.common import quoted, release_memory, small_batches, text_of, written
 
 #: Bytes of texts whose tokens are sorted together.
-SLICE = 1 << 21
+SLICE = 1 << 19
 _KNOWN: dict[tuple, "Vocabularies"] = {}
 
 
@@ -60,7 +60,7 @@ class Vocabularies:
             own = tiktoken.Encoding(
                 "own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
             )
-            self._encode_a = lambda texts: [own.encode_ordinary(t) for t in texts]
+            self._encode_a = lambda texts: [own.encode_to_numpy(t, disallowed_special=()) for t in texts]
         else:
             library = Tokenizer.from_str(files[0].decode())
             library.encode_special_tokens = True
@@ -76,6 +76,7 @@ class Vocabularies:
             for piece in [self._pieces.id_to_piece(i)]
         ]
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in v], np.int64) for v in (self.a, self.b))
+        self.a_flat, self.b_flat = (np.frombuffer(b"".join(v), np.uint8) for v in (self.a, self.b))
 
     @staticmethod
     def _in_order(model: dict) -> bool:
@@ -89,17 +90,43 @@ class Vocabularies:
             and min(made, default=0) >= 0
         )
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """(A ids of space and text, B ids of text); none where the tokens' bytes are not the text's."""
-        spaced = [" " + t for t in texts]
-        for raw, a, b in zip(spaced, self._encode_a(spaced), self._pieces.encode(texts, num_threads=1)):
-            whole = raw.encode()
-            same = (
-                len(whole) > 1
-                and b"".join(map(self.a.__getitem__, a)) == whole
-                and b"".join(map(self.b.__getitem__, b)) == whole
-            )
-            yield (a, b) if same else ([], [])
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """A ids of space and text, B ids of text; none where the tokens' bytes are not the text's."""
+        raw = [(" " + t).encode() if t else b"" for t in texts]
+        filled = [i for i, t in enumerate(texts) if t]
+        some = [texts[i] for i in filled]
+        nothing = np.zeros(0, np.int64)
+        coded = [[nothing] * len(texts) for _ in range(2)]
+        found = (self._encode_a([" " + t for t in some]), self._pieces.encode(some, num_threads=1))
+        for ids, own in zip(coded, found):
+            for i, x in zip(filled, own):
+                ids[i] = np.asarray(x, np.int64)
+        wrong = self._unlike(coded[0], self.a_flat, self.a_sizes, raw)
+        wrong |= self._unlike(coded[1], self.b_flat, self.b_sizes, raw)
+        for i in np.flatnonzero(wrong):
+            coded[0][i] = coded[1][i] = nothing
+        return coded[0], coded[1]
+
+    @staticmethod
+    def _unlike(ids: list[np.ndarray], flat: np.ndarray, sizes: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        """Which texts are not what their tokens' bytes make up."""
+        lengths = np.array([len(r) for r in raw], np.int64)
+        made = np.array([int(sizes[x].sum()) for x in ids], np.int64)
+        wrong = lengths != made
+        like = np.flatnonzero(~wrong)
+        if not len(like):
+            return wrong
+        tokens = np.concatenate([ids[i] for i in like])
+        if len(tokens):
+            size = sizes[tokens]
+            ends = np.cumsum(size)
+            # The place of every byte: its token's bytes begin where the vocabulary has them.
+            begins = np.cumsum(sizes) - sizes
+            at = np.arange(ends[-1]) + np.repeat(begins[tokens] - (ends - size), size)
+            off = flat[at] != np.frombuffer(b"".join(raw[i] for i in like), np.uint8)
+            if off.any():
+                wrong[like[np.unique(np.cumsum(lengths[like]).searchsorted(np.flatnonzero(off), "right"))]] = True
+        return wrong
 
     def pairs(self) -> np.ndarray:
         """All pairs of ids (A id * size of B + B id) that can end together, sorted."""
@@ -137,9 +164,12 @@ def group_tokens(
     The sizes are the tokens' bytes; both sides tile the same stretch.
     """
     a_end, b_end = np.cumsum(a_sizes), np.cumsum(b_sizes)
+    if len(a_end) and a_end[-1] < 1 << 31:
+        a_end, b_end = a_end.astype(np.int32), b_end.astype(np.int32)
+        a_sizes, b_sizes = a_sizes.astype(np.int32), b_sizes.astype(np.int32)
     a_start, b_start = a_end - a_sizes, b_end - b_sizes
     start, end = np.concatenate([a_start, b_start]), np.concatenate([a_end, b_end])
-    order = np.lexsort((end, start))
+    order = np.lexsort((start,))
     reach = np.maximum.accumulate(end[order])
     breaks = np.append(True, start[order][1:] >= reach[:-1])[: len(order)]
     group = np.empty(len(order), np.int64)
@@ -175,13 +205,10 @@ _SPANS = ("a_ids", "b_ids", "a_groups", "b_groups", "links")
 
 
 def _aligned(vocab: Vocabularies, pairs: np.ndarray, texts: list[str]) -> list[pa.Array]:
-    coded = list(vocab.encode(texts))
-    n_a, n_b = (np.array([len(x[side]) for x in coded], np.int64) for side in (0, 1))
+    coded = vocab.encode(texts)
+    n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in coded)
     ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
-    a, b = (
-        np.fromiter((i for x in coded for i in x[side]), np.int64, total)
-        for side, total in ((0, ends_a[-1]), (1, ends_b[-1]))
-    )
+    a, b = (np.concatenate(side) for side in coded)
     group_a, group_b, link_a, link_b = group_tokens(vocab.a_sizes[a], vocab.b_sizes[b])
     n_groups = 1 + (group_a[-1] if len(group_a) else -1)
     per_a, per_b = (np.bincount(g, minlength=n_groups) for g in (group_a, group_b))
