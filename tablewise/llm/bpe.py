@@ -1,15 +1,16 @@
 """Byte-level BPE: texts to token ids and back, by replaying the merges over the corpus's words.
 
-The distinct words of all texts (matches of the split pattern) are gathered with their
-counts, and every partition of them applies the merges to its words together.  An inverted
-index leads from the rank of a token pair to the positions where that pair stands; ranks
-are taken in order, each at all of its positions at once, and a merge only touches the two
-neighbours of its position.  Words are independent of each other, so this gives each word the
-tokens that merging it alone would give, at a cost in proportion to its length rather than
-to its square, and once for all its occurrences.
-
-Texts then take the tokens of frequent words, a bounded number of them, from a table beside
-them; what is left in a text is joined with the table of all words and put in its place.
+The words of all texts (matches of the split pattern) are counted, and the frequent ones, a
+bounded number, are dealt out to partitions, each of which applies the merges to its words
+together.  An inverted index leads from the rank of a token pair to the positions where that
+pair stands; ranks are taken in order, each at all of its positions at once, and a merge only
+touches the two neighbours of its position.  Words are independent of each other, so this
+gives each word the tokens that merging it alone would give, at a cost in proportion to its
+length rather than to its square, and once for all its occurrences.
+
+Texts take the tokens of frequent words from a table beside them.  The rare words, a few in a
+hundred, are merged in the same way by the task that meets them, all of a batch together:
+joining them would have every text's ids written and shuffled once more.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tablewise.llm.common import fresh, quoted, release_memory, small_batches, text_of, written
 
-#: Words whose tokens are broadcast at most (about 200 bytes each in a worker).
+#: Words that are merged once for the whole corpus and broadcast (about 200 bytes each in a worker).
 FREQUENT = 1 << 18
 #: Distinct words that a counting task holds before it passes them on, and bytes of words
 #: that are merged together.
@@ -295,18 +296,14 @@ def _merger(merges):
     return merge
 
 
-def word_table(texts: DataFrame, merges) -> DataFrame:
-    """(word, n, ids): every distinct word of the one column of ``texts``, merged once.
+def word_counts(texts: DataFrame, merges) -> DataFrame:
+    """(word, n): every distinct word of the one column of ``texts``.
 
     Only words are shuffled, summed up by task first.
     """
     counted = texts.mapInArrow(_word_counter(merges), "word binary, n long")
     return written(
-        counted.groupBy("word")
-        .agg(F.sum("n").alias("n"))
-        .mapInArrow(_merger(merges), "word binary, n long, ids binary"),
-        "words",
-        compression="zstd",
+        counted.groupBy("word").agg(F.sum("n").alias("n")), "words", compression="zstd"
     )
 
 
@@ -323,49 +320,39 @@ def frequent(words: DataFrame, most: int) -> DataFrame:
 
 
 def _encoder(top, merges):
-    """Ids of the known words of a text, and where the others belong (in bytes)."""
+    """Ids of texts, four bytes each, and the bytes they stand for."""
     name = uuid.uuid4().hex
 
-    @F.arrow_udf("struct<ids: binary, rare: array<struct<at: int, word: binary>>>")
+    @F.arrow_udf("struct<ids: binary, decoded: binary>")
     def encode(texts: pa.Array) -> pa.Array:
+        own = merges()
         if name not in _TABLES:  # one table at a time stays in a worker
             _TABLES.clear()
             words, ids = top.value
             _TABLES[name] = dict(zip((w.decode("utf-8", "replace") for w in words), ids))
-        get, split = _TABLES[name].get, merges().split
-        packed, starts, places, rare = [], [0], [], []
-        for text in _texts(texts):
-            words = split(text)
-            got = list(map(get, words))
+        known = _TABLES[name]
+        # One object for all occurrences of a word, so that the lists of words stay small.
+        seen: dict[str, str] = {}
+        split = [list(map(seen.setdefault, words, words)) for words in map(own.split, _texts(texts))]
+        rare = [w for w in seen if w not in known]
+        merged = dict(zip(rare, own.merge([w.encode() for w in rare])))
+        seen.clear()
+        ids = []
+        for words in split:
+            got = list(map(known.get, words))
             if None in got:
-                at, parts, size = 0, [], 0
-                for i in [i for i, g in enumerate(got) if g is None]:
-                    parts.append(b"".join(got[at:i]))
-                    size += len(parts[-1])
-                    places.append(size)
-                    rare.append(words[i].encode())
-                    at = i + 1
-                got = [*parts, *got[at:]]
-            starts.append(len(rare))
-            packed.append(b"".join(got))
-        others = pa.StructArray.from_arrays(
-            [pa.array(places, pa.int32()), pa.array(rare, pa.binary())], ["at", "word"]
-        )
-        lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), others)
+                got = [merged[w] if g is None else g for w, g in zip(words, got)]
+            ids.append(own.widened(b"".join(got)))
+        del split, merged
+        decoded = pa.array(map(own.decode, ids), pa.binary())
+        out = pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], ["ids", "decoded"])
+        del ids
         release_memory()
-        return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), lists], ["ids", "rare"])
+        return out
 
     return encode
 
 
-def _filled(packed: bytes, rare: list[dict]) -> bytes:
-    parts, at = [], 0
-    for r in sorted(rare, key=lambda r: r["seq"]):
-        parts += [packed[at : r["at"]], r["ids"]]
-        at = r["at"]
-    return b"".join([*parts, packed[at:]])
-
-
 def with_tokens(
     docs: DataFrame,
     path: str,
@@ -391,39 +378,13 @@ def with_tokens(
         return _merges(shared.value, pattern, name)
 
     text = text_of(text_col).cast("binary")
-    words = word_table(docs.select(text.alias("text")), merges)
-    best = frequent(words, FREQUENT).select("word", "ids").toArrow()
+    words = frequent(word_counts(docs.select(text.alias("text")), merges), FREQUENT)
+    best = words.mapInArrow(_merger(merges), "word binary, n long, ids binary").toArrow()
     top = context.broadcast((best.column("word").to_pylist(), best.column("ids").to_pylist()))
-    row, coded, more = (fresh(docs, x) for x in ("row", "coded", "more"))
+    coded = fresh(docs, "coded")
     own = [quoted(c) for c in (docs.columns if keep is None else keep)]
-    partial = written(
-        docs.withColumns({row: F.monotonically_increasing_id(), coded: _encoder(top, merges)(text)})
-        .select(*own, row, coded),
-        "partial",
-        compression="zstd",
-    )
-    filling = "array<struct<seq: int, at: int, ids: binary>>"
-    rare = (
-        partial.select(row, F.posexplode(f"{coded}.rare").alias("seq", "r"))
-        .select(row, "seq", "r.at", "r.word")
-        .join(words.select("word", "ids"), "word")
-        .groupBy(row)
-        .agg(F.collect_list(F.struct("seq", "at", "ids")).alias(more))
-    )
-
-    @F.arrow_udf("struct<ids: binary, decoded: binary>")
-    def finish(packed: pa.Array, rare: pa.Array) -> pa.Array:
-        own = merges()
-        ids = [own.widened(_filled(p.as_py(), r.as_py() or [])) for p, r in zip(packed, rare)]
-        decoded = pa.array(map(own.decode, ids), pa.binary())
-        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], ["ids", "decoded"])
-
-    some = F.size(f"{coded}.rare") > 0
-    whole = partial.where(~some).withColumn(more, F.lit(None).cast(filling))
-    return (
-        partial.where(some).join(rare, row).select(*whole.columns).unionAll(whole)
-        .withColumn(coded, finish(F.col(f"{coded}.ids"), F.col(more)))
-        .select(*own, *[F.col(f"{coded}.{a}").alias(b) for a, b in zip(("ids", "decoded"), names)])
+    return docs.withColumn(coded, _encoder(top, merges)(text)).select(
+        *own, *[F.col(f"{coded}.{a}").alias(b) for a, b in zip(("ids", "decoded"), names)]
     )
 
 

@@ -75,8 +75,8 @@ def test_awkward(awkward, no_docs, clashing):
     assert bpe.encode_documents(no_docs, PATH, public_tokenizers.PATTERN).collect() == []
 
 
-def test_rare_words_are_joined(monkeypatch, awkward, documents):
-    """With few or no words broadcast the ids are the same."""
+def test_rare_words(monkeypatch, awkward, documents):
+    """With few or no words merged beforehand the ids are the same."""
     some = documents.where("doc_id < 40").select("doc_id", "text").unionAll(awkward.select("doc_id", "text"))
     want = sorted(
         (repr(r[0]), LIBRARY.encode_ordinary(r[1] or ""), (r[1] or "").encode()) for r in some.collect()
@@ -87,17 +87,22 @@ def test_rare_words_are_joined(monkeypatch, awkward, documents):
         assert sorted((repr(r["id"]), ids_of(r["ids"]), bytes(r["decoded"])) for r in got) == want
 
 
-def test_words_are_merged_once(documents, monkeypatch):
-    """The word table has each distinct word of the corpus once, with its count and its ids."""
+def test_words_are_counted_once(documents, monkeypatch):
+    """The word table has each distinct word of the corpus once; merging it gives its ids."""
     monkeypatch.setattr(bpe, "HELD", 500)
     some = documents.where("doc_id < 40").select("text").repartition(5)
-    table = bpe.word_table(some.selectExpr("cast(text AS binary) AS text"), lambda: MERGES).collect()
+    words = bpe.word_counts(some.selectExpr("cast(text AS binary) AS text"), lambda: MERGES)
     counts = {}
     for r in some.collect():
         for w in MERGES.split(r["text"]):
             counts[w.encode()] = counts.get(w.encode(), 0) + 1
+    table = words.collect()
     assert {bytes(r["word"]): r["n"] for r in table} == counts and len(table) == len(counts)
-    for r in table:
+    top = bpe.frequent(words, 100).collect()
+    assert 0 < len(top) <= 100 and min(r["n"] for r in top) >= sorted(counts.values())[-100]
+    merged = words.mapInArrow(bpe._merger(lambda: MERGES), "word binary, n long, ids binary").collect()
+    assert len(merged) == len(counts)
+    for r in merged:
         assert np.frombuffer(r["ids"], MERGES.type).tolist() == bpe.merge_one(bytes(r["word"]), RANKS)
 
 
