@@ -16,21 +16,11 @@ from tablewise.functions.columns import (
     numeric_columns,
     wide_to_long,
 )
-from tablewise.operators.ordered import (
-    SAMPLE_PER_SLICE,
-    SLICE,
-    order_key,
-    slice_count,
-    slice_number,
-)
+from tablewise.operators.ordered import SLICE, with_slices
 from tablewise.operators.profile import empty_frame
 from tablewise.sources.scratch import scratch_path
 
 PAIRS = "col_a string, col_b string, r double"
-# A value held by more rows than this is looked up in a broadcast table, so that no join
-# key gathers more rows in a task; the table has an entry for so many rows at most.
-HOT_ROWS = 250_000
-_SPREAD = 1000
 
 
 def _pairs(names: list[str]) -> list[tuple[int, int]]:
@@ -115,15 +105,20 @@ def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _matrix_pairs(df: DataFrame, names: list[str], cells: list[Column]) -> DataFrame:
+def _matrix_pairs(
+    df: DataFrame, names: list[str], cells: list[Column], shift: float | None = None
+) -> DataFrame:
     """Correlations of all pairs of the numeric ``cells``, one per name.
 
-    Values are shifted by the column's least one, so that a column without variation has
-    sums of exactly zero.
+    Values are shifted by the column's least one (or by ``shift``), so that a column without
+    variation has sums of exactly zero.
     """
-    low = df.agg(*[F.min(c).alias(f"m{i}") for i, c in enumerate(cells)]).first()
+    if shift is None:
+        low = list(df.agg(*[F.min(c).alias(f"m{i}") for i, c in enumerate(cells)]).first())
+    else:
+        low = [shift] * len(cells)
     shifted = df.select(
-        *[(c - F.lit(low[f"m{i}"] or 0.0)).alias(f"x{i}") for i, c in enumerate(cells)]
+        *[(c - F.lit(low[i] or 0.0)).alias(f"x{i}") for i, c in enumerate(cells)]
     )
     schema = "i long, " + ", ".join(f"{s} double" for s in _SUMS)
     total = (
@@ -153,71 +148,74 @@ def pearson_pairs(df: DataFrame, names: list[str]) -> DataFrame:
 
 # ----------------------------------------------------------------- spearman
 
-def average_ranks(cells: DataFrame) -> DataFrame:
-    """(g, v, n, total, rank) of (g, v) rows: average rank of every distinct v within g.
+def placed_cells(cells: DataFrame) -> DataFrame:
+    """(row, g, v, __slice, at, ties) of (row, g, v) cells: a place within an order slice.
 
-    Works on distinct values: counted in one shuffle with map-side combining and
-    ordered in slices.  The counts of earlier slices and groups are added from tables
-    of one row per slice and group.
+    Cells are put in the order of (g, v, row), cut into slices: one shuffle for all groups.
+    As the order is total, a value held by a third of the rows spreads over many slices.
+    ``at`` is the place of the first cell of the same value in the slice, ``ties`` their
+    number.  The table is written once.
     """
-    key = F.struct("g", "v")
-    distinct = cells.agg(F.approx_count_distinct(key, 0.05)).first()[0]
-    slices = slice_count(cells.sparkSession, distinct)
-    # Sampling by hash of the value gives a sample of distinct values.
-    one_in = max(1, distinct // (slices * SAMPLE_PER_SLICE))
-    sample = (
-        cells.where(F.pmod(F.xxhash64("g", "v"), F.lit(one_in)) == 0)
-        .select(order_key(["g", "v"]).alias("k"))
-        .distinct()
-    )
-    at = slice_number(order_key(["g", "v"]), sample, slices)
-
-    counts = cells.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-    sliced = counts.withColumn(SLICE, at)
-    small = Window.partitionBy(F.lit(0))
-    slice_sums = sliced.groupBy(SLICE).agg(F.sum("n").alias("s")).select(
-        SLICE, (F.sum("s").over(small.orderBy(SLICE)) - F.col("s")).alias("below")
-    )
-    group_sums = cells.groupBy("g").agg(F.count(F.lit(1)).alias("total")).select(
-        "g", "total", (F.sum("total").over(small.orderBy("g")) - F.col("total")).alias("before")
-    )
-    upto = F.sum("n").over(
-        Window.partitionBy(SLICE).orderBy("g", "v").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-    )
-    place = F.col("below") + F.col("upto") - F.col("n") - F.col("before")
-    return (
-        sliced.withColumn("upto", upto)
-        .join(F.broadcast(slice_sums), SLICE)
-        .join(F.broadcast(group_sums), "g")
-        .select("g", "v", "n", "total", (place + (F.col("n") + 1) / 2).alias("rank"))
-    )
+    local = Window.partitionBy(SLICE)
+    path = scratch_path(cells.sparkSession, "ranks")
+    with_slices(cells, ["g", "v", "row"]).withColumns(
+        {
+            "at": F.rank().over(local.orderBy("g", "v")),
+            "ties": F.count(F.lit(1)).over(Window.partitionBy(SLICE, "g", "v")),
+        }
+    ).write.parquet(path)
+    return cells.sparkSession.read.schema(
+        f"row bigint, g int, v double, {SLICE} int, at int, ties bigint"
+    ).parquet(path)
 
 
-def _attach_rank(rows: DataFrame, name: str, ranks: DataFrame, group: Column) -> DataFrame:
-    """Replace column ``name`` by its rank within ``group``.
+def average_ranks(placed: DataFrame) -> DataFrame:
+    """(row, g, rank): average rank of a cell's value among the cells of its group.
 
-    Values held by over HOT_ROWS rows come from a broadcast table; their rows get a
-    spread-out key that matches nothing, so the shuffle join gathers rarer values only.
+    Equal values are neighbours, so only a slice's first and last value can go on in other
+    slices.  Their runs, two for each slice, are put together and broadcast with the cells
+    that the slices before have.
     """
-    frequent = F.col("n") > HOT_ROWS
-    hot = ranks.where(frequent).select(
-        F.col("g").alias("__g"), F.col("v").alias(name), F.col("rank").alias("__hot")
+    value = F.struct("g", "v")
+    first, last = F.min_by, F.max_by
+    slices = placed.groupBy(SLICE).agg(
+        F.count(F.lit(1)).alias("n"),
+        first(F.struct(value.alias("value"), "at", "ties"), "at").alias("low"),
+        last(F.struct(value.alias("value"), "at", "ties"), "at").alias("high"),
     )
-    cold = ranks.where(~frequent).select(
-        F.col("g").alias("__g"), F.col("v").alias(name), F.lit(0).alias("__salt"),
-        F.col("rank").alias("__cold"),
+    upto = Window.partitionBy(F.lit(0)).orderBy(SLICE)
+    slices = slices.withColumn("below", F.sum("n").over(upto) - F.col("n"))
+    runs = slices.select(
+        "below", F.explode(F.array_distinct(F.array("low", "high"))).alias("run")
     )
-    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(_SPREAD)).cast("int") + 1
-    marked = (
-        rows.withColumn("__g", group)
-        .join(F.broadcast(hot), ["__g", name], "left")
-        .withColumn("__salt", F.when(F.col("__hot").isNotNull(), spread).otherwise(0))
+    spans = runs.groupBy("run.value").agg(
+        F.min(F.col("below") + F.col("run.at")).alias("start"), F.sum("run.ties").alias("all")
     )
-    return marked.join(cold, ["__g", name, "__salt"], "left").select(
-        *[c for c in rows.columns if c != name],
-        F.coalesce("__hot", "__cold").alias(name),
+    ends = slices
+    for side in ("low", "high"):
+        named = spans.select(
+            F.col("value").alias(f"{side}_value"),
+            F.struct("start", "all").alias(f"{side}_span"),
+        )
+        ends = ends.join(named, F.col(f"{side}.value") == F.col(f"{side}_value"))
+    ends = ends.select(SLICE, "below", F.col("high.at").alias("high_at"), "low_span", "high_span")
+    groups = placed.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    over = Window.partitionBy(F.lit(0)).orderBy("g")
+    groups = groups.select("g", (F.sum("n").over(over) - F.col("n")).alias("before"))
+    own = F.struct((F.col("below") + F.col("at")).alias("start"), F.col("ties").alias("all"))
+    span = (
+        F.when(F.col("at") == 1, F.col("low_span"))
+        .when(F.col("at") == F.col("high_at"), F.col("high_span"))
+        .otherwise(own)
+    )
+    return (
+        placed.join(F.broadcast(ends), SLICE)
+        .join(F.broadcast(groups), "g")
+        .withColumn("span", span)
+        .select(
+            "row", "g",
+            (F.col("span.start") - F.col("before") + (F.col("span.all") - 1) / 2).alias("rank"),
+        )
     )
 
 
@@ -225,13 +223,16 @@ def spearman_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     """As :func:`pearson_pairs`, on average ranks of the pairwise complete rows.
 
     Columns without missing values are ranked once each; pairs that touch a column
-    with gaps are ranked on their own complete rows.  The rank table of all these
-    groups holds distinct values only; it is written once and joined back from there.
+    with gaps are ranked on their own complete rows.  All cells are ranked in one shuffle and
+    go back to their rows in another one, whatever the number of columns.
     """
     pairs = _pairs(names)
     x = {i: _cell(df, c) for i, c in enumerate(names)}
-    holes = df.agg(*[F.count_if(x[i].isNull()).alias(f"m{i}") for i in x]).first()
-    whole = [i for i in range(len(names)) if holes[f"m{i}"] == 0]
+    seen = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(x[i].isNull()).alias(f"m{i}") for i in x],
+    ).first()
+    whole = [i for i in range(len(names)) if seen[f"m{i}"] == 0]
     shared = [(a, b) for a, b in pairs if a in whole and b in whole]
     apart = [p for p in pairs if p not in shared]
     members = whole if shared else []
@@ -240,31 +241,38 @@ def spearman_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     sides = [
         F.when(x[other].isNotNull(), x[own]) for a, b in apart for own, other in ((a, b), (b, a))
     ]
-    cells = melt(df, [(c,) for c in [*(x[i] for i in members), *sides]], ["v"], keep_nulls=False)
-    path = scratch_path(df.sparkSession, "ranks")
-    # Slices are contiguous in (g, v): row-group statistics prune the reads by group.
-    average_ranks(cells.select(F.col("i").cast("int").alias("g"), "v")).write.parquet(path)
-    ranks = df.sparkSession.read.schema(
-        "g int, v double, n bigint, total bigint, rank double"
-    ).parquet(path)
+    wide = df.select(
+        F.monotonically_increasing_id().alias("row"),
+        *[c.alias(f"x{i}") for i, c in enumerate([*(x[i] for i in members), *sides])],
+    )
+    columns = [(F.col("row"), F.col(f"x{i}")) for i in range(len(members) + len(sides))]
+    cells = melt(wide, columns, ["row", "v"], keep_nulls=True).where("v IS NOT NULL")
+    ranks = average_ranks(
+        placed_cells(cells.select("row", F.col("i").cast("int").alias("g"), "v"))
+    )
 
     results = []
     if shared:
-        rows = df.select(*[x[i].alias(f"x{i}") for i in members])
-        for g, i in enumerate(members):
-            rows = _attach_rank(rows, f"x{i}", ranks.where(F.col("g") == g), F.lit(g))
+        rows = ranks.where(F.col("g") < len(members)).groupBy("row").agg(
+            *[F.max(F.when(F.col("g") == g, F.col("rank"))).alias(f"x{g}") for g in range(len(members))]
+        )
         own = [names[i] for i in members]
-        ranked = _matrix_pairs(rows, own, [F.col(f"x{i}") for i in members])
+        columns = [F.col(f"x{g}") for g in range(len(members))]
+        ranked = _matrix_pairs(rows, own, columns, shift=(seen["n"] + 1) / 2)
         at = F.array(*[F.lit(i) for i in members])
         results.append(
             ranked.withColumns({"ia": F.get(at, F.col("ia")), "ib": F.get(at, F.col("ib"))})
         )
     if apart:
-        rows = melt(df, [(x[a], x[b]) for a, b in apart], ["x", "y"], keep_nulls=False).dropna()
-        for side, column in enumerate(("x", "y")):
-            group = F.col("i").cast("int") * 2 + len(members) + side
-            own = (F.col("g") >= len(members)) & ((F.col("g") - len(members)) % 2 == side)
-            rows = _attach_rank(rows, column, ranks.where(own), group)
+        side = F.col("g") - len(members)
+        rows = (
+            ranks.where(F.col("g") >= len(members))
+            .groupBy("row", F.floor(side / 2).alias("i"))
+            .agg(
+                F.max(F.when(side % 2 == 0, F.col("rank"))).alias("x"),
+                F.max(F.when(side % 2 == 1, F.col("rank"))).alias("y"),
+            )
+        )
         results.append(_pair_rows(rows, names, apart))
     return reduce(DataFrame.unionByName, results)
 

@@ -4,7 +4,8 @@ Rows are cut into order slices of about equal size, at cut points taken from a
 sample of the full ordering key.  Because the key is a total order, equal lead
 values (a key holding a third of all rows, say) are split over many slices.  Each
 slice is a window partition; what crosses slices is one row per slice, small enough
-to broadcast.  Cut points become literals, so every later pass, also after a lost
+to broadcast.  There are MOST_SLICES at most, whatever the rows: beyond, slices grow, and
+a task sorts its own on disk.  Cut points become literals, so every later pass, also after a lost
 executor, assigns the same slice to the same row.
 """
 
@@ -20,6 +21,9 @@ from tablewise.functions.columns import present, quoted, require_columns
 ROWS_PER_SLICE = 250_000  # what one window task sorts, whatever the size of the table
 LEAST_PER_SLICE = 2_000  # keeps small tables in few slices
 SAMPLE_PER_SLICE = 32
+# Bounds the cut points in a plan, the sampled keys that one task sorts (SAMPLE_PER_SLICE
+# times as many) and the rows that are broadcast.
+MOST_SLICES = 8192
 _JSON = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
@@ -76,7 +80,7 @@ def with_slices(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
         raise ValueError("order-dependent operators need a bounded table")
     require_columns(df, order_by)
     rows = df.count()
-    slices = slice_count(df.sparkSession, rows)
+    slices = min(MOST_SLICES, slice_count(df.sparkSession, rows))
     share = min(1.0, 1.25 * slices * SAMPLE_PER_SLICE / max(1, rows))
     sample = df.select(order_key(order_by).alias("k")).sample(share, seed=17)
     return df.withColumn(SLICE, slice_number(order_key(order_by), sample, slices))

@@ -120,9 +120,9 @@ def test_slices_follow_the_rows(spark, monkeypatch, share):
     assert len(sizes) > 70 and max(r["count"] for r in sizes) < 3 * 500
 
 
-@pytest.mark.parametrize("hot_rows", [3, 100, 10**6])
-def test_spearman_matches_pandas(spark, small_slices, monkeypatch, hot_rows):
-    monkeypatch.setattr(correlate, "HOT_ROWS", hot_rows)
+@pytest.mark.parametrize("slices", [1, 7, 8192])
+def test_spearman_matches_pandas(spark, small_slices, monkeypatch, slices):
+    monkeypatch.setattr(ordered, "MOST_SLICES", slices)
     r = np.random.default_rng(8)
     n = 600
     pdf = pd.DataFrame(
@@ -141,6 +141,46 @@ def test_spearman_matches_pandas(spark, small_slices, monkeypatch, hot_rows):
         assert x["r"] == pytest.approx(want.at[x["col_a"], x["col_b"]], abs=1e-9)
 
 
+@pytest.mark.parametrize("gaps", [False, True])
+def test_spearman_shuffles_do_not_grow_with_columns(spark, monkeypatch, gaps):
+    """Cells are shuffled once to be ranked and once back to their rows."""
+
+    def exchanges(columns):
+        df = spark.range(500).select(
+            *[
+                F.when((F.col("id") % 7 != 1) | F.lit(not gaps), F.hash("id", F.lit(c)) % 50).cast("double")
+                .alias(f"c{c}")
+                for c in range(columns)
+            ]
+        )
+        plans = []
+        monkeypatch.setattr(
+            correlate, "placed_cells",
+            lambda cells: plans.append(ordered.with_slices(cells, ["g", "v", "row"]).groupBy(ordered.SLICE).count())
+            or placed(cells),
+        )
+        pairs = correlate.spearman_pairs(df, df.columns)
+        count = str(pairs._jdf.queryExecution().executedPlan().toString()).count("Exchange")
+        return count, str(plans[0]._jdf.queryExecution().executedPlan().toString()).count("Exchange")
+
+    placed = correlate.placed_cells
+    assert exchanges(3) == exchanges(12)
+
+
+def test_few_slices_for_any_number_of_rows(spark, small_slices, monkeypatch):
+    """The number of slices is bounded; fills and numbers are right with large slices, too."""
+    monkeypatch.setattr(ordered, "MOST_SLICES", 5)
+    pdf = sensor_rows()
+    df = as_table(spark, pdf, 9)
+    assert ordered.with_slices(df, ["key", "t"]).select(ordered.SLICE).distinct().count() <= 5
+    got = clean.reset_index(df, ["t"]).df.toPandas().sort_values("row_no")
+    assert got["row_no"].tolist() == list(range(len(pdf)))
+    assert got["t"].tolist() == sorted(pdf["t"])
+    out = clean.fill_missing(df, ["v"], "ffill", order_by=["t"]).df.toPandas().sort_values("t")
+    want = pdf.sort_values("t")["v"].ffill()
+    assert out["v"].fillna(-99).tolist() == want.fillna(-99).tolist()
+
+
 def test_pearson_matches_pandas_and_leaves_constants_null(spark):
     r = np.random.default_rng(8)
     pdf = pd.DataFrame({"a": r.normal(size=300), "b": r.normal(size=300), "k": 2.5})
