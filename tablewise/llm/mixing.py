@@ -154,6 +154,8 @@ def _tilts(histogram: DataFrame, targets: DataFrame, most: int) -> DataFrame:
         )
         if state.where("NOT settled").isEmpty():
             break
+    else:
+        raise RuntimeError(f"the tilts did not settle in {_ROUNDS} rounds")
     return state.drop("low", "high", "settled")
 
 
@@ -187,7 +189,8 @@ def _copies(rates: DataFrame, most: int) -> DataFrame:
 
 
 def _thresholds(units: DataFrame, classes: DataFrame) -> DataFrame:
-    """(source, size, last): the largest hash that still gets a class's odd copy.
+    """(source, size, last, some, m): the largest hash that still gets a class's odd copy, and
+    how many of its ``m`` rows get one.
 
     A large class is cut by the leading bits of the hash; only the piece in which the odd
     copies run out is ordered.
@@ -219,10 +222,44 @@ def _thresholds(units: DataFrame, classes: DataFrame) -> DataFrame:
         .withColumn("until", F.sum("m").over(within))
         .where("until - m < left")
         .groupBy(*keys)
-        .agg(F.max("unsigned").alias("last"))
+        .agg(F.max(F.struct("unsigned", (F.col("left") - F.col("until") + F.col("m")).alias("some"), "m")).alias("x"))
+        .select(*keys, F.col("x.unsigned").alias("last"), F.least("x.some", "x.m").alias("some"), "x.m")
     )
 
 
+def _with_copies(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Adds ``names["copies"]``: whole copies, and the odd one where the row's hash has it.
+
+    ``names`` are the names of the columns hash, source, size, whole, last, some and m in
+    ``rows``.  Where only some of the rows of the last hash get the odd copy, these rows, which
+    share their id and text, are written with the number of their partition and counted by
+    partition; no task numbers more rows than it has read.
+    """
+    c = {k: F.col(v) for k, v in names.items()}
+    unsigned = c["hash"].bitwiseXOR(F.lit(-(1 << 63)))
+    border = F.coalesce((unsigned == c["last"]) & (c["some"] < c["m"]), F.lit(False))
+    odd = F.coalesce((unsigned <= c["last"]).cast("long"), F.lit(0))
+    plain = rows.where(~border).withColumn(names["copies"], (c["whole"] + odd).cast("long"))
+    piece, before, n = (fresh(plain, x) for x in ("piece", "before", "n"))
+    keys = [names["source"], names["size"]]
+    shared = written(rows.where(border).withColumn(piece, F.spark_partition_id()), "border")
+    if shared.isEmpty():
+        return plain
+    upto = Window.partitionBy(*keys).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    starts = written(
+        shared.groupBy(*keys, piece)
+        .agg(F.count(F.lit(1)).alias(n))
+        .withColumn(before, F.coalesce(F.sum(n).over(upto), F.lit(0)))
+        .drop(n),
+        "starts",
+    )
+    within = Window.partitionBy(*keys, piece).orderBy(piece)
+    numbered = shared.withColumn(n, F.row_number().over(within)).join(starts, [*keys, piece])
+    taken = (F.col(before) + F.col(n) <= c["some"]).cast("long")
+    split = numbered.withColumn(names["copies"], (c["whole"] + taken).cast("long"))
+    return plain.unionByName(split.select(*map(quoted, plain.columns)))
+
+
 def mixing_plan(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -234,11 +271,11 @@ def mixing_plan(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, classes).  ``rows``: (id, source, size, hash) of every row of ``docs``.
 
-    ``classes``: (source, size, source_size, target, rate, whole, last): a document takes
-    ``whole`` copies, and one more if its hash, read as unsigned, is at most ``last``.
+    ``classes``: (source, size, source_size, target, rate, whole, last, some, m): a document
+    takes ``whole`` copies, and one more if its hash, read as unsigned, is less than ``last``;
+    of the ``m`` rows whose hash is ``last``, as repeated rows have, ``some`` take one more.
     Null and empty texts have size 0 and are taken once; a null source is a source of its
-    own; repeated rows share their fate, so a class of them may miss its copies by the
-    number of repetitions; an empty table gives empty tables.
+    own; an empty table gives empty tables.
     """
     rows = written(
         docs.select(
@@ -261,7 +298,7 @@ def mixing_plan(
     return rows, written(
         classes.join(last, ["source", "size"], "left")
         .join(state.select("source", "source_size", "target"), "source")
-        .select("source", "size", "source_size", "target", "rate", "whole", "last"),
+        .select("source", "size", "source_size", "target", "rate", "whole", "last", "some", "m"),
         "classes",
     )
 
@@ -270,26 +307,18 @@ def _hash(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.lit("mix"), F.col(quoted(id_col)).cast("string"), text_of(text_col))
 
 
-def _taken_copies() -> Column:
-    unsigned = F.col("hash").bitwiseXOR(F.lit(-(1 << 63)))
-    return F.col("whole") + F.coalesce((unsigned <= F.col("last")).cast("long"), F.lit(0))
-
-
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: id, size, source_size, target, taken, copies, rate."""
     rows, classes = mixing_plan(docs, **options)
-    return (
-        rows.join(classes, ["source", "size"])
-        .withColumn("copies", _taken_copies())
-        .select(
-            "id",
-            "size",
-            "source_size",
-            "target",
-            (F.col("copies") * F.col("size")).cast("long").alias("taken"),
-            F.col("copies").cast("long").alias("copies"),
-            "rate",
-        )
+    names = {x: x for x in ("hash", "source", "size", "whole", "last", "some", "m", "copies")}
+    return _with_copies(rows.join(classes, ["source", "size"]), names).select(
+        "id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("copies") * F.col("size")).cast("long").alias("taken"),
+        "copies",
+        "rate",
     )
 
 
@@ -302,21 +331,23 @@ def mix(
 ) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as the plan takes it, same columns."""
     _, classes = mixing_plan(docs, id_col, text_col, source_col, **options)
-    own = {x: fresh(docs, x) for x in ("source", "size", "hash", "whole", "last", "copy")}
-    named = classes.select(*[F.col(x).alias(own[x]) for x in ("source", "size", "whole", "last")])
-    unsigned = F.col(own["hash"]).bitwiseXOR(F.lit(-(1 << 63)))
-    times = F.col(own["whole"]) + F.coalesce(
-        (unsigned <= F.col(own["last"])).cast("long"), F.lit(0)
+    own = {
+        x: fresh(docs, x)
+        for x in ("source", "size", "hash", "whole", "last", "some", "m", "copies", "copy")
+    }
+    named = classes.select(
+        *[F.col(x).alias(own[x]) for x in ("source", "size", "whole", "last", "some", "m")]
     )
+    tagged = docs.withColumns(
+        {
+            own["source"]: _source_key(source_col),
+            own["size"]: _words(text_col),
+            own["hash"]: _hash(id_col, text_col),
+        }
+    ).join(named, [own["source"], own["size"]])
+    times = F.array_repeat(F.lit(1), F.col(own["copies"]).cast("int"))
     return (
-        docs.withColumns(
-            {
-                own["source"]: _source_key(source_col),
-                own["size"]: _words(text_col),
-                own["hash"]: _hash(id_col, text_col),
-            }
-        )
-        .join(named, [own["source"], own["size"]])
-        .withColumn(own["copy"], F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
+        _with_copies(tagged, own)
+        .withColumn(own["copy"], F.explode(times))
         .select(*map(quoted, docs.columns))
     )

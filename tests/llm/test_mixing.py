@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablewise.llm import mixing
@@ -114,3 +115,30 @@ def test_only_empty_texts(spark):
     assert [(r["size"], r["target"], r["taken"]) for r in mixing.mix_report(df).collect()] == [
         (0, 0.0, 0)
     ] * 2
+
+
+def test_repeated_rows_meet_the_target(spark):
+    """A source of one repeated row takes its target, not all or nothing."""
+    df = spark.range(0, 2600, 1, 5).select(
+        F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") < 2000, "one two three four").otherwise(F.repeat(F.lit("w "), (F.col("id") % 30).cast("int")))
+        .alias("text"),
+        F.when(F.col("id") < 2000, "a").otherwise(F.concat(F.lit("s"), F.col("id") % 3)).alias("source"),
+        (F.col("id") % 5).alias("other"),
+    )
+    report = mixing.mix_report(df)
+    got = report.collect()
+    check(df, got, lambda size, target: 8)
+    assert len({r["copies"] for r in got if r["id"] == 7}) == 2
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    assert mixed.count() == sum(r["copies"] for r in got)
+    assert mixed.where("doc_id = 7").count() == sum(r["copies"] for r in got if r["id"] == 7)
+    again = mixing.mix_report(df.repartition(3)).collect()
+    assert sorted((r["id"], r["copies"]) for r in again) == sorted((r["id"], r["copies"]) for r in got)
+
+
+def test_tilts_that_do_not_settle(documents, monkeypatch):
+    monkeypatch.setattr(mixing, "_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        mixing.mix_report(documents)
