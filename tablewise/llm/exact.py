@@ -97,6 +97,7 @@ def exact_groups(
         "hashed",
     )
     candidates = hashed.where("candidate")
+    # Written, so that the join below has two plain sides and splits a hot group's rows.
     groups = candidates.groupBy("sha").agg(
         F.count(F.lit(1)).alias("group_size"),
         F.min(
@@ -109,7 +110,7 @@ def exact_groups(
         ).alias("best"),
     )
     key = ["key"] if with_key else []
-    grouped = candidates.join(groups, "sha").select(
+    grouped = candidates.join(written(groups, "groups"), "sha").select(
         "id",
         F.col("best.id").alias("keep_id"),
         "group_size",

@@ -77,3 +77,18 @@ def test_dedup_keeps_rows_and_columns(clashing):
 def test_empty(no_docs):
     assert exact.exact_groups(no_docs).collect() == []
     assert exact.exact_dedup(no_docs).collect() == []
+
+
+def test_half_of_all_rows_in_one_group(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(0, 4000, 1, 6).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("the same text"), F.repeat(F.lit(" "), (F.col("id") % 9).cast("int"))))
+        .otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"),
+    )
+    got = exact.exact_groups(df).collect()
+    hot = [r for r in got if r["id"] % 2 == 0]
+    assert {(r["keep_id"], r["group_size"]) for r in hot} == {(8, 2000)}
+    assert [r["id"] for r in hot if r["kept"]] == [8]
+    assert all(r["keep_id"] == r["id"] and r["kept"] for r in got if r["id"] % 2)
