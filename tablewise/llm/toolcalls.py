@@ -1,6 +1,7 @@
 """Tool calls and their results in conversations: linked, ordered, validated, serialised.
 
-Everything here is DataFrame operations.  An assistant's message that is a JSON object
+Everything here is DataFrame operations; calls, results and parents find each other by hash
+joins.  An assistant's message that is a JSON object
 with ``tool_calls`` issues calls (id, name, arguments, and optionally ``after``: the call
 whose result it builds on); a tool's message answers one call by its id.  Rows stay rows:
 no conversation is gathered, whatever its length.
@@ -70,7 +71,7 @@ def _levels(ids: DataFrame) -> DataFrame:
     parents = ids.select(F.col("conv_id").alias("p_conv"), F.col("call_id").alias("p_id"))
     state = checkpointed(
         ids.join(
-            parents,
+            parents.hint("shuffle_hash"),
             F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("after") == F.col("p_id")),
             "left",
         ).select(
@@ -90,7 +91,7 @@ def _levels(ids: DataFrame) -> DataFrame:
         )
         state = checkpointed(
             state.join(
-                back,
+                back.hint("shuffle_hash"),
                 F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("up") == F.col("b_id")),
                 "left",
             ).select(
@@ -179,7 +180,7 @@ def link_calls(messages: DataFrame, tools: DataFrame) -> DataFrame:
     )
     levels = _levels(ids.select("conv_id", "call_id", "after"))
     known = ids.join(
-        levels.toDF("l_conv", "l_id", "steps"),
+        levels.toDF("l_conv", "l_id", "steps").hint("shuffle_hash"),
         F.col("conv_id").eqNullSafe(F.col("l_conv")) & (F.col("call_id") == F.col("l_id")),
     ).select(
         F.col("conv_id").alias("k_conv"),
@@ -200,9 +201,9 @@ def link_calls(messages: DataFrame, tools: DataFrame) -> DataFrame:
     ).otherwise(F.array().cast("array<string>"))
     errors = F.concat(_errors(F.col("arguments"), F.col("params")), lost)
     linked_calls = (
-        calls.join(known, same)
+        calls.join(known.hint("shuffle_hash"), same)
         .join(
-            parents,
+            parents.hint("shuffle_hash"),
             F.col("conv_id").eqNullSafe(F.col("a_conv")) & (F.col("after") == F.col("a_id")),
             "left",
         )
@@ -227,7 +228,7 @@ def link_calls(messages: DataFrame, tools: DataFrame) -> DataFrame:
             ).alias("json"),
         )
     )
-    linked_results = results.join(known, same, "left").select(
+    linked_results = results.join(known.hint("shuffle_hash"), same, "left").select(
         "conv_id",
         "turn",
         F.lit("result").alias("kind"),
@@ -250,23 +251,40 @@ def link_calls(messages: DataFrame, tools: DataFrame) -> DataFrame:
 
 
 #: Calls and results derived from plain conversations, in SQL that Spark and others read.
-#: ``k`` spreads the kinds of calls and faults over all rows.
-VIEW = """
-SELECT conv_id, turn, CAST(conv_id * 31 + turn AS BIGINT) AS k, CAST(length(text) AS BIGINT) AS n,
-       md5(text) AS digest, role
+#: ``k`` spreads the kinds of calls and faults over all rows; ``body`` is the whole text as it
+#: stands between the quotes of JSON.
+_SLASH = "chr(92)"
+BODY = f"replace(coalesce(text, ''), {_SLASH}, concat({_SLASH}, {_SLASH}))"
+for _code, _letter in ((34, '"'), (10, "n"), (13, "r"), (9, "t"), (8, "b"), (12, "f")):
+    BODY = f"replace({BODY}, chr({_code}), concat({_SLASH}, '{_letter}'))"
+VIEW = f"""
+SELECT conv_id, turn, CAST(conv_id * 31 + turn AS BIGINT) AS k,
+       CAST(length(coalesce(text, '')) AS BIGINT) AS n, {BODY} AS body, role
 FROM conversations
 """
+
+
+def _turn(step: int) -> str:
+    return f"concat('c', CAST(turn + {step} AS STRING))"
+
+
 NAME = "CASE WHEN k % 11 = 5 THEN 'teleport' WHEN k % 2 = 0 THEN 'search' ELSE 'convert' END"
-AFTER = "CASE WHEN turn >= 3 AND k % 3 <> 0 THEN concat('c', CAST(turn - 2 AS STRING)) END"
+#: Some calls repeat an earlier call's id; some come after themselves or after a later call.
+CALL_ID = f"CASE WHEN k % 29 = 6 AND turn >= 3 THEN {_turn(-2)} ELSE {_turn(0)} END"
+AFTER = (
+    f"CASE WHEN k % 37 = 8 THEN {CALL_ID} WHEN k % 31 = 9 THEN {_turn(2)} "
+    f"WHEN turn >= 3 AND k % 3 <> 0 THEN {_turn(-2)} END"
+)
 _N = "CAST(n AS STRING)"
 ARGUMENTS = f"""CASE
     WHEN k % 11 = 5 THEN '{{ "to": "x" }}'
     WHEN k % 2 = 0 AND k % 5 = 1 THEN concat('{{"query": ', {_N}, ', "limit": ', {_N}, '}}')
     WHEN k % 2 = 0 AND k % 5 = 2 THEN concat('{{"limit": ', {_N}, ', "more": true}}')
-    WHEN k % 2 = 0 THEN concat('{{"query": "', digest, '", "limit": ', {_N}, '}}')
+    WHEN k % 2 = 0 THEN concat('{{"query": "', body, '", "limit": ', {_N}, '}}')
     WHEN k % 7 = 3 THEN '["m"]'
     ELSE concat('{{"unit": "m", "options": {{"b": 1, "a": [1, 2]}}, "amount": ', {_N}, '.5}}') END"""
-ANSWERS = "CASE WHEN k % 13 = 4 THEN 'lost' ELSE concat('c', CAST(turn - 1 AS STRING)) END"
+#: Answers to nobody, to the next call (too early), or to the last one.
+ANSWERS = f"CASE WHEN k % 13 = 4 THEN 'lost' WHEN k % 17 = 2 THEN {_turn(1)} ELSE {_turn(-1)} END"
 TOOLS = (
     ("search", "query", "string", True),
     ("search", "limit", "integer", False),
@@ -276,62 +294,66 @@ TOOLS = (
 )
 MESSAGES = f"""
 SELECT conv_id, turn, 'assistant' AS role,
-       concat('{{"tool_calls": [{{"name": "', {NAME}, '", "id": "c', CAST(turn AS STRING), '", ',
+       concat('{{"tool_calls": [{{"name": "', {NAME}, '", "id": "', {CALL_ID}, '", ',
               coalesce('"after": "' || {AFTER} || '", ', ''),
               '"arguments": ', {ARGUMENTS}, '}}]}}') AS text
 FROM derived WHERE role = 'assistant'
 UNION ALL
 SELECT conv_id, turn, 'tool' AS role,
-       concat('{{"tool_call_id": "', {ANSWERS}, '", "content": "', digest, '"}}') AS text
-FROM derived WHERE role = 'user' AND turn >= 2
+       concat('{{"tool_call_id": "', {ANSWERS}, '", "content": "', body, '"}}') AS text
+FROM derived WHERE role <> 'assistant'
 """
 
 #: The same links by plain SQL: recursion for the levels, and spelled-out canonical JSON.
+#: Calls that recursion does not reach hang on a cycle.
 ORACLE = f"""
 WITH RECURSIVE derived AS ({VIEW}),
 calls AS (
-  SELECT conv_id, turn, concat('c', CAST(turn AS STRING)) AS call_id, {NAME} AS name,
-         {AFTER} AS after, k, n, digest
+  SELECT conv_id, turn, {CALL_ID} AS call_id, {NAME} AS name, {AFTER} AS after, k, n, body
   FROM derived WHERE role = 'assistant'),
+ids AS (
+  SELECT conv_id, call_id, turn, name, after, issued FROM (
+    SELECT c.*, count(*) OVER (PARTITION BY conv_id, call_id) AS issued,
+      row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn) AS place FROM calls c)
+  WHERE place = 1),
 linked AS (
-  SELECT c.*, p.call_id AS parent
-  FROM calls c LEFT JOIN calls p ON p.conv_id = c.conv_id AND p.call_id = c.after),
+  SELECT i.*, p.call_id AS parent
+  FROM ids i LEFT JOIN ids p ON p.conv_id = i.conv_id AND p.call_id = i.after),
 levels AS (
   SELECT conv_id, call_id, CAST(0 AS BIGINT) AS level FROM linked WHERE parent IS NULL
   UNION ALL
   SELECT l.conv_id, l.call_id, v.level + 2
   FROM linked l JOIN levels v ON v.conv_id = l.conv_id AND v.call_id = l.parent),
+known AS (
+  SELECT i.*, v.level,
+    CASE WHEN i.issued > 1 THEN 'ambiguous' WHEN v.level IS NULL THEN 'cycle' END AS fault
+  FROM ids i LEFT JOIN levels v ON v.conv_id = i.conv_id AND v.call_id = i.call_id),
 results AS (
-  SELECT conv_id, turn, {ANSWERS} AS call_id, digest FROM derived
-  WHERE role = 'user' AND turn >= 2)
-SELECT l.conv_id, l.turn, 'call' AS kind, l.call_id, l.name, v.level, 'ok' AS status,
-  concat(
+  SELECT conv_id, turn, {ANSWERS} AS call_id, body FROM derived WHERE role <> 'assistant')
+SELECT l.conv_id, l.turn, 'call' AS kind, l.call_id, l.name, i.level,
+  coalesce(i.fault, 'ok') AS status,
+  concat_ws('; ',
     CASE WHEN l.name = 'teleport' THEN 'unknown tool'
          WHEN l.name = 'search' AND k % 5 = 1 THEN 'query is no string'
          WHEN l.name = 'search' AND k % 5 = 2 THEN 'missing query; unexpected more'
-         WHEN l.name = 'convert' AND k % 7 = 3 THEN 'arguments are no object'
-         ELSE '' END,
-    CASE WHEN l.after IS NOT NULL AND l.parent IS NULL THEN
-      CASE WHEN l.name = 'teleport' OR (l.name = 'search' AND k % 5 IN (1, 2))
-                OR (l.name = 'convert' AND k % 7 = 3) THEN '; unknown parent'
-           ELSE 'unknown parent' END
-      ELSE '' END) AS errors,
+         WHEN l.name = 'convert' AND k % 7 = 3 THEN 'arguments are no object' END,
+    CASE WHEN l.after IS NOT NULL AND p.call_id IS NULL THEN 'unknown parent' END) AS errors,
   concat('{{', coalesce('"after":"' || l.after || '",', ''), '"arguments":',
     CASE WHEN l.name = 'teleport' THEN '{{"to":"x"}}'
          WHEN l.name = 'search' AND k % 5 = 1 THEN concat('{{"limit":', {_N}, ',"query":', {_N}, '}}')
          WHEN l.name = 'search' AND k % 5 = 2 THEN concat('{{"limit":', {_N}, ',"more":true}}')
-         WHEN l.name = 'search' THEN concat('{{"limit":', {_N}, ',"query":"', digest, '"}}')
+         WHEN l.name = 'search' THEN concat('{{"limit":', {_N}, ',"query":"', body, '"}}')
          WHEN k % 7 = 3 THEN '["m"]'
          ELSE concat('{{"amount":', {_N}, '.5,"options":{{"a":[1,2],"b":1}},"unit":"m"}}') END,
     ',"id":"', l.call_id, '","name":"', l.name, '","type":"call"}}') AS json
-FROM linked l JOIN levels v ON v.conv_id = l.conv_id AND v.call_id = l.call_id
+FROM calls l JOIN known i ON i.conv_id = l.conv_id AND i.call_id = l.call_id
+LEFT JOIN ids p ON p.conv_id = l.conv_id AND p.call_id = l.after
 UNION ALL
-SELECT r.conv_id, r.turn, 'result', r.call_id, l.name, v.level + 1,
-  CASE WHEN l.call_id IS NULL THEN 'orphan' ELSE 'ok' END, '',
-  concat('{{"content":"', r.digest, '","id":"', r.call_id, '","type":"result"}}')
-FROM results r
-LEFT JOIN linked l ON l.conv_id = r.conv_id AND l.call_id = r.call_id
-LEFT JOIN levels v ON v.conv_id = r.conv_id AND v.call_id = r.call_id
+SELECT r.conv_id, r.turn, 'result', r.call_id, i.name, i.level + 1,
+  CASE WHEN i.call_id IS NULL THEN 'orphan' WHEN i.fault IS NOT NULL THEN i.fault
+       WHEN r.turn <= i.turn THEN 'early' ELSE 'ok' END, '',
+  concat('{{"content":"', r.body, '","id":"', r.call_id, '","type":"result"}}')
+FROM results r LEFT JOIN known i ON i.conv_id = r.conv_id AND i.call_id = r.call_id
 """
 
 
