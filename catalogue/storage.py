@@ -142,6 +142,22 @@ def _json_gz(df):
     return readers.load(df.sparkSession, path).select("c_custkey", "note", "pan_no")
 
 
+def _json_mixed(df):
+    """Lines and indented documents of a bounded number of rows in one folder."""
+    path = _path(df, "people.json")
+    even = F.expr("c_custkey % 2 = 0")
+    _people(df).where(even).write.json(path)
+    rows = _people(df).where(~even).select(
+        F.expr(f"monotonically_increasing_id() div {DOCUMENT_ROWS}").alias("document"),
+        F.to_json(F.struct("*"), {"pretty": "true"}).alias("row"),
+    )
+    documents = rows.groupBy("document").agg(
+        F.concat(F.lit("[\n"), F.array_join(F.collect_list("row"), ",\n"), F.lit("\n]")).alias("value")
+    )
+    documents.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(path)
+    return readers.read_json(df.sparkSession, path).select("c_custkey", "note", "pan_no")
+
+
 def _late_latin(df):
     """Files in the order of keys; the only byte outside ASCII stands in the last one's last line."""
     path, last = _path(df, "late.csv"), df.agg(F.max("c_custkey")).first()[0]
@@ -155,6 +171,7 @@ def _late_latin(df):
 
 add("s02_csv_gz", PEOPLE, _PEOPLE, _csv_gz)
 add("s05_json_gz", PEOPLE, _PEOPLE, _json_gz)
+add("s05_json_mixed", PEOPLE, _PEOPLE, _json_mixed)
 add(
     "s02_late_latin1", PEOPLE,
     "SELECT c_custkey, CASE WHEN c_custkey = (SELECT max(c_custkey) FROM d) THEN 'Café' ELSE note END "

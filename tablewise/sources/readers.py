@@ -222,14 +222,25 @@ def read_json(
 ) -> DataFrame:
     """Records array, JSON Lines, single objects, or an object of column lists.
 
-    ``layout`` ('lines' or 'document') saves looking at the lines of the files first.
+    ``layout`` ('lines' or 'document') saves looking at the lines of the files first.  Files
+    of both layouts are read in two groups and joined by column name; a column whose types
+    differ between them becomes the wider one, or text where there is none.
     """
     if layout is None:
-        seen = json_layouts(spark, path).select("json_layout").distinct().collect()
-        kinds = {r["json_layout"] for r in seen}
+        seen = json_layouts(spark, path)
+        kinds = sorted(r["json_layout"] for r in seen.select("json_layout").distinct().collect())
         if len(kinds) > 1:
-            raise ValueError(f"files mix JSON layouts {sorted(kinds)}: read them apart")
-        layout = kinds.pop() if kinds else "lines"
+            # Paths of mixed files go through the driver, which lists them for any read.
+            found: dict[str, list[str]] = {}
+            for r in seen.collect():
+                found.setdefault(r["json_layout"], []).append(r["path"])
+            frames = [_json(spark, found[k], schema, k) for k in kinds]
+            return tidy(_stacked(*frames))
+        layout = kinds[0] if kinds else "lines"
+    return tidy(_json(spark, path, schema, layout))
+
+
+def _json(spark: SparkSession, path, schema, layout: str) -> DataFrame:
     if layout not in ("lines", "document"):
         raise ValueError(f"unknown JSON layout {layout!r}")
     reader = spark.read.option("multiLine", layout == "document")
@@ -239,7 +250,23 @@ def read_json(
     lists = df.columns and all(isinstance(f.dataType, T.ArrayType) for f in df.schema)
     if lists and df.limit(2).count() == 1:
         df = _from_column_lists(df)
-    return tidy(df)
+    return df
+
+
+def _stacked(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The rows of both, by column name."""
+    numbers = (T.LongType, T.DoubleType)
+    for c in set(a.columns) & set(b.columns):
+        x, y = a.schema[c].dataType, b.schema[c].dataType
+        if x != y:
+            wide = "double" if isinstance(x, numbers) and isinstance(y, numbers) else "string"
+            a, b = (replace_columns(df, {c: _cell_as(df, c, wide)}) for df in (a, b))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+def _cell_as(df: DataFrame, name: str, wide: str):
+    nested = isinstance(df.schema[name].dataType, (T.ArrayType, T.StructType, T.MapType))
+    return F.to_json(quoted(name)) if nested and wide == "string" else quoted(name).cast(wide)
 
 
 def _from_column_lists(df: DataFrame) -> DataFrame:

@@ -311,3 +311,19 @@ def test_archives_that_cannot_be_read(spark, tmp_path):
         readers.load(spark, broken)
     with pytest.raises(readers.UnsupportedFileError):
         readers.format_of("t.parquet.zip")
+
+
+def test_folder_of_lines_and_documents(spark, tmp_path):
+    put(tmp_path, "array.json", json.dumps([{"a": 1, "b": "x", "n": {"k": 1}}, {"a": 2, "b": "y"}], indent=1))
+    put(tmp_path, "single.json", json.dumps({"a": 3, "b": "z"}, indent=2))
+    put(tmp_path, "lines.json", '{"a": 4.5, "c": true, "n": "plain"}\n{"a": 5, "d": "2024-01-05"}\n')
+    df = readers.read_json(spark, str(tmp_path))
+    assert dict(df.dtypes) == {
+        "a": "double", "b": "string", "c": "boolean", "d": "timestamp_ntz", "n": "string",
+    }
+    assert rows_of(df, "a", "b", "c", "n") == sorted(
+        [(1.0, "x", None, '{"k":1}'), (2.0, "y", None, None), (3.0, "z", None, None),
+         (4.5, None, True, "plain"), (5.0, None, None, None)], key=repr,
+    )
+    given = readers.read_json(spark, str(tmp_path), schema="a double, b string")
+    assert rows_of(given, "a") == [(1.0,), (2.0,), (3.0,), (4.5,), (5.0,)]
