@@ -74,6 +74,10 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     )
 
 
+#: Bandwidths beyond which a kernel counts as zero.
+REACH = 8.0
+
+
 def density_curve(
     df: DataFrame, column: str, points: int = KDE_POINTS, cells: int | None = None
 ) -> DataFrame:
@@ -81,8 +85,10 @@ def density_curve(
 
     Scott's bandwidth.  Equal values are merged first.  With ``cells`` the values are
     first pooled into that many cells of equal width (kept at their mean), which
-    bounds the work at cells x points for continuous columns; without it the result
-    is exact.  No rows for fewer than five values or no variation.
+    bounds the work for continuous columns whatever their rows.  Values further than REACH
+    bandwidths from a point add nothing to it: without ``cells`` a density differs from the
+    exact one by at most exp(-REACH**2 / 2), about 1.3e-14, of the kernel's own peak.  No
+    rows for fewer than five values or no variation.
     """
     values = _numbers(df, column)
     s = values.agg(
@@ -100,27 +106,31 @@ def density_curve(
         pooled = values.groupBy(F.coalesce(cell, F.lit(0)).alias("cell")).agg(
             F.avg("v").alias("v"), F.count(F.lit(1)).alias("w")
         )
-    # Each pooled value adds its kernel to an array of `points` sums, one array per
-    # task and point: the grid rides along as a generated sequence.
+    # A pooled value adds its kernel to the points within REACH bandwidths of it only.
     h = s["sd"] * F.pow(s["n"].cast("double"), F.lit(-0.2))
     step = (s["hi"] - s["lo"]) / (points - 1)
-    grid = pooled.withColumns(
-        {"h": h, "lo": s["lo"], "step": step, "n": s["n"]}
-    ).where((s["n"] >= 5) & (s["lo"] < s["hi"]))
-    spread = grid.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    x = F.col("lo") + F.col("point") * F.col("step")
-    u = (x - F.col("v")) / F.col("h")
-    kernel = F.col("w") * F.exp(-u * u / 2)
-    return (
-        spread.groupBy("point", x.alias("x"), "h", "n")
-        .agg(F.sum(kernel).alias("k"))
-        .select(
-            "point",
-            "x",
-            (F.col("k") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias(
-                "density"
-            ),
-        )
+    known = {"h": h, "lo": s["lo"], "step": step, "n": s["n"]}
+    drawn = (F.col("n") >= 5) & (F.col("step") > 0)
+    grid = (
+        df.sparkSession.range(0, points, 1, 1)
+        .select(F.col("id").cast("int").alias("point"))
+        .withColumns(known)
+        .where(drawn)
+        .select("point", (F.col("lo") + F.col("point") * F.col("step")).alias("x"), "h", "n")
+    )
+    place, reach = (F.col("v") - F.col("lo")) / F.col("step"), REACH * F.col("h") / F.col("step")
+    first = F.greatest(F.lit(0), F.ceil(place - reach).cast("int"))
+    last = F.least(F.lit(points - 1), F.floor(place + reach).cast("int"))
+    near = pooled.withColumns(known).where(drawn).withColumns({"first": first, "last": last})
+    spread = near.withColumn("point", F.explode(F.expr("CASE WHEN first <= last THEN sequence(first, last) END")))
+    u = (F.col("lo") + F.col("point") * F.col("step") - F.col("v")) / F.col("h")
+    sums = spread.groupBy("point").agg(F.sum(F.col("w") * F.exp(-u * u / 2)).alias("k"))
+    return grid.join(F.broadcast(sums), "point", "left").select(
+        "point",
+        "x",
+        (F.coalesce("k", F.lit(0.0)) / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias(
+            "density"
+        ),
     )
 
 

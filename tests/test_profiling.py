@@ -178,6 +178,23 @@ def test_histogram_of_a_constant_and_of_texts(spark):
     assert sum(x["n"] for x in chart.histogram(texts, "s", 2).collect()) == 2
 
 
+def test_density_stays_within_its_error_and_work(spark):
+    """Against all kernels at all points; far points have a row, too."""
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(size=4000), [60.0, 60.5, 61.0]])
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    rows = chart.density_curve(df, "x").orderBy("point").collect()
+    h = x.std(ddof=1) * len(x) ** -0.2
+    at = np.linspace(x.min(), x.max(), 200)
+    peak = 1 / (h * np.sqrt(2 * np.pi))
+    want = np.exp(-(((at[:, None] - x) / h) ** 2) / 2).mean(axis=1) * peak
+    assert [r["point"] for r in rows] == list(range(200))
+    assert np.allclose([r["x"] for r in rows], at, rtol=1e-12)
+    assert np.abs(np.array([r["density"] for r in rows]) - want).max() < 2e-14 * peak + 1e-13 * want.max()
+    plan = chart.density_curve(df, "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(first" in plan
+
+
 def test_density_integrates_to_one_and_needs_five_values(spark):
     x = np.random.default_rng(0).normal(size=300)
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
