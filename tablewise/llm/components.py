@@ -12,9 +12,10 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the links (u, v): ``root`` is the component's least node.
 
     Each round hangs every node's larger neighbours on its least neighbour, then the
-    smaller ones; components shrink to stars in a logarithmic number of rounds.  Hot
-    nodes are split by the joins, since the minimum side has one row per node.  The
-    rounds are cut from their lineage in the shared folder.
+    smaller ones; components shrink to stars in a logarithmic number of rounds.  The
+    minima, one row per node, are written before they are joined: both sides of the join
+    are plain then, and Spark splits the links of a hot node over tasks.  The rounds are
+    cut from their lineage in the shared folder.
     """
     edges = checkpointed(
         links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -25,11 +26,12 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(rounds):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = checkpointed(
             both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        ).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+            .distinct()
+        )
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u")
         turned = checkpointed(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))

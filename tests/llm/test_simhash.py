@@ -133,3 +133,17 @@ def test_dedup(clashing, no_docs):
     got = [roots[brute_print(r["text"])] for r in kept.collect()]
     assert len(got) == len(set(got)) == len(set(roots.values()))
     assert simhash.near_dedup(no_docs).collect() == []
+
+
+def test_one_giant_component(spark):
+    """A root that most links meet: a star, with a chain hanging on it, and small ones beside."""
+    from tablewise.llm.components import connected
+
+    star = [(i, 0) for i in range(1, 3000)]
+    chain = [(2999 + i, 3000 + i) for i in range(40)]
+    small = [(10_000 + 2 * i, 10_001 + 2 * i) for i in range(200)]
+    links = spark.createDataFrame(star + chain + small, "u long, v long").repartition(7)
+    got = dict(map(tuple, connected(links).collect()))
+    assert got == {n: 0 for n in range(3040)} | {
+        n: n - n % 2 for i in range(200) for n in (10_000 + 2 * i, 10_001 + 2 * i)
+    }
