@@ -457,12 +457,20 @@ def date_consistency(df: DataFrame, n_samples: int = 5) -> DataFrame:
     )
 
 
-def _smallest_per_column(cells: DataFrame, n: int) -> DataFrame:
+def _smallest_per_column(cells: DataFrame, n: int, some: DataFrame | None = None) -> DataFrame:
     """(i, column, kept): the n smallest distinct texts of each column.
 
     Distinct values are thinned bucket by bucket before the per-column step, so no
-    task sees more than n values per bucket.
+    task sees more than n values per bucket.  ``some`` of the cells, a bounded number, give a
+    bound beforehand: whatever is greater than the n-th smallest of them is not among
+    the n smallest of all, and is neither aggregated nor shuffled.
     """
+    if some is not None:
+        place = F.dense_rank().over(Window.partitionBy("i").orderBy("v"))
+        bounds = (
+            some.withColumn("r", place).where(F.col("r") == n).groupBy("i").agg(F.max("v").alias("bound"))
+        )
+        cells = cells.join(F.broadcast(bounds), "i", "left").where("bound IS NULL OR v <= bound")
     distinct = cells.groupBy("i", "column", "v").agg(F.count(F.lit(1)).alias("n"))
     bucket = F.pmod(F.xxhash64("v"), F.lit(1024))
     local = F.row_number().over(Window.partitionBy("i", bucket).orderBy("v"))
@@ -479,6 +487,10 @@ def _smallest_per_column(cells: DataFrame, n: int) -> DataFrame:
 
 # ------------------------------------------------------------------- preview
 
+#: Rows whose values bound what a preview has to compare.
+_BOUNDING_ROWS = 10_000
+
+
 def preview_schema(df: DataFrame, n: int = 10) -> DataFrame:
     """(column, dtype, non_null, kb, sample_values): up to n smallest distinct values."""
     from tablewise.functions.columns import as_text
@@ -495,13 +507,14 @@ def preview_schema(df: DataFrame, n: int = 10) -> DataFrame:
             ["non_null", "bytes"],
         )
     )
-    cells = (
-        melt(df, [(as_text(df, c),) for c in names], ["v"], keep_nulls=False)
+    cells, some = (
+        melt(rows, [(as_text(df, c),) for c in names], ["v"], keep_nulls=False)
         .withColumn("i", F.col("i").cast("int"))
         .withColumn("column", name_of(names, F.col("i")))
+        for rows in (df, df.limit(_BOUNDING_ROWS))
     )
     labels = F.array(*[F.lit(type_label(f.dataType)) for f in df.schema])
-    samples = _smallest_per_column(cells, n).select("i", "kept")
+    samples = _smallest_per_column(cells, n, some).select("i", "kept")
     return facts.join(F.broadcast(samples), "i", "left").select(
         name_of(names, F.col("i")).alias("column"),
         F.get(labels, F.col("i")).alias("dtype"),

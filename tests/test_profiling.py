@@ -220,3 +220,28 @@ def test_top_categories_fold_the_rest(spark):
     df = spark.createDataFrame([(f"v{i % 14:02d}",) for i in range(140)], "s string")
     rows = {r["category"]: r["n"] for r in chart.top_categories(df, "s").collect()}
     assert rows["Other"] == 40 and len(rows) == 11
+
+
+def test_preview_compares_few_values(spark, monkeypatch):
+    """Values over the bound that a few rows give are not aggregated; the result is whole."""
+    monkeypatch.setattr(profile, "_BOUNDING_ROWS", 400)
+    df = spark.range(0, 20_000, 1, 4).select(
+        F.format_string("v%06d", (F.col("id") * 7919) % 20_000).alias("many"),
+        F.when(F.col("id") % 9 == 0, "b").otherwise("a").alias("few"),
+        F.when(F.col("id") == 19_999, "late").alias("rare"),
+        F.lit(None).cast("string").alias("none"),
+    )
+    seen = []
+    plain = profile._smallest_per_column
+
+    def counted(cells, n, some=None):
+        kept = plain(cells, n, some)
+        seen.append(kept._jdf.queryExecution().optimizedPlan().toString())
+        return kept
+
+    monkeypatch.setattr(profile, "_smallest_per_column", counted)
+    got = {r["column"]: r["sample_values"] for r in profile.preview_schema(df, 4).collect()}
+    assert got == {
+        "many": "v000000, v000001, v000002, v000003", "few": "a, b", "rare": "late", "none": "",
+    }
+    assert "bound" in seen[0]
