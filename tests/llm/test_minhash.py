@@ -65,3 +65,41 @@ def test_awkward(clashing, no_docs, spark):
     alone = spark.createDataFrame([(1, "ab cd")], "doc_id long, text string")
     (r,) = minhash.fingerprints(alone).collect()
     assert r["near_next"] == 1.0 and r["edited_sha256"] == hashlib.sha256(b"ab ab").hexdigest()
+
+
+def plain_bins(text):
+    """The bins of one text, one number after the other: minima, then densification."""
+    import xxhash
+
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ (x >> 33)) * 0xFF51AFD7ED558CCD) & mask
+        x = ((x ^ (x >> 33)) * 0xC4CEB9FE1A85EC53) & mask
+        return x ^ (x >> 33)
+
+    words = text.encode().lower().split()
+    if not words:
+        return None
+    hashes = [xxhash.xxh64_intdigest(w) for w in words]
+    n = min(5, len(words))
+    least = {}
+    for i in range(len(words) - n + 1):
+        h = mixed(sum(hashes[i + k] * int(minhash._PLACES[k]) for k in range(n)) & mask)
+        least[h >> 55] = min(h, least.get(h >> 55, h))
+    out = []
+    for b in range(512):
+        if b not in least:
+            order = sorted(range(512), key=lambda j: (mixed(b * 512 + j + 1), j))
+            b = next(j for j in order if j in least)
+        out.append(least[b] & 15)
+    return out
+
+
+def test_fingerprints_are_those_of_a_plain_build(documents):
+    texts = [r[0] for r in documents.where("n_chars < 6000").select("text").limit(12).collect()]
+    for text in [*texts, "one", "One two three four", "", " a  b\nc d e f"]:
+        bits, want = minhash.sketch(text.encode()), plain_bins(text)
+        assert (bits is None) == (want is None)
+        assert bits is None or bits.tolist() == want
+        assert minhash.packed(bits) == ("" if want is None else "".join(f"{x:x}" for x in want))

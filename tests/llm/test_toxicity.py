@@ -131,3 +131,36 @@ def test_awkward(clashing, no_docs, spark):
     for few in (labels.where("toxic = 0"), labels.limit(0)):
         assert {r["predicted"] for r in toxicity.toxicity(clashing, few).collect()} == {0}
     assert toxicity.toxicity(no_docs, labels).collect() == []
+
+
+def test_automaton_against_naive_matching(documents):
+    """Every occurrence of every entry outside the exceptions, over all documents.
+
+    The entries are short pieces of the documents' own words, so that they overlap and meet.
+    """
+    texts = [r[0] for r in documents.select("text").collect()]
+    words = sorted({w for t in texts for w in toxicity.fold(t).split() if len(w) > 4})[::25]
+    entries = {f" {w[:n]}": 1.0 + n for w in words for n in (4, 5)} | {f" {w} ": 9.0 for w in words}
+    pairs = [toxicity.fold(t).split() for t in texts]
+    harmless = frozenset(f" {a} {b} " for p in pairs for a, b in zip(p, p[1:]) if b in words[::3])
+    model = toxicity.Model(entries, frozenset(sorted(harmless)[:200]))
+
+    def places(text, entry):
+        at = text.find(entry)
+        while at >= 0:
+            yield at, at + len(entry)
+            at = text.find(entry, at + 1)
+
+    seen = 0
+    for text in texts:
+        folded = toxicity.fold(text)
+        harmless = [s for e in model.exceptions for s in places(folded, e)]
+        want = [
+            (a, b, w)
+            for e, w in model.weights.items()
+            for a, b in places(folded, e)
+            if not any(x <= a and b <= y for x, y in harmless)
+        ]
+        assert sorted(model.hits(folded)) == sorted(want)
+        seen += len(want)
+    assert seen > 20
