@@ -149,77 +149,55 @@ def _zero_bytes(value: Column) -> Column:
     return F.octet_length(raw) - F.octet_length(F.replace(value, F.lit("\x00"), F.lit("")))
 
 
-def settled(lines: DataFrame) -> DataFrame:
-    """(path, is_utf8, wide): of every file with a line, from one scan without Python."""
+def byte_facts() -> list[Column]:
+    """Aggregates over the lines (value) of a file that settle whether it is UTF-8."""
     raw = F.col("value").cast("binary")
-    marks = [F.lit(b"\xff\xfe"), F.lit(b"\xfe\xff")]
-    return lines.groupBy("path").agg(
+    zeros = F.sum(_zero_bytes(F.col("value"))) > F.sum(F.octet_length("value")) * ZERO_SHARE
+    return [
         F.bool_and(F.is_valid_utf8("value")).alias("valid"),
-        (
-            F.sum(_zero_bytes(F.col("value"))) > F.sum(F.octet_length("value")) * ZERO_SHARE
-        ).alias("zeros"),
-        F.bool_or(F.substring(raw, 1, 2).isin(*marks)).alias("mark"),
-    ).select(
-        "path",
-        (F.col("valid") & ~F.coalesce("zeros", F.lit(False))).alias("is_utf8"),
-        (F.coalesce("zeros", F.lit(False)) | (F.col("mark") & ~F.col("valid"))).alias("wide"),
-    )
+        F.coalesce(zeros, F.lit(False)).alias("zeros"),
+        F.bool_or(F.substring(raw, 1, 2).isin(F.lit(b"\xff\xfe"), F.lit(b"\xfe\xff"))).alias("mark"),
+    ]
+
+
+def is_utf8(facts) -> bool:
+    return facts["valid"] and not facts["zeros"]
 
 
-def encodings(lines: DataFrame) -> DataFrame:
-    """(path, encoding, confidence) of every file with a line; ``lines`` has (path, value).
+def guesses(lines: DataFrame, open_files: dict[str, bool]) -> dict[str, tuple[str, float]]:
+    """(encoding, confidence) of files that are not UTF-8; ``lines`` has (path, value).
 
-    utf-8 where all lines are valid, with or without a byte-order mark; utf-16-le or -be by the
-    zero bytes of its units; else the most plausible set, at a confidence of 0.5 or more, and
-    latin-1 as the last resort.  Where a Western file has none of the bytes in which latin-1
-    and cp1252 differ it is latin-1.  Only files that are not utf-8 are read a second time.
+    ``open_files`` says which files may be in two-byte units: these are utf-16-le or -be, by
+    the places of their zero bytes.  Others are the most plausible set, at a confidence of 0.5
+    or more, and latin-1 as the last resort.  Where a Western file has none of the bytes in
+    which latin-1 and cp1252 differ it is latin-1.  One row per file and set reaches the driver.
     """
-    seen = settled(lines)
-    open_ = seen.where("NOT is_utf8").select("path", "wide")
+    if not open_files:
+        return {}
+    wanted = lines.sparkSession.createDataFrame([(p,) for p in open_files], "path string")
     votes = (
-        lines.join(open_, "path", "left_semi")
+        lines.join(F.broadcast(wanted), "path", "left_semi")
         .select("path", F.col("value").cast("binary").alias("value"))
         .mapInArrow(_votes, "path string, charset string, n double, good double")
-        .groupBy("path")
-        .agg(
-            *[
-                F.sum(F.when(F.col("charset") == name, F.col(c))).alias(f"{c}_{name}")
-                for name in (*SETS, "order", "c1")
-                for c in ("n", "good")
-            ]
-        )
+        .groupBy("path", "charset")
+        .agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+        .collect()
     )
+    found: dict[str, dict[str, tuple[float, float]]] = {p: {} for p in open_files}
+    for r in votes:
+        found[r["path"]][r["charset"]] = (r["n"], r["good"])
+    return {p: _decided(open_files[p], own) for p, own in found.items()}
+
+
+def _decided(wide: bool, votes: dict[str, tuple[float, float]]) -> tuple[str, float]:
+    if wide:
+        return ("utf-16-le" if votes.get("order", (0, 0))[1] > 0 else "utf-16-be"), 1.0
     # How much of what is beyond ASCII is plausible, of all characters that the set would have.
-    scores = F.array(
-        *[
-            F.struct(
-                F.greatest(
-                    F.lit(0.0),
-                    F.coalesce(F.try_divide(F.col(f"good_{name}"), F.col(f"n_{name}")), F.lit(0.0)),
-                ).alias("confidence"),
-                F.lit(-i).alias("order"),
-                F.lit(name).alias("name"),
-            )
-            for i, name in enumerate(SETS)
-        ]
-    )
-    best = F.array_max(scores)
-    little = F.coalesce("good_order", F.lit(0.0)) > 0
-    plain = (best["name"] == "cp1252") & F.col("n_c1").isNull()
-    sure = best["confidence"] >= LEAST_CONFIDENCE
-    guessed = open_.join(votes, "path").select(
-        "path",
-        F.when(F.col("wide"), F.when(little, "utf-16-le").otherwise("utf-16-be"))
-        .when(sure & ~plain, best["name"])
-        .otherwise("latin-1")
-        .alias("encoding"),
-        F.when(F.col("wide"), 1.0).otherwise(F.round(best["confidence"], 3)).alias("confidence"),
-    )
-    return (
-        seen.where("is_utf8")
-        .select("path", F.lit("utf-8").alias("encoding"), F.lit(1.0).alias("confidence"))
-        .unionAll(guessed)
-    )
+    shares = {name: max(0.0, votes[name][1] / votes[name][0]) for name in SETS if votes.get(name, (0,))[0]}
+    best = max(shares, key=shares.get, default="cp1252")
+    share = round(shares.get(best, 0.0), 3)
+    plain = best == "cp1252" and "c1" not in votes
+    return (best if share >= LEAST_CONFIDENCE and not plain else "latin-1"), share
 
 
 def recoded(df: DataFrame, encoding: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from catalogue import storage
 from conftest import rows_of
-from tablewise.sources import archives, readers, writers
+from tablewise.sources import archives, manifest, readers, writers
 from tablewise.sources.manifest import file_manifest
 from tablewise.sources.scratch import NoSharedFolderError, scratch_path
 
@@ -327,3 +327,30 @@ def test_folder_of_lines_and_documents(spark, tmp_path):
     )
     given = readers.read_json(spark, str(tmp_path), schema="a double, b string")
     assert rows_of(given, "a") == [(1.0,), (2.0,), (3.0,), (4.5,), (5.0,)]
+
+
+def test_one_scan_judges_utf8_files(spark, tmp_path, monkeypatch):
+    """Encoding, delimiter and layout come from one pass over the lines of a folder."""
+    for n in range(5):
+        put(tmp_path, f"{n}.csv", "a|b|c\n" + "1|2|3\n" * 50 + "x,y\n" * n)
+    scans = []
+    plain = manifest._lines
+    monkeypatch.setattr(manifest, "_lines", lambda *a: scans.append(a) or plain(*a))
+    monkeypatch.setattr(manifest, "guesses", lambda lines, files: {} if not files else 1 / 0)
+    got = {r["path"].rsplit("/", 1)[1]: r for r in file_manifest(spark, str(tmp_path)).collect()}
+    assert len(scans) == 1
+    assert len(got) == 5
+    assert {(r["encoding"], r["delimiter"], r["json_layout"]) for r in got.values()} == {("utf-8", "|", "document")}
+
+
+def test_ties_between_delimiters(spark, tmp_path):
+    """Most lines of one width; of equals more fields, then the order of the delimiters."""
+    for name, text, want in (
+        ("fields", "a;b,c,d\n" * 4, ","),
+        ("order", "a;b,c\n" * 4, ","),
+        ("lines", "a;b,c,d\na;b\n", ";"),
+        ("none", "abc\ndef\n", ","),
+        ("many", "".join("x|" * n + "y;z\n" for n in range(1, 60)), ";"),
+    ):
+        path = put(tmp_path, f"{name}.csv", text)
+        assert file_manifest(spark, path).first()["delimiter"] == want, name
