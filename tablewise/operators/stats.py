@@ -109,10 +109,13 @@ def _pick(binned: DataFrame, group: list[str], order: str, ranks: list[str]) ->
 
 
 def quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], spread: bool = False
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: (i, q0, q1, ...), one row per column.
 
+    With ``spread`` the first histogram also gives n, mean, std_pop, min and max, so that
+    they need no scan of their own.
+
     The two order statistics around each quantile are located by two histogram
     passes (logarithmic, then linear inside the chosen bins) and read from the
     counted values of the final bins.  Only bin counts and the values of a few
@@ -122,14 +125,30 @@ def quantiles(
     ranks = [f"k{p}_{s}" for p in range(len(probabilities)) for s in (0, 1)]
     values = long_values(df, columns).withColumn("b", _log_bin(F.col("v")))
 
-    def histogram(rows: DataFrame, *keys: str) -> DataFrame:
+    def histogram(rows: DataFrame, *keys: str, more: Sequence[Column] = ()) -> DataFrame:
         return rows.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), *more
         )
 
-    first = histogram(values, "i", "b").withColumn(
-        "total", F.sum("n").over(Window.partitionBy("i"))
-    )
+    kept, own = ["total"], Window.partitionBy("i")
+    within = [F.avg("v").alias("a"), F.var_pop("v").alias("s2")] if spread else []
+    first = histogram(values, "i", "b", more=within).withColumn("total", F.sum("n").over(own))
+    if spread:
+        # Deviations within bins and of the bins' means; no deviation at all is exactly zero.
+        kept += ["mean", "std_pop", "min", "max"]
+        squares = F.col("n") * (F.col("s2") + F.pow(F.col("a") - F.col("mean"), F.lit(2)))
+        first = (
+            first.withColumns(
+                {
+                    "mean": F.sum(F.col("a") * F.col("n")).over(own) / F.col("total"),
+                    "min": F.min("lo").over(own),
+                    "max": F.max("hi").over(own),
+                }
+            )
+            .withColumn("std_pop", F.sqrt(F.sum(squares).over(own) / F.col("total")))
+            .withColumn("std_pop", F.when(F.col("min") < F.col("max"), F.col("std_pop")).otherwise(0.0))
+            .drop("a", "s2")
+        )
     for p, probability in enumerate(probabilities):
         at = F.lit(float(probability)) * (F.col("total") - 1)
         first = first.withColumns(
@@ -141,27 +160,27 @@ def quantiles(
     coarse = _pick(first, ["i"], "b", ranks)
 
     # At most two bins per column and probability survive: these joins broadcast.
-    spread = F.col("hi") - F.col("lo")
+    width = F.col("hi") - F.col("lo")
     fine = F.least(
         F.lit(LINEAR_BINS - 1),
-        F.floor((F.col("v") - F.col("lo")) / spread * LINEAR_BINS).cast("int"),
+        F.floor((F.col("v") - F.col("lo")) / width * LINEAR_BINS).cast("int"),
     )
     second = values.join(F.broadcast(coarse), ["i", "b"]).withColumn(
-        "b2", F.when(spread > 0, fine).otherwise(0)
+        "b2", F.when(width > 0, fine).otherwise(0)
     )
     narrow = _pick(
-        histogram(second, "i", "b", "b2", "total", *ranks), ["i", "b"], "b2", ranks
+        histogram(second, "i", "b", "b2", *kept, *ranks), ["i", "b"], "b2", ranks
     )
 
     third = values.join(F.broadcast(narrow), ["i", "b"]).where(
         F.col("v").between(F.col("lo"), F.col("hi"))
     )
-    counted = third.groupBy("i", "b", "b2", "total", *ranks, "v").agg(
+    counted = third.groupBy("i", "b", "b2", *kept, *ranks, "v").agg(
         F.count(F.lit(1)).alias("n")
     )
     found = _pick(counted, ["i", "b", "b2"], "v", ranks)
 
-    out = []
+    out = [F.max("total").alias("n"), *[F.max(c).alias(c) for c in kept[1:]]] if spread else []
     for p, probability in enumerate(probabilities):
         at = F.lit(float(probability)) * (F.max("total") - 1)
         low = F.max(F.when(F.col(f"k{p}_0").isNotNull(), F.col("v")))
@@ -180,7 +199,24 @@ def numeric_summary(
     probabilities: Sequence[float] = (0.25, 0.5, 0.75),
     shape: bool = False,
 ) -> DataFrame:
-    """Moments joined with exact quantiles (q0, q1, ...), one row per column."""
+    """Moments with exact quantiles (q0, q1, ...), one row per column.
+
+    Three scans; the shape (skewness, kurtosis) takes one more.
+    """
+    if not shape:
+        found, n = quantiles(df, columns, probabilities, spread=True), F.col("n").cast("double")
+        samp = F.when(n > 1, F.col("std_pop") * F.sqrt(n / (n - 1))).otherwise(0.0)
+        return found.select(
+            "i",
+            name_of(list(columns), F.col("i")).alias("column"),
+            "n",
+            "mean",
+            "std_pop",
+            samp.alias("std_samp"),
+            "min",
+            "max",
+            *[f"q{p}" for p in range(len(probabilities))],
+        )
     return moments(df, columns, shape).join(
         F.broadcast(quantiles(df, columns, probabilities)), "i", "left"
     )
