@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalogue.base import Entry, columns_of, listed, over, table, view
 from catalogue.profiling import LINE_NUMBERS, _numeric_facts, union
+from tablewise.functions.columns import wide_to_long
 from tablewise.functions.masking import scrub_text
 from tablewise.functions.patterns import PATTERNS, matches
 from tablewise.operators import pii
@@ -165,27 +166,34 @@ _MATCHED = {c: k for c, k in _HINTS.items() if k in PATTERNS}
 
 def _synthetic_check(df):
     """Fakes keep gaps, match their own matcher, differ from the input, and repeat."""
-    fake = pii.mask_pii(df, _PLAN, "synthetic", seed=7)
-    again = pii.mask_pii(df.repartition(5), _PLAN, "synthetic", seed=7)
-    parts = []
-    for c, k in _MATCHED.items():
-        both = fake.select("c_custkey", F.col(c).alias("f"), "note").join(
-            again.select(F.col("note").alias("n2"), F.col(c).alias("g")),
-            F.col("note") == F.col("n2"),
-        ).join(df.select(F.col("note").alias("n3"), F.col(c).alias("v")),
-               F.col("note") == F.col("n3"))
-        parts.append(
-            both.agg(
-                F.lit(k).alias("category"),
-                F.count("f").alias("present"),
-                F.count_if(matches(F.col("f"), k)).alias("matching"),
-                F.count_if(F.col("f") == F.col("g")).alias("repeated"),
-                F.count_if(F.col("f") == F.col("v")).alias("leaked"),
-            )
+    def named(frame, prefix):
+        return frame.select(
+            F.col("note").alias(f"{prefix}_note"),
+            *[F.col(c).alias(f"{prefix}_{k}") for c, k in _MATCHED.items()],
         )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+
+    fake = named(pii.mask_pii(df, _PLAN, "synthetic", seed=7), "f")
+    again = named(pii.mask_pii(df.repartition(5), _PLAN, "synthetic", seed=7), "g")
+    # Both sides have every row, so they meet by a shuffle: neither goes through the driver.
+    both = fake.join(again.hint("merge"), F.col("f_note") == F.col("g_note")).join(
+        named(df, "v").hint("merge"), F.col("f_note") == F.col("v_note")
+    )
+    found = both.agg(
+        *[
+            measure.alias(f"{k}_{i}")
+            for k in _MATCHED.values()
+            for i, measure in enumerate((
+                F.count(f"f_{k}"),
+                F.count_if(matches(F.col(f"f_{k}"), k)),
+                F.count_if(F.col(f"f_{k}") == F.col(f"g_{k}")),
+                F.count_if(F.col(f"f_{k}") == F.col(f"v_{k}")),
+            ))
+        ]
+    )
+    measured = [(F.lit(k), *[F.col(f"{k}_{i}") for i in range(4)]) for k in _MATCHED.values()]
+    out = found.select(
+        wide_to_long(measured, ["category", "present", "matching", "repeated", "leaked"])
+    ).drop("i")
     # A six-digit code space can hit its own input by chance: allow a trace there.
     return out.withColumn("leaked", F.col("leaked") > F.col("present") * 0.001)
 

@@ -33,3 +33,10 @@ def test_query(spark, sf_dir, sql, name):
     cursor = sql.execute(entry.sql)
     names = [d[0] for d in cursor.description]
     assert normal(df.columns, rows) == normal(names, cursor.fetchall())
+
+
+def test_synthetic_checks_send_no_rows_through_the_driver(spark, sf_dir):
+    df = ENTRIES["i07_synthetic_checks"].run(spark, sf_dir)
+    assert len(df.collect()) == 8
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
