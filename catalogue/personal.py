@@ -310,5 +310,6 @@ add(
     lambda df: pii.scrub_columns(
         df.select("c_custkey", "customer_email", "phone_no", "pan_no", "ifsc_code"),
         {c: [_HINTS[c]] for c in ("customer_email", "phone_no", "pan_no", "ifsc_code")},
-    ).withColumn("c_custkey", F.col("c_custkey").cast("bigint")),
+        keep=["c_custkey"],
+    ),
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tablewise.functions.columns import (
     as_text,
     melt,
     name_of,
+    quoted,
     replace_columns,
     require_columns,
 )
@@ -122,14 +125,20 @@ def mask_pii(
 
 
 def scrub_columns(
-    df: DataFrame, plan: dict[str, list[str]] | None = None
+    df: DataFrame,
+    plan: dict[str, list[str]] | None = None,
+    keep: Iterable[str] = (),
 ) -> DataFrame:
-    """Every cell as text with personal data replaced by placeholders."""
-    plan = plan or {}
-    require_columns(df, plan)
+    """Every cell as text with personal data replaced by placeholders.
+
+    Columns to ``keep`` stay as they are: a key of six digits reads like a postal code.
+    """
+    plan, keep = plan or {}, set(keep)
+    require_columns(df, [*plan, *keep])
     return df.select(
         *[
-            masking.scrub_text(as_text(df, c), plan.get(c, [])).alias(c)
+            quoted(c) if c in keep
+            else masking.scrub_text(as_text(df, c), plan.get(c, [])).alias(c)
             for c in df.columns
         ]
     )
