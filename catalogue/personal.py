@@ -246,7 +246,8 @@ add(
     lambda df: pii.scrub_columns(
         df.select("c_custkey", "full_name", "street", "pan_no"),
         {"full_name": ["name"], "street": ["address"], "pan_no": ["pan"]},
-    ).withColumn("c_custkey", F.col("c_custkey").cast("bigint")),
+        keep=["c_custkey"],
+    ),
 )
 
 # -------------------------------------------------------------------- I9 card

@@ -45,7 +45,7 @@ def long_keys(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["i08_scrub_columns_marked"])
+@pytest.mark.parametrize("name", ["i08_scrub_columns_marked", "i08_scrub_whole_cells"])
 def test_scrubbing_keeps_long_keys(spark, long_keys, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{long_keys}/customer.parquet/*.parquet'")
