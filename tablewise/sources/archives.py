@@ -34,6 +34,19 @@ def suffix_of(path: str) -> str:
     return posixpath.basename(path.rstrip("/")).lower().rpartition(".")[2]
 
 
+class _Source(io.BufferedReader):
+    """A stream that refuses places before its start as Python's files do: with an OSError.
+
+    By it zipfile tells that a file is too short for a long header, as one without members is.
+    """
+
+    def seek(self, place: int, whence: int = io.SEEK_SET) -> int:
+        try:
+            return super().seek(place, whence)
+        except pa.ArrowInvalid as exc:
+            raise OSError(str(exc)) from exc
+
+
 @contextmanager
 def _opened(path: str):
     """A file of any store that pyarrow knows, as a stream that can be positioned."""
@@ -41,7 +54,7 @@ def _opened(path: str):
     uri = f"{scheme}://{rest}" if mark and rest.startswith("/") and not rest.startswith("//") else path
     store, name = fs.FileSystem.from_uri(uri) if mark else (fs.LocalFileSystem(), path)
     with store.open_input_file(name) as source:
-        yield io.BufferedReader(source, BLOCK)
+        yield _Source(source, BLOCK)
 
 
 def _is_data(member: zipfile.ZipInfo) -> bool:

@@ -301,6 +301,20 @@ def test_members_are_streamed(spark, tmp_path, monkeypatch):
     assert df.select("id").distinct().count() == 200_000
 
 
+def test_zip_without_members_among_others(spark, tmp_path):
+    """A task without rows writes such a file; it holds nothing and stops nothing."""
+    with zipfile.ZipFile(tmp_path / "a.csv.zip", "w"):
+        pass
+    with zipfile.ZipFile(tmp_path / "b.csv.zip", "w") as z:
+        z.writestr("b.csv", "n\n1\n2\n")
+    put(tmp_path, "c.csv.zip", b"no archive")
+    assert archives._members_of(str(tmp_path / "a.csv.zip")) == []
+    with pytest.raises(zipfile.BadZipFile):
+        archives._members_of(str(tmp_path / "c.csv.zip"))
+    (tmp_path / "c.csv.zip").unlink()
+    assert rows_of(readers.load(spark, f"{tmp_path}/*.csv.zip"), "n") == [(1,), (2,)]
+
+
 def test_archives_that_cannot_be_read(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "none.csv.zip", "w") as z:
         z.writestr(".hidden", "x")
