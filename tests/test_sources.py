@@ -368,3 +368,12 @@ def test_ties_between_delimiters(spark, tmp_path):
     ):
         path = put(tmp_path, f"{name}.csv", text)
         assert file_manifest(spark, path).first()["delimiter"] == want, name
+
+
+def test_mixed_dialects_have_no_files_without_rows(spark, tmp_path):
+    """Where the first partition of a table is empty, no file with a header alone is written."""
+    people = spark.range(40).selectExpr("id AS c_custkey", "'x' AS note", "'y' AS pan_no")
+    late = people.where("c_custkey < 0").union(people.coalesce(1))
+    assert late.rdd.glom().map(len).first() == 0
+    found = file_manifest(spark, storage._mixed_dialects(late))
+    assert rows_of(found.select("encoding", "delimiter").distinct(), "*") == [("latin-1", ";"), ("utf-8", ",")]
