@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -148,133 +147,242 @@ def pearson_pairs(df: DataFrame, names: list[str]) -> DataFrame:
 
 # ----------------------------------------------------------------- spearman
 
+#: Rank columns of a value that tasks hold to look up, over all columns of a table.
+LOOKED_UP = 400_000
+#: Cells of one task when cells and ranks are shuffled to each other.
+CELLS_PER_TASK = 2_000_000
+#: A value with more cells than one task should have is spread over this many.
+SPREAD = 64
+
+
 def placed_cells(cells: DataFrame) -> DataFrame:
-    """(row, g, v, __slice, at, ties) of (row, g, v) cells: a place within an order slice.
+    """The (g, v, row, n*) cells with ``__slice`` and ``upto*``, running sums of n* in a slice.
 
     Cells are put in the order of (g, v, row), cut into slices: one shuffle for all groups.
-    As the order is total, a value held by a third of the rows spreads over many slices.
-    ``at`` is the place of the first cell of the same value in the slice, ``ties`` their
-    number.  The table is written once.
+    The table is written once.
     """
-    local = Window.partitionBy(SLICE)
+    counts = [c for c in cells.columns if c.startswith("n")]
+    local = Window.partitionBy(SLICE).orderBy("g", "v").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    placed = with_slices(cells, ["g", "v", "row"]).withColumns(
+        {f"upto_{c}": F.sum(c).over(local) for c in counts}
+    )
     path = scratch_path(cells.sparkSession, "ranks")
-    with_slices(cells, ["g", "v", "row"]).withColumns(
-        {
-            "at": F.rank().over(local.orderBy("g", "v")),
-            "ties": F.count(F.lit(1)).over(Window.partitionBy(SLICE, "g", "v")),
-        }
-    ).write.parquet(path)
-    return cells.sparkSession.read.schema(
-        f"row bigint, g int, v double, {SLICE} int, at int, ties bigint"
-    ).parquet(path)
+    placed.write.parquet(path)
+    return cells.sparkSession.read.schema(placed.schema).parquet(path)
 
 
 def average_ranks(placed: DataFrame) -> DataFrame:
-    """(row, g, rank): average rank of a cell's value among the cells of its group.
+    """(g, v, n0, r*): average ranks of a value in its group, one for each count n*.
 
-    Equal values are neighbours, so only a slice's first and last value can go on in other
-    slices.  Their runs, two for each slice, are put together and broadcast with the cells
-    that the slices before have.
+    ``placed`` has one row for each value of a group.  What the slices before a slice and the
+    groups before a group add up to is broadcast.
     """
-    value = F.struct("g", "v")
-    first, last = F.min_by, F.max_by
-    slices = placed.groupBy(SLICE).agg(
-        F.count(F.lit(1)).alias("n"),
-        first(F.struct(value.alias("value"), "at", "ties"), "at").alias("low"),
-        last(F.struct(value.alias("value"), "at", "ties"), "at").alias("high"),
-    )
-    upto = Window.partitionBy(F.lit(0)).orderBy(SLICE)
-    slices = slices.withColumn("below", F.sum("n").over(upto) - F.col("n"))
-    runs = slices.select(
-        "below", F.explode(F.array_distinct(F.array("low", "high"))).alias("run")
-    )
-    spans = runs.groupBy("run.value").agg(
-        F.min(F.col("below") + F.col("run.at")).alias("start"), F.sum("run.ties").alias("all")
-    )
-    ends = slices
-    for side in ("low", "high"):
-        named = spans.select(
-            F.col("value").alias(f"{side}_value"),
-            F.struct("start", "all").alias(f"{side}_span"),
+    counts = [c for c in placed.columns if c.startswith("n")]
+
+    def before(key: str) -> DataFrame:
+        sums = placed.groupBy(key).agg(*[F.sum(c).alias(c) for c in counts])
+        w = Window.partitionBy(F.lit(0)).orderBy(key)
+        return sums.select(
+            F.col(key).alias(f"{key}_of"),
+            *[(F.sum(c).over(w) - F.col(c)).alias(f"{key}_{c}") for c in counts],
+        )
+
+    for key in (SLICE, "g"):
+        placed = placed.join(F.broadcast(before(key)), F.col(key) == F.col(f"{key}_of"))
+    ranks = []
+    for i, c in enumerate(counts):
+        last = F.col(f"{SLICE}_{c}") + F.col(f"upto_{c}") - F.col(f"g_{c}")
+        ranks.append((last - (F.col(c) - 1) / 2).alias(f"r{i}"))
+    return placed.select("g", "v", "n0", *ranks)
+
+
+def _ranked_values(wide: DataFrame, k: int, gaps: list[int]) -> DataFrame:
+    """(g, v, n0, r*) of every value of the columns x0.. of ``wide``, written once.
+
+    r0 ranks among the present cells of the own column, r1.. among the rows where the first,
+    second.. of the columns with ``gaps`` is present, too.
+    """
+    held = F.array(*[F.col(f"x{j}").isNotNull() for j in gaps]) if gaps else F.lit(None)
+    cells = melt(
+        wide.withColumn("held", held),
+        [(F.col("row"), F.col(f"x{i}"), F.col("held")) for i in range(k)],
+        ["row", "v", "held"], keep_nulls=True,
+    ).where("v IS NOT NULL")
+    values = cells.groupBy(F.col("i").cast("int").alias("g"), "v").agg(
+        F.min("row").alias("row"), F.count(F.lit(1)).alias("n0"),
+        *[F.count_if(F.get("held", F.lit(j))).alias(f"n{j + 1}") for j in range(len(gaps))],
+    )
+    path = scratch_path(wide.sparkSession, "values")
+    values.write.parquet(path)
+    values = wide.sparkSession.read.schema(values.schema).parquet(path)
+    path = scratch_path(wide.sparkSession, "ranks")
+    ranks = average_ranks(placed_cells(values))
+    ranks.write.parquet(path)
+    return wide.sparkSession.read.schema(ranks.schema).parquet(path)
+
+
+def _with_ranks(wide: DataFrame, ranks: DataFrame, many: list[int], few: list[int], rows: int) -> DataFrame:
+    """The cells x* of the ``few`` columns and, as arrays a*, the ranks of the ``many``.
+
+    Cells of all ``many`` columns meet their ranks in one shuffle and go back to their rows in
+    another one; a row's other cells travel with one of them.
+    """
+    if not many:
+        return wide.select(*[f"x{i}" for i in few])
+    width = len([c for c in ranks.columns if c.startswith("r")])
+    least = int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, rows * len(many) // CELLS_PER_TASK)
+    ranks = ranks.where(F.col("g").isin(many))
+    often = F.col("n0") > CELLS_PER_TASK // 4
+    # Values of so many cells are few; what else they weigh, they are known to every task.
+    spread = ranks.where(often).select(F.col("g").alias("og"), F.col("v").alias("ov"))
+    ranks = ranks.select(
+        F.col("g").alias("rg"), F.col("v").alias("rv"),
+        F.array(*[f"r{j}" for j in range(width)]).alias("a"),
+        F.explode(
+            F.when(often, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+        ).alias("rs"),
+    )
+    own = [F.when(F.col(f"x{i}").isNotNull(), F.struct(F.lit(i).alias("g"), F.col(f"x{i}").alias("v"))) for i in many]
+    none = F.array(F.struct(F.lit(-1).alias("g"), F.lit(None).cast("double").alias("v")))
+    held = F.array_compact(F.array(*own))
+    cells = wide.select(
+        "row", *[f"x{i}" for i in few],
+        F.posexplode(F.when(F.size(held) > 0, held).otherwise(none)).alias("at", "cell"),
+    ).select(
+        "row", *[F.when(F.col("at") == 0, F.col(f"x{i}")).alias(f"x{i}") for i in few],
+        "cell.g", "cell.v",
+    )
+    # Cells without a value find no rank, wherever they are sent.
+    salt = F.when(F.col("ov").isNotNull() | F.col("v").isNull(), F.pmod("row", F.lit(SPREAD)).cast("int"))
+    found = (
+        cells.join(F.broadcast(spread), (F.col("g") == F.col("og")) & (F.col("v") == F.col("ov")), "left")
+        .withColumn("s", F.coalesce(salt, F.lit(0)))
+        .repartition(parts, "g", "v", "s")
+        .join(
+            ranks.repartition(parts, "rg", "rv", "rs"),
+            (F.col("g") == F.col("rg")) & (F.col("v") == F.col("rv")) & (F.col("s") == F.col("rs")),
+            "left",
         )
-        ends = ends.join(named, F.col(f"{side}.value") == F.col(f"{side}_value"))
-    ends = ends.select(SLICE, "below", F.col("high.at").alias("high_at"), "low_span", "high_span")
-    groups = placed.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    over = Window.partitionBy(F.lit(0)).orderBy("g")
-    groups = groups.select("g", (F.sum("n").over(over) - F.col("n")).alias("before"))
-    own = F.struct((F.col("below") + F.col("at")).alias("start"), F.col("ties").alias("all"))
-    span = (
-        F.when(F.col("at") == 1, F.col("low_span"))
-        .when(F.col("at") == F.col("high_at"), F.col("high_span"))
-        .otherwise(own)
     )
+    if len(many) == 1:
+        return found.select(*[f"x{i}" for i in few], F.col("a").alias(f"a{many[0]}"))
     return (
-        placed.join(F.broadcast(ends), SLICE)
-        .join(F.broadcast(groups), "g")
-        .withColumn("span", span)
-        .select(
-            "row", "g",
-            (F.col("span.start") - F.col("before") + (F.col("span.all") - 1) / 2).alias("rank"),
+        found.repartition(parts, "row").groupBy("row").agg(
+            *[F.max(f"x{i}").alias(f"x{i}") for i in few],
+            *[F.max(F.when(F.col("g") == i, F.col("a"))).alias(f"a{i}") for i in many],
+        ).drop("row")
+    )
+
+
+def _rank_sums(
+    k: int, many: list[int], few: list[int], width: int, side: list[list[int]], mean: list[list[float]], table
+):
+    """A function for mapInArrow: sums over the rows of every pair of columns.
+
+    ``side[a][b]`` is the rank of column a that counts next to b, and ``mean[a][b]`` its mean;
+    a column has ``width`` ranks.  ``table`` holds the sorted values of the ``few`` columns and their ranks.
+    """
+    pairs = [(a, b) for a in range(k) for b in range(a + 1, k)]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((4, len(pairs)))
+        for batch in batches:
+            places, ranks, here = {}, {}, {}
+            for i in few:
+                x = batch.column(f"x{i}").to_numpy(zero_copy_only=False).astype(float)
+                here[i] = ~np.isnan(x)
+                values, ranks[i] = table.value[i]
+                places[i] = np.minimum(np.searchsorted(values, x), max(0, len(values) - 1))
+            for i in many:
+                lists = batch.column(f"a{i}")
+                here[i] = lists.is_valid().to_numpy(zero_copy_only=False)
+                ranks[i] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                places[i] = np.maximum(np.cumsum(here[i]) - 1, 0)
+            centred = {}
+
+            def own(a, b):
+                key = a, side[a][b], mean[a][b]
+                if key not in centred:
+                    if len(ranks[a]):
+                        centred[key] = np.where(here[a], ranks[a][places[a], side[a][b]] - mean[a][b], 0.0)
+                    else:
+                        centred[key] = np.zeros(batch.num_rows)
+                return centred[key]
+
+            for p, (a, b) in enumerate(pairs):
+                x, y, both = own(a, b), own(b, a), here[a] & here[b]
+                if not both.all():
+                    x, y = np.where(both, x, 0.0), np.where(both, y, 0.0)
+                totals[:, p] += both.sum(), x @ x, y @ y, x @ y
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(pairs))), *map(pa.array, totals)], ["i", "n", "sxx", "syy", "sxy"]
         )
-    )
+
+    return sums
 
 
 def spearman_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     """As :func:`pearson_pairs`, on average ranks of the pairwise complete rows.
 
-    Columns without missing values are ranked once each; pairs that touch a column
-    with gaps are ranked on their own complete rows.  All cells are ranked in one shuffle and
-    go back to their rows in another one, whatever the number of columns.
+    Values, not cells, are ranked: each column's counts of its values are put in order once,
+    also for the rows where another column is present.  Ranks of columns with few values are
+    looked up where the rows lie; only cells of the others are shuffled, in one shuffle to
+    their ranks and in another one back to their rows, whatever the number of columns.
     """
-    pairs = _pairs(names)
-    x = {i: _cell(df, c) for i, c in enumerate(names)}
-    seen = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(x[i].isNull()).alias(f"m{i}") for i in x],
-    ).first()
-    whole = [i for i in range(len(names)) if seen[f"m{i}"] == 0]
-    shared = [(a, b) for a, b in pairs if a in whole and b in whole]
-    apart = [p for p in pairs if p not in shared]
-    members = whole if shared else []
-
-    # Groups to rank: whole columns first, then both sides of each pair with gaps.
-    sides = [
-        F.when(x[other].isNotNull(), x[own]) for a, b in apart for own, other in ((a, b), (b, a))
-    ]
+    k = len(names)
     wide = df.select(
         F.monotonically_increasing_id().alias("row"),
-        *[c.alias(f"x{i}") for i, c in enumerate([*(x[i] for i in members), *sides])],
-    )
-    columns = [(F.col("row"), F.col(f"x{i}")) for i in range(len(members) + len(sides))]
-    cells = melt(wide, columns, ["row", "v"], keep_nulls=True).where("v IS NOT NULL")
-    ranks = average_ranks(
-        placed_cells(cells.select("row", F.col("i").cast("int").alias("g"), "v"))
+        *[_cell(df, c).alias(f"x{i}") for i, c in enumerate(names)],
     )
+    seen = wide.agg(
+        F.count(F.lit(1)).alias("n"), *[F.count(f"x{i}").alias(f"c{i}") for i in range(k)],
+    ).first()
+    gaps = [i for i in range(k) if seen[f"c{i}"] < seen["n"]]
+    ranks = _ranked_values(wide, k, gaps)
+    width = 1 + len(gaps)
+    sizes = dict(ranks.groupBy("g").agg(F.count(F.lit(1))).collect())
+    few, room = [], LOOKED_UP
+    for i in sorted(range(k), key=lambda i: sizes.get(i, 0)):
+        room -= sizes.get(i, 0) * width
+        if room >= 0:
+            few.append(i)
+    few.sort()
+    many = [i for i in range(k) if i not in few]
+
+    # One row per value of the few; how many rows a pair has follows from the counts.
+    kept = ranks.where(F.col("g").isin(few)).toArrow()
+    g, v = kept.column("g").to_numpy(), kept.column("v").to_numpy()
+    r = np.column_stack([kept.column(f"r{j}").to_numpy() for j in range(width)])
+    order = np.lexsort((v, g))
+    g, v, r = g[order], v[order], r[order]
+    table = wide.sparkSession.sparkContext.broadcast({i: (v[g == i], r[g == i]) for i in few})
+    both = wide.agg(
+        *[
+            F.count_if(F.col(f"x{a}").isNotNull() & F.col(f"x{b}").isNotNull()).alias(f"c{a}_{b}")
+            for a, b in _pairs(names) if a in gaps and b in gaps
+        ] or [F.lit(0)]
+    ).first().asDict() if gaps else {}
 
-    results = []
-    if shared:
-        rows = ranks.where(F.col("g") < len(members)).groupBy("row").agg(
-            *[F.max(F.when(F.col("g") == g, F.col("rank"))).alias(f"x{g}") for g in range(len(members))]
-        )
-        own = [names[i] for i in members]
-        columns = [F.col(f"x{g}") for g in range(len(members))]
-        ranked = _matrix_pairs(rows, own, columns, shift=(seen["n"] + 1) / 2)
-        at = F.array(*[F.lit(i) for i in members])
-        results.append(
-            ranked.withColumns({"ia": F.get(at, F.col("ia")), "ib": F.get(at, F.col("ib"))})
-        )
-    if apart:
-        side = F.col("g") - len(members)
-        rows = (
-            ranks.where(F.col("g") >= len(members))
-            .groupBy("row", F.floor(side / 2).alias("i"))
-            .agg(
-                F.max(F.when(side % 2 == 0, F.col("rank"))).alias("x"),
-                F.max(F.when(side % 2 == 1, F.col("rank"))).alias("y"),
-            )
+    def rows_of(a: int, b: int) -> int:
+        return both.get(f"c{min(a, b)}_{max(a, b)}", min(seen[f"c{a}"], seen[f"c{b}"]))
+
+    side = [[1 + gaps.index(b) if b in gaps and a != b else 0 for b in range(k)] for a in range(k)]
+    mean = [[(rows_of(a, b) + 1) / 2 for b in range(k)] for a in range(k)]
+    held = _with_ranks(wide, ranks, many, few, seen["n"])
+    found = (
+        held.mapInArrow(
+            _rank_sums(k, many, few, width, side, mean, table),
+            "i long, n double, sxx double, syy double, sxy double",
         )
-        results.append(_pair_rows(rows, names, apart))
-    return reduce(DataFrame.unionByName, results)
+        .groupBy("i")
+        .agg(*[F.sum(s).alias(s) for s in ("n", "sxx", "syy", "sxy")])
+        .where("n > 0")
+    )
+    r = F.try_divide(F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy"))
+    return _listed(found.select("i", _bounded(r).alias("r")), names, _pairs(names))
 
 
 # ------------------------------------------------------------------- reports

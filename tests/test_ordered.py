@@ -229,3 +229,32 @@ def test_undefined_sums_are_no_correlation(spark):
 
 def test_fewer_than_two_numeric_columns(single_row):
     assert correlate.correlation_matrix(single_row).count() == 0
+
+
+@pytest.mark.parametrize("looked_up, columns", [(0, "abcd"), (60, "abcd"), (60, "ab")])
+def test_spearman_orders_values_and_shuffles_only_columns_of_many(spark, monkeypatch, looked_up, columns):
+    """What is put in order grows with the different values, not with rows and pairs."""
+    r = np.random.default_rng(11)
+    n = 800
+    pdf = pd.DataFrame(
+        {
+            "a": np.where(np.arange(n) % 3 == 0, 5.0, r.normal(size=n).round(2)),
+            "b": np.where(r.random(n) < 0.2, np.nan, r.integers(0, 6, n)),
+            "c": np.where(r.random(n) < 0.3, np.nan, r.lognormal(size=n).round(3)),
+            "d": r.integers(0, 4, n).astype(float),
+        }
+    )[list(columns)]
+    ordered_rows, placed = [], correlate.placed_cells
+    monkeypatch.setattr(correlate, "LOOKED_UP", looked_up)
+    monkeypatch.setattr(correlate, "CELLS_PER_TASK", 100)
+    monkeypatch.setattr(correlate, "SPREAD", 3)
+    monkeypatch.setattr(
+        correlate, "placed_cells", lambda cells: ordered_rows.append(cells.count()) or placed(cells)
+    )
+    rows = [tuple(None if pd.isna(x) else float(x) for x in row) for row in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).repartition(5)
+    got = correlate.correlation_matrix(df, "spearman").collect()
+    assert ordered_rows == [sum(pdf[c].nunique() for c in columns)]
+    want = pdf.corr(method="spearman")
+    for x in got:
+        assert x["r"] == pytest.approx(want.at[x["col_a"], x["col_b"]], abs=1e-9)
