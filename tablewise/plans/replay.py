@@ -13,13 +13,20 @@ from collections.abc import Iterable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tablewise.plans.registry import OPS, apply_op
 from tablewise.sources.readers import load
+from tablewise.sources.scratch import NoSharedFolderError, scratch_path
 from tablewise.sources.writers import write_csv, write_parquet
 
 log = logging.getLogger(__name__)
 _FORBIDDEN = ("\n", "\r", "`")
+#: Steps that read the whole table before they are planned.
+STATISTIC = (
+    "fill_missing", "cap_outliers_iqr", "remove_outliers_iqr", "normalize_minmax",
+    "standardize_zscore", "parse_dates", "downcast_numeric", "reset_index_op",
+)
 
 
 def _walk(value: Any) -> Iterable[str]:
@@ -64,11 +71,30 @@ def to_json(steps: Iterable[tuple[str, dict]]) -> str:
     )
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """The table written once and read back; as it is where there is no place or type for that."""
+    if df.isStreaming or any(isinstance(f.dataType, T.NullType) for f in df.schema):
+        return df
+    try:
+        path = scratch_path(df.sparkSession, "replayed")
+    except NoSharedFolderError:
+        return df
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def replay(df: DataFrame, recipe: str | Iterable[Any]) -> DataFrame:
-    """Apply the steps in order; an empty recipe returns the table as it is."""
+    """Apply the steps in order; an empty recipe returns the table as it is.
+
+    Rows that are left after duplicates are dropped are written to the shared folder when
+    later steps read statistics: each of those would group the whole table again.
+    """
     entries = json.loads(recipe) if isinstance(recipe, str) else recipe
-    for op, params in check_recipe(entries):
+    steps = check_recipe(entries)
+    for at, (op, params) in enumerate(steps):
         df = apply_op(df, op, **params).df
+        if op == "drop_duplicates" and any(later in STATISTIC for later, _ in steps[at + 1:]):
+            df = _written(df)
     return df
 
 

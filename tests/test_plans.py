@@ -171,3 +171,13 @@ def test_logs_are_planned_on_demand(spark, sf_dir):
     result = clean.strip_whitespace(lines)
     assert "log" not in vars(result) and result.log.first()["rows_before"] == lines.count()
     assert result.log is result.log
+
+
+def test_replay_groups_copies_once(dirty_table):
+    """Steps that read statistics do not drop the duplicates again."""
+    steps = [("drop_duplicates", {}), ("normalize_minmax", {"columns": ["age"]})]
+    out = replay(dirty_table, to_json(steps))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
+    by_hand = clean.normalize_minmax(clean.drop_duplicates(dirty_table).df, ["age"]).df
+    assert rows_of(out, "*") == rows_of(by_hand, "*") and out.columns == by_hand.columns
