@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,8 @@ from tablewise.functions.columns import (
     numeric_columns,
     wide_to_long,
 )
-from tablewise.operators.ordered import SLICE, with_slices
+from tablewise.operators import ordered
+from tablewise.operators.ordered import SLICE
 from tablewise.operators.profile import empty_frame
 from tablewise.sources.scratch import scratch_path
 
@@ -151,26 +153,50 @@ def pearson_pairs(df: DataFrame, names: list[str]) -> DataFrame:
 LOOKED_UP = 400_000
 #: Cells of one task when cells and ranks are shuffled to each other.
 CELLS_PER_TASK = 2_000_000
-#: A value with more cells than one task should have is spread over this many.
-SPREAD = 64
+#: A value with more than this part of a task's cells is looked up, too: no task gets them all.
+SPREAD = 4
+
+
+def _running_sums(counts: list[str]):
+    """A function for mapInArrow: number the task's slice and add up ``counts`` over its rows."""
+
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId()
+        upto = dict.fromkeys(counts, 0)
+        for batch in batches:
+            sums = []
+            for c in counts:
+                sums.append(upto[c] + np.cumsum(batch.column(c).to_numpy()))
+                if batch.num_rows:
+                    upto[c] = sums[-1][-1]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(batch.num_rows, place, "int32")), *map(pa.array, sums)],
+                [*batch.schema.names, SLICE, *[f"upto_{c}" for c in counts]],
+            )
+
+    return running
 
 
 def placed_cells(cells: DataFrame) -> DataFrame:
     """The (g, v, row, n*) cells with ``__slice`` and ``upto*``, running sums of n* in a slice.
 
-    Cells are put in the order of (g, v, row), cut into slices: one shuffle for all groups.
-    The table is written once.
+    Cells are put in the order of (g, v), each pair there once, cut into slices: one shuffle
+    for all groups.  The table is written once.
     """
     counts = [c for c in cells.columns if c.startswith("n")]
-    local = Window.partitionBy(SLICE).orderBy("g", "v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    spark = cells.sparkSession
+    slices = min(ordered.MOST_SLICES, ordered.slice_count(spark, cells.count()))
+    schema = ", ".join(
+        [f"{f.name} {f.dataType.simpleString()}" for f in cells.schema]
+        + [f"{SLICE} int", *[f"upto_{c} long" for c in counts]]
     )
-    placed = with_slices(cells, ["g", "v", "row"]).withColumns(
-        {f"upto_{c}": F.sum(c).over(local) for c in counts}
-    )
-    path = scratch_path(cells.sparkSession, "ranks")
+    placed = (
+        cells.repartitionByRange(slices, "g", "v").sortWithinPartitions("g", "v")
+        .mapInArrow(_running_sums(counts), schema)
+    )
+    path = scratch_path(spark, "ranks")
     placed.write.parquet(path)
-    return cells.sparkSession.read.schema(placed.schema).parquet(path)
+    return spark.read.schema(placed.schema).parquet(path)
 
 
 def average_ranks(placed: DataFrame) -> DataFrame:
@@ -223,58 +249,178 @@ def _ranked_values(wide: DataFrame, k: int, gaps: list[int]) -> DataFrame:
     return wide.sparkSession.read.schema(ranks.schema).parquet(path)
 
 
-def _with_ranks(wide: DataFrame, ranks: DataFrame, many: list[int], few: list[int], rows: int) -> DataFrame:
-    """The cells x* of the ``few`` columns and, as arrays a*, the ranks of the ``many``.
+_SENT = "h long, g int, v double, row long, r array<double>, f array<double>"
+_FOUND = "g int, row long, r array<double>, f array<double>"
+
+
+def _lists(values: np.ndarray | None, rows: int) -> pa.Array:
+    """One list per row of a matrix; empty ones without one.
+
+    No nulls: Spark's writer goes through all null lists before it once more for every record.
+    """
+    if values is None:
+        values = np.empty((rows, 0))
+    offsets = np.arange(rows + 1, dtype="int32") * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
+
+
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+    """The lists that are not empty, a row each."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column as doubles, NaN where it is null and zero without a sign."""
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(float) + 0.0
+
+
+def _meeting(g: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """What the cells of a value and its rank are shuffled by."""
+    return v.view("int64") ^ g.astype("int64")
+
+
+def _sent(g, v, row, h, r=None, f=None) -> pa.RecordBatch:
+    n = len(v)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(h), pa.array(g.astype("int32")), pa.array(v), pa.array(row),
+            _lists(r, n), _lists(f, n),
+        ],
+        ["h", "g", "v", "row", "r", "f"],
+    )
+
+
+def _cells_out(many: list[int], few: list[int], often):
+    """A function for mapInArrow: the cells of the ``many`` columns, a record each.
+
+    The row's cells of the ``few`` travel with its first one.  Values that occur ``often``
+    and rows without a cell wait for no rank, so they go wherever their row number says.
+    """
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("row").to_numpy()
+            f = np.column_stack([_numbers(batch, f"x{i}") for i in few]) if few else None
+            alone = np.ones(len(row), bool)
+            for i in many:
+                v = _numbers(batch, f"x{i}")
+                here = ~np.isnan(v)
+                h = np.where(np.isin(v, often.value[i][0]), row, _meeting(np.full(len(v), i), v))
+                for take, own in ((here & alone, f), (here & ~alone, None)):
+                    if take.any():
+                        g = np.full(take.sum(), i)
+                        yield _sent(g, v[take], row[take], h[take], f=None if own is None else own[take])
+                alone &= ~here
+            if few and alone.any():
+                none = np.full(alone.sum(), -1)
+                yield _sent(none, np.full(len(none), np.nan), row[alone], row[alone], f=f[alone])
+
+    return out
+
+
+def _ranks_out(width: int):
+    """A function for mapInArrow: the ranks of values, as records that meet their cells."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, v = batch.column("g").to_numpy(), _numbers(batch, "v")
+            r = np.column_stack([_numbers(batch, f"r{j}") for j in range(width)])
+            yield _sent(g, v, np.full(len(v), -1), _meeting(g, v), r=r)
+
+    return out
+
+
+def _ranks_found(many: list[int], width: int, few: int, often):
+    """A function for mapInArrow: the cells of a task with the ranks that came to it."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Lists of a task's records: CELLS_PER_TASK bounds them.
+        cells, known = [], {i: [often.value[i]] for i in many}
+        for batch in batches:
+            is_rank = batch.column("row").to_numpy() < 0
+            ranks, batch = batch.filter(pa.array(is_rank)), batch.filter(pa.array(~is_rank))
+            if ranks.num_rows:
+                g, v, r = ranks.column("g").to_numpy(), _numbers(ranks, "v"), _matrix(ranks.column("r"), width)
+                for i in many:
+                    known[i].append((v[g == i], r[g == i]))
+            if batch.num_rows:
+                cells.append(batch.select(["g", "v", "row", "f"]))
+        for i, held in known.items():
+            v, r = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            order = np.argsort(v, kind="stable")
+            known[i] = v[order], r[order]
+        for batch in cells:
+            g, v = batch.column("g").to_numpy(), _numbers(batch, "v")
+            r = np.zeros((len(v), width))
+            for i in many:
+                mine = g == i
+                if mine.any():
+                    r[mine] = known[i][1][np.searchsorted(known[i][0], v[mine])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("g"), batch.column("row"), _lists(r, len(v)), batch.column("f")],
+                ["g", "row", "r", "f"],
+            )
+
+    return found
+
+
+def _rows_of(many: list[int], few: list[int], width: int):
+    """A function that puts the records of a task together: (rows, here, ranks, cells).
+
+    ``here[i]`` tells which rows have a cell of column i of the ``many``, ``ranks[i]`` holds
+    their ranks (a place per row), ``cells[i]`` the cells of the ``few``.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        whole = pa.Table.from_batches(batches).combine_chunks()
+        g, row = whole.column("g").to_numpy(), whole.column("row").to_numpy()
+        r = _matrix(whole.column("r").combine_chunks(), width)
+        if len(many) == 1:
+            n, at = len(row), np.arange(len(row))
+        else:
+            row, at = np.unique(row, return_inverse=True)
+            n = len(row)
+        here, ranks, cells = {}, {}, {}
+        for i in many:
+            mine = g == i
+            here[i] = np.zeros(n, bool)
+            here[i][at[mine]] = True
+            ranks[i] = np.zeros((n, width))
+            ranks[i][at[mine]] = r[mine]
+        if few:
+            lists = whole.column("f").combine_chunks()
+            held = lists.value_lengths().to_numpy() > 0
+            f = np.full((n, len(few)), np.nan)
+            f[at[held]] = _matrix(lists, len(few))
+            cells = {i: f[:, j] for j, i in enumerate(few)}
+        yield n, here, ranks, cells
+
+    return rows
+
+
+def _with_ranks(
+    wide: DataFrame, ranks: DataFrame, many: list[int], few: list[int], often, most: int, rows: int
+) -> DataFrame:
+    """Records (g, row, r, f) of the ``many`` columns' cells with their ranks, a row's together.
 
     Cells of all ``many`` columns meet their ranks in one shuffle and go back to their rows in
-    another one; a row's other cells travel with one of them.
+    another one; a row's other cells travel with one of them.  Values of more than ``most``
+    cells are not shuffled to a rank but looked up in ``often``.
     """
-    if not many:
-        return wide.select(*[f"x{i}" for i in few])
     width = len([c for c in ranks.columns if c.startswith("r")])
     least = int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, rows * len(many) // CELLS_PER_TASK)
-    ranks = ranks.where(F.col("g").isin(many))
-    often = F.col("n0") > CELLS_PER_TASK // 4
-    # Values of so many cells are few; what else they weigh, they are known to every task.
-    spread = ranks.where(often).select(F.col("g").alias("og"), F.col("v").alias("ov"))
-    ranks = ranks.select(
-        F.col("g").alias("rg"), F.col("v").alias("rv"),
-        F.array(*[f"r{j}" for j in range(width)]).alias("a"),
-        F.explode(
-            F.when(often, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-        ).alias("rs"),
-    )
-    own = [F.when(F.col(f"x{i}").isNotNull(), F.struct(F.lit(i).alias("g"), F.col(f"x{i}").alias("v"))) for i in many]
-    none = F.array(F.struct(F.lit(-1).alias("g"), F.lit(None).cast("double").alias("v")))
-    held = F.array_compact(F.array(*own))
-    cells = wide.select(
-        "row", *[f"x{i}" for i in few],
-        F.posexplode(F.when(F.size(held) > 0, held).otherwise(none)).alias("at", "cell"),
-    ).select(
-        "row", *[F.when(F.col("at") == 0, F.col(f"x{i}")).alias(f"x{i}") for i in few],
-        "cell.g", "cell.v",
-    )
-    # Cells without a value find no rank, wherever they are sent.
-    salt = F.when(F.col("ov").isNotNull() | F.col("v").isNull(), F.pmod("row", F.lit(SPREAD)).cast("int"))
-    found = (
-        cells.join(F.broadcast(spread), (F.col("g") == F.col("og")) & (F.col("v") == F.col("ov")), "left")
-        .withColumn("s", F.coalesce(salt, F.lit(0)))
-        .repartition(parts, "g", "v", "s")
-        .join(
-            ranks.repartition(parts, "rg", "rv", "rs"),
-            (F.col("g") == F.col("rg")) & (F.col("v") == F.col("rv")) & (F.col("s") == F.col("rs")),
-            "left",
-        )
-    )
-    if len(many) == 1:
-        return found.select(*[f"x{i}" for i in few], F.col("a").alias(f"a{many[0]}"))
-    return (
-        found.repartition(parts, "row").groupBy("row").agg(
-            *[F.max(f"x{i}").alias(f"x{i}") for i in few],
-            *[F.max(F.when(F.col("g") == i, F.col("a"))).alias(f"a{i}") for i in many],
-        ).drop("row")
-    )
+    # Of four numbers in all, a cell has two and its ranks.
+    numbers = len(many) * (2 + width) + len(few)
+    parts = max(least, -(-rows * numbers // (4 * CELLS_PER_TASK)))
+    cells = wide.mapInArrow(_cells_out(many, few, often), _SENT)
+    asked = ranks.where(F.col("g").isin(many) & (F.col("n0") <= most))
+    # By a whole number: a join by doubles would shuffle once more, in a fixed number of tasks.
+    met = cells.unionAll(asked.mapInArrow(_ranks_out(width), _SENT)).repartition(parts, "h")
+    found = met.mapInArrow(_ranks_found(many, width, len(few), often), _FOUND)
+    return found if len(many) == 1 else found.repartition(parts, "row")
 
 
 def _rank_sums(
@@ -287,29 +433,30 @@ def _rank_sums(
     """
     pairs = [(a, b) for a in range(k) for b in range(a + 1, k)]
 
+    def plain(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            yield batch.num_rows, {}, {}, {i: _numbers(batch, f"x{i}") for i in few}
+
+    together = _rows_of(many, few, width) if many else plain
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((4, len(pairs)))
-        for batch in batches:
-            places, ranks, here = {}, {}, {}
+        for n, here, ranks, cells in together(batches):
+            places = {}
             for i in few:
-                x = batch.column(f"x{i}").to_numpy(zero_copy_only=False).astype(float)
-                here[i] = ~np.isnan(x)
+                here[i] = ~np.isnan(cells[i])
                 values, ranks[i] = table.value[i]
-                places[i] = np.minimum(np.searchsorted(values, x), max(0, len(values) - 1))
-            for i in many:
-                lists = batch.column(f"a{i}")
-                here[i] = lists.is_valid().to_numpy(zero_copy_only=False)
-                ranks[i] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-                places[i] = np.maximum(np.cumsum(here[i]) - 1, 0)
+                places[i] = np.minimum(np.searchsorted(values, cells[i]), max(0, len(values) - 1))
             centred = {}
 
             def own(a, b):
                 key = a, side[a][b], mean[a][b]
                 if key not in centred:
                     if len(ranks[a]):
-                        centred[key] = np.where(here[a], ranks[a][places[a], side[a][b]] - mean[a][b], 0.0)
+                        r = ranks[a][:, side[a][b]]
+                        centred[key] = np.where(here[a], (r[places[a]] if a in places else r) - mean[a][b], 0.0)
                     else:
-                        centred[key] = np.zeros(batch.num_rows)
+                        centred[key] = np.zeros(n)
                 return centred[key]
 
             for p, (a, b) in enumerate(pairs):
@@ -352,13 +499,15 @@ def spearman_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     few.sort()
     many = [i for i in range(k) if i not in few]
 
-    # One row per value of the few; how many rows a pair has follows from the counts.
-    kept = ranks.where(F.col("g").isin(few)).toArrow()
+    # One row per value of the few, and per value of so many cells that a task gets no rank for
+    # it; how many rows a pair has follows from the counts.
+    most = CELLS_PER_TASK // SPREAD
+    kept = ranks.where(F.col("g").isin(few) | (F.col("n0") > most)).toArrow()
     g, v = kept.column("g").to_numpy(), kept.column("v").to_numpy()
     r = np.column_stack([kept.column(f"r{j}").to_numpy() for j in range(width)])
     order = np.lexsort((v, g))
     g, v, r = g[order], v[order], r[order]
-    table = wide.sparkSession.sparkContext.broadcast({i: (v[g == i], r[g == i]) for i in few})
+    table = wide.sparkSession.sparkContext.broadcast({i: (v[g == i], r[g == i]) for i in range(k)})
     both = wide.agg(
         *[
             F.count_if(F.col(f"x{a}").isNotNull() & F.col(f"x{b}").isNotNull()).alias(f"c{a}_{b}")
@@ -371,7 +520,7 @@ def spearman_pairs(df: DataFrame, names: list[str]) -> DataFrame:
 
     side = [[1 + gaps.index(b) if b in gaps and a != b else 0 for b in range(k)] for a in range(k)]
     mean = [[(rows_of(a, b) + 1) / 2 for b in range(k)] for a in range(k)]
-    held = _with_ranks(wide, ranks, many, few, seen["n"])
+    held = _with_ranks(wide, ranks, many, few, table, most, seen["n"]) if many else wide
     found = (
         held.mapInArrow(
             _rank_sums(k, many, few, width, side, mean, table),
