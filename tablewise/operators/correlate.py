@@ -227,7 +227,9 @@ def _with_ranks(wide: DataFrame, ranks: DataFrame, many: list[int], few: list[in
     """The cells x* of the ``few`` columns and, as arrays a*, the ranks of the ``many``.
 
     Cells of all ``many`` columns meet their ranks in one shuffle and go back to their rows in
-    another one; a row's other cells travel with one of them.
+    another one; a row's other cells travel with one of them.  Spark rewrites doubles that are
+    keys of a join and would shuffle again for that, in the session's number of partitions; the
+    key is a value's hash, therefore, and the value itself is compared beside it.
     """
     if not many:
         return wide.select(*[f"x{i}" for i in few])
@@ -239,7 +241,7 @@ def _with_ranks(wide: DataFrame, ranks: DataFrame, many: list[int], few: list[in
     # Values of so many cells are few; what else they weigh, they are known to every task.
     spread = ranks.where(often).select(F.col("g").alias("og"), F.col("v").alias("ov"))
     ranks = ranks.select(
-        F.col("g").alias("rg"), F.col("v").alias("rv"),
+        F.col("g").alias("rg"), F.col("v").alias("rv"), F.xxhash64("v").alias("rh"),
         F.array(*[f"r{j}" for j in range(width)]).alias("a"),
         F.explode(
             F.when(often, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
@@ -259,11 +261,12 @@ def _with_ranks(wide: DataFrame, ranks: DataFrame, many: list[int], few: list[in
     salt = F.when(F.col("ov").isNotNull() | F.col("v").isNull(), F.pmod("row", F.lit(SPREAD)).cast("int"))
     found = (
         cells.join(F.broadcast(spread), (F.col("g") == F.col("og")) & (F.col("v") == F.col("ov")), "left")
-        .withColumn("s", F.coalesce(salt, F.lit(0)))
-        .repartition(parts, "g", "v", "s")
+        .withColumns({"s": F.coalesce(salt, F.lit(0)), "h": F.xxhash64("v")})
+        .repartition(parts, "g", "h", "s")
         .join(
-            ranks.repartition(parts, "rg", "rv", "rs"),
-            (F.col("g") == F.col("rg")) & (F.col("v") == F.col("rv")) & (F.col("s") == F.col("rs")),
+            ranks.repartition(parts, "rg", "rh", "rs"),
+            (F.col("g") == F.col("rg")) & (F.col("h") == F.col("rh")) & (F.col("s") == F.col("rs"))
+            & (F.col("v") - F.col("rv") == 0),
             "left",
         )
     )

@@ -1,5 +1,7 @@
 """Order-dependent operators against pandas, with many small slices and hot keys."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -258,3 +260,23 @@ def test_spearman_orders_values_and_shuffles_only_columns_of_many(spark, monkeyp
     want = pdf.corr(method="spearman")
     for x in got:
         assert x["r"] == pytest.approx(want.at[x["col_a"], x["col_b"]], abs=1e-9)
+
+
+def test_cells_meet_their_ranks_in_tasks_that_grow_with_the_cells(spark, monkeypatch):
+    """No shuffle runs in the session's number of partitions, and each cell finds its rank."""
+    monkeypatch.setattr(correlate, "CELLS_PER_TASK", 20)
+    monkeypatch.setattr(correlate, "SPREAD", 3)
+    values = [None if i % 7 == 3 else -0.0 if i % 5 == 0 else i % 50 / 8 for i in range(400)]
+    wide = spark.createDataFrame([(i, v, float(i)) for i, v in enumerate(values)], "row long, x0 double, x1 double")
+    counts = {v: values.count(v) for v in values if v is not None}  # 0.0 and -0.0 are one value
+    ranks = spark.createDataFrame([(0, abs(v), n, v * 1000) for v, n in counts.items()], "g int, v double, n0 long, r0 double")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = correlate._with_ranks(wide, ranks, [0], [1], len(values))
+        plan = str(found._jdf.queryExecution().executedPlan().toString())
+        got = {r["x1"]: r["a0"] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert set(re.findall(r"hashpartitioning\(.*, (\d+)\)", plan)) == {"20"}
+    assert got == {float(i): None if v is None else [v * 1000] for i, v in enumerate(values)}
