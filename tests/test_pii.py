@@ -3,9 +3,12 @@
 import hashlib
 import re
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from catalogue import personal
 from tablewise.functions.masking import redact_value, scrub_text, synthetic_value
 from tablewise.functions.patterns import PATTERNS, header_hint, matches
 from tablewise.operators import pii
@@ -186,3 +189,32 @@ def test_card_shrinks_to_its_budget(spark):
     assert "*(6 more columns left out)*" in mid and "### Numbers" in mid
     small = card.dataset_card(wide, max_tokens=50)
     assert "left out to stay within the budget" in small and "### Quality" in small
+
+
+def test_scrub_has_word_edges_as_its_sql_and_pythons_engine(spark):
+    """Superscripts belong to a word, combining marks do not."""
+    texts = [
+        "ABCPL1234C²", "²user@example.com", "½HDFC0001234", "éABCPL1234C", "हिuser@example.com",
+        "27ABCDE1234F1Z5̈", "_ABCPL1234C", "éuser@example.com ABCPL1234C",
+    ]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": range(len(texts)), "text": texts}))
+    sql = dict(con.execute(personal.ENTRIES["i08_scrub_documents"].sql).fetchall())
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
+    for i, out in df.select("id", scrub_text(F.col("s"))).collect():
+        text = texts[i]
+        for category in ORDER:
+            text = re.sub(PATTERNS[category], MARKS[category], text)
+        assert out == text == sql[i]
+
+
+def test_scrub_takes_all_of_an_address_beside_another(spark):
+    """The SQL twin leaves the start of the second address, and takes a mark before one in."""
+    texts = {
+        "x ab.12@mail1.example.com cd.34@mail2.example.com": "x <EMAIL> <EMAIL>",
+        "see -cd.34@mail2.example.com": "see -<EMAIL>",
+        "über.23@mail3.example.com": "über<EMAIL>",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    for text, out in df.select("s", scrub_text(F.col("s"))).collect():
+        assert out == texts[text] == re.sub(PATTERNS["email"], "<EMAIL>", text)
