@@ -11,14 +11,15 @@ length rather than to its square, and once for all its occurrences.
 Texts take the tokens of frequent words from a table beside them.  The rare words, a few in a
 hundred, are merged in the same way by the task that meets them, all of a batch together:
 joining them would have every text's ids written and shuffled once more.
+
+Words, tokens and pieces stay in Arrow arrays: a batch of texts is split, looked up, joined
+and decoded as a whole, without an object for each word.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.llm.common import fresh, quoted, release_memory, small_batches, text_of, written
+from tablewise.llm.words import binary_array, binary_parts, splitter
 
-#: Words that are merged once for the whole corpus and broadcast (about 200 bytes each in a worker).
+#: Words that are merged once for the whole corpus and broadcast.
 FREQUENT = 1 << 18
 #: Distinct words that a counting task holds before it passes them on, and bytes of words
 #: that are merged together.
@@ -38,7 +40,6 @@ MERGED_BYTES = 1 << 22
 #: Pairs that are looked up one by one rather than by hashing.
 _FEW = 1000
 _KNOWN: dict[str, "Merges"] = {}
-_TABLES: dict[str, dict[str, bytes]] = {}
 
 
 class PairTable:
@@ -189,9 +190,12 @@ class Merges:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.table = ranks, PairTable(ranks)
-        self.split = regex.compile(pattern).findall
+        self.split, self.words = regex.compile(pattern).findall, splitter(pattern)
         self.type = np.dtype("<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4")
-        self.pieces = dict(zip(ranks.values(), ranks))
+        pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+        for piece, rank in ranks.items():
+            pieces[rank] = piece
+        self.pieces = pa.array(pieces, pa.binary())
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The packed ids of each of many words."""
@@ -212,19 +216,30 @@ class Merges:
                 start = end
         return merged
 
-    def widened(self, packed: bytes) -> bytes:
-        """Packed ids in four bytes each."""
-        return np.frombuffer(packed, self.type).astype("<u4").tobytes()
+    def coded(self, texts: pa.Array, known: pa.Array, known_ids: pa.Array) -> list[pa.Array]:
+        """Ids of texts, four bytes each, and the bytes they stand for.
+
+        ``known`` are distinct words whose packed ids are ``known_ids``; the others are merged.
+        """
+        words, bounds = self.words(texts)
+        # Known words come first, so that what follows them in the dictionary is not known.
+        each = pa.concat_arrays([known, words]).dictionary_encode()
+        rare = each.dictionary[len(known) :].to_pylist()
+        ids = pa.concat_arrays([known_ids, pa.array(self.merge(rare), pa.binary())])
+        ends, packed = binary_parts(ids.take(each.indices[len(known) :]))
+        flat = np.frombuffer(packed, self.type, ends[-1] // self.type.itemsize)
+        cuts = ends[bounds] // self.type.itemsize
+        starts, pieces = binary_parts(self.pieces.take(pa.array(flat)))
+        return [binary_array(4 * cuts, flat.astype("<u4")), binary_array(starts[cuts], pieces)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """A few texts at once, without Spark; four bytes an id."""
-        split = [self.split(t) for t in texts]
-        words = list(set().union(*split))
-        ids = dict(zip(words, self.merge([w.encode() for w in words])))
-        return [self.widened(b"".join(map(ids.__getitem__, words))) for words in split]
+        none = pa.array([], pa.binary())
+        split = pa.array([t.encode() for t in texts], pa.binary())
+        return self.coded(split, none, none)[0].to_pylist()
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(self.pieces.take(pa.array(np.frombuffer(ids, "<u4"))).to_pylist())
 
 
 def read_ranks(path: str) -> bytes:
@@ -240,30 +255,30 @@ def _merges(content: bytes, pattern: str, name: str) -> Merges:
     return _KNOWN[name]
 
 
-def _texts(column: pa.Array) -> Iterator[str]:
-    return (t.as_py().decode("utf-8", "replace") for t in column)
+def _summed(held: list[pa.Table]) -> pa.Table:
+    """(word, n) of several such tables, each word once."""
+    grouped = pa.concat_tables(held).group_by("word", use_threads=False)
+    return grouped.aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
 
 def _word_counter(merges):
     """(word, n) of the words of a task; a word may come several times."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = merges().split, Counter()
-
-        def flush() -> pa.RecordBatch:
-            words = pa.array([w.encode() for w in counts], pa.binary())
-            return pa.RecordBatch.from_arrays(
-                [words, pa.array(counts.values(), pa.int64())], ["word", "n"]
-            )
-
+        words_of, held, size = merges().words, [], 0
         for batch in batches:
-            for text in _texts(batch.column(0)):
-                counts.update(split(text))
-                if len(counts) > HELD:
-                    yield flush()
-                    counts.clear()
-        yield flush()
-        counts.clear()
+            word, n = words_of(batch.column(0))[0].value_counts().flatten()
+            held.append(pa.table({"word": word, "n": n}))
+            size += len(word)
+            if size > HELD:
+                held = [_summed(held)]
+                size = len(held[0])
+            if size > HELD:
+                yield from held[0].to_batches()
+                held, size = [], 0
+        if held:
+            yield from _summed(held).to_batches()
+        del held
         release_memory()
 
     return count
@@ -321,32 +336,10 @@ def frequent(words: DataFrame, most: int) -> DataFrame:
 
 def _encoder(top, merges):
     """Ids of texts, four bytes each, and the bytes they stand for."""
-    name = uuid.uuid4().hex
 
     @F.arrow_udf("struct<ids: binary, decoded: binary>")
     def encode(texts: pa.Array) -> pa.Array:
-        own = merges()
-        if name not in _TABLES:  # one table at a time stays in a worker
-            _TABLES.clear()
-            words, ids = top.value
-            _TABLES[name] = dict(zip((w.decode("utf-8", "replace") for w in words), ids))
-        known = _TABLES[name]
-        # One object for all occurrences of a word, so that the lists of words stay small.
-        seen: dict[str, str] = {}
-        split = [list(map(seen.setdefault, words, words)) for words in map(own.split, _texts(texts))]
-        rare = [w for w in seen if w not in known]
-        merged = dict(zip(rare, own.merge([w.encode() for w in rare])))
-        seen.clear()
-        ids = []
-        for words in split:
-            got = list(map(known.get, words))
-            if None in got:
-                got = [merged[w] if g is None else g for w, g in zip(words, got)]
-            ids.append(own.widened(b"".join(got)))
-        del split, merged
-        decoded = pa.array(map(own.decode, ids), pa.binary())
-        out = pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], ["ids", "decoded"])
-        del ids
+        out = pa.StructArray.from_arrays(merges().coded(texts, *top.value), ["ids", "decoded"])
         release_memory()
         return out
 
@@ -380,7 +373,9 @@ def with_tokens(
     text = text_of(text_col).cast("binary")
     words = frequent(word_counts(docs.select(text.alias("text")), merges), FREQUENT)
     best = words.mapInArrow(_merger(merges), "word binary, n long, ids binary").toArrow()
-    top = context.broadcast((best.column("word").to_pylist(), best.column("ids").to_pylist()))
+    top = context.broadcast(
+        [best.column(c).cast(pa.binary()).combine_chunks() for c in ("word", "ids")]
+    )
     coded = fresh(docs, "coded")
     own = [quoted(c) for c in (docs.columns if keep is None else keep)]
     return docs.withColumn(coded, _encoder(top, merges)(text)).select(

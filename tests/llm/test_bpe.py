@@ -3,6 +3,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -111,3 +112,20 @@ def test_wide_vocabulary():
     wide = bpe.Merges({bytes([i]): i for i in range(256)} | {b"ab": 70_000}, public_tokenizers.PATTERN)
     assert ids_of(wide.encode(["abc ab"])[0]) == [70_000, 99, 32, 70_000]
     assert wide.decode(wide.encode(["abc ab"])[0]) == b"abc ab"
+
+
+def test_texts_are_coded_as_a_batch(monkeypatch):
+    """Words that are known are not merged again, and rare ones once for a batch of texts."""
+    asked = []
+    merge = bpe.Merges.merge
+    monkeypatch.setattr(bpe.Merges, "merge", lambda self, words: asked.append(words) or merge(self, words))
+    texts = ["the cat", "", "zyxwvq zyxwvq zyxwvq the", "cat"]
+    known = pa.array([b"the", b" the", b"unused"], pa.binary())
+    known_ids = pa.array(merge(MERGES, known.to_pylist()), pa.binary())
+    ids, decoded = MERGES.coded(pa.array([t.encode() for t in texts], pa.binary()), known, known_ids)
+    assert [ids_of(x) for x in ids.to_pylist()] == [LIBRARY.encode_ordinary(t) for t in texts]
+    assert decoded.to_pylist() == [t.encode() for t in texts]
+    assert asked == [[b" cat", b"zyxwvq", b" zyxwvq", b"cat"]]
+    none = known[:0]
+    assert MERGES.coded(none, known, known_ids)[0].to_pylist() == []
+    assert MERGES.coded(pa.array([b"", b""], pa.binary()), none, none)[1].to_pylist() == [b"", b""]
